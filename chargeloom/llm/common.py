@@ -58,6 +58,22 @@ def fold(id_col: Column) -> Column:
     return F.crc32(F.encode(id_col.cast("string"), "UTF-8")) % 4
 
 
+def hash_share(*cols: Column | str) -> Column:
+    """A number from 0 to 1 that the hash of the columns fixes."""
+    return F.pmod(F.xxhash64(*cols), F.lit(1 << 40)) / float(1 << 40)
+
+
+def smallest_hashes(ids: DataFrame, most: int, seed: int) -> DataFrame:
+    """At most ``most`` rows of ``ids(id, ...)``: those with the smallest hashes of the id.
+
+    Rows are thinned by their hash to about four times the bound before they are ranked, so ranking does
+    not depend on the size of the input.
+    """
+    total = ids.count()
+    share = min(1.0, (4 * most + 1000) / max(1, total))
+    return ids.filter(hash_share("id", F.lit(seed)) <= share).orderBy(hash_share("id", F.lit(seed)), "id").limit(most)
+
+
 def utf8_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and row offsets of a string column; nulls count as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, simhash
+from . import decontaminate, langid, quality, simhash
 from .common import tables
 
 
@@ -29,10 +29,27 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = tables(sf_dir)
+    docs = read(spark, "documents").select("doc_id", "text")
+    scored = quality.score_quality(docs, read(spark, "labels"))
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = tables(sf_dir)(spark, "documents").select("doc_id", "text", "lang")
+    found = langid.identify_languages(docs)
+    return found.select(
+        "doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"), F.size("language.spans").alias("n_spans")
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
         "op5_simhash": op5_simhash,
+        "op8_quality": op8_quality,
+        "op9_langid": op9_langid,
     }
 
 
