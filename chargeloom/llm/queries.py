@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, quality, simhash
+from . import bpe, decontaminate, langid, quality, simhash, tokenfile
 from .common import tables
 
 
@@ -24,11 +25,30 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    docs = tables(sf_dir)(spark, "documents").select("doc_id", "text")
+    decoded = bpe.decode_documents(bpe.encode_documents(docs, path).drop("text"), path)
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.encode(F.array_join(F.col("ids").cast("array<string>"), " "), "UTF-8"), 256).alias("ids_sha256"),
+        F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
+    )
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(tables(sf_dir)(spark, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = tables(sf_dir)(spark, "documents").select("doc_id", "text")
+    folder = tokenfile.fresh_folder(spark)
+    tokenfile.write_tokens(docs, folder, public_tokenizers.path("byte_bpe_50k.json"))
+    return tokenfile.read_tokens(spark, folder, with_ids=False).withColumnRenamed("crc32", "ids_crc32")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = tables(sf_dir)
     docs = read(spark, "documents").select("doc_id", "text")
@@ -47,7 +67,9 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
+        "op3_bpe": op3_bpe,
         "op5_simhash": op5_simhash,
+        "op6_tokenfile": op6_tokenfile,
         "op8_quality": op8_quality,
         "op9_langid": op9_langid,
     }
