@@ -222,9 +222,11 @@ def train(
             x = feature_rows(batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(x), pa.list_(pa.float64()))], names=schema.names)
 
-    rows = sample.select("id", "part", "text").mapInArrow(emit, schema).orderBy("id", "x").toPandas()
+    rows = sample.select("id", "part", "text").mapInArrow(emit, schema).toPandas()
     x = np.array(rows["x"].tolist(), dtype=np.float64).reshape(-1, _FEATURES)
-    part = rows["part"].to_numpy(np.int64)
+    # The same order whatever the partitions, so that the same model is learned.
+    order = np.lexsort((*x.T, rows["id"].to_numpy()))
+    x, part = x[order], rows["part"].to_numpy(np.int64)[order]
     p, u = x[part % 2 == 1], x[part >= 2]
     if not len(p) or not len(u):
         flat = 0.5 if prior is None else prior

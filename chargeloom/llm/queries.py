@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, quality, simhash, tokenfile
+from . import bpe, decontaminate, langid, quality, simhash, tokenfile, topk
 from .common import tables
 
 
@@ -25,6 +25,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(tables(sf_dir)(spark, "embeddings"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     docs = tables(sf_dir)(spark, "documents").select("doc_id", "text")
@@ -67,6 +71,7 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
+        "op2_topk": op2_topk,
         "op3_bpe": op3_bpe,
         "op5_simhash": op5_simhash,
         "op6_tokenfile": op6_tokenfile,
