@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, quality, simhash, tokenfile, topk
+from . import bpe, chat, decontaminate, html_text, langid, quality, simhash, tokenfile, topk, unigram
 from .common import tables
 
 
@@ -41,6 +41,12 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chat.rotate_perspectives(tables(sf_dir)(spark, "conversations"))
+    mask = F.array_join(F.transform("mask", lambda m: F.concat_ws("-", m["start"], m["end"])), ",")
+    return found.withColumn("mask", mask)
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(tables(sf_dir)(spark, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -53,6 +59,12 @@ def op6_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_tokens(spark, folder, with_ids=False).withColumnRenamed("crc32", "ids_crc32")
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = tables(sf_dir)(spark, "pages").select("page_id", "html")
+    found = html_text.extract_text(pages).drop("html")
+    return found.select("page_id", F.length("text").cast("long").alias("n_chars"), "text")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = tables(sf_dir)
     docs = read(spark, "documents").select("doc_id", "text")
@@ -68,17 +80,26 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = tables(sf_dir)(spark, "documents").select("doc_id", "text")
+    found = unigram.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select("doc_id", F.col("tokens.n_tokens").alias("n_tokens"), F.col("tokens.score").alias("score"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
         "op2_topk": op2_topk,
         "op3_bpe": op3_bpe,
+        "op4_chat": op4_chat,
         "op5_simhash": op5_simhash,
         "op6_tokenfile": op6_tokenfile,
+        "op7_html": op7_html,
         "op8_quality": op8_quality,
         "op9_langid": op9_langid,
+        "op10_unigram": op10_unigram,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_chat": chat.ORACLE_SQL}
