@@ -25,8 +25,8 @@ from pyspark.sql import types as T
 
 from .common import BoundedCache, texts_of, tune
 
-_CACHED = 500_000
-_CACHED_WORDS = 250_000
+_CACHED = 400_000
+_CACHED_WORDS = 150_000
 _SHORT = 48
 _PIECE = 1 << 20
 _TOKEN, _NONE = (1 << 20) - 1, 1 << 62

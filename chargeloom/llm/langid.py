@@ -7,6 +7,7 @@ Viterbi pass over the words of a text, with a penalty for every switch, labels s
 from __future__ import annotations
 
 import re
+import uuid
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
@@ -31,7 +32,8 @@ UNDETERMINED = "und"
 _ORDERS = (1, 2, 3)
 _SMOOTH = 0.5
 _FLOOR = -6.0
-_CACHED = 400_000
+_CACHED = 300_000
+_word_scores: dict[str, tuple[BoundedCache, np.ndarray]] = {}
 _WORD = re.compile(r"[^\W\d_]+")
 
 # First code point and script of each block that letters are told apart by.
@@ -117,11 +119,8 @@ class Model:
     table: np.ndarray
     unseen: np.ndarray
     scripts: dict[str, np.ndarray]
-    _index: BoundedCache | None = field(default=None, repr=False)
-    _scores: np.ndarray | None = field(default=None, repr=False)
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"_index": None, "_scores": None}
+    #: Names the model's word scores in a worker, which outlive the task that this object belongs to.
+    key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def posteriors(self, words: list[str]) -> np.ndarray:
         """Log posterior of each language for each word, floored; languages outside the script's candidates get the floor."""
@@ -143,9 +142,10 @@ class Model:
 
     def scores(self, texts: list[list[str]]) -> Iterator[np.ndarray]:
         """For each list of words a row of log posteriors for each word; distinct words are scored once and kept."""
-        if self._index is None:
-            self._index, self._scores = BoundedCache(_CACHED), np.zeros((_CACHED, len(self.languages)), np.float32)
-        index = self._index
+        if self.key not in _word_scores:
+            _word_scores.clear()
+            _word_scores[self.key] = BoundedCache(_CACHED), np.zeros((_CACHED, len(self.languages)), np.float32)
+        index, kept = _word_scores[self.key]
         new = set().union(*texts).difference(index)
         if len(index) + len(new) > index.limit:
             index.clear()
@@ -155,10 +155,10 @@ class Model:
             return
         if new:
             first, new = len(index), list(new)
-            self._scores[first : first + len(new)] = self.posteriors(new)
+            kept[first : first + len(new)] = self.posteriors(new)
             index.update(zip(new, range(first, first + len(new))))
         for words in texts:
-            yield self._scores[np.fromiter(map(index.__getitem__, words), np.int64, len(words))].astype(np.float64)
+            yield kept[np.fromiter(map(index.__getitem__, words), np.int64, len(words))].astype(np.float64)
 
 
 def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
