@@ -16,19 +16,24 @@ and only its frame is decompressed.
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
+from public_tokenizers import PATTERN
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
+from .bpe import byte_characters
 from .common import BoundedCache, hash_share, shared_dir, texts_of, tune
 
 END_ID = 2
@@ -43,15 +48,20 @@ BLOCK_BYTES = 1 << 20
 SHARD_DOCS = 50_000
 
 _LEVEL = 3
-_CACHED = 400_000
+_CACHED = 350_000
+_CACHED_WORDS = 250_000
+#: A space that does not begin a piece of its own; a character of a block that new letters are still added to.
+_GLUED = re.compile(r" (?:\s|\Z)").search
+_UNSETTLED = re.compile("[^\x00-\u052f]").search
 
 
 class Encoder:
-    """Ids of a text as the tokenizers library gives them, as unsigned 32-bit integers.
+    """Ids of texts as the tokenizers library gives them, as unsigned 32-bit integers.
 
-    The file's pre-tokenizer begins a new piece at every space that a non-space follows, so the library
-    is asked once for each distinct stretch between such spaces. A text that holds a special token is
-    encoded in one call.
+    The file's pre-tokenizer begins a new piece at every space that a non-space follows, so a text is taken
+    apart there, and each distinct stretch is encoded once and kept. A stretch of long-settled characters is
+    cut by the pre-tokenizer's pattern here, and only its words that are new go to the library's model; any
+    other stretch goes to the library as it is, and so does a whole text that holds a special token.
     """
 
     def __init__(self, path: str) -> None:
@@ -59,50 +69,73 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cached = BoundedCache(_CACHED)
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        self.model = Tokenizer(self.tokenizer.model)
+        self.pieces = regex.compile(PATTERN.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
+        self.characters = byte_characters()
+        self.stretches, self.firsts, self.words = BoundedCache(_CACHED), BoundedCache(_CACHED // 10), BoundedCache(_CACHED_WORDS)
+
+    def _library(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _known(self, stretches: list[str]) -> dict[str, bytes]:
+        """Ids of new stretches."""
+        plain, odd = [], []
+        for x in stretches:
+            (odd if _UNSETTLED(x) else plain).append(x)
+        out = dict(zip(odd, self._library(odd))) if odd else {}
+        cut = list(map(self.pieces, plain))
+        new = list(set().union(*cut).difference(self.words))
+        if len(self.words) + len(new) > self.words.limit:
+            self.words.clear()
+            new = list(set().union(*cut))
+        mapped = [w.encode().decode("latin-1").translate(self.characters) for w in new]
+        fresh = {w: array("I", e.ids).tobytes() for w, e in zip(new, self.model.encode_batch_fast(mapped, add_special_tokens=False))}
+        self.words.update(fresh)
+        word = self.words.__getitem__
+        out |= {x: b"".join(map(word, parts)) for x, parts in zip(plain, cut)}
+        return out
 
     @staticmethod
-    def units(text: str) -> list[str]:
-        units = text.split(" ")
-        units[1:] = [" " + u for u in units[1:]]
-        if "  " in text or any(u == " " or u[1:2].isspace() for u in units[1:]):
-            joined: list[str] = []
-            for u in units:
-                if joined and (u == " " or u[1:2].isspace()):
-                    joined[-1] += u
+    def split(text: str) -> list[str]:
+        """The stretches of a text; all but the first stand for themselves with a space before them."""
+        parts = text.split(" ")
+        if _GLUED(text):
+            joined = parts[:1]
+            for x in parts[1:]:
+                if not x or x[0].isspace():
+                    joined[-1] += " " + x
                 else:
-                    joined.append(u)
-            units = joined
-        return units
+                    joined.append(x)
+            parts = joined
+        return parts
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        get = self.cached.get
-        split = [None if any(s in t for s in self.special) else self.units(t) for t in texts]
-        found = [None if u is None else list(map(get, u)) for u in split]
-        new = list({x for u, f in zip(split, found) if f is not None and None in f for x, y in zip(u, f) if y is None})
-        fresh: dict[str, bytes] = {}
-        for at in range(0, len(new), 1000):
-            part = new[at : at + 1000]
-            for unit, encoding in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                fresh[unit] = np.array(encoding.ids, "<u4").tobytes()
-        out = []
-        for text, u, f in zip(texts, split, found):
-            if f is None:
-                out.append(self._whole(text))
-            elif None in f:
-                out.append(b"".join([fresh[x] if y is None else y for x, y in zip(u, f)]))
-            else:
-                out.append(b"".join(f))
-        short = {k: v for k, v in fresh.items() if len(k) <= 200}
-        if len(self.cached) + len(short) > self.cached.limit:
-            self.cached.clear()
-        if len(short) <= self.cached.limit:
-            self.cached.update(short)
+        whole = [i for i, t in enumerate(texts) if any(s in t for s in self.special)]
+        out: list[bytes] = [b""] * len(texts)
+        for i, ids in zip(whole, self._library([texts[i] for i in whole])):
+            out[i] = ids
+        rest = sorted(set(range(len(texts))).difference(whole))
+        cut = [self.split(texts[i]) for i in rest]
+        firsts = [c.pop(0) for c in cut]
+        head = self._fill(self.firsts, set(firsts), "")
+        body = self._fill(self.stretches, set().union(*cut), " ").__getitem__
+        for i, first, c in zip(rest, firsts, cut):
+            out[i] = head[first] + b"".join(map(body, c))
         return out
 
+    def _fill(self, cache: BoundedCache, wanted: set[str], lead: str) -> dict[str, bytes]:
+        """A dict with the ids of all wanted stretches: the cache with the new ones added."""
+        new = list(wanted.difference(cache))
+        if len(cache) + len(new) > cache.limit:
+            cache.clear()
+            new = list(wanted)
+        ids = self._known([lead + x for x in new])
+        found = {x: ids[lead + x] for x in new}
+        if len(found) > cache.limit or any(len(x) > 10_000 for x in new):
+            return cache | found
+        cache.update(found)
+        return cache
+
 
 @lru_cache(maxsize=2)
 def load(path: str) -> Encoder:
