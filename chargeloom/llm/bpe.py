@@ -48,12 +48,12 @@ class Merges:
         self.rules: dict[int, int] = {}
         self.size: dict[int, int] = {}
         self.halves: dict[int, tuple[int, int]] = {}
-        made = {}
+        later = {vocab[a + b] for a, b in merges}
         for rank, (a, b) in enumerate(merges):
             left, right, token = vocab[a], vocab[b], vocab[a + b]
-            if made.get(left, -1) >= rank or made.get(right, -1) >= rank or token in made:
+            if left in later or right in later or token not in later:
                 raise ValueError(f"rule {rank} ({a} {b}) is out of order; the lookahead bound does not hold")
-            made[token] = rank
+            later.discard(token)
             self.rules[left << 20 | right] = rank << 20 | token
             self.halves[token] = (left, right)
             self.size[token] = self.size.get(left, 1) + self.size.get(right, 1)
