@@ -3,8 +3,8 @@
 A token store is a folder of three Parquet tables, so that any store Spark can reach can hold it:
 
 ``dictionary``  one row: ``dict_hash`` (SHA-256 of the dictionary, empty without one), ``dictionary``, ``width``
-``blocks``      one row for each block: ``shard``, ``block``, ``first_id``, ``last_id``, ``start`` (ids of all
-                documents before the shard's block), ``dict_hash``, ``doc_ids``, ``offsets`` (one more than
+``blocks``      one row for each block: ``shard``, ``block``, ``first_id``, ``last_id``, ``before`` (ids of the
+                shard's blocks before), ``dict_hash``, ``doc_ids``, ``offsets`` (one more than
                 documents), ``counts`` (ids of each document) and ``payload`` (the frames one after another)
 ``shards``      one row for each shard: ``shard`` and ``start`` (ids of all documents before it)
 
@@ -45,55 +45,54 @@ DICTIONARY_BYTES = 64 << 10
 
 #: A block holds about so many compressed bytes, a shard about so many documents.
 BLOCK_BYTES = 1 << 20
-SHARD_DOCS = 50_000
+SHARD_DOCS = 20_000
 
 _LEVEL = 3
-_CACHED = 350_000
-_CACHED_WORDS = 250_000
+_CACHED = 500_000
+_CACHED_WORDS = 200_000
 #: A space that does not begin a piece of its own; a character of a block that new letters are still added to.
 _GLUED = re.compile(r" (?:\s|\Z)").search
 _UNSETTLED = re.compile("[^\x00-\u052f]").search
 
 
 class Encoder:
-    """Ids of texts as the tokenizers library gives them, as unsigned 32-bit integers.
+    """Ids of texts as the tokenizers library gives them, as unsigned integers of ``width`` bytes (2 if all ids fit).
 
     The file's pre-tokenizer begins a new piece at every space that a non-space follows, so a text is taken
     apart there, and each distinct stretch is encoded once and kept. A stretch of long-settled characters is
-    cut by the pre-tokenizer's pattern here, and only its words that are new go to the library's model; any
-    other stretch goes to the library as it is, and so does a whole text that holds a special token.
+    cut by the pre-tokenizer's pattern here, and its new words go to the library's model; any other stretch
+    goes to the library as it is, and so does a whole text that holds a special token.
     """
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+        self.code = "H" if self.width == 2 else "I"
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.model = Tokenizer(self.tokenizer.model)
+        self.tokenize = self.tokenizer.model.tokenize
         self.pieces = regex.compile(PATTERN.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
         self.characters = byte_characters()
-        self.stretches, self.firsts, self.words = BoundedCache(_CACHED), BoundedCache(_CACHED // 10), BoundedCache(_CACHED_WORDS)
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _known(self, stretches: list[str]) -> dict[str, bytes]:
-        """Ids of new stretches."""
-        plain, odd = [], []
-        for x in stretches:
-            (odd if _UNSETTLED(x) else plain).append(x)
-        out = dict(zip(odd, self._library(odd))) if odd else {}
-        cut = list(map(self.pieces, plain))
-        new = list(set().union(*cut).difference(self.words))
-        if len(self.words) + len(new) > self.words.limit:
-            self.words.clear()
-            new = list(set().union(*cut))
-        mapped = [w.encode().decode("latin-1").translate(self.characters) for w in new]
-        fresh = {w: array("I", e.ids).tobytes() for w, e in zip(new, self.model.encode_batch_fast(mapped, add_special_tokens=False))}
-        self.words.update(fresh)
-        word = self.words.__getitem__
-        out |= {x: b"".join(map(word, parts)) for x, parts in zip(plain, cut)}
-        return out
+        self.stretches, self.words = BoundedCache(_CACHED), BoundedCache(_CACHED_WORDS)
+
+    def _library(self, text: str) -> bytes:
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        ids = self.words.get(word)
+        if ids is None:
+            ids = array(self.code, [t.id for t in self.tokenize(word.encode().decode("latin-1").translate(self.characters))]).tobytes()
+            if len(word) <= 100:
+                self.words.room()
+                self.words[word] = ids
+        return ids
+
+    def _stretch(self, text: str) -> bytes:
+        if not text.isascii() and _UNSETTLED(text):
+            return self._library(text)
+        parts = self.pieces(text)
+        return self._word(parts[0]) if len(parts) == 1 else b"".join(map(self._word, parts))
 
     @staticmethod
     def split(text: str) -> list[str]:
@@ -109,32 +108,25 @@ class Encoder:
             parts = joined
         return parts
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        whole = [i for i, t in enumerate(texts) if any(s in t for s in self.special)]
-        out: list[bytes] = [b""] * len(texts)
-        for i, ids in zip(whole, self._library([texts[i] for i in whole])):
-            out[i] = ids
-        rest = sorted(set(range(len(texts))).difference(whole))
-        cut = [self.split(texts[i]) for i in rest]
-        firsts = [c.pop(0) for c in cut]
-        head = self._fill(self.firsts, set(firsts), "")
-        body = self._fill(self.stretches, set().union(*cut), " ").__getitem__
-        for i, first, c in zip(rest, firsts, cut):
-            out[i] = head[first] + b"".join(map(body, c))
-        return out
-
-    def _fill(self, cache: BoundedCache, wanted: set[str], lead: str) -> dict[str, bytes]:
-        """A dict with the ids of all wanted stretches: the cache with the new ones added."""
-        new = list(wanted.difference(cache))
-        if len(cache) + len(new) > cache.limit:
-            cache.clear()
-            new = list(wanted)
-        ids = self._known([lead + x for x in new])
-        found = {x: ids[lead + x] for x in new}
-        if len(found) > cache.limit or any(len(x) > 10_000 for x in new):
-            return cache | found
-        cache.update(found)
-        return cache
+    def encode(self, text: str) -> bytes:
+        if any(s in text for s in self.special):
+            return self._library(text)
+        parts = self.split(text)
+        first = parts.pop(0)
+        found = list(map(self.stretches.get, parts))
+        if None in found:
+            self.stretches.room()
+            cache = self.stretches
+            for i, ids in enumerate(found):
+                if ids is None:
+                    x = parts[i]
+                    ids = cache.get(x)
+                    if ids is None:
+                        ids = self._stretch(" " + x)
+                        if len(x) <= 100:
+                            cache[x] = ids
+                    found[i] = ids
+        return self._stretch(first) + b"".join(found)
 
 
 @lru_cache(maxsize=2)
@@ -142,12 +134,13 @@ def load(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _packed(ids: bytes, end_id: int, width: int) -> bytes:
-    whole = np.append(np.frombuffer(ids, "<u4"), np.uint32(end_id))
-    return whole.astype(f"<u{width}").tobytes()
+def _packed(encoder: Encoder, texts: list[str], end_id: int) -> list[bytes]:
+    """The id arrays of texts, each with the end id behind it, as they are written."""
+    end = array(encoder.code, [end_id]).tobytes()
+    return [encoder.encode(text) + end for text in texts]
 
 
-def train_dictionary(docs: DataFrame, path: str, *, id_col: str, text_col: str, end_id: int, width: int) -> bytes:
+def train_dictionary(docs: DataFrame, path: str, *, id_col: str, text_col: str, end_id: int) -> bytes:
     """A dictionary trained on the id arrays of a bounded sample of short documents; empty if there are too few.
 
     Only short documents gain by a dictionary, so the sample is of those whose text has at most
@@ -162,7 +155,7 @@ def train_dictionary(docs: DataFrame, path: str, *, id_col: str, text_col: str,
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [_packed(x, end_id, width) for x in load(path).encode(texts_of(batch.column(1)))]
+            ids = _packed(load(path), texts_of(batch.column(1)), end_id)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=schema.names)
 
     samples = [bytes(r.ids) for r in rows.select("id", "text").mapInArrow(emit, schema).orderBy("id", "ids").limit(2 * MAX_SAMPLES).collect()]
@@ -214,9 +207,8 @@ def write_tokens(
     """
     spark = docs.sparkSession
     tune(spark)
-    size = max(load(path).tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1)
-    width = 2 if size <= 1 << 16 else 4
-    dictionary = train_dictionary(docs, path, id_col=id_col, text_col=text_col, end_id=end_id, width=width)
+    width = load(path).width
+    dictionary = train_dictionary(docs, path, id_col=id_col, text_col=text_col, end_id=end_id)
     dict_hash = hashlib.sha256(dictionary).hexdigest() if dictionary else ""
     spark.createDataFrame([(dict_hash, dictionary, width)], "dict_hash string, dictionary binary, width int").coalesce(1).write.parquet(f"{folder}/dictionary")
 
@@ -226,7 +218,7 @@ def write_tokens(
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = _compressor(dictionary)
         for batch in batches:
-            packed = [_packed(x, end_id, width) for x in load(path).encode(texts_of(batch.column(1)))]
+            packed = _packed(load(path), texts_of(batch.column(1)), end_id)
             ids = batch.column(0)
             shards = np.searchsorted(bounds, ids.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), side="left")
             yield pa.RecordBatch.from_arrays(
