@@ -104,25 +104,33 @@ def multiplicity(cfg: PrepConfig, position: Column, n: Column) -> Column:
 def fit_scaler(clean: DataFrame, features: list[str], cfg: PrepConfig) -> DataFrame:
     """``feature, center, scale`` over the rows of all train windows, a row counted once for each window.
 
-    Windows are not made: rows carry the number of windows that hold them. Two small aggregates, the second
-    around the mean, so that large means do not cost precision. Constant features get scale 1.
+    Windows are not made: rows carry the number of windows that hold them. One aggregate over the columns as
+    they stand gives the means; the squares are summed around them in a second one, so that large means do not
+    cost precision. Constant features get scale 1; without any train window there is no row.
     """
     train = with_position(clean.filter(F.col("split") == "train"))
     weighted = train.withColumn("m", multiplicity(cfg, F.col("rn") - 1, F.col("n"))).filter("m > 0")
-    pairs = F.explode(F.array(*(F.struct(F.lit(i).alias("place"), F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for i, c in enumerate(features))))
-    long = weighted.select("m", pairs.alias("p")).select("m", "p.place", "p.feature", "p.x")
+    x = {c: F.col(c).cast("double") for c in features}
+
+    def rows(sums: DataFrame, center, scale) -> DataFrame:
+        pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), center(c).alias("center"), scale(c).alias("scale")) for c in features)))
+        return sums.select(pairs.alias("p")).select("p.*").filter("center is not null")
+
     if cfg.scaler.strip().lower() == "minmax":
-        ends = long.groupBy("place", "feature").agg(F.min("x").alias("center"), F.max("x").alias("high"))
-        span = F.col("high") - F.col("center")
-        return ends.select("feature", "center", F.when(span < 10 * _EPSILON, F.lit(1.0)).otherwise(span).alias("scale"))
-    sums = long.groupBy("feature").agg(F.sum("m").alias("weight"), (F.sum(F.col("m") * F.col("x")) / F.sum("m")).alias("center"))
-    # One row a feature.
-    around = long.join(F.broadcast(sums), "feature")
-    spread = around.groupBy("feature").agg(
-        F.first("weight").alias("weight"), F.first("center").alias("center"), (F.sum(F.col("m") * (F.col("x") - F.col("center")) * (F.col("x") - F.col("center"))) / F.first("weight")).alias("variance")
-    )
-    least = F.col("weight") * _EPSILON * F.col("variance") + F.pow(F.col("weight") * F.col("center") * _EPSILON, F.lit(2.0))
-    return spread.select("feature", "center", F.when(F.col("variance") <= least, F.lit(1.0)).otherwise(F.sqrt("variance")).alias("scale"))
+        ends = weighted.agg(*(F.min(v).alias(f"low_{c}") for c, v in x.items()), *(F.max(v).alias(f"high_{c}") for c, v in x.items()))
+        span = lambda c: F.col(f"high_{c}") - F.col(f"low_{c}")
+        return rows(ends, lambda c: F.col(f"low_{c}"), lambda c: F.when(span(c) < 10 * _EPSILON, F.lit(1.0)).otherwise(span(c)))
+    # One row of means is read back, to stand as numbers in the second pass.
+    first = weighted.agg(F.sum("m").alias("weight"), *((F.sum(F.col("m") * v) / F.sum("m")).alias(c) for c, v in x.items())).first()
+    weight = first.weight or 0
+    mean = {c: F.lit(first[c]).cast("double") for c in features}
+    spread = weighted.agg(*((F.sum(F.col("m") * (v - mean[c]) * (v - mean[c])) / F.lit(weight)).alias(c) for c, v in x.items()))
+
+    def scale(c: str) -> Column:
+        least = F.lit(weight * _EPSILON) * F.col(c) + F.pow(F.lit(weight * _EPSILON) * mean[c], F.lit(2.0))
+        return F.when(F.col(c) <= least, F.lit(1.0)).otherwise(F.sqrt(c))
+
+    return rows(spread, mean.get, scale)
 
 
 def require_scaler(scaler: DataFrame) -> dict[str, tuple[float, float]]:

@@ -61,7 +61,7 @@ def iid_assignment(samples: DataFrame, clients: int, seed: int) -> DataFrame:
     if clients <= 0:
         raise ValueError("the number of clients must be positive")
     keys = samples.select("split", STATION, "t").withColumn("_digest", F.when(F.col("split") == "train", shuffle_key(seed)).otherwise(F.lit("")))
-    group = F.when(F.col("split") == "train", F.substring("_digest", 1, 3)).otherwise(F.col(STATION))
+    group = F.when(F.col("split") == "train", F.substring("_digest", 1, 4)).otherwise(F.col(STATION))
     placed = global_positions(keys.withColumn("_group", group), "split", "_group", ["_digest", STATION, "t"])
     return placed.select("split", STATION, "t", "position", client_name(_chunk(F.col("position"), F.col("split_rows"), clients)).alias("client_id"))
 
