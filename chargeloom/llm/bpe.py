@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BoundedCache, texts_of, tune
+from .common import BoundedCache, claim, texts_of, tune
 
 _CACHED = 400_000
 _CACHED_WORDS = 150_000
@@ -282,10 +282,20 @@ class Tokenizer:
         return "".join([*parts, machine.finish()])
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
+def _tokenizer(path: str) -> Tokenizer:
+    return Tokenizer(path)
+
+
 def load(path: str) -> Tokenizer:
     """The tokenizer of a file, once for each worker."""
-    return Tokenizer(path)
+    claim("bpe", _tokenizer.cache_clear)
+    return _tokenizer(path)
+
+
+def _lists(found: list[bytes]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in found], dtype=np.int64)])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(found), np.int32)))
 
 
 def encoder(path: str):
@@ -295,9 +305,7 @@ def encoder(path: str):
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tokenizer = load(path)
         for column in batches:
-            found = [tokenizer.encode(text) for text in texts_of(column)]
-            offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in found], dtype=np.int64)])
-            yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(found), np.int32)))
+            yield _lists([tokenizer.encode(text) for text in texts_of(column)])
 
     return encode
 
@@ -314,6 +322,20 @@ def decoder(path: str, form: str = "surface"):
     return decode
 
 
+def round_trip(path: str, form: str = "surface"):
+    """A function from a text column to struct<ids, decoded>: both ways in one worker."""
+
+    @F.arrow_udf(T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]))
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        tokenizer = load(path)
+        for column in batches:
+            found = [tokenizer.encode(text) for text in texts_of(column)]
+            decoded = [tokenizer.decode(np.frombuffer(ids, np.int32).tolist(), form) for ids in found]
+            yield pa.StructArray.from_arrays([_lists(found), pa.array(decoded, pa.string())], names=["ids", "decoded"])
+
+    return both
+
+
 def _ids(row: pa.Scalar) -> list[int] | None:
     return row.values.to_numpy(zero_copy_only=False).tolist() if row.is_valid else None
 
@@ -336,3 +358,10 @@ def decode_documents(docs: DataFrame, path: str, *, ids_col: str = "ids", out_co
     """
     tune(docs.sparkSession)
     return docs.withColumn(out_col, decoder(path, form)(F.col(ids_col)))
+
+
+def round_trip_documents(docs: DataFrame, path: str, *, text_col: str = "text", ids_col: str = "ids", out_col: str = "decoded", form: str = "surface") -> DataFrame:
+    """``docs`` with the columns of :func:`encode_documents` and :func:`decode_documents`, ids passing no second worker."""
+    tune(docs.sparkSession)
+    coded = docs.withColumn("_coded", round_trip(path, form)(F.col(text_col)))
+    return coded.withColumns({ids_col: F.col("_coded.ids"), out_col: F.col("_coded.decoded")}).drop("_coded")

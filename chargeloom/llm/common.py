@@ -100,6 +100,20 @@ def row_groups(marks: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         first = last
 
 
+_holder: list[tuple[str, Callable[[], None]]] = []
+
+
+def claim(owner: str, drop: Callable[[], None]) -> None:
+    """Let one operator at a time keep things in a worker: what another one kept is dropped.
+
+    Workers are used again by later stages, and would otherwise gather the caches of all of them.
+    """
+    if _holder and _holder[0][0] != owner:
+        _holder.pop()[1]()
+    if not _holder:
+        _holder.append((owner, drop))
+
+
 class BoundedCache(dict):
     """A dict that forgets everything once it holds ``limit`` entries."""
 

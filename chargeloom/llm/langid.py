@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BoundedCache, fold, hash_share, texts_of, tune
+from .common import BoundedCache, claim, fold, hash_share, texts_of, tune
 
 #: Documents for each language that the model is fitted on: smallest hashes of the document id.
 MAX_TRAIN_DOCS = 2_000
@@ -142,6 +142,7 @@ class Model:
 
     def scores(self, texts: list[list[str]]) -> Iterator[np.ndarray]:
         """For each list of words a row of log posteriors for each word; distinct words are scored once and kept."""
+        claim("langid", _word_scores.clear)
         if self.key not in _word_scores:
             _word_scores.clear()
             _word_scores[self.key] = BoundedCache(_CACHED), np.zeros((_CACHED, len(self.languages)), np.float32)

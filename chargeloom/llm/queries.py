@@ -32,7 +32,7 @@ def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     docs = tables(sf_dir)(spark, "documents").select("doc_id", "text")
-    decoded = bpe.decode_documents(bpe.encode_documents(docs, path).drop("text"), path)
+    decoded = bpe.round_trip_documents(docs, path)
     return decoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

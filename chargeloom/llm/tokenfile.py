@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from .bpe import byte_characters
-from .common import BoundedCache, hash_share, shared_dir, texts_of, tune
+from .common import BoundedCache, claim, hash_share, shared_dir, texts_of, tune
 
 END_ID = 2
 
@@ -129,11 +129,17 @@ class Encoder:
         return self._stretch(first) + b"".join(found)
 
 
-@lru_cache(maxsize=2)
-def load(path: str) -> Encoder:
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def load(path: str) -> Encoder:
+    """The encoder of a file, once for each worker."""
+    claim("tokenfile", _encoder.cache_clear)
+    return _encoder(path)
+
+
 def _packed(encoder: Encoder, texts: list[str], end_id: int) -> list[bytes]:
     """The id arrays of texts, each with the end id behind it, as they are written."""
     end = array(encoder.code, [end_id]).tobytes()

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BoundedCache, texts_of, tune
+from .common import BoundedCache, claim, texts_of, tune
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -137,11 +137,17 @@ class Counter:
         return out
 
 
-@lru_cache(maxsize=2)
-def load(path: str) -> Counter:
+@lru_cache(maxsize=1)
+def _counter(path: str) -> Counter:
     return Counter(path)
 
 
+def load(path: str) -> Counter:
+    """The counter of a file, once for each worker."""
+    claim("unigram", _counter.cache_clear)
+    return _counter(path)
+
+
 _RESULT = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("score", T.DoubleType())])
 
 
