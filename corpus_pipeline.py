@@ -64,8 +64,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, and the text that they decode to."""
     path = public_tokenizers.path(TOKENIZER)
-    encoded = bpe.encode_documents(docs.select("doc_id", "text"), path).drop("text")
-    return bpe.decode_documents(encoded, path, form="text").select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
+    return bpe.round_trip_documents(docs.select("doc_id", "text"), path, form="text").select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
 
 STAGES = [
