@@ -31,13 +31,8 @@ def test_imports_without_the_corpus_parts(tmp_path):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the given tables")
-def test_entry_and_columns(spark):
+def test_entry(spark):
     assert spark_entry.entry(spark).count() > 0
-    con = duckdb.connect()
-    for t in TABLES:
-        con.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
-    for name, sql in oracle.oracle_sql().items():
-        assert sorted(queries.queries()[name](spark, DATA).columns) == sorted(con.sql(sql).columns), name
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the given tables")
