@@ -174,3 +174,16 @@ def test_unigram_is_the_librarys_where_its_floats_are_exact():
         text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ABC.,'12éè\n日😀 the and ") for _ in range(rng.randrange(0, 60)))
         tokens = library.encode(text)
         assert counter.count([text])[0][0] == len(tokens), text
+
+
+def test_one_operator_keeps_things_in_a_worker(monkeypatch):
+    from chargeloom.llm import common
+
+    dropped = []
+    monkeypatch.setattr(common, "_holder", [])
+    common.claim("a", lambda: dropped.append("a"))
+    common.claim("a", lambda: dropped.append("again"))
+    assert dropped == []
+    common.claim("b", lambda: dropped.append("b"))
+    common.claim("a", lambda: dropped.append("a2"))
+    assert dropped == ["a", "b"]
