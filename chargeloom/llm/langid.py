@@ -25,6 +25,8 @@ from .common import BoundedCache, claim, fold, hash_share, texts_of, tune
 MAX_TRAIN_DOCS = 2_000
 #: N-grams that the model keeps for each language, the most frequent first.
 MAX_GRAMS = 50_000
+#: Up to so many languages have their sizes broadcast; beyond, the join shuffles.
+MAX_LANGUAGES = 10_000
 
 PENALTY = 6.0
 UNDETERMINED = "und"
@@ -165,16 +167,18 @@ class Model:
 def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
     """The path of states that maximises the sum of scores less ``penalty`` for each switch.
 
-    Ties stay with the smaller state, and with no switch. If no stretch of words gains more than one
-    penalty over the best constant path, that path is the answer and no backward pass is needed.
+    Ties stay with the smaller state, and with no switch. A stretch away from the best constant path costs two
+    switches, or one at either end of the text; where no stretch gains as much, that path is the answer and
+    no backward pass is needed.
     """
     steps, states = scores.shape
     best = int(np.argmax(scores.sum(axis=0)))
-    if states > 1:
-        rest = np.delete(scores, best, axis=1).max(axis=1) - scores[:, best]
-        sums = np.concatenate([[0.0], np.cumsum(rest)])
-        gain = float((sums[1:] - np.minimum.accumulate(sums)[:-1]).max())
-    if states == 1 or gain <= penalty:
+    if states == 1:
+        return np.full(steps, best)
+    rest = np.delete(scores, best, axis=1).max(axis=1) - scores[:, best]
+    sums = np.concatenate([[0.0], np.cumsum(rest)])
+    ends = max(sums[1:].max(), sums[-1] - sums[:-1].min())
+    if ends <= penalty and (sums[1:] - np.minimum.accumulate(sums)[:-1]).max() <= 2 * penalty:
         return np.full(steps, best)
     rows = scores.tolist()
     now, back = rows[0], []
@@ -221,6 +225,8 @@ def train(
     known = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang")).filter(F.col("id").isNotNull() & F.col("lang").isNotNull() & (fold(F.col("id")) != 2))
     sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
     # Thinned by hash to about four times the bound first, so that ranking does not grow with the input.
+    if sizes.limit(MAX_LANGUAGES + 1).count() <= MAX_LANGUAGES:
+        sizes = F.broadcast(sizes)
     thinned = known.withColumn("hash", hash_share("id")).join(sizes, "lang").filter(F.col("hash") <= (4 * max_docs + 1000) / F.col("rows"))
     ids = thinned.selectExpr("id", "lang", "row_number() over (partition by lang order by hash, id) as place").filter(F.col("place") <= max_docs)
     # At most max_docs ids for each language: a proven bound for the broadcast.
