@@ -32,18 +32,23 @@ _COUNT_ROWS = 1 << 16
 _SMALL = 32
 
 
-def fingerprint(raw: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """The SimHash of a UTF-8 text: majority bits of the XXH64 of its word shingles, repeats included."""
+def shingle_hashes(raw: bytes, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """The XXH64 of each word shingle of a UTF-8 text, repeats included; a shorter text is one shingle."""
     words = raw.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, dtype=np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     width = min(shingle, len(words))
     digest = xxhash.xxh64_intdigest
     many = len(words) - width + 1
-    hashes = np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts[:many].tolist(), ends[width - 1 :].tolist())), np.uint64, many)
+    return np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts[:many].tolist(), ends[width - 1 :].tolist())), np.uint64, many)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have; zero for none."""
+    many = len(hashes)
     counts = np.zeros(64, dtype=np.int64)
     for at in range(0, many, _COUNT_ROWS):
         bits = np.unpackbits(hashes[at : at + _COUNT_ROWS].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -51,6 +56,11 @@ def fingerprint(raw: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     return int(np.packbits(2 * counts > many, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(raw: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """The SimHash of a UTF-8 text: majority bits of the XXH64 of its word shingles, repeats included."""
+    return majority(shingle_hashes(raw, shingle, seed))
+
+
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """``id`` and ``fp`` (the fingerprint as a signed long) for each row of ``docs``."""
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("fp", T.LongType())])

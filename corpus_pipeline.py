@@ -10,10 +10,9 @@ import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from chargeloom.llm import bpe, decontaminate, langid, quality, simhash
+from chargeloom.llm import bpe, decontaminate, langid, quality, similar
 from chargeloom.llm.common import checkpointed, shared_dir, tables
 
 #: A text whose best language holds less than this (share of letters x posterior) is rejected.
@@ -24,11 +23,18 @@ MAX_BROADCAST_IDS = 500_000
 TOKENIZER = "word_bpe_49k.json"
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+def _keyed(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """``docs`` with a ``_row`` number of its own for each row, written to the shared folder so that it stays."""
+    path = f"{shared_dir(spark).rstrip('/')}/rows-{uuid.uuid4().hex}"
+    docs.withColumn("_row", F.monotonically_increasing_id()).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def _without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``docs`` but those whose id is in ``ids(gone)``; rows without an id stay."""
     ids = checkpointed(ids.distinct())
     few = ids.count() <= MAX_BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, docs["doc_id"] == ids["gone"], "left_anti")
+    return docs.join(F.broadcast(ids) if few else ids, docs[id_col] == ids["gone"], "left_anti")
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,15 +50,17 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each SimHash component; of rows that share an id, the smallest text."""
-    found = checkpointed(simhash.near_duplicates(docs).select("doc_id", "component_id").filter("doc_id is not null"))
-    kept = _without(docs, found.filter("doc_id != component_id").select(F.col("doc_id").alias("gone")))
-    repeated = checkpointed(found.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("again")))
-    if repeated.isEmpty():
-        return kept
-    twice = kept.join(repeated, kept["doc_id"] == repeated["again"], "left_semi")
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")]))
-    return _without(kept, repeated.select(F.col("again").alias("gone"))).unionByName(twice.withColumn("_place", place).filter("_place = 1").drop("_place"))
+    """One row of each component of near copies (:mod:`chargeloom.llm.similar`): the smallest id, then the smallest text.
+
+    Rows are told apart by a row key, so what has no id is dealt with like any other (it is kept only where
+    no copy has an id), and rows that share an id but are no near copies all stay.
+    """
+    rows = _keyed(spark, docs)
+    found = similar.near_copies(rows, id_col="_row")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text", "_row")
+    best = rows.join(found, "_row").groupBy("component").agg(F.min(rank).alias("best")).select(F.col("best._row").alias("best"))
+    gone = found.select("_row").join(best, found["_row"] == best["best"], "left_anti")
+    return _without(rows, gone.select(F.col("_row").alias("gone")), "_row").drop("_row")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from chargeloom.llm import langid, quality
+from chargeloom.llm import langid, quality, similar
 from chargeloom.llm.queries import op8_quality, op9_langid
 
 WORDS = {
@@ -158,3 +158,48 @@ def test_stages_on_an_empty_table(spark, corpus):
     none = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, folder).count() == 0
+
+
+def changed(rng, words, places):
+    words = list(words)
+    for i in places:
+        words[i] = f"new{rng.randrange(10**9)}"
+    return words
+
+
+def test_near_copies_leave_the_stage(spark):
+    rng = random.Random(11)
+    text = [f"w{rng.randrange(5000)}" for _ in range(120)]
+    other = [f"w{rng.randrange(5000)}" for _ in range(120)]
+    rows = [(10, text), (11, changed(rng, text, [30, 90])), (12, changed(rng, text, [20, 50, 80, 110])), (13, [w.upper() for w in text]), (20, other), (21, other[:60]), (30, other[:9]), (31, changed(rng, other[:9], [4]))]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
+    # 106 of 126 five-word shingles are common to 10 and 11, 96 of 136 to 10 and 12.
+    assert kept == {10, 12, 20, 21, 30, 31}
+
+
+def test_near_copies_against_brute_force(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = {}
+    line = [f"c{i}" for i in range(30)]
+    for base in range(12):
+        words = [f"w{rng.randrange(300)}" for _ in range(rng.choice([3, 8, 40, 120]))] + (line if base % 3 == 0 else [])
+        for _ in range(12):
+            texts[len(texts)] = " ".join(changed(rng, words, rng.sample(range(len(words)), rng.choice([0, 0, 1, 2, 3]))))
+    texts |= {200: None, 201: " \n", 202: "", 203: "Слово ДОМ река", 204: "слово дом  река"}
+    sets = {}
+    for i, t in texts.items():
+        w = (t or "").lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    want = {i: i for i in sets}
+    for i in sets:
+        for j in sets:
+            if i < j and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and want[i] != want[j]:
+                low, high = sorted((want[i], want[j]))
+                want = {k: low if v == high else v for k, v in want.items()}
+    want = {i: c for i, c in want.items() if list(want.values()).count(c) > 1}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    for star, most in ((3, 0), (32, 100_000)):
+        monkeypatch.setattr(similar, "STAR", star)
+        monkeypatch.setattr(similar, "MAX_FREQUENT", most)
+        assert {r.doc_id: r.component for r in similar.near_copies(docs).collect()} == want
