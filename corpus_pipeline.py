@@ -17,7 +17,7 @@ from chargeloom.llm.common import checkpointed, shared_dir, tables
 
 #: A text whose best language holds less than this (share of letters x posterior) is rejected.
 MIN_LANGUAGE_SCORE = 0.3
-#: Up to so many ids are broadcast to drop their documents; beyond, the anti-join shuffles.
+#: Up to so many row keys are broadcast to drop their documents; beyond, the anti-join shuffles.
 MAX_BROADCAST_IDS = 500_000
 
 TOKENIZER = "word_bpe_49k.json"
@@ -30,11 +30,11 @@ def _keyed(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def _without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` but those whose id is in ``ids(gone)``; rows without an id stay."""
-    ids = checkpointed(ids.distinct())
-    few = ids.count() <= MAX_BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, docs[id_col] == ids["gone"], "left_anti")
+def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """``rows`` but those whose ``_row`` is in ``gone(gone)``."""
+    gone = checkpointed(gone.distinct())
+    few = gone.count() <= MAX_BROADCAST_IDS
+    return rows.join(F.broadcast(gone) if few else gone, rows["_row"] == gone["gone"], "left_anti")
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,13 +60,18 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text", "_row")
     best = rows.join(found, "_row").groupBy("component").agg(F.min(rank).alias("best")).select(F.col("best._row").alias("best"))
     gone = found.select("_row").join(best, found["_row"] == best["best"], "left_anti")
-    return _without(rows, gone.select(F.col("_row").alias("gone")), "_row").drop("_row")
+    return _without(rows, gone.select(F.col("_row").alias("gone"))).drop("_row")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of a benchmark item occurs."""
-    found = decontaminate.decontaminate(docs.select("doc_id", "text"), tables(sf_dir)(spark, "benchmark"))
-    return _without(docs, found.filter("n_hit > 0 and doc_id is not null").select(F.col("doc_id").alias("gone")))
+    """Rows in which no window of a benchmark item occurs.
+
+    Rows are told apart by a row key: a contaminated row goes also when it has no id, and a clean row stays
+    also when it shares its id with a contaminated one.
+    """
+    rows = _keyed(spark, docs)
+    found = decontaminate.decontaminate(rows.select("_row", "text"), tables(sf_dir)(spark, "benchmark"), id_col="_row")
+    return _without(rows, found.filter("n_hit > 0").select(F.col("_row").alias("gone"))).drop("_row")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

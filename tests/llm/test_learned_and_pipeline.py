@@ -203,3 +203,17 @@ def test_near_copies_against_brute_force(spark, monkeypatch):
         monkeypatch.setattr(similar, "STAR", star)
         monkeypatch.setattr(similar, "MAX_FREQUENT", most)
         assert {r.doc_id: r.component for r in similar.near_copies(docs).collect()} == want
+
+
+def test_stages_tell_rows_apart_without_ids(spark, tmp_path):
+    rng = random.Random(3)
+    text = [" ".join(f"w{rng.randrange(5000)}" for _ in range(40)) for _ in range(5)]
+    passage = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, f"{text[0]} {passage}"), (None, text[1]), (7, f"{text[2]} {passage}"), (7, text[3]), (8, text[4])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {tuple(r) for r in corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path)).collect()} == {rows[1], rows[3], rows[4]}
+    # An exact copy without an id goes, two texts that share an id both stay, a row repeated in full leaves one.
+    docs = spark.createDataFrame([(7, text[0]), (7, text[1]), (None, text[1]), (None, text[2]), (9, text[3]), (9, text[3])], "doc_id long, text string").repartition(3)
+    got = sorted((str(r.doc_id), r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).collect())
+    assert got == sorted([("7", text[0]), ("7", text[1]), ("None", text[2]), ("9", text[3])])
