@@ -25,7 +25,6 @@ from .common import fold, smallest_hashes, tune, utf8_parts
 #: Bounds of the samples that the model is fitted on: smallest hashes of the document id.
 MAX_POSITIVES = 10_000
 MAX_UNLABELLED = 20_000
-MAX_PRIOR_LABELS = 50_000
 
 THRESHOLD = 0.7
 
@@ -187,12 +186,11 @@ def train(
     prior: float | None = None,
     max_positives: int = MAX_POSITIVES,
     max_unlabelled: int = MAX_UNLABELLED,
-    max_prior_labels: int = MAX_PRIOR_LABELS,
 ) -> Model:
     """Fit on rows outside the held-out fold: positives are labels of 1, unlabelled any documents.
 
-    The prior is the share of positives among at most ``max_prior_labels`` labelled rows where labels of 0
-    are known too, else :func:`estimate_prior`. Samples are the rows with the smallest hash of the id, so
+    The prior is the share of positives among all labelled ids where labels of 0 are known too, else
+    :func:`estimate_prior`. Samples are the rows with the smallest hash of the id, so
     they do not depend on partitioning; their bounds are the ``max_*`` parameters, and only their features
     reach the driver. A document with several labels counts with the smallest; null ids and null labels
     are left out. Without any positive or any document the model scores every text alike, at the prior.
@@ -205,7 +203,7 @@ def train(
         .agg(F.min("label").alias("label"))
     )
     if prior is None:
-        counts = smallest_hashes(marked, max_prior_labels, 0).groupBy("label").count().collect()
+        counts = marked.groupBy("label").count().collect()
         known = {r.label: r["count"] for r in counts}
         if known.get(0) and known.get(1):
             prior = known[1] / (known[0] + known[1])

@@ -82,6 +82,13 @@ def test_prior_and_risk():
     assert quality.features(b"") == [0.0] * quality._FEATURES and quality.features(b" \n") == [0.0] * quality._FEATURES
 
 
+def test_prior_counts_all_labels(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    labels = spark.range(80_000).selectExpr("id as doc_id", "int(id % 3 = 0) as quality")
+    known = [int(i % 3 == 0) for i in range(80_000) if not held_out(i)]
+    assert quality.train(docs, labels).prior == sum(known) / len(known)
+
+
 def test_languages_on_held_out_rows(spark, corpus):
     folder, docs, _ = corpus
     rows = {r.doc_id: r for r in op9_langid(spark, folder).collect()}
