@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 STATION = "station_id"
@@ -15,11 +18,12 @@ OCCUPANCY_COLUMNS = ("occupancy_rate", "fast_occupancy_rate", "slow_occupancy_ra
 CALENDAR_COLUMNS = ("hour", "day_of_week", "is_weekend", "hour_sin", "hour_cos", "dow_sin", "dow_cos")
 
 SPLITS = ("train", "val", "test")
+SCALERS = ("standard", "minmax")
 
 
 @dataclass(frozen=True)
 class PrepConfig:
-    """Settings of dataset preparation; checked when made."""
+    """Settings of dataset preparation; all faults of a configuration are reported together when it is made."""
 
     target: str = "volume"
     window: int = 24
@@ -30,19 +34,33 @@ class PrepConfig:
     seed: int = 42
     scaler: str = "standard"
     iid_clients: int | None = None
+    #: Width of a row of the rolled-up table; slots are counted from 1970-01-01 00:00.
     frequency: str = "1 hour"
-    #: Stations whose hours span more than this are refused; None checks nothing.
+    #: A gap between two readings of a station longer than this many hours fails the job; None checks nothing.
     max_span_hours: int | None = None
 
     def __post_init__(self) -> None:
-        if abs(self.train_ratio + self.val_ratio + self.test_ratio - 1.0) > 1e-9:
-            raise ValueError("split ratios must add up to 1")
-        if self.window <= 0 or self.horizon <= 0:
-            raise ValueError("window and horizon must be positive")
-        if self.scaler.strip().lower() not in ("standard", "minmax"):
-            raise ValueError(f"unknown scaler {self.scaler!r}")
-        if self.iid_clients is not None and self.iid_clients <= 0:
-            raise ValueError("the number of clients must be positive")
+        if faults := list(self._faults()):
+            raise ValueError("bad configuration: " + "; ".join(faults))
+
+    def _faults(self) -> Iterator[str]:
+        for name in ("window", "horizon", "iid_clients", "max_span_hours"):
+            value = getattr(self, name)
+            if value is not None and value < (name != "max_span_hours"):
+                yield f"{name} is {value}"
+        ratios = self.ratios.values()
+        if min(ratios) < 0 or not math.isclose(math.fsum(ratios), 1, rel_tol=0, abs_tol=1e-9):
+            yield f"the split ratios {self.ratios} are no shares of 1"
+        if self.scaler not in SCALERS:
+            yield f"scaler {self.scaler!r} is none of {SCALERS}"
+        if self.target not in VALUE_COLUMNS:
+            yield f"target {self.target!r} is no measurement"
+        if not re.fullmatch(r"[1-9]\d* (minute|hour|day)s?", self.frequency):
+            yield f"frequency {self.frequency!r} is no number of minutes, hours or days"
+
+    @property
+    def ratios(self) -> dict[str, float]:
+        return dict(zip(SPLITS, (self.train_ratio, self.val_ratio, self.test_ratio)))
 
     @property
     def span(self) -> int:

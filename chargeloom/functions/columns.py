@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Text that counts as a number: decimal with optional exponent, or an infinity.
 NUMBER = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity))\s*$"
@@ -13,9 +14,13 @@ TIME_FORMAT = "yyyy-M-d H:m:s"
 
 
 def parse_number(text: Column) -> Column:
-    """Text to double, null where it is no number. Not-a-number becomes null; infinities stay."""
-    value = F.when(text.cast("string").rlike(NUMBER), F.trim(text.cast("string")).try_cast("double"))
-    return F.when(~F.isnan(value), value)
+    """Text to double, null where it is no number. Not-a-number becomes null (the pattern has no such word); infinities stay."""
+    return F.when(text.cast("string").rlike(NUMBER), text.cast("string").try_cast("double"))
+
+
+def number(column: Column, of: T.DataType) -> Column:
+    """A column of any type as doubles: text as :func:`parse_number` has it, not-a-number as null."""
+    return parse_number(column) if isinstance(of, T.StringType) else F.nullif(column.cast("double"), F.lit(math.nan))
 
 
 def parse_time(text: Column) -> Column:

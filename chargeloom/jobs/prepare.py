@@ -1,24 +1,35 @@
-"""The jobs: raw files to hourly tables, to window datasets, to naive forecasts, and federated round reports."""
+"""The jobs: raw files to hourly tables, to window datasets, to client tables, naive forecasts and federated round reports."""
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import SPLITS, STATION, PrepConfig, feature_columns
 from ..functions.columns import calendar, occupancy
-from ..operators import contracts, dataset, federated, hourly, layouts, scoring
+from ..operators import contracts, dataset, federated, hourly, layouts, results, scoring
 from ..sources import tables
 from ..sources.readings import read_hourly, read_station_files
+from ..sources.scratch import materialized
+
+
+def _now() -> str:
+    return datetime.now(timezone.utc).isoformat(timespec="seconds")
+
+
+def _features(table: DataFrame, cfg: PrepConfig) -> list[str]:
+    return feature_columns([*table.columns, *occupancy(table.columns), *calendar(F.lit(None))], cfg.target)
 
 
 def build_hourly(spark: SparkSession, raw_folder: str, out_folder: str, cfg: PrepConfig | None = None) -> dict:
     """Raw station files to the hourly table, the quality report and the rejected stations."""
     cfg = cfg or PrepConfig()
     raw, headers, rejected = read_station_files(spark, raw_folder)
-    tables.write_hourly(hourly.hourly_table(raw, cfg.max_span_hours), f"{out_folder}/hourly")
+    tables.write_hourly(hourly.hourly_table(raw, cfg.max_span_hours, cfg.frequency), f"{out_folder}/hourly")
     table = contracts.require_rows(read_hourly(spark, f"{out_folder}/hourly", cfg), "station has hourly rows")
-    tables.write_report(hourly.quality_report(raw, headers), f"{out_folder}/quality")
+    tables.write_report(hourly.quality_report(raw, headers, cfg.frequency), f"{out_folder}/quality")
     tables.write_report(rejected, f"{out_folder}/rejected")
     discovered = headers.count() + rejected.count()
     counters = hourly.run_counters(table, discovered).first().asDict()
@@ -26,60 +37,110 @@ def build_hourly(spark: SparkSession, raw_folder: str, out_folder: str, cfg: Pre
     return counters
 
 
-def build_datasets(spark: SparkSession, hourly_folder: str, out_folder: str, cfg: PrepConfig | None = None) -> dict:
-    """The hourly table to scaled windows in three layouts, the scaler, split statistics and client counts."""
+def build_datasets(spark: SparkSession, hourly_folder: str, out_folder: str, cfg: PrepConfig | None = None, export: tuple[str, ...] = ()) -> dict:
+    """The hourly table to scaled windows for three layouts, the scaler, split statistics, client counts and metadata.
+
+    The complete rows of all splits are made once and kept, and what follows reads them; windows are written once,
+    and the balanced clients are a table of their keys. ``export`` names layouts to copy into a folder for each
+    client too. A second run replaces the first.
+    """
     cfg = cfg or PrepConfig()
     table = read_hourly(spark, hourly_folder, cfg)
-    features = feature_columns([*table.columns, *occupancy(table.columns), *calendar(F.lit(None))], cfg.target)
-    split = dataset.chronological_split(dataset.add_features(table), cfg)
-    clean = dataset.complete_rows(dataset.impute(split, features), features, cfg)
-    stats = dataset.split_stats(split, clean, cfg)
+    features = _features(table, cfg)
+    clean = materialized(dataset.clean_splits(table, cfg))
+    stats = materialized(dataset.split_stats(table, clean, cfg))
     tables.write_report(stats, f"{out_folder}/split_stats")
     valid = dataset.keep_valid(clean, cfg)
-    scaler = dataset.fit_scaler(valid, features, cfg)
-    tables.write_scaler(scaler, f"{out_folder}/scaler")
+    tables.write_scaler(dataset.fit_scaler(valid, features, cfg), f"{out_folder}/scaler")
     known = dataset.require_scaler(tables.read_scaler(spark, f"{out_folder}/scaler"))
-    windows = dataset.sliding_windows(dataset.apply_scaler(valid, known, features), features, cfg)
-    # Windows are made once and kept; the layouts read them from there.
-    windows.write.mode("overwrite").parquet(f"{out_folder}/samples")
-    made = spark.read.parquet(f"{out_folder}/samples")
+    tables.write_samples(dataset.sliding_windows(dataset.apply_scaler(valid, known, features), features, cfg), f"{out_folder}/windows")
+    made = tables.read_samples(spark, f"{out_folder}/windows")
     bad = dataset.non_finite_windows(made).limit(5).collect()
     if bad:
         raise ValueError(f"windows that are not finite: {[(r[STATION], r['split']) for r in bad]}")
-    stations = dataset.valid_stations(clean, cfg).count()
-    clients = cfg.iid_clients or stations
-    for layout in (layouts.centralized(made), layouts.station_clients(made), layouts.iid_clients(made, clients, cfg.seed)):
-        tables.write_windows(layout.select("scenario", "client_id", "split", STATION, "t", "X", "y"), f"{out_folder}/windows")
-    assigned = layouts.iid_assignment(made.select("split", STATION, "t"), clients, cfg.seed)
-    tables.write_table(layouts.client_counts(assigned, layouts.roster(spark, clients)), f"{out_folder}/iid_client_counts")
-    sizes = {r.split: r["count"] for r in made.groupBy("split").count().collect()}
-    metadata = contracts.task_settings(cfg, features) | {"features": features, "stations": stations, "iid_clients": clients, "samples": {s: sizes.get(s, 0) for s in SPLITS}, "scaler": cfg.scaler, "seed": cfg.seed}
-    tables.write_metadata(spark, metadata, f"{out_folder}/metadata")
-    return metadata
-
-
-def score_baselines(spark: SparkSession, hourly_folder: str, out_folder: str, cfg: PrepConfig | None = None, metadata: dict | None = None) -> DataFrame:
-    """Naive forecasts of the hourly table: test predictions and metrics by method and split.
-
-    With the ``metadata`` of a dataset run, its task, features and sample counts are checked first.
+    stations = stats.filter("train_windows > 0").select(STATION)
+    clients = cfg.iid_clients or stations.count()
+    keys = made.select("split", STATION, "t")
+    tables.write_assignment(layouts.iid_assignment(keys, clients, cfg.seed), f"{out_folder}/windows")
+    assigned = spark.read.parquet(f"{out_folder}/windows/assignment")
+    tables.write_table(layouts.layout_counts(keys, assigned, layouts.roster(spark, clients)), f"{out_folder}/client_counts")
+    if export:
+        copies = [tables.read_windows(spark, f"{out_folder}/windows", scenario) for scenario in export]
+        tables.write_windows(dataset.align_columns(copies), f"{out_folder}/export")
+    outputs = {name: f"{out_folder}/{name}" for name in ("windows", "scaler", "split_stats", "client_counts")}
+    tables.write_record(results.experiment_metadata(keys, stations, features, clients, cfg, _now(), outputs), f"{out_folder}/metadata")
+    return tables.read_metadata(spark, f"{out_folder}/metadata")
+
+
+def check_universe(clean: DataFrame, predictions: DataFrame, features: list[str], cfg: PrepConfig, metadata: dict) -> None:
+    """An error where features, stations or samples are not those of a dataset's ``metadata``."""
+    contracts.check_features(features, metadata["features"])
+    expected = clean.sparkSession.createDataFrame([(s,) for s in metadata["station_ids"]], f"{STATION} string")
+    contracts.check_stations(dataset.valid_stations(clean, cfg), expected)
+    one = predictions.filter(F.col("method_name") == scoring.LAST_VALUE)
+    counts = results.sample_counts(one).first().samples.asDict()
+    if counts != metadata["samples"]:
+        raise ValueError(f"samples {counts} are not those of the dataset, {metadata['samples']}")
+
+
+def score_baselines(spark: SparkSession, hourly_folder: str, out_folder: str, cfg: PrepConfig | None = None, metadata: dict | None = None, run_name: str = "baseline") -> DataFrame:
+    """Naive forecasts of the hourly table: test predictions, metrics by method and split, and a results row a method.
+
+    With the ``metadata`` of a dataset run, its task, features, stations and sample counts are checked first. A
+    split without any prediction is an error.
     """
     cfg = cfg or PrepConfig()
-    clean = dataset.keep_valid(dataset.clean_splits(read_hourly(spark, hourly_folder, cfg), cfg), cfg)
-    predictions = scoring.naive_predictions(clean, cfg)
     if metadata is not None:
         contracts.check_task(metadata)
-        one = predictions.filter(F.col("method_name") == scoring.LAST_VALUE).select("split", STATION)
-        counts = {r.split: r["count"] for r in one.groupBy("split").count().collect()}
-        expected = {s: n for s, n in metadata["samples"].items() if n}
-        if counts != expected:
-            raise ValueError(f"samples {counts} are not those of the dataset, {expected}")
-    contracts.require_rows(predictions, "prediction")
+    table = read_hourly(spark, hourly_folder, cfg)
+    clean = materialized(dataset.keep_valid(dataset.clean_splits(table, cfg), cfg))
+    predictions = scoring.naive_predictions(clean, cfg)
+    if metadata is not None:
+        check_universe(clean, predictions, _features(table, cfg), cfg, metadata)
+    metrics = materialized(scoring.regression_metrics(predictions, ["method_name", "split"], list(SPLITS)))
+    empty = [r.split for r in metrics.filter("sample_count = 0").select("split").distinct().collect()]
+    if empty or metrics.isEmpty():
+        raise RuntimeError(f"no prediction in {sorted(empty) or 'any split'}")
     tables.write_predictions(predictions.filter(F.col("split") == "test"), f"{out_folder}/predictions")
-    metrics = scoring.regression_metrics(predictions, ["method_name", "split"], list(SPLITS))
     tables.write_table(metrics, f"{out_folder}/metrics")
+    tables.write_communication_rounds(spark, f"{out_folder}/communication_rounds")
+    stations, when = dataset.valid_stations(clean, cfg), _now()
+    for method in (scoring.LAST_VALUE, scoring.SEASONAL):
+        payload = results.results_payload(
+            metrics.filter(F.col("method_name") == method), stations, cfg, run_name=run_name, stage="baseline", scenario=layouts.CENTRALIZED, method=method, generated_at=when, hourly_folder=hourly_folder
+        )
+        tables.write_record(payload, f"{out_folder}/results/{method}")
     return metrics
 
 
+def load_clients(spark: SparkSession, dataset_folder: str, out_folder: str, scenario: str, official: dict | None = contracts.OFFICIAL_TASK) -> tuple[DataFrame, DataFrame]:
+    """``(windows, summary)`` of the clients of a layout that a federated run can use; the summary is written too.
+
+    The dataset's task must be the official one (or what ``official`` says; None checks nothing) and its windows
+    sound. Of one-station clients those without val or test samples are left out; balanced ones stay, also empty.
+    It is an error if no client is left, none has train samples, or none has val samples.
+    """
+    metadata = tables.read_metadata(spark, f"{dataset_folder}/metadata")
+    if official is not None:
+        contracts.check_task(metadata, official)
+    windows = tables.read_windows(spark, f"{dataset_folder}/windows", scenario)
+    task = PrepConfig(window=metadata["window_size"], horizon=metadata["horizon"])
+    bad = dataset.window_violations(windows, task, metadata["feature_count"]).limit(5).collect()
+    if bad:
+        raise RuntimeError(f"windows of another shape, or not finite: {[(r[STATION], r['split']) for r in bad]}")
+    roster = layouts.roster(spark, metadata["iid_clients"]) if scenario == layouts.IID else None
+    summary = materialized(layouts.client_summary(windows.drop("X", "y"), roster))
+    if scenario == layouts.STATION_CLIENTS:
+        usable = layouts.usable_clients(summary).select("client_id")
+        summary, windows = (t.join(usable, "client_id", "left_semi") for t in (summary, windows))
+    seen = summary.agg(F.count(F.lit(1)).alias("clients"), F.count(F.when(F.col("train_samples") > 0, 1)).alias("training"), F.sum("val_samples").alias("val")).first()
+    for found, what in ((seen.clients, "client can be used"), (seen.training, "client has train samples"), (seen.val, "client has val samples")):
+        if not found:
+            raise RuntimeError(f"no {what} in {dataset_folder}")
+    tables.write_table(summary.orderBy("client_id"), f"{out_folder}/client_summary")
+    return windows, summary
+
+
 def report_rounds(spark: SparkSession, states: DataFrame, sizes: DataFrame, evaluation: DataFrame, model_bytes: int, out_folder: str) -> DataFrame:
     """Client states and sizes to averaged parameters, round metrics and traffic; returns the best round."""
     federated.average_parameters(states, sizes).write.mode("overwrite").parquet(f"{out_folder}/parameters")

@@ -30,6 +30,15 @@ def sample_universe(samples: DataFrame, expected: DataFrame) -> DataFrame:
     return both.filter(~same).select("split", "actual_samples", "expected_samples", "actual_stations", "expected_stations")
 
 
+def check_stations(found: DataFrame, expected: DataFrame) -> None:
+    """An error that names some stations that only one of two tables has."""
+    here, there = found.select(STATION), expected.select(STATION)
+    extra = [r[0] for r in here.join(there, STATION, "left_anti").orderBy(STATION).limit(5).collect()]
+    lost = [r[0] for r in there.join(here, STATION, "left_anti").orderBy(STATION).limit(5).collect()]
+    if extra or lost:
+        raise ValueError(f"stations differ: {extra} are not expected, {lost} are not there")
+
+
 def check_features(found: list[str], expected: list[str]) -> None:
     if list(found) != list(expected):
         raise ValueError(f"features differ: {found} and {expected}")

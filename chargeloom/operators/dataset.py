@@ -11,6 +11,8 @@ from ..config import SPLITS, STATION, TIME, PrepConfig, feature_columns
 from ..functions.columns import calendar, finite, occupancy
 
 _EPSILON = 2.220446049250313e-16
+#: Rows whose mean the sums of the scaler are taken around.
+_SHIFT_ROWS = 256
 
 
 def align_columns(tables: list[DataFrame]) -> DataFrame:
@@ -64,9 +66,15 @@ def window_count(n: Column, cfg: PrepConfig) -> Column:
     return F.greatest(n - (cfg.window + cfg.horizon - 1), F.lit(0)).cast("long")
 
 
-def split_stats(split: DataFrame, clean: DataFrame, cfg: PrepConfig) -> DataFrame:
-    """One row for each station: raw, clean and dropped rows and windows of each split, zeros shown."""
-    raw = split.groupBy(STATION).agg(*(F.count(F.when(F.col("split") == s, 1)).alias(f"{s}_rows_raw") for s in SPLITS))
+def split_stats(table: DataFrame, clean: DataFrame, cfg: PrepConfig) -> DataFrame:
+    """One row for each station: raw, clean and dropped rows and windows of each split, zeros shown.
+
+    ``table`` is the hourly table, of which only the stations are read: the rows of a split follow from a
+    station's number of rows.
+    """
+    raw = table.groupBy(STATION).agg(F.count(F.lit(1)).alias("_n"))
+    train_end, val_end = split_ends(F.col("_n"), cfg)
+    raw = raw.select(STATION, train_end.alias("train_rows_raw"), (val_end - train_end).alias("val_rows_raw"), (F.col("_n") - val_end).alias("test_rows_raw"))
     kept = clean.groupBy(STATION).agg(*(F.count(F.when(F.col("split") == s, 1)).alias(f"{s}_rows_clean") for s in SPLITS))
     joined = raw.join(kept, STATION, "left").na.fill(0)
     out = [STATION]
@@ -104,9 +112,10 @@ def multiplicity(cfg: PrepConfig, position: Column, n: Column) -> Column:
 def fit_scaler(clean: DataFrame, features: list[str], cfg: PrepConfig) -> DataFrame:
     """``feature, center, scale`` over the rows of all train windows, a row counted once for each window.
 
-    Windows are not made: rows carry the number of windows that hold them. One aggregate over the columns as
-    they stand gives the means; the squares are summed around them in a second one, so that large means do not
-    cost precision. Constant features get scale 1; without any train window there is no row.
+    Windows are not made: rows carry the number of windows that hold them. One aggregate gives means and
+    squares together; both are taken around the mean of some rows, so that large values do not cost precision.
+    ``clean`` is read twice, the first time up to those rows: keep it materialised where it is costly.
+    Constant features get scale 1; without any train window there is no row.
     """
     train = with_position(clean.filter(F.col("split") == "train"))
     weighted = train.withColumn("m", multiplicity(cfg, F.col("rn") - 1, F.col("n"))).filter("m > 0")
@@ -116,21 +125,26 @@ def fit_scaler(clean: DataFrame, features: list[str], cfg: PrepConfig) -> DataFr
         pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), center(c).alias("center"), scale(c).alias("scale")) for c in features)))
         return sums.select(pairs.alias("p")).select("p.*").filter("center is not null")
 
-    if cfg.scaler.strip().lower() == "minmax":
+    if cfg.scaler == "minmax":
         ends = weighted.agg(*(F.min(v).alias(f"low_{c}") for c, v in x.items()), *(F.max(v).alias(f"high_{c}") for c, v in x.items()))
         span = lambda c: F.col(f"high_{c}") - F.col(f"low_{c}")
         return rows(ends, lambda c: F.col(f"low_{c}"), lambda c: F.when(span(c) < 10 * _EPSILON, F.lit(1.0)).otherwise(span(c)))
-    # One row of means is read back, to stand as numbers in the second pass.
-    first = weighted.agg(F.sum("m").alias("weight"), *((F.sum(F.col("m") * v) / F.sum("m")).alias(c) for c, v in x.items())).first()
-    weight = first.weight or 0
-    mean = {c: F.lit(first[c]).cast("double") for c in features}
-    spread = weighted.agg(*((F.sum(F.col("m") * (v - mean[c]) * (v - mean[c])) / F.lit(weight)).alias(c) for c, v in x.items()))
+    near = clean.select(*features).limit(_SHIFT_ROWS).agg(*(F.avg(F.nanvl(v, F.lit(0.0))).alias(c) for c, v in x.items())).first()
+    shift = {c: F.lit(near[c] or 0.0) for c in features}
+    total = F.sum("m").cast("double")
+    sums = weighted.agg(
+        total.alias("_weight"),
+        *((F.sum(F.col("m") * (v - shift[c])) / total).alias(f"_first_{c}") for c, v in x.items()),
+        *((F.sum(F.col("m") * (v - shift[c]) * (v - shift[c])) / total).alias(f"_second_{c}") for c, v in x.items()),
+    )
+    mean = lambda c: shift[c] + F.col(f"_first_{c}")
 
     def scale(c: str) -> Column:
-        least = F.lit(weight * _EPSILON) * F.col(c) + F.pow(F.lit(weight * _EPSILON) * mean[c], F.lit(2.0))
-        return F.when(F.col(c) <= least, F.lit(1.0)).otherwise(F.sqrt(c))
+        spread = F.greatest(F.col(f"_second_{c}") - F.col(f"_first_{c}") * F.col(f"_first_{c}"), F.lit(0.0))
+        least = F.col("_weight") * _EPSILON * spread + F.pow(F.col("_weight") * _EPSILON * mean(c), F.lit(2.0))
+        return F.when(spread <= least, F.lit(1.0)).otherwise(F.sqrt(spread))
 
-    return rows(spread, mean.get, scale)
+    return rows(sums, mean, scale)
 
 
 def require_scaler(scaler: DataFrame) -> dict[str, tuple[float, float]]:

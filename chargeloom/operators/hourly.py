@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..config import STATION, SUMMED_COLUMNS, TIME, VALUE_COLUMNS
 from ..functions.columns import parse_number, parse_time
 
+HOUR = "1 hour"
+
 
 def clean_readings(raw: DataFrame) -> DataFrame:
     """Readings as text to ``station_id, time, <values>``: rows without a valid time are dropped.
@@ -35,17 +37,15 @@ def _rule(column: str) -> Column:
     return (F.sum(column) if column in SUMMED_COLUMNS else F.avg(column)).alias(column)
 
 
-def _hour(time: str = TIME) -> Column:
-    return F.window(time, "1 hour")["start"]
-
-
-def collapse_duplicates(clean: DataFrame, partitions: int | None = None) -> DataFrame:
+def collapse_duplicates(clean: DataFrame, partitions: int | None = None, frequency: str = HOUR) -> DataFrame:
     """One row for each station and time (sum or mean by column), with its ``hour`` and the ``rows`` it stands for.
 
+    ``hour`` is the start of the time's slot: an hour, or what ``frequency`` says.
+
     Rows are dealt by station and hour, not by station: a station with most of the readings is spread over
     its hours, and the hourly rollup needs no further exchange.
     """
-    keyed = clean.withColumn("hour", _hour())
+    keyed = clean.withColumn("hour", F.window(TIME, frequency)["start"])
     dealt = keyed.repartition(partitions, STATION, "hour") if partitions else keyed.repartition(STATION, "hour")
     missing = [F.sum(F.col(c).isNull().cast("long")).alias(f"missing_{c}") for c in VALUE_COLUMNS]
     empty = F.lit(True)
@@ -59,13 +59,13 @@ def rollup_hours(collapsed: DataFrame) -> DataFrame:
     return collapsed.groupBy(STATION, "hour").agg(*map(_rule, VALUE_COLUMNS)).withColumnRenamed("hour", TIME)
 
 
-def fill_hours(hourly: DataFrame, max_span_hours: int | None = None) -> DataFrame:
-    """A row for every hour between a station's first and last; the added ones are null.
+def fill_hours(hourly: DataFrame, max_span_hours: int | None = None, frequency: str = HOUR) -> DataFrame:
+    """A row for every hour (or slot of ``frequency``) between a station's first and last; the added ones are null.
 
     Each row is extended up to the next one, so no grid is built and joined. With ``max_span_hours`` a
     station whose gap to the next reading is longer (one wrong date) fails the job.
     """
-    step = F.expr("interval 1 hour")
+    step = F.expr(f"interval {frequency}")
     following = F.lead(TIME).over(Window.partitionBy(STATION).orderBy(TIME))
     upto = F.coalesce(following - step, F.col(TIME))
     spread = hourly.withColumn("_last", upto)
@@ -77,9 +77,9 @@ def fill_hours(hourly: DataFrame, max_span_hours: int | None = None) -> DataFram
     return rows.select(STATION, F.col("_hour").alias(TIME), *(F.when(own, F.col(c)).alias(c) for c in VALUE_COLUMNS))
 
 
-def hourly_table(raw: DataFrame, max_span_hours: int | None = None) -> DataFrame:
+def hourly_table(raw: DataFrame, max_span_hours: int | None = None, frequency: str = HOUR) -> DataFrame:
     """Raw readings to the dense hourly table."""
-    return fill_hours(rollup_hours(collapse_duplicates(clean_readings(raw))), max_span_hours)
+    return fill_hours(rollup_hours(collapse_duplicates(clean_readings(raw), frequency=frequency)), max_span_hours, frequency)
 
 
 def _counts(prefix: str, available: Column | None = None) -> Column:
@@ -89,7 +89,7 @@ def _counts(prefix: str, available: Column | None = None) -> Column:
     return F.map_filter(pairs, keep)
 
 
-def quality_report(raw: DataFrame, headers: DataFrame | None = None) -> DataFrame:
+def quality_report(raw: DataFrame, headers: DataFrame | None = None, frequency: str = HOUR) -> DataFrame:
     """One row for each station: what cleaning found and what the hourly table holds.
 
     ``rows_after_time_cleaning`` counts after repeated times are collapsed, missing values before. With
@@ -97,14 +97,14 @@ def quality_report(raw: DataFrame, headers: DataFrame | None = None) -> DataFram
     have are not counted as missing values. A station without any valid time has null bounds and no hours.
     """
     rows = raw.groupBy(STATION).agg(F.count(F.lit(1)).alias("rows_before_cleaning"), F.sum(parse_time(F.col(TIME)).isNull().cast("long")).alias("invalid_time_rows_dropped"))
-    collapsed = collapse_duplicates(clean_readings(raw))
+    collapsed = collapse_duplicates(clean_readings(raw), frequency=frequency)
     times = collapsed.groupBy(STATION).agg(
         F.count(F.lit(1)).alias("rows_after_time_cleaning"),
         F.sum(F.col("rows") - 1).alias("duplicate_timestamps_collapsed"),
         F.sum("all_missing").alias("fully_missing_numeric_rows"),
         *(F.sum(f"missing_{c}").alias(f"raw_{c}") for c in VALUE_COLUMNS),
     )
-    hours = fill_hours(rollup_hours(collapsed)).groupBy(STATION).agg(
+    hours = fill_hours(rollup_hours(collapsed), frequency=frequency).groupBy(STATION).agg(
         F.count(F.lit(1)).alias("rows_after_hourly_aggregation"),
         F.min(TIME).alias("hourly_start"),
         F.max(TIME).alias("hourly_end"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import SPLITS, STATION
 
 CENTRALIZED, STATION_CLIENTS, IID = "centralized", "non_iid_station", "iid"
+CLIENT = "client_"
 
 
 def centralized(windows: DataFrame) -> DataFrame:
@@ -17,11 +18,11 @@ def centralized(windows: DataFrame) -> DataFrame:
 
 def station_clients(windows: DataFrame) -> DataFrame:
     """One client for each station."""
-    return windows.withColumns({"scenario": F.lit(STATION_CLIENTS), "client_id": F.concat(F.lit("client_"), F.col(STATION))})
+    return windows.withColumns({"scenario": F.lit(STATION_CLIENTS), "client_id": F.concat(F.lit(CLIENT), F.col(STATION))})
 
 
 def client_name(number: Column) -> Column:
-    return F.format_string("client_%03d", number)
+    return F.format_string(f"{CLIENT}%03d", number)
 
 
 def _chunk(position: Column, n: Column, clients: int) -> Column:
@@ -36,7 +37,8 @@ def global_positions(rows: DataFrame, split: str, group: str, order: list[str])
     """``rows`` with ``position`` (from 0, by group and order within each split) and ``split_rows``.
 
     A row's position is its group's offset and its place in the group, so that no task holds a whole split:
-    only the table of group sizes is put in one order.
+    only the table of group sizes (one row a station, or a digest prefix) is put in one order, by one task a
+    split: that holds to some tens of millions of stations.
     """
     inside = Window.partitionBy(split, group).orderBy(*order)
     placed = rows.withColumn("_place", F.row_number().over(inside) - 1)
@@ -85,9 +87,25 @@ def client_counts(samples: DataFrame, clients: DataFrame | None = None) -> DataF
     return grid.join(counts, ["client_id", "split"], "left").select("client_id", "split", F.coalesce("samples", F.lit(0)).alias("samples"))
 
 
-def client_summary(samples: DataFrame) -> DataFrame:
-    """Samples and first and last target time of each split, and the stations behind a client's train samples."""
+def layout_counts(samples: DataFrame, assigned: DataFrame, clients: DataFrame) -> DataFrame:
+    """``scenario, client_id, split, samples`` of all three layouts of ``samples(split, station_id, t)``."""
+    parts = (
+        (CENTRALIZED, client_counts(centralized(samples))),
+        (IID, client_counts(assigned, clients)),
+        (STATION_CLIENTS, client_counts(station_clients(samples))),
+    )
+    tables = [counts.select(F.lit(scenario).alias("scenario"), "client_id", "split", "samples") for scenario, counts in parts]
+    return tables[0].union(tables[1]).union(tables[2])
+
+
+def client_summary(samples: DataFrame, clients: DataFrame | None = None) -> DataFrame:
+    """Samples and first and last target time of each split, and the stations behind a client's train samples.
+
+    ``clients(client_id)`` adds clients without any sample.
+    """
     here = {s: F.col("split") == s for s in SPLITS}
+    if clients is not None:
+        samples = clients.join(samples, "client_id", "left")
     return samples.groupBy("client_id").agg(
         *(F.count(F.when(c, 1)).alias(f"{s}_samples") for s, c in here.items()),
         F.countDistinct(F.when(here["train"], F.col(STATION))).alias("train_station_count"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,9 +66,17 @@ def regression_metrics(predictions: DataFrame, keys: list[str], splits: list[str
     return grid.join(found, keys, "left").select(*keys, *(F.coalesce(c, nan).alias(c) for c in ("rmse", "mae", "r2", "mse")), F.coalesce("sample_count", F.lit(0)).alias("sample_count"))
 
 
+def _beats(value: Column, best: Column | None = None) -> Column:
+    """Whether a value is lower than the best so far (infinity at first); null and not-a-number never are."""
+    return F.coalesce(value.cast("double") < (F.lit(math.inf) if best is None else best), F.lit(False))
+
+
 def best_epoch(history: DataFrame, run: str = "run", step: str = "epoch", value: str = "val_rmse") -> DataFrame:
-    """The first step with the lowest value of each run; a run that has none fails the job."""
-    usable = F.when(~F.isnan(value), F.struct(F.col(value), F.col(step)))
+    """The first step with the lowest value of each run; a run that has none fails the job.
+
+    Values that are null, not-a-number or infinite count as none.
+    """
+    usable = F.when(_beats(F.col(value)), F.struct(F.col(value), F.col(step)))
     best = history.groupBy(run).agg(F.min(usable).alias("_best"))
     none = F.raise_error(F.concat(F.lit("no finite value in run "), F.col(run).cast("string")))
     return best.select(run, F.when(F.col("_best").isNull(), none.cast("bigint")).otherwise(F.col(f"_best.{step}").cast("bigint")).alias(f"best_{step}"), F.col(f"_best.{value}").alias(f"best_{value}"))
@@ -75,8 +85,8 @@ def best_epoch(history: DataFrame, run: str = "run", step: str = "epoch", value:
 def early_stop(history: DataFrame, patience: int, run: str = "run", step: str = "epoch", value: str = "val_rmse") -> DataFrame:
     """Where each run stops: after ``patience`` steps in a row without a strictly lower value, else at its last."""
     order = Window.partitionBy(run).orderBy(step)
-    before = F.min(F.when(~F.isnan(value), F.col(value))).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    improved = (~F.isnan(value)) & F.col(value).isNotNull() & (before.isNull() | (F.col(value) < before))
+    before = F.min(F.when(_beats(F.col(value)), F.col(value))).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    improved = _beats(F.col(value), F.coalesce(before, F.lit(math.inf)))
     marked = history.withColumn("_better", improved)
     marked = marked.withColumn("_n", F.row_number().over(order))
     # Before any improvement the count runs from the start.

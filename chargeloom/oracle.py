@@ -7,7 +7,7 @@ operators avoid at scale is done here by brute force.
 from __future__ import annotations
 
 from .config import CALENDAR_COLUMNS, OCCUPANCY_COLUMNS, SPLITS, VALUE_COLUMNS
-from .queries import CFG, FEATURES, IID_CLIENTS, MODEL_BYTES, PATIENCE
+from .queries import CFG, FEATURES, FILE_STATIONS, IID_CLIENTS, MODEL_BYTES, PATIENCE
 
 _SUMS = ("duration", "volume")
 _NUMBER = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity))\s*$"
@@ -40,6 +40,14 @@ def _readings(station: str) -> str:
 )"""
 
 
+#: Readings of stations renamed, with volumes spoilt by the hour.
+_FILE_READINGS = f"""file_readings AS (
+    SELECT * REPLACE (
+        CASE station_id {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in FILE_STATIONS.items())} END AS station_id,
+        CASE substr(time, 12, 2) WHEN '03' THEN '1d' WHEN '04' THEN 'NaN' WHEN '05' THEN '0x1p3' ELSE volume END AS volume
+    ) FROM readings
+)"""
+
 _CLEAN_READINGS = f"""parsed AS (
     SELECT station_id, try_strptime(time, '%Y-%m-%d %H:%M:%S') AS time,
         {", ".join(f"CASE WHEN regexp_matches({c}, '{_NUMBER}') THEN TRY_CAST(trim({c}) AS DOUBLE) END AS {c}" for c in VALUE_COLUMNS)}
@@ -107,6 +115,7 @@ sizes AS (SELECT round, client_id, count(*) AS n, avg(CAST(volume AS DOUBLE)) AS
 states AS ({" UNION ALL ".join(f"SELECT round, client_id, '{c}' AS name, 0 AS idx, avg(CAST({c} AS DOUBLE)) AS value FROM rounds GROUP BY ALL" for c in FEATURES)})"""
 _HISTORY = "history AS (SELECT station_id AS run, day(time) AS epoch, round(sqrt(avg(pow(CAST(volume AS DOUBLE), 2))), 1) AS val_rmse FROM complete GROUP BY ALL)"
 
+_FILE_CLEAN = _CLEAN_READINGS.replace("FROM readings", "FROM file_readings")
 _TO_COMPLETE = (_CLEAN_READINGS, _COLLAPSED, _HOURLY, _FEATURES, _SPLIT, _IMPUTED)
 
 
@@ -232,4 +241,47 @@ def oracle_sql() -> dict[str, str]:
         ),
         "align_columns": _with(*hours, query=f"SELECT station_id, {_text('time')}, {_num('CASE WHEN hour(time) < 12 THEN busy END', name='busy')}, {_num('volume')}, {_num('CASE WHEN hour(time) >= 12 THEN idle END', name='idle')} FROM rolled"),
     }
+    for name in ("imputed_split", "scaler_standard", "scaled_features", "baseline_metrics", "iid_clients"):
+        out[f"{name}_users"] = out[name].replace(_readings("event_type"), _readings("user_id"))
+    file_hours = (_FILE_READINGS, _FILE_CLEAN, _COLLAPSED, _HOURLY)
+    absent = "CASE WHEN station_id IN ('007', 'st 1') THEN NULL ELSE e_price END"
+    out |= {
+        "station_files": _with(_FILE_READINGS, _FILE_CLEAN, query=f"SELECT station_id, {_text('time')}, {', '.join(_num(absent if c == 'e_price' else c, name=c) for c in VALUE_COLUMNS)} FROM clean"),
+        "hourly_files": _with(*file_hours, query=f"SELECT station_id, {_text('time')}, {values} FROM hourly"),
+        "hourly_csv_files": _with(*file_hours, query=f"SELECT station_id, {_text('time')}, {', '.join(_num('CASE WHEN hour(time) IN (7, 8) THEN NULL ELSE volume END' if c == 'volume' else c, name=c) for c in VALUE_COLUMNS)} FROM rolled"),
+        "window_files": _with(
+            *complete, _TARGETS, _WINDOWS, _iid(IID_CLIENTS),
+            query=f"""SELECT l.scenario, l.client_id, w.split, w.station_id, {_text("w.t").replace("AS w.", "AS ")}, {_num("any_value(w.y)", 5, "y")}, {_num(f"max(CASE WHEN step = 0 THEN {FEATURES[0]} END)", 5, "first")}, {_num(f"max(CASE WHEN step = {W - 1} THEN {FEATURES[-1]} END)", 5, "last")}
+            FROM windows w JOIN (SELECT 'centralized' AS scenario, 'all' AS client_id, split, station_id, t FROM samples UNION ALL SELECT 'non_iid_station', 'client_' || station_id, split, station_id, t FROM samples
+            UNION ALL SELECT 'iid', client_id, split, station_id, t FROM assigned) l ON l.split = w.split AND l.station_id = w.station_id AND l.t = w.t GROUP BY l.scenario, l.client_id, w.split, w.station_id, w.t""",
+        ),
+        "client_job": _with(
+            *complete, _TARGETS,
+            query="SELECT 'client_' || station_id AS client_id, " + ", ".join(f"count(*) FILTER (WHERE split = '{s}') AS {s}_samples" for s in SPLITS)
+            + ", strftime(min(t) FILTER (WHERE split = 'train'), '%Y-%m-%d %H:%M:%S') AS train_min_t, strftime(max(t) FILTER (WHERE split = 'test'), '%Y-%m-%d %H:%M:%S') AS test_max_t FROM samples GROUP BY station_id"
+            + " HAVING count(*) FILTER (WHERE split = 'val') > 0 AND count(*) FILTER (WHERE split = 'test') > 0",
+        ),
+        "layout_counts": _with(
+            *complete, _TARGETS, _iid(IID_CLIENTS),
+            query=f"""SELECT g.scenario, g.client_id, split, count(l.t) AS samples FROM (
+                SELECT 'centralized' AS scenario, 'all' AS client_id UNION ALL SELECT 'iid', format('client_{{:03d}}', i) FROM range({IID_CLIENTS}) r(i) UNION ALL SELECT DISTINCT 'non_iid_station', 'client_' || station_id FROM samples
+            ) g CROSS JOIN (VALUES ('train'), ('val'), ('test')) s(split) LEFT JOIN (
+                SELECT 'centralized' AS scenario, 'all' AS client_id, split, t FROM samples UNION ALL SELECT 'non_iid_station', 'client_' || station_id, split, t FROM samples UNION ALL SELECT 'iid', client_id, split, t FROM assigned
+            ) l USING (scenario, client_id, split) GROUP BY ALL""",
+        ),
+        "experiment_metadata": _with(
+            *complete, _TARGETS,
+            query=f"""SELECT CAST({W} AS BIGINT) AS window_size, CAST({H} AS BIGINT) AS horizon, '{CFG.target}' AS target_column, CAST({CFG.seed} AS BIGINT) AS seed, '{CFG.scaler}' AS scaler, CAST({IID_CLIENTS} AS BIGINT) AS iid_clients,
+            CAST({len(FEATURES)} AS BIGINT) AS feature_count, '{",".join(FEATURES)}' AS features, (SELECT count(*) FROM valid) AS stations, (SELECT string_agg(station_id, ',' ORDER BY station_id) FROM valid) AS station_ids,
+            """
+            + ", ".join(f"(SELECT count(*) FROM samples WHERE split = '{s}') AS {s}_samples" for s in SPLITS)
+            + ", " + ", ".join(f"CAST({v} AS DOUBLE) AS {s}_ratio" for s, v in CFG.ratios.items()),
+        ),
+        "results_payload": _with(
+            *complete, _TARGETS, _NAIVE,
+            query=f"""SELECT method_name, split, rmse, mae, CASE WHEN isnan(r2) THEN NULL ELSE r2 END AS r2, max(CASE WHEN split = 'val' THEN rmse END) OVER (PARTITION BY method_name) AS best_val_rmse, coalesce(sample_count, 0) AS sample_count,
+            coalesce(sample_count, 0) AS split_count, (SELECT count(*) FROM valid) AS logical_client_count, CAST(0 AS BIGINT) AS payload_bytes_total
+            FROM (SELECT DISTINCT method_name FROM naive) CROSS JOIN (VALUES ('train'), ('val'), ('test')) s(split) LEFT JOIN ({_metrics("method_name, split")}) USING (method_name, split)""",
+        ),
+    }
     return out

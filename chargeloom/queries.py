@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .config import SPLITS, STATION, TIME, VALUE_COLUMNS, CALENDAR_COLUMNS, OCCUPANCY_COLUMNS, PrepConfig, feature_columns
-from .operators import contracts, dataset, federated, hourly, layouts, scoring
+from .config import CALENDAR_COLUMNS, OCCUPANCY_COLUMNS, SPLITS, STATION, TIME, VALUE_COLUMNS, PrepConfig, feature_columns
+from .operators import contracts, dataset, federated, hourly, layouts, results, scoring
+from .sources import tables
 from .sources.events import readings_from_events
+from .sources.readings import read_hourly, read_hourly_csv, read_station_files
+from .sources.scratch import materialized, shared_folder
 
 CFG = PrepConfig()
 FEATURES = feature_columns([*VALUE_COLUMNS, *OCCUPANCY_COLUMNS, *CALENDAR_COLUMNS], CFG.target)
@@ -39,20 +43,25 @@ def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dataset.chronological_split(dataset.add_features(_hourly(spark, sf_dir)), CFG)
 
 
-def _clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dataset.clean_splits(_hourly(spark, sf_dir), CFG)
+def _clean(spark: SparkSession, sf_dir: str, station: str = "event_type") -> DataFrame:
+    return dataset.clean_splits(_hourly(spark, sf_dir, station), CFG)
 
 
 def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dataset.sliding_windows(dataset.keep_valid(_clean(spark, sf_dir), CFG), FEATURES, CFG)
 
 
-def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The windows' keys alone."""
-    rows = dataset.with_position(dataset.keep_valid(_clean(spark, sf_dir), CFG))
+def _keys(clean: DataFrame) -> DataFrame:
+    """The keys of the windows of complete rows."""
+    rows = dataset.with_position(dataset.keep_valid(clean, CFG))
     return rows.filter(F.col("rn") >= CFG.span).select(STATION, "split", F.col(TIME).alias("t"))
 
 
+def _samples(spark: SparkSession, sf_dir: str, station: str = "event_type") -> DataFrame:
+    """The windows' keys alone."""
+    return _keys(_clean(spark, sf_dir, station))
+
+
 def clean_readings(spark, sf_dir):
     return hourly.clean_readings(readings(spark, sf_dir)).select(STATION, _text(TIME), *map(_num, VALUE_COLUMNS))
 
@@ -97,31 +106,56 @@ def chronological_split(spark, sf_dir):
 
 
 def split_stats(spark, sf_dir):
-    return dataset.split_stats(_split(spark, sf_dir), _clean(spark, sf_dir), CFG)
+    table = materialized(_hourly(spark, sf_dir))
+    return dataset.split_stats(table, dataset.clean_splits(table, CFG), CFG)
+
+
+def _imputed(spark, sf_dir, station):
+    return _clean(spark, sf_dir, station).select(STATION, "split", _text(TIME), *(_num(c, 5) for c in [CFG.target, *FEATURES]))
 
 
 def imputed_split(spark, sf_dir):
-    return _clean(spark, sf_dir).select(STATION, "split", _text(TIME), *(_num(c, 5) for c in [CFG.target, *FEATURES]))
+    return _imputed(spark, sf_dir, "event_type")
+
+
+def imputed_split_users(spark, sf_dir):
+    return _imputed(spark, sf_dir, "user_id")
 
 
 def valid_stations(spark, sf_dir):
     return dataset.valid_stations(_clean(spark, sf_dir), CFG)
 
 
+def _scaler(spark, sf_dir, cfg, station="event_type"):
+    return dataset.fit_scaler(materialized(_clean(spark, sf_dir, station)), FEATURES, cfg).select("feature", _num("center"), _num("scale"))
+
+
 def scaler_standard(spark, sf_dir):
-    return dataset.fit_scaler(_clean(spark, sf_dir), FEATURES, CFG).select("feature", _num("center"), _num("scale"))
+    return _scaler(spark, sf_dir, CFG)
+
+
+def scaler_standard_users(spark, sf_dir):
+    return _scaler(spark, sf_dir, CFG, "user_id")
 
 
 def scaler_minmax(spark, sf_dir):
-    return dataset.fit_scaler(_clean(spark, sf_dir), FEATURES, PrepConfig(scaler="minmax")).select("feature", _num("center"), _num("scale"))
+    return _scaler(spark, sf_dir, PrepConfig(scaler="minmax"))
 
 
-def scaled_features(spark, sf_dir):
-    rows = dataset.keep_valid(_clean(spark, sf_dir), CFG)
+def _scaled(spark, sf_dir, station):
+    rows = materialized(dataset.keep_valid(_clean(spark, sf_dir, station), CFG))
     scaled = dataset.apply_scaler(rows, dataset.fit_scaler(rows, FEATURES, CFG), FEATURES)
     return scaled.select(STATION, "split", _text(TIME), *(_num(c, 4) for c in FEATURES), _num(CFG.target, 4))
 
 
+def scaled_features(spark, sf_dir):
+    return _scaled(spark, sf_dir, "event_type")
+
+
+def scaled_features_users(spark, sf_dir):
+    return _scaled(spark, sf_dir, "user_id")
+
+
 def sliding_windows_long(spark, sf_dir):
     long = _windows(spark, sf_dir).select(STATION, "split", _text("t"), _num("y", 5), F.posexplode("X").alias("step", "row"))
     return long.select(STATION, "split", "t", "y", F.col("step").cast("bigint").alias("step"), *((F.round(F.col("row")[i].cast("double"), 5) + F.lit(0.0)).alias(c) for i, c in enumerate(FEATURES)))
@@ -147,8 +181,8 @@ def naive_predictions(spark, sf_dir):
     return found.select(_text("t"), STATION, "split", *(_num(c, 5) for c in ("y_true", "y_pred", "error", "abs_error")), "method_name")
 
 
-def _metrics(spark, sf_dir, keys, splits=None):
-    rows = scoring.naive_predictions(dataset.keep_valid(_clean(spark, sf_dir), CFG), CFG)
+def _metrics(spark, sf_dir, keys, splits=None, station="event_type"):
+    rows = scoring.naive_predictions(dataset.keep_valid(_clean(spark, sf_dir, station), CFG), CFG)
     return scoring.regression_metrics(rows, keys, splits).select(*keys, *map(_num, ("rmse", "mae", "r2", "mse")), "sample_count")
 
 
@@ -156,16 +190,22 @@ def baseline_metrics(spark, sf_dir):
     return _metrics(spark, sf_dir, ["method_name", "split"])
 
 
+def baseline_metrics_users(spark, sf_dir):
+    return _metrics(spark, sf_dir, ["method_name", "split"], station="user_id")
+
+
 def station_metrics(spark, sf_dir):
     return _metrics(spark, sf_dir, ["method_name", "split", STATION])
 
 
 def sample_universe_check(spark, sf_dir):
     """The samples against the counts that a split of all rows, complete or not, would give."""
-    stats = dataset.split_stats(_split(spark, sf_dir), _clean(spark, sf_dir), CFG)
+    table = materialized(_hourly(spark, sf_dir))
+    clean = materialized(dataset.clean_splits(table, CFG))
+    stats = dataset.split_stats(table, clean, CFG)
     kinds = F.explode(F.array(*(F.struct(F.lit(s).alias("split"), dataset.window_count(F.col(f"{s}_rows_raw"), CFG).alias("n")) for s in SPLITS)))
     expected = stats.select(STATION, kinds.alias("k")).groupBy("k.split").agg(F.sum("k.n").alias("samples"), F.count(F.when(F.col("k.n") > 0, 1)).alias("stations"))
-    return contracts.sample_universe(_samples(spark, sf_dir), expected)
+    return contracts.sample_universe(_keys(clean), expected)
 
 
 def centralized_counts(spark, sf_dir):
@@ -176,8 +216,18 @@ def non_iid_clients(spark, sf_dir):
     return layouts.station_clients(_samples(spark, sf_dir)).select("client_id", "scenario", STATION, "split", _text("t"))
 
 
+def _iid(spark, sf_dir, station):
+    # The keys are read twice, to count groups and to place rows in them.
+    samples = materialized(_samples(spark, sf_dir, station))
+    return layouts.iid_assignment(samples, IID_CLIENTS, CFG.seed).select("split", STATION, _text("t"), "position", "client_id")
+
+
 def iid_clients(spark, sf_dir):
-    return layouts.iid_assignment(_samples(spark, sf_dir), IID_CLIENTS, CFG.seed).select("split", STATION, _text("t"), "position", "client_id")
+    return _iid(spark, sf_dir, "event_type")
+
+
+def iid_clients_users(spark, sf_dir):
+    return _iid(spark, sf_dir, "user_id")
 
 
 def client_counts(spark, sf_dir):
@@ -204,19 +254,24 @@ def _rounds(spark, sf_dir) -> DataFrame:
     return _clean(spark, sf_dir).withColumns({"round": F.dayofmonth(TIME), "client_id": F.col(STATION)})
 
 
+def _sizes(rounds: DataFrame) -> DataFrame:
+    return rounds.groupBy("round", "client_id").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(CFG.target).cast("double")).alias("loss"))
+
+
 def client_sizes(spark, sf_dir) -> DataFrame:
-    return _rounds(spark, sf_dir).groupBy("round", "client_id").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(CFG.target).cast("double")).alias("loss"))
+    return _sizes(_rounds(spark, sf_dir))
 
 
-def client_states(spark, sf_dir) -> DataFrame:
+def _states(rounds: DataFrame) -> DataFrame:
     """Means of the features as parameters of each round and client."""
-    pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.lit(0).cast("bigint").alias("idx"), F.col(c).alias("x")) for c in FEATURES)))
-    long = _rounds(spark, sf_dir).select("round", "client_id", pairs.alias("p"))
-    return long.groupBy("round", "client_id", "p.name", "p.idx").agg(F.avg(F.col("p.x").cast("double")).alias("value"))
+    pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.lit(0).cast("bigint").alias("idx"), F.col(c).alias("value")) for c in FEATURES)))
+    means = rounds.groupBy("round", "client_id").agg(*(F.avg(F.col(c).cast("double")).alias(c) for c in FEATURES))
+    return means.select("round", "client_id", pairs.alias("p")).select("round", "client_id", "p.*")
 
 
 def fedavg_parameters(spark, sf_dir):
-    return federated.average_parameters(client_states(spark, sf_dir), client_sizes(spark, sf_dir), ["is_weekend"]).select("round", "name", "idx", _num("value"))
+    rounds = materialized(_rounds(spark, sf_dir))
+    return federated.average_parameters(_states(rounds), _sizes(rounds), ["is_weekend"]).select("round", "name", "idx", _num("value"))
 
 
 def client_loss_means(spark, sf_dir):
@@ -254,10 +309,108 @@ def align_columns(spark, sf_dir):
     return dataset.align_columns([first, second]).select(STATION, _text(TIME), _num("busy"), _num("volume"), _num("idle"))
 
 
+#: Stations named so that a file system, or a reader that guesses types, can go wrong on them.
+FILE_STATIONS = {"click": "007", "view": "7", "error": "07", "signup": "st 1", "purchase": "a+b%20[c]"}
+
+
+def _file_readings(spark, sf_dir) -> DataFrame:
+    """Readings of stations with odd names, some volumes spoilt into what only looks like a number."""
+    raw = readings(spark, sf_dir)
+    name = F.create_map(*(F.lit(x) for pair in FILE_STATIONS.items() for x in pair))[F.col(STATION)]
+    hour = F.substring(TIME, 12, 2)
+    odd = F.when(hour == "03", F.lit("1d")).when(hour == "04", F.lit("NaN")).when(hour == "05", F.lit("0x1p3")).otherwise(F.col("volume"))
+    return raw.withColumns({STATION: name, "volume": odd})
+
+
+def _folder(spark, name: str) -> str:
+    """A folder of a query's own below the shared one; its files outlive the query, whose result is read from them."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def station_files(spark, sf_dir):
+    """Readings written as one CSV file a station under two headers, read back and cleaned."""
+    folder, raw = _folder(spark, "stations"), materialized(_file_readings(spark, sf_dir))
+    first = F.col(STATION).isin("007", "st 1")
+    tables.write_station_csv(raw.filter(first).select(STATION, "volume", F.lit("x").alias("extra"), TIME, *(c for c in VALUE_COLUMNS if c not in ("volume", "e_price"))), folder)
+    tables.write_station_csv(raw.filter(~first).select(STATION, TIME, *VALUE_COLUMNS), folder)
+    read, _, _ = read_station_files(spark, folder)
+    return hourly.clean_readings(read).select(STATION, _text(TIME), *map(_num, VALUE_COLUMNS))
+
+
+def hourly_files(spark, sf_dir):
+    """The hourly table written twice and read back."""
+    folder, table = _folder(spark, "hourly"), hourly.hourly_table(_file_readings(spark, sf_dir))
+    for _ in range(2):
+        tables.write_hourly(table, folder)
+    return read_hourly(spark, folder, CFG).select(STATION, _text(TIME), *map(_num, VALUE_COLUMNS))
+
+
+def hourly_csv_files(spark, sf_dir):
+    """The rolled-up hours as one CSV file a station, volumes spoilt by rule, read back as numbers."""
+    folder = _folder(spark, "hourly-csv")
+    rows = hourly.rollup_hours(hourly.collapse_duplicates(hourly.clean_readings(_file_readings(spark, sf_dir))))
+    odd = F.when(F.hour(TIME) == 7, F.lit("1d")).when(F.hour(TIME) == 8, F.lit("NaN")).otherwise(F.col("volume").cast("string"))
+    tables.write_station_csv(rows.withColumn("volume", odd), folder, "_hourly.csv")
+    return read_hourly_csv(spark, folder, CFG).select(STATION, _text(TIME), *map(_num, VALUE_COLUMNS))
+
+
+def window_files(spark, sf_dir):
+    """Windows written twice, once for all layouts, and read back by layout: first and last values of each."""
+    folder, made = _folder(spark, "windows"), _windows(spark, sf_dir)
+    for _ in range(2):
+        tables.write_samples(made, folder)
+    keys = tables.read_samples(spark, folder).select("split", STATION, "t")
+    tables.write_assignment(layouts.iid_assignment(keys, IID_CLIENTS, CFG.seed), folder)
+    rows = dataset.align_columns([tables.read_windows(spark, folder, s) for s in (layouts.CENTRALIZED, layouts.STATION_CLIENTS, layouts.IID)])
+    tables.write_windows(rows, f"{folder}/export", per_file=1000)
+    read = spark.read.parquet(f"{folder}/export").withColumns({"first": F.col("X")[0][0], "last": F.col("X")[CFG.window - 1][len(FEATURES) - 1]})
+    return read.select("scenario", "client_id", "split", STATION, _text("t"), _num("y", 5), _num("first", 5), _num("last", 5))
+
+
+def client_job(spark, sf_dir):
+    """The clients of one station each that a federated run can use, from a dataset's rows."""
+    summary = layouts.client_summary(_station_samples(spark, sf_dir))
+    kept = summary.join(layouts.usable_clients(summary).select("client_id"), "client_id", "left_semi")
+    return kept.select("client_id", *(f"{s}_samples" for s in SPLITS), _text("train_min_t"), _text("test_max_t"))
+
+
+def layout_counts(spark, sf_dir):
+    samples = materialized(_samples(spark, sf_dir))
+    assigned = layouts.iid_assignment(samples, IID_CLIENTS, CFG.seed)
+    return layouts.layout_counts(samples, assigned, layouts.roster(spark, IID_CLIENTS))
+
+
+def experiment_metadata(spark, sf_dir):
+    """The metadata row of a dataset, written as JSON and read back."""
+    folder, clean = _folder(spark, "metadata"), materialized(_clean(spark, sf_dir))
+    stations = dataset.valid_stations(clean, CFG)
+    tables.write_record(results.experiment_metadata(_keys(clean), stations, FEATURES, IID_CLIENTS, CFG, "", {"windows": "w"}), folder)
+    read = tables.read_record(spark, folder)
+    return read.select(
+        "window_size", "horizon", "target_column", "seed", "scaler", "iid_clients", "feature_count", "stations", F.array_join("features", ",").alias("features"), F.array_join("station_ids", ",").alias("station_ids"),
+        *(F.col(f"samples.{s}").alias(f"{s}_samples") for s in SPLITS), *(F.col(f"split_ratios.{s}").alias(f"{s}_ratio") for s in SPLITS),
+    )
+
+
+def results_payload(spark, sf_dir):
+    """The results rows of both naive methods, written as JSON and read back, by split."""
+    folder, clean = _folder(spark, "results"), materialized(dataset.keep_valid(_clean(spark, sf_dir), CFG))
+    metrics = materialized(scoring.regression_metrics(scoring.naive_predictions(clean, CFG), ["method_name", "split"], list(SPLITS)))
+    for method in (scoring.LAST_VALUE, scoring.SEASONAL):
+        own = metrics.filter(F.col("method_name") == method)
+        row = results.results_payload(own, dataset.valid_stations(clean, CFG), CFG, run_name="r", stage="baseline", scenario=layouts.CENTRALIZED, method=method, generated_at="")
+        tables.write_record(row, f"{folder}/method={method}")
+    split = F.explode(F.array(*(F.struct(F.lit(s).alias("split"), F.col(f"metrics.{s}").alias("m"), F.col(f"data.split_counts.{s}").alias("n")) for s in SPLITS))).alias("s")
+    rows = tables.read_record(spark, folder).select(F.col("run.method").alias("method_name"), "training.best_val_rmse", "communication.logical_client_count", "communication.payload_bytes_total", split)
+    rows = rows.select("method_name", "best_val_rmse", "logical_client_count", "payload_bytes_total", "s.split", "s.m.*", F.col("s.n").alias("split_count"))
+    return rows.select("method_name", "split", *map(_num, ("rmse", "mae", "r2", "best_val_rmse")), "sample_count", "split_count", "logical_client_count", "payload_bytes_total")
+
+
 NAMES = (
-    "clean_readings duplicate_collapse hourly_rollup hourly_rollup_users quality_report run_counters occupancy_features calendar_features chronological_split split_stats imputed_split valid_stations "
-    "scaler_standard scaler_minmax scaled_features sliding_windows_long window_violations non_finite_windows sample_explained naive_predictions baseline_metrics station_metrics sample_universe_check "
-    "centralized_counts non_iid_clients iid_clients client_counts client_summary usable_clients fedavg_parameters client_loss_means round_traffic communication_rounds best_round early_stop align_columns"
+    "clean_readings duplicate_collapse hourly_rollup hourly_rollup_users quality_report run_counters occupancy_features calendar_features chronological_split split_stats imputed_split imputed_split_users valid_stations "
+    "scaler_standard scaler_standard_users scaler_minmax scaled_features scaled_features_users sliding_windows_long window_violations non_finite_windows sample_explained naive_predictions baseline_metrics baseline_metrics_users "
+    "station_metrics sample_universe_check centralized_counts non_iid_clients iid_clients iid_clients_users client_counts layout_counts client_summary usable_clients client_job fedavg_parameters client_loss_means round_traffic "
+    "communication_rounds best_round early_stop align_columns station_files hourly_files hourly_csv_files window_files experiment_metadata results_payload"
 ).split()
 
 

@@ -2,31 +2,97 @@
 
 from __future__ import annotations
 
+import csv
+import re
+from collections.abc import Iterator
 from functools import reduce
+from urllib.parse import quote, unquote
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import STATION, TIME, VALUE_COLUMNS, PrepConfig
+from ..functions.columns import number, parse_time
 from ..operators.hourly import column_report
 
+#: A header is looked for in so many bytes at the start of a file.
+HEAD_BYTES = 1 << 16
 
-def _stem(suffix: str) -> Column:
-    return F.regexp_replace(F.col("_metadata.file_name"), suffix, "")
+#: The folders of a written hourly table are named by this copy of the station, so that the station itself stays text in the rows.
+STATION_FOLDER = "station_folder"
 
+#: Where a cloud store has several scheme names, the one that Arrow knows.
+_SCHEMES = {"s3a": "s3", "s3n": "s3"}
 
-def file_headers(spark: SparkSession, folder: str) -> dict[str, tuple[str, ...]]:
+
+def _station(suffix: str) -> Column:
+    """The station of a row: its file's name without the suffix. Spark's name of the file has escapes in it."""
+    name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(name, re.escape(suffix) + "$", "")
+
+
+def station_of(path: str, suffix: str) -> str:
+    """The same of a path as Hadoop writes it (without escapes)."""
+    return path.rsplit("/", 1)[-1].removesuffix(suffix)
+
+
+def _plain(path: str) -> str:
+    """A path whose characters all stand for themselves in Spark's readers, which expand patterns."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
+
+
+def _head(path: str) -> bytes:
+    """The first bytes of a file."""
+    scheme, _, rest = path.partition(":")
+    if scheme == "file":
+        with open("/" + rest.lstrip("/"), "rb") as f:
+            return f.read(HEAD_BYTES)
+    store, inside = pafs.FileSystem.from_uri(quote(f"{_SCHEMES.get(scheme, scheme)}:{rest}", safe=":/"))
+    with store.open_input_stream(inside) as f:
+        return f.read(HEAD_BYTES)
+
+
+def parse_header(head: bytes) -> tuple[str, ...]:
+    """Column names in the first line of a CSV file; an empty file has none."""
+    lines = head.decode("utf-8-sig", "replace").splitlines()
+    return tuple(c.strip() for c in next(csv.reader(lines[:1]), ()))
+
+
+def file_headers(spark: SparkSession, folder: str, glob: str = "*.csv") -> dict[str, tuple[str, ...]]:
     """Header of each CSV file of a folder, by path; an error if there is none.
 
-    One row a file reaches the driver: files are stations here, and Spark binds one schema to many CSV files
-    by position, so they are read in groups of one header.
+    Files are listed by Spark without reading them, and tasks read the first bytes of each. One short row a file
+    reaches the driver, which has every path anyway: Spark binds one schema to many CSV files by position, so
+    files are handed to it in groups of one header.
     """
-    lines = spark.read.option("pathGlobFilter", "*.csv").text(folder).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"))
-    first = lines.filter(F.col("at") == 0).withColumn("n", F.monotonically_increasing_id()).groupBy("path").agg(F.min_by("value", "n").alias("header"))
-    found = {r.path: tuple(c.strip().strip('"') for c in r.header.lstrip("﻿").split(",")) for r in first.collect()}
-    if not found:
+    listed = [(unquote(p),) for p in spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder).inputFiles()]
+    if not listed:
         raise FileNotFoundError(f"no station files in {folder}")
-    return found
+    files = spark.createDataFrame(listed, "path string").repartition(min(len(listed), spark.sparkContext.defaultParallelism))
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            headers = [list(parse_header(_head(p))) for p in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(headers, pa.list_(pa.string()))], names=["path", "header"])
+
+    return {r.path: tuple(r.header) for r in files.mapInArrow(emit, "path string, header array<string>").collect()}
+
+
+def _groups(headers: dict[str, tuple[str, ...]]) -> dict[tuple[str, ...], list[str]]:
+    out: dict[tuple[str, ...], list[str]] = {}
+    for path, header in sorted(headers.items()):
+        out.setdefault(header, []).append(path)
+    return out
+
+
+def _read(spark: SparkSession, paths: list[str], header: tuple[str, ...]) -> DataFrame:
+    """Files of one header as text; of columns that share a name the first one counts."""
+    names = [c if header.index(c) == i else f"_repeat_{i}" for i, c in enumerate(header)]
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
+    return spark.read.csv([_plain(p) for p in paths], header=True, schema=schema, enforceSchema=True)
 
 
 def read_station_files(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -36,20 +102,14 @@ def read_station_files(spark: SparkSession, folder: str) -> tuple[DataFrame, Dat
     ``headers`` has one row for each station: expected columns there and missing, and unexpected ones.
     ``rejected`` has the stations whose file has no time column; the others are read all the same.
     """
-    by_header: dict[tuple[str, ...], list[str]] = {}
-    for path, header in sorted(file_headers(spark, folder).items()):
-        by_header.setdefault(header, []).append(path)
     expected = (TIME, *VALUE_COLUMNS)
     parts, reports, rejected = [], [], []
-    for header, paths in by_header.items():
-        stations = [p.rsplit("/", 1)[-1].removesuffix(".csv") for p in paths]
+    for header, paths in _groups(file_headers(spark, folder)).items():
+        stations = [station_of(p, ".csv") for p in paths]
         if TIME not in header:
             rejected += [(s, f"no {TIME} column") for s in stations]
             continue
-        names = [c if header.index(c) == i else f"_repeat_{i}" for i, c in enumerate(header)]
-        schema = ", ".join(f"`{c}` string" for c in names)
-        rows = spark.read.csv(paths, header=True, schema=schema, enforceSchema=True)
-        parts.append(rows.select(_stem("\\.csv$").alias(STATION), *(F.col(c) for c in expected if c in header)))
+        parts.append(_read(spark, paths, header).select(_station(".csv").alias(STATION), *(F.col(c) for c in expected if c in header)))
         report = column_report(list(header))
         reports += [(s, *report.values()) for s in stations]
     if not parts:
@@ -62,25 +122,32 @@ def read_station_files(spark: SparkSession, folder: str) -> tuple[DataFrame, Dat
     )
 
 
+def _typed(table: DataFrame, station: Column) -> DataFrame:
+    """Station, time and the measurements that a table has, in their types; text is parsed as raw readings are."""
+    types = {f.name: f.dataType for f in table.schema.fields}
+    time = parse_time(F.col(TIME)) if isinstance(types[TIME], T.StringType) else F.col(TIME).cast("timestamp_ntz")
+    values = [number(F.col(c), types[c]).alias(c) for c in VALUE_COLUMNS if c in types]
+    return table.select(station.cast("string").alias(STATION), time.alias(TIME), *values).filter(F.col(TIME).isNotNull())
+
+
 def read_hourly(spark: SparkSession, folder: str, cfg: PrepConfig) -> DataFrame:
-    """A written hourly table (Parquet, partitioned by station); an error without time or target."""
+    """A written hourly table (Parquet); an error without time or target.
+
+    Stations stay the text that they were written as, not-a-number counts as missing, rows without a time go.
+    """
     table = spark.read.parquet(folder)
     if not {TIME, cfg.target} <= set(table.columns):
         raise RuntimeError(f"{folder} has no {TIME} or no {cfg.target} column")
-    return table.select(F.col(STATION).cast("string").alias(STATION), F.col(TIME).cast("timestamp_ntz").alias(TIME), *(F.col(c) for c in VALUE_COLUMNS if c in table.columns))
+    return _typed(table, F.col(STATION))
 
 
 def read_hourly_csv(spark: SparkSession, folder: str, cfg: PrepConfig) -> DataFrame:
-    """Hourly CSV files named ``<station>_hourly.csv``; files without time or target are left out."""
-    parts = []
-    by_header: dict[tuple[str, ...], list[str]] = {}
-    for path, header in sorted(file_headers(spark, folder).items()):
-        if path.endswith("_hourly.csv") and {TIME, cfg.target} <= set(header):
-            by_header.setdefault(header, []).append(path)
-    for header, paths in by_header.items():
-        rows = spark.read.csv(paths, header=True, schema=", ".join(f"`{c}` string" for c in header), enforceSchema=True)
-        values = [F.col(c).try_cast("double").alias(c) for c in VALUE_COLUMNS if c in header]
-        parts.append(rows.select(_stem("_hourly\\.csv$").alias(STATION), F.col(TIME).try_cast("timestamp_ntz").alias(TIME), *values).filter(F.col(TIME).isNotNull()))
-    if not parts:
+    """Hourly CSV files named ``<station>_hourly.csv``; files without time or target are left out.
+
+    Numbers and times are read by the rules for raw readings, so what is no number is missing.
+    """
+    usable = {p: h for p, h in file_headers(spark, folder, "*_hourly.csv").items() if {TIME, cfg.target} <= set(h)}
+    if not usable:
         raise RuntimeError(f"no usable hourly file in {folder}")
+    parts = [_typed(_read(spark, paths, header), _station("_hourly.csv")) for header, paths in _groups(usable).items()]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

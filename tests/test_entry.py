@@ -30,13 +30,23 @@ def test_imports_without_the_corpus_parts(tmp_path):
     assert got.stdout.split() == [str(len(queries.NAMES))] * 2, got.stderr
 
 
+def test_imports_where_the_corpus_parts_do_not(tmp_path):
+    """A leftover folder, or a library that is not there, takes nothing else with it."""
+    shutil.copytree(REPO, tmp_path / "repo", ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__", ".*"))
+    (tmp_path / "repo/chargeloom/llm/__pycache__").mkdir(parents=True)
+    (tmp_path / "repo/corpus_pipeline.py").write_text("import a_library_that_is_not_there\n")
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    got = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", env=os.environ | {"PYTHONPATH": str(tmp_path / "repo")}, capture_output=True, text=True)
+    assert got.stdout.split() == [str(len(queries.NAMES))] * 2, got.stderr
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the given tables")
 def test_entry(spark):
     assert spark_entry.entry(spark).count() > 0
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the given tables")
-@pytest.mark.parametrize("name", ["hourly_rollup", "quality_report", "split_stats", "scaler_standard", "iid_clients", "baseline_metrics", "fedavg_parameters"])
+@pytest.mark.parametrize("name", ["hourly_rollup", "quality_report", "split_stats", "scaler_standard", "iid_clients", "iid_clients_users", "baseline_metrics", "fedavg_parameters", "station_files", "hourly_files", "hourly_csv_files", "window_files", "experiment_metadata", "results_payload"])
 def test_against_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:

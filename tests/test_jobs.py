@@ -8,7 +8,7 @@ import pytest
 
 from chargeloom.config import PrepConfig
 from chargeloom.jobs import prepare
-from chargeloom.operators import layouts
+from chargeloom.operators import dataset, layouts, scoring
 from chargeloom.sources import tables
 from chargeloom.sources.readings import read_hourly, read_hourly_csv, read_station_files
 
@@ -70,6 +70,65 @@ def test_all_jobs(spark, raw_folder, tmp_path):
         prepare.score_baselines(spark, f"{out}/hours/hourly", f"{out}/naive", cfg, metadata)
 
 
+    again = prepare.build_datasets(spark, f"{out}/hours/hourly", f"{out}/sets", cfg, export=(layouts.CENTRALIZED, layouts.IID))
+    assert {k: v for k, v in again.items() if k != "generated_at_utc"} == {k: v for k, v in metadata.items() if k != "generated_at_utc"}
+    assert tables.read_windows(spark, f"{out}/sets/windows", layouts.CENTRALIZED).count() == sum(n.values())
+    assert spark.read.parquet(f"{out}/sets/export").groupBy("scenario").count().count() == 2 and spark.read.parquet(f"{out}/sets/export").count() == 2 * sum(n.values())
+    assert metadata["station_ids"] == ["101", "102", "103"] and metadata["split_ratios"] == {"train": 0.7, "val": 0.05, "test": 0.25}
+    counts = spark.read.csv(f"{out}/sets/client_counts", header=True)
+    assert counts.count() == 3 * (1 + 4 + 3) and counts.agg({"samples": "sum"}).first()[0] == 3 * sum(n.values())
+    own = {"window_size": 6, "horizon": 1, "target_column": "volume", "feature_count": 19}
+    windows, summary = prepare.load_clients(spark, f"{out}/sets", f"{out}/clients", layouts.STATION_CLIENTS, own)
+    assert summary.count() == 3 and windows.count() == sum(n.values())
+    assert spark.read.csv(f"{out}/clients/client_summary", header=True).count() == 3
+    with pytest.raises(ValueError, match="window_size"):
+        prepare.load_clients(spark, f"{out}/sets", f"{out}/clients", layouts.IID)
+    paid = tables.read_record(spark, f"{out}/naive/results/naive_last_value").first()
+    assert paid.run.method == "naive_last_value" and paid.data.split_counts.asDict() == n and paid.training.best_val_rmse == paid.metrics.val.rmse
+    clean = dataset.keep_valid(dataset.clean_splits(read_hourly(spark, f"{out}/hours/hourly", cfg), cfg), cfg)
+    forecasts = scoring.naive_predictions(clean, cfg)
+    prepare.check_universe(clean, forecasts, metadata["features"], cfg, metadata)
+    for wrong in ({"features": metadata["features"][1:]}, {"station_ids": ["101", "102"]}, {"samples": n | {"val": 1}}):
+        with pytest.raises(ValueError, match="differ|not those"):
+            prepare.check_universe(clean, forecasts, metadata["features"], cfg, metadata | wrong)
+
+
+def test_odd_station_names_and_values(spark, tmp_path):
+    """Names stay text and whole, what only looks like a number is missing, and a second write replaces the first."""
+    names = ["007", "7", "st 1", "a+b%20[c]", "ž"]
+    rows = [(n, dt.datetime(2024, 1, 1, i), float("nan") if i == 1 else float(i)) for n in names for i in range(3)]
+    table = spark.createDataFrame(rows, "station_id string, time timestamp_ntz, volume double")
+    for _ in range(2):
+        tables.write_hourly(table, f"{tmp_path}/h")
+    got = {(r.station_id, r.time.hour): r.volume for r in read_hourly(spark, f"{tmp_path}/h", PrepConfig()).collect()}
+    assert got == {(n, i): None if i == 1 else float(i) for n in names for i in range(3)}
+    (tmp_path / "csv").mkdir()
+    for n in names:
+        write(tmp_path / f"csv/{n}_hourly.csv", ["time", "volume", "busy"], [["2024-01-01 00:00:00", v, v] for v in ("1d", "NaN", "0x1p3", "2")] + [["bad", 1, 1]])
+    got = [(r.station_id, r.volume) for r in read_hourly_csv(spark, f"{tmp_path}/csv", PrepConfig()).collect()]
+    assert sorted(got, key=str) == sorted([(n, v) for n in names for v in (None, None, None, 2.0)], key=str)
+    folder = tmp_path / "raw"
+    folder.mkdir()
+    for n in names:
+        write(folder / f"{n}.csv", ["\ufefftime", "volume", "volume"], [["2024-01-01 00:00:00", 1, 9]])
+    (folder / "empty.csv").write_text("")
+    readings, headers, rejected = read_station_files(spark, str(folder))
+    assert sorted((r.station_id, r.volume) for r in readings.collect()) == sorted((n, "1") for n in names)
+    assert {r.station_id for r in headers.collect()} == set(names) and [r.station_id for r in rejected.collect()] == ["empty"]
+    tables.write_station_csv(table, f"{tmp_path}/named", "_hourly.csv")
+    assert {r.station_id for r in read_hourly_csv(spark, f"{tmp_path}/named", PrepConfig()).collect()} == set(names)
+
+
+def test_a_large_folder_of_windows_is_dealt_over_tasks(spark, tmp_path):
+    start = dt.datetime(2024, 1, 1)
+    rows = [("centralized", "all", "train", "s", start + dt.timedelta(hours=i), [[1.0]], 1.0) for i in range(400)]
+    made = spark.createDataFrame(rows, "scenario string, client_id string, split string, station_id string, t timestamp_ntz, X array<array<float>>, y float")
+    for _ in range(2):
+        tables.write_windows(made, f"{tmp_path}/w", per_file=50)
+    sizes = [r["count"] for r in spark.read.parquet(f"{tmp_path}/w").groupBy("_metadata.file_path").count().collect()]
+    assert sum(sizes) == 400 and max(sizes) <= 50 and len(sizes) >= 8
+
+
 def test_rounds_job(spark, tmp_path):
     states = spark.createDataFrame([(r, c, "w", 0, float(r)) for r in (1, 2) for c in "ab"], "round int, client_id string, name string, idx long, value double")
     sizes = spark.createDataFrame([(r, c, 2, 1.0) for r in (1, 2) for c in "ab"], "round int, client_id string, n long, loss double")

@@ -105,14 +105,30 @@ def test_a_feature_missing_in_a_whole_split_drops_it(spark):
     assert {r.split: r["count"] for r in kept} == {"train": 14, "val": 1}
 
 
-@given(st.integers(0, 40), st.integers(1, 6), st.integers(1, 4))
-@settings(max_examples=60, deadline=None)
-def test_chunk_and_multiplicity_by_brute_force(n, window, horizon):
-    held = [0] * n
-    for start in range(max(0, n - window - horizon + 1)):
-        for i in range(start, start + window):
-            held[i] += 1
-    assert held == [max(0, min(i, n - window - horizon) - max(0, i - window + 1) + 1) for i in range(n)]
+def test_chunk_and_multiplicity_by_brute_force(spark):
+    """All small cases through the library's columns, against windows and chunks that are dealt one by one."""
+    cases = [(n, w, h) for n in range(0, 14) for w in range(1, 6) for h in range(1, 4)]
+    for window, horizon in {(w, h) for _, w, h in cases}:
+        rows = spark.range(14).withColumn("n", F.explode(F.sequence(F.col("id") + 1, F.lit(14))))
+        got = rows.select("n", "id", dataset.multiplicity(PrepConfig(window=window, horizon=horizon), F.col("id"), F.col("n")).alias("m")).collect()
+        for r in got:
+            starts = range(max(0, r.n - window - horizon + 1))
+            assert r.m == sum(s <= r.id < s + window for s in starts), (r, window, horizon)
+    for clients in (1, 2, 3, 5, 20):
+        rows = spark.range(30).withColumn("n", F.explode(F.sequence(F.col("id") + 1, F.lit(30))))
+        dealt = {}
+        for r in rows.select("n", "id", layouts._chunk(F.col("id"), F.col("n"), clients).alias("c")).collect():
+            dealt.setdefault(r.n, {})[r.id] = r.c
+        for n, chunks in dealt.items():
+            want = [c for c in range(clients) for _ in range(n // clients + (c < n % clients))]
+            assert [chunks[i] for i in range(n)] == want, (n, clients)
+
+
+@given(st.integers(0, 2**31), st.integers(1, 40))
+@settings(max_examples=40, deadline=None)
+def test_ratios_are_checked_together(seed, window):
+    with pytest.raises(ValueError, match="window.*ratios.*scaler"):
+        PrepConfig(seed=seed, window=-window, train_ratio=0.9, scaler="robust")
 
 
 def test_multiplicity_column(spark):
@@ -196,6 +212,9 @@ def test_history(spark):
     assert scoring.early_stop(rows, 9).first().stopped_early is False
     with pytest.raises(Exception, match="finite"):
         scoring.best_epoch(rows.withColumn("val_rmse", F.lit(float("nan")))).collect()
+    odd = spark.createDataFrame([("r", i + 1, v) for i, v in enumerate([None, math.nan, math.inf, 7.0, None, 6.0, 6.0])], "run string, epoch int, val_rmse double")
+    assert tuple(scoring.best_epoch(odd).first()) == ("r", 6, 6.0)
+    assert scoring.early_stop(odd, 3).first().stopped_at == 3 and scoring.early_stop(odd.filter("epoch > 3"), 2).first().stopped_early is False
 
 
 def test_federated(spark):
@@ -233,3 +252,23 @@ def test_contracts(spark):
         PrepConfig(train_ratio=0.9)
     with pytest.raises(ValueError):
         PrepConfig(window=0)
+    with pytest.raises(ValueError):
+        PrepConfig(frequency="1 fortnight")
+    contracts.check_stations(samples, samples)
+    with pytest.raises(ValueError, match="lost|not there"):
+        contracts.check_stations(samples.limit(0), samples)
+
+
+def test_other_frequencies(spark):
+    rows = raw(spark, [("s", "2024-01-01 00:05:00", "2", "1"), ("s", "2024-01-01 00:20:00", "4", "1"), ("s", "2024-01-01 01:10:00", "9", "5")])
+    got = [(r.time.strftime("%H:%M"), r.volume) for r in hourly.hourly_table(rows, frequency="30 minutes").orderBy("time").collect()]
+    assert got == [("00:00", 2.0), ("00:30", None), ("01:00", 5.0)]
+
+
+def test_split_stats_follow_from_counts(spark):
+    table = hourly_rows(spark, [1.0] * 8 + [None] * 2 + [1.0] * 20)
+    clean, cfg = dataset.clean_splits(table, PrepConfig(window=2)), PrepConfig(window=2)
+    got = dataset.split_stats(table, clean, cfg).first()
+    split = {r.split: r["count"] for r in dataset.chronological_split(table, cfg).groupBy("split").count().collect()}
+    assert {s: got[f"{s}_rows_raw"] for s in split} == split and got.train_rows_dropped == 2
+    assert sum(got[f"{s}_rows_clean"] for s in split) == clean.count()
