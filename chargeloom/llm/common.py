@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import materialized, shared_folder
+
 ARROW_ROWS = 1000
 ARROW_BYTES = 16 << 20
 
@@ -30,27 +31,27 @@ def tables(sf_dir: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, name: spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share (``spark.checkpoint.dir``).
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new folder name below the folder that the driver and all executors share."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
-    A session without one, as in tests on one machine, gets a temporary folder; a session that has
-    the setting keeps it.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found is None:
-        context_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if context_dir.isDefined():
-            return context_dir.get()
-        found = os.path.join(tempfile.mkdtemp(prefix="spark-"), "checkpoints")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(found)
-    return found
+
+def unused_name(name: str, *tables: DataFrame) -> str:
+    """A column name that none of the tables has (Spark's names are equal whatever their case)."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    name = f"_{name}"
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def written(df: DataFrame, folder: str) -> DataFrame:
+    """``df`` as a Parquet table in ``folder``, read back: cut from its lineage, and read column by column."""
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` cut from its lineage by a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+checkpointed = materialized
 
 
 def fold(id_col: Column) -> Column:
@@ -63,17 +64,6 @@ def hash_share(*cols: Column | str) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 40)) / float(1 << 40)
 
 
-def smallest_hashes(ids: DataFrame, most: int, seed: int) -> DataFrame:
-    """At most ``most`` rows of ``ids(id, ...)``: those with the smallest hashes of the id.
-
-    Rows are thinned by their hash to about four times the bound before they are ranked, so ranking does
-    not depend on the size of the input.
-    """
-    total = ids.count()
-    share = min(1.0, (4 * most + 1000) / max(1, total))
-    return ids.filter(hash_share("id", F.lit(seed)) <= share).orderBy(hash_share("id", F.lit(seed)), "id").limit(most)
-
-
 def utf8_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and row offsets of a string column; nulls count as empty."""
     if isinstance(column, pa.ChunkedArray):
