@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,50 +25,70 @@ QUERY_BLOCK = 1024
 BLOCK = 4096
 #: Candidates whose exact scores give each query its first threshold; any subset gives a valid one.
 SEEDS = 4096
-#: Up to so many bytes of query blocks are broadcast; beyond, pairs of blocks are shuffled by query block.
-MAX_BROADCAST = 48 << 20
+#: So many bytes of query blocks are broadcast at a time; more are searched in several passes over the candidates.
+MAX_BROADCAST = 24 << 20
 
 _LEVELS = (1, 4, 16)
 _ROWS = 256
+_LONG = (1 << 63) - 1
+#: Norms whose product is below these bounds have an inner product that a float or an integer of 64 bits holds exactly.
+_FLOAT, _INTEGER = float(1 << 53), float(1 << 62)
 
 
 @dataclass
 class Block:
-    """Vectors of one dimension as integers held exactly in floats, with their segment statistics."""
+    """Vectors of one dimension as whole numbers, with their norms and segment statistics."""
 
     ids: np.ndarray
     vectors: np.ndarray
+    norms: np.ndarray
     stats: list[np.ndarray]
 
     @classmethod
     def of(cls, ids: np.ndarray, vectors: np.ndarray) -> Block:
-        return cls(ids, vectors, [segment_stats(vectors, n) for n in _LEVELS if n <= vectors.shape[1]])
-
-
-def segment_stats(vectors: np.ndarray, segments: int) -> np.ndarray:
-    """For each vector and segment the mean and the leftover norm, scaled so that their products add up to the bound."""
-    parts = np.array_split(np.arange(vectors.shape[1]), segments)
-    out = np.empty((len(vectors), 2 * segments))
-    for i, part in enumerate(parts):
-        own = vectors[:, part].astype(np.float64)
-        mean = own.mean(axis=1)
-        out[:, i] = mean * np.sqrt(len(part))
-        out[:, segments + i] = np.sqrt(((own - mean[:, None]) ** 2).sum(axis=1))
+        norms = vector_norms(vectors)
+        return cls(ids, vectors, norms, [segment_stats(vectors, n, norms) for n in _LEVELS if n <= vectors.shape[1]])
+
+
+def vector_norms(vectors: np.ndarray) -> np.ndarray:
+    """Euclidean norms, a little too large, and finite for any finite vector."""
+    values = vectors.astype(np.float64)
+    most = np.abs(values).max(axis=1, initial=0)
+    unit = values / np.where(most > 0, most, 1)[:, None]
+    with np.errstate(over="ignore"):
+        return np.minimum(most * np.sqrt((unit**2).sum(axis=1)) * (1 + 1e-9), np.finfo(np.float64).max)
+
+
+def segment_stats(vectors: np.ndarray, segments: int, norms: np.ndarray) -> np.ndarray:
+    """For each vector and segment the mean and the leftover norm, scaled so that their products add up to the bound.
+
+    The last column is a share of the norm: its product is more than all rounding that the bound can suffer, which
+    grows with both norms and the dimension and not with the score.
+    """
+    dim = vectors.shape[1]
+    parts = np.array_split(np.arange(dim), segments)
+    out = np.empty((len(vectors), 2 * segments + 1))
+    with np.errstate(over="ignore", invalid="ignore"):
+        for i, part in enumerate(parts):
+            own = vectors[:, part].astype(np.float64)
+            mean = own.mean(axis=1)
+            out[:, i] = mean * np.sqrt(len(part))
+            out[:, segments + i] = np.sqrt(((own - mean[:, None]) ** 2).sum(axis=1))
+        out[:, -1] = norms * np.sqrt((dim + 32) * 2.0**-49)
     return out
 
 
-def _exact_type(*blocks: np.ndarray) -> type:
-    """A type in which all inner products of the blocks' rows are exact."""
-    most = blocks[0].shape[1]
-    for b in blocks:
-        most *= max(1, int(np.abs(b).max(initial=0)))
-    if most < 1 << 24:
-        return np.float32
-    if most < 1 << 53:
-        return np.float64
-    if most < 1 << 63:
-        return np.int64
-    raise OverflowError("an inner product does not fit 64 bits")
+def exact_scores(a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Inner products of rows of whole numbers; ``size`` bounds them. What 64 bits do not hold is the nearest long."""
+    out = np.empty(len(a), np.int64)
+    low, wide = size < _FLOAT, size >= _INTEGER
+    middle = ~low & ~wide
+    with np.errstate(invalid="ignore"):
+        out[low] = np.einsum("ij,ij->i", a[low].astype(np.float64), b[low].astype(np.float64)).astype(np.int64)
+        out[middle] = np.einsum("ij,ij->i", a[middle].astype(np.int64), b[middle].astype(np.int64))
+    for i in np.flatnonzero(wide):
+        out[i] = max(-_LONG, min(_LONG, sum(int(x) * int(y) for x, y in zip(a[i].tolist(), b[i].tolist()))))
+    return out
 
 
 @dataclass
@@ -102,50 +123,54 @@ class Best:
 
 def search(queries: Block, candidates: Block, best: Best) -> int:
     """Add the candidates that can be among the queries' best; returns how many pairs were scored exactly."""
-    kind = _exact_type(queries.vectors, candidates.vectors)
-    there = candidates.vectors.astype(kind)
     scored = 0
+    top = candidates.norms.max(initial=0)
     for a in range(0, len(queries.ids), _ROWS):
         part = slice(a, a + _ROWS)
         threshold = best.threshold()[part]
-        # Bounds are floats: they are widened by more than their rounding error.
-        limit = np.where(threshold > np.iinfo(np.int64).min, threshold - 1e-9 * np.abs(threshold.astype(np.float64)) - 1e-3, -np.inf)
+        limit = np.where(threshold > -_LONG, np.nextafter(threshold.astype(np.float64), -np.inf), -np.inf)
         columns = np.arange(len(candidates.ids))
         alive = queries.ids[part, None] != candidates.ids[None, :]
         for here, other in zip(queries.stats, candidates.stats):
-            bound = here[part] @ other[columns].T
-            alive &= bound >= limit[:, None]
+            with np.errstate(over="ignore", invalid="ignore"):
+                bound = here[part] @ other[columns].T
+            alive &= ~(bound < limit[:, None])  # a bound that overflowed rules nothing out
             some = alive.any(axis=0)
             if not some.all():
                 alive, columns = alive[:, some], columns[some]
         if not len(columns):
             continue
         row, col = np.nonzero(alive)
-        own = queries.vectors[part].astype(kind)
-        if len(row) * 8 < alive.size:
-            score = np.einsum("ij,ij->i", own[row], there[columns[col]])
+        own, norms = queries.vectors[part], queries.norms[part]
+        if norms.max(initial=0) * top < _FLOAT and len(row) * 8 >= alive.size:
+            score = (own.astype(np.float64) @ candidates.vectors[columns].astype(np.float64).T)[row, col].astype(np.int64)
         else:
-            score = (own @ there[columns].T)[row, col]
+            with np.errstate(over="ignore"):
+                size = norms[row] * candidates.norms[columns[col]]
+            score = exact_scores(own[row], candidates.vectors[columns[col]], size)
         scored += len(row)
-        score = score.astype(np.int64)
         good = score >= threshold[row]
         if good.any():
             best.add(row[good] + a, candidates.ids[columns[col[good]]], score[good])
     return scored
 
 
-def _integers(column: str) -> str:
-    return f"transform({column}, x -> floor(256 * cast(x as double)))"
+def _usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """``id`` and ``v`` (array<double>) of the rows that take part."""
+    v = F.col(vector_col).cast("array<double>")
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
+    return rows.filter(F.col("id").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
 
 
-def _usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """``id`` and ``v`` (array<long>) of the rows that take part."""
-    finite = f"forall({vector_col}, x -> x is not null and not isnan(x) and abs(cast(x as double)) < double('inf'))"
-    kept = vectors.filter(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).filter(finite).filter(F.size(vector_col) > 0)
-    return kept.select(F.col(id_col).cast("long").alias("id"), F.expr(_integers(vector_col)).alias("v"))
+def whole_numbers(values: np.ndarray) -> np.ndarray:
+    """floor(256 * x) in the smallest type that holds all; beyond the largest double it counts as that."""
+    with np.errstate(over="ignore"):
+        out = np.clip(np.floor(256 * values), -np.finfo(np.float64).max, np.finfo(np.float64).max)
+    most = np.abs(out).max(initial=0)
+    return out.astype(np.int16 if most < 1 << 15 else np.int32 if most < 1 << 31 else np.int64 if most < _INTEGER else np.float64)
 
 
-_PACKED = T.StructType([T.StructField("dim", T.IntegerType()), T.StructField("ids", T.BinaryType()), T.StructField("vectors", T.BinaryType())])
+_PACKED = T.StructType([T.StructField("dim", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("ids", T.BinaryType()), T.StructField("vectors", T.BinaryType())])
 
 
 def _pack(most: int):
@@ -155,32 +180,30 @@ def _pack(most: int):
         held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
 
         def out(dim: int) -> pa.RecordBatch:
-            ids, vectors = (np.concatenate(x) for x in zip(*held.pop(dim)))
-            return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([vectors.tobytes()], pa.binary())], names=_PACKED.names)
+            ids, values = (np.concatenate(x) for x in zip(*held.pop(dim)))
+            vectors = whole_numbers(values)
+            return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([vectors.dtype.str]), pa.array([ids.tobytes()], pa.binary()), pa.array([vectors.tobytes()], pa.binary())], names=_PACKED.names)
 
         for batch in batches:
             lists = batch.column(1)
             dims = lists.value_lengths().to_numpy(zero_copy_only=False)
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for dim in np.unique(dims):
+            for dim in map(int, np.unique(dims)):
                 at = np.flatnonzero(dims == dim)
                 values = lists.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-                small = np.int32 if np.abs(values).max() < 1 << 31 else np.int64
                 for i in range(0, len(at), most):
                     part = values[i : i + most]
-                    if sum(len(x) for x, _ in held.get(int(dim), [])) + len(part) > most:
-                        yield out(int(dim))
-                    held.setdefault(int(dim), []).append((ids[at[i : i + most]], part.astype(small)))
+                    if sum(len(x) for x, _ in held.get(dim, [])) + len(part) > most:
+                        yield out(dim)
+                    held.setdefault(dim, []).append((ids[at[i : i + most]], part))
         for dim in list(held):
             yield out(dim)
 
     return emit
 
 
-def _unpack(dim: int, ids: bytes, vectors: bytes) -> Block:
-    keys = np.frombuffer(ids, np.int64)
-    width = len(vectors) // (len(keys) * dim)
-    return Block.of(keys, np.frombuffer(vectors, f"<i{width}").reshape(-1, dim))
+def _unpack(dim: int, kind: str, ids: bytes, vectors: bytes) -> Block:
+    return Block.of(np.frombuffer(ids, np.int64), np.frombuffer(vectors, kind).reshape(-1, dim))
 
 
 def top_k(
@@ -203,13 +226,14 @@ def top_k(
     Defined cases: rows with a null id, a null or empty vector, or a null or non-finite component take no
     part; a query meets candidates of its own dimension only; of rows that share a query's id the smallest
     vector is the query; candidates that share an id each count; a query without candidates has no row; a
-    product beyond 64 bits fails the job. Other columns are not read.
+    product beyond 64 bits counts as the nearest long; an empty table gives no rows. Other columns are not read.
 
-    Vectors are packed into blocks, and every query block meets every candidate block through an equi-join
-    on the number of the query block. Small query sets (``max_broadcast`` bytes) are broadcast, so candidates
-    are not moved; larger ones are shuffled by query block. A task keeps k rows a query, not more.
+    Vectors are packed into blocks. So many query blocks as ``max_broadcast`` bytes hold are broadcast to all
+    candidate blocks, which stay where they are read; more queries are searched in further passes, each of which
+    keeps its k best rows a query and task. A task holds one candidate block and the broadcast queries.
     """
-    tune(vectors.sparkSession)
+    spark = vectors.sparkSession
+    tune(spark)
     usable = _usable(vectors, id_col, vector_col)
     queries = usable.filter(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"))
     many = queries.count()
@@ -222,59 +246,74 @@ def top_k(
     seed_rows: dict[int, list] = {}
     for r in first:
         seed_rows.setdefault(len(r.v), []).append(r)
-    seed_blocks = {d: Block.of(np.array([r.id for r in rows], np.int64), np.array([r.v for r in rows], np.int64)) for d, rows in seed_rows.items()}
+    seed_blocks = {d: Block.of(np.array([r.id for r in rows], np.int64), whole_numbers(np.array([r.v for r in rows], np.float64))) for d, rows in seed_rows.items()}
 
     floor_schema = T.StructType([T.StructField("qb", T.LongType()), *_PACKED.fields, T.StructField("floor", T.BinaryType())])
 
     def thresholds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             floors = []
-            for dim, ids, data in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
-                own = _unpack(dim, ids, data)
-                best = Best.empty(len(own.ids), k, np.full(len(own.ids), np.iinfo(np.int64).min))
+            for dim, kind, ids, data in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4))):
+                own = _unpack(dim, kind, ids, data)
+                best = Best.empty(len(own.ids), k, np.full(len(own.ids), -_LONG - 1))
                 if dim in seed_blocks:
                     search(own, seed_blocks[dim], best)
                 floors.append(best.scores[:, -1].tobytes())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(floors, pa.binary())], names=floor_schema.names)
 
     packed = dealt.mapInArrow(_pack(query_block), _PACKED).select(F.monotonically_increasing_id().alias("qb"), "*")
-    with_floors = checkpointed(packed.mapInArrow(thresholds, floor_schema).selectExpr("qb", "dim as q_dim", "ids as q_ids", "vectors as q_vectors", "floor"))
-    size = with_floors.agg(F.coalesce(F.sum(F.length("q_vectors") + 2 * F.length("q_ids") + 100), F.lit(0)).alias("bytes")).first().bytes
-    small = size <= max_broadcast
-    # The numbers of query blocks: one for QUERY_BLOCK queries.
-    numbers = with_floors.groupBy("q_dim").agg(F.collect_list("qb").alias("numbers"))
+    with_floors = checkpointed(packed.mapInArrow(thresholds, floor_schema).selectExpr("qb", "dim as q_dim", "kind as q_kind", "ids as q_ids", "vectors as q_vectors", "floor"))
     candidates = usable.mapInArrow(_pack(block), _PACKED)
-    met = candidates.join(F.broadcast(numbers), F.col("dim") == F.col("q_dim")).select("dim", "ids", "vectors", F.explode("numbers").alias("qb"))
-    pairs = met.join(F.broadcast(with_floors) if small else with_floors, "qb")
-    if not small:
-        pairs = pairs.sortWithinPartitions("qb")
     result = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.LongType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state: dict[int, tuple[Block, Best]] = {}
         last: tuple[bytes, Block] | None = None
-
-        def out(own: Block, best: Best) -> pa.RecordBatch:
-            row, place = np.nonzero(best.ids != np.iinfo(np.int64).max)
-            return pa.RecordBatch.from_arrays([pa.array(own.ids[row]), pa.array(best.ids[row, place]), pa.array(best.scores[row, place])], names=result.names)
-
         for batch in batches:
-            for dim, ids, data, qb, q_ids, q_data, floor in zip(*(batch.column(i) for i in range(7))):
+            for dim, kind, ids, data, qb, q_kind, q_ids, q_data, floor in zip(*(batch.column(i) for i in range(9))):
                 number = qb.as_py()
                 if number not in state:
-                    if not small:  # sorted: what came before is complete
-                        for done in state.values():
-                            yield out(*done)
-                        state.clear()
-                    own = _unpack(dim.as_py(), q_ids.as_py(), q_data.as_py())
+                    own = _unpack(dim.as_py(), q_kind.as_py(), q_ids.as_py(), q_data.as_py())
                     state[number] = own, Best.empty(len(own.ids), k, np.frombuffer(floor.as_py(), np.int64))
                 raw = data.as_py()
                 if last is None or last[0] != raw:
-                    last = raw, _unpack(dim.as_py(), ids.as_py(), raw)
+                    last = raw, _unpack(dim.as_py(), kind.as_py(), ids.as_py(), raw)
                 search(state[number][0], last[1], state[number][1])
-        for done in state.values():
-            yield out(*done)
-
-    found = pairs.select("dim", "ids", "vectors", "qb", "q_ids", "q_vectors", "floor").mapInArrow(score, result)
-    ranked = found.selectExpr("query_id", "row_number() over (partition by query_id order by score desc, vec_id) as rank", "vec_id", "score")
-    return ranked.filter(F.col("rank") <= k)
+        for own, best in state.values():
+            row, place = np.nonzero(best.ids != np.iinfo(np.int64).max)
+            yield pa.RecordBatch.from_arrays([pa.array(own.ids[row]), pa.array(best.ids[row, place]), pa.array(best.scores[row, place])], names=result.names)
+
+    def searched(part: DataFrame) -> DataFrame:
+        pairs = candidates.join(F.broadcast(part), F.col("dim") == F.col("q_dim"))
+        found = pairs.select("dim", "kind", "ids", "vectors", "qb", "q_kind", "q_ids", "q_vectors", "floor").mapInArrow(score, result)
+        ranked = found.selectExpr("query_id", "row_number() over (partition by query_id order by score desc, vec_id) as rank", "vec_id", "score")
+        return ranked.filter(F.col("rank") <= k)
+
+    # One row a query block: QUERY_BLOCK queries.
+    sizes = with_floors.select("qb", (F.length("q_vectors") + 2 * F.length("q_ids") + 100).alias("bytes")).orderBy("qb").collect()
+    passes: list[list[int]] = [[]]
+    held = 0
+    for qb, size in sizes:
+        if passes[-1] and held + size > max_broadcast:
+            passes.append([])
+            held = 0
+        passes[-1].append(qb)
+        held += size
+    if len(passes) == 1:
+        return searched(with_floors)
+    # Query blocks are numbered in order, so a pass is a range of them; each pass is kept before the next begins.
+    done = [checkpointed(searched(with_floors.filter(F.col("qb").between(p[0], p[-1])))) for p in passes]
+    return reduce(DataFrame.union, done)
+
+
+#: DuckDB SQL for the rows of the query op2.
+ORACLE_SQL = """
+WITH usable AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+    FROM usable q JOIN usable c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
