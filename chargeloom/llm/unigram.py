@@ -6,6 +6,7 @@ keeps, for each position, only the best score and the number of pieces on its pa
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -16,30 +17,49 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from sentencepiece import sentencepiece_model_pb2 as proto
 
 from .common import BoundedCache, claim, texts_of, tune
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 
-_CACHED = 400_000
+_CACHED = 300_000
+_SIXTEENTHS = 16
+
+
+def as_unigram(path: str) -> bytes:
+    """A sentencepiece file as a unigram model, serialised.
+
+    A unigram file is taken as it is. The scores of a BPE file are no log-probabilities but places in the list of
+    merges, with -10^9 for pieces that no merge makes; its pieces get the log-probabilities that Zipf's law gives
+    their place, to the nearest sixteenth.
+    """
+    model = proto.ModelProto()
+    with open(path, "rb") as f:
+        model.ParseFromString(f.read())
+    if model.trainer_spec.model_type != model.trainer_spec.UNIGRAM:
+        model.trainer_spec.model_type = model.trainer_spec.UNIGRAM
+        ranked = sorted((p for p in model.pieces if p.type == p.NORMAL), key=lambda p: -p.score)
+        for place, piece in enumerate(ranked):
+            piece.score = -round(_SIXTEENTHS * math.log(place + 2)) / _SIXTEENTHS
+    return model.SerializeToString()
 
 
 class Counter:
-    """Best score and piece count of texts under the pieces and scores of a sentencepiece file.
+    """Best score and piece count of texts under the pieces and scores of :func:`as_unigram`.
 
-    The rules are those of the library's unigram model: a text gets a space in front and spaces become
-    ``SPACE``; among equal scores at a position the path whose last piece starts first is kept; a character
-    that is not a piece itself may stand as unknown at the lowest score less ``UNKNOWN_PENALTY``, and counts
-    its bytes where the file has byte pieces, else one. Scores are added exactly (in 64-bit floats); the
-    library adds in 32-bit floats, so its choice can differ once a text's score passes 2^24.
+    The rules are those of the library's unigram model: a text gets a space in front and spaces become ``SPACE``;
+    among equal scores at a position the path whose last piece begins first is kept; a character that is not a
+    piece itself may stand as unknown at the lowest score less ``UNKNOWN_PENALTY``, and counts its bytes where the
+    file has byte pieces, else one. Sums of sixteenths are exact, in the library too, however long the text.
 
-    No piece has ``SPACE`` behind another character, so every run of spaces starts a stretch that is scored
-    by itself; stretches are kept.
+    No piece has ``SPACE`` behind another character, so every path ends a piece where a run of spaces begins: what
+    lies between two such places adds the same wherever it stands, so it is scored once and kept.
     """
 
     def __init__(self, path: str) -> None:
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        model = sentencepiece.SentencePieceProcessor(model_proto=as_unigram(path))
         pieces = {}
         self.bytes = False
         for i in range(model.get_piece_size()):
@@ -68,21 +88,21 @@ class Counter:
         """Score and count of one stretch."""
         low = float("-inf")
         best, count = [0.0] + [low] * len(text), [0] * (len(text) + 1)
-        single = [False] * len(text)
+        alone = [False] * len(text)
         # Matches come by end, and for one end the longest first: the earliest start wins a tie.
         at = 0
         for end, (size, score) in self.automaton.iter(text):
             while at < end:
-                if not single[at]:
+                if not alone[at]:
                     self._fill(text, at, best, count)
                 at += 1
             start = end + 1 - size
             if size == 1:
-                single[end] = True
+                alone[end] = True
             if best[start] + score > best[end + 1]:
                 best[end + 1], count[end + 1] = best[start] + score, count[start] + 1
         while at < len(text):
-            if not single[at]:
+            if not alone[at]:
                 self._fill(text, at, best, count)
             at += 1
         return best[-1], count[-1]
@@ -93,7 +113,8 @@ class Counter:
             best[at + 1], count[at + 1] = best[at] + self.unknown, count[at] + self._unknown_size(text[at])
 
     def stretches(self, text: str) -> list[str]:
-        """The stretches of a text; line ends stand alone where no piece has one."""
+        """The stretches of a text; line ends stand alone where no piece has one. A written ``SPACE`` is a space."""
+        text = text.replace(SPACE, " ")
         out: list[str] = []
         for n, line in enumerate(text.split("\n") if self.lines else [text]):
             if n:
@@ -124,7 +145,7 @@ class Counter:
             self.index.clear()
             new = set().union(*parts)
         if len(new) > self.index.limit:
-            return [(sum(n for _, n in found), sum(s for s, _ in found)) for found in ([self.stretch(u) for u in p] for p in parts)]
+            return [(sum(n for _, n in found), math.fsum(s for s, _ in found)) for found in ([self.stretch(u) for u in p] for p in parts)]
         for unit in new:
             at = len(self.index)
             self.scores[at], self.counts[at] = self.stretch(unit)
@@ -142,6 +163,11 @@ def _counter(path: str) -> Counter:
     return Counter(path)
 
 
+def single(value: float) -> float:
+    """A number as a 32-bit float holds it."""
+    return unpack_float(pack_float(value))[0]
+
+
 def load(path: str) -> Counter:
     """The counter of a file, once for each worker."""
     claim("unigram", _counter.cache_clear)
@@ -166,8 +192,9 @@ def counter(path: str):
 def count_tokens(docs: DataFrame, path: str, *, text_col: str = "text", out_col: str = "tokens") -> DataFrame:
     """``docs`` with ``<out_col>``: struct of ``n_tokens`` and ``score`` (of the best path) of the whole text.
 
-    A null or empty text has no tokens and score 0; white space counts like any other text; repeated rows are
-    counted alike; an empty table gives no rows; a column ``<out_col>`` is replaced.
+    A null or empty text has no tokens and score 0; white space counts like any other text; a very long text is
+    scored like a short one; repeated rows are counted alike; an empty table gives no rows; a column ``<out_col>``
+    is replaced, others stay.
     """
     tune(docs.sparkSession)
     return docs.withColumn(out_col, counter(path)(F.col(text_col)))
