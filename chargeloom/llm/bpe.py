@@ -11,6 +11,7 @@ from __future__ import annotations
 import codecs
 import heapq
 import json
+import re
 import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
@@ -22,13 +23,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from tokenizers import Tokenizer as Library
 
-from .common import BoundedCache, claim, texts_of, tune
+from .common import BoundedCache, claim, texts_of, tune, unused_name
 
 _CACHED = 400_000
 _CACHED_WORDS = 150_000
 _SHORT = 48
 _PIECE = 1 << 20
+#: A character of a block that Unicode still adds letters to.
+UNSETTLED = re.compile("[^\x00-\u052f]").search
 _TOKEN, _NONE = (1 << 20) - 1, 1 << 62
 
 
@@ -181,8 +185,8 @@ class Decoder:
 class Tokenizer:
     """A word-level BPE tokenizer file: NFC, lower case, white space dropped, words ended by a suffix.
 
-    Letters and digits are told apart by the Unicode version of the ``regex`` module; code points that are
-    newer than the tokenizers library's own tables can be split otherwise there.
+    Which characters are letters is settled for the blocks up to U+052F. A stretch with others is normalised and
+    cut into words by the tokenizers library itself, whose Unicode tables decide; its words are merged here too.
     """
 
     def __init__(self, path: str) -> None:
@@ -206,15 +210,16 @@ class Tokenizer:
         self.surfaces = [""] * (max(names.values()) + 1)
         for name, i in names.items():
             self.surfaces[i] = name
-        bytes_of = {c: b for b, c in characters.items()}
-        self.pieces = [self._bytes(s, bytes_of) for s in self.surfaces]
+        self.bytes_of = {c: b for b, c in characters.items()}
+        self.pieces = [self._bytes(s) for s in self.surfaces]
+        self.library = Library.from_file(path)
         self.ahead = self.merges.lookahead()
         self.cached, self.cached_words = BoundedCache(_CACHED), BoundedCache(_CACHED_WORDS)
 
-    def _bytes(self, surface: str, bytes_of: dict[str, int]) -> bytes:
+    def _bytes(self, surface: str) -> bytes:
         end = bool(self.suffix) and surface.endswith(self.suffix) and surface not in self.special
         body = surface[: -len(self.suffix)] if end else surface
-        raw = surface.encode() if surface in self.special else bytes(bytes_of[c] for c in body)
+        raw = surface.encode() if surface in self.special else bytes(self.bytes_of[c] for c in body)
         return raw + b" " * end
 
     def _word(self, word: str) -> list[int]:
@@ -236,6 +241,9 @@ class Tokenizer:
     def _plain(self, text: str) -> list[int]:
         """Tokens of a text without special tokens."""
         if not text.isascii():
+            if UNSETTLED(text):
+                cut = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+                return [t for word, _ in cut for t in self._word(bytes(map(self.bytes_of.__getitem__, word)).decode())]
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         return [t for word in self.words(text.lower()) for t in self._word(word)]
 
@@ -344,8 +352,9 @@ def encode_documents(docs: DataFrame, path: str, *, text_col: str = "text", out_
     """``docs`` with ``<out_col>``: the token ids (array<int>) of the whole text.
 
     Special tokens written in a text become their ids; none is added. A null or empty text, and one of white
-    space alone, has no ids (an empty array). Repeated rows are encoded alike, an empty table gives no rows,
-    and an existing column ``<out_col>`` is replaced. ``path`` names the tokenizer file on every machine.
+    space alone, has no ids (an empty array). A very long text is taken apart at spaces, a very long word streamed.
+    Repeated rows are encoded alike, an empty table gives no rows, and an existing column ``<out_col>`` is
+    replaced. ``path`` names the tokenizer file on every machine.
     """
     tune(docs.sparkSession)
     return docs.withColumn(out_col, encoder(path)(F.col(text_col)))
@@ -354,14 +363,21 @@ def encode_documents(docs: DataFrame, path: str, *, text_col: str = "text", out_
 def decode_documents(docs: DataFrame, path: str, *, ids_col: str = "ids", out_col: str = "decoded", form: str = "surface") -> DataFrame:
     """``docs`` with ``<out_col>``: the text of the ids, in the form that :class:`Decoder` describes.
 
-    No ids give the empty text; null ids give null; an id outside the vocabulary fails the job.
+    No ids give the empty text; null ids give null; an id that is null or outside the vocabulary fails the job.
+    Very long lists are decoded in slices. Repeated rows are decoded alike, an empty table gives no rows, and an
+    existing column ``<out_col>`` is replaced.
     """
     tune(docs.sparkSession)
     return docs.withColumn(out_col, decoder(path, form)(F.col(ids_col)))
 
 
 def round_trip_documents(docs: DataFrame, path: str, *, text_col: str = "text", ids_col: str = "ids", out_col: str = "decoded", form: str = "surface") -> DataFrame:
-    """``docs`` with the columns of :func:`encode_documents` and :func:`decode_documents`, ids passing no second worker."""
+    """``docs`` with the columns of :func:`encode_documents` and :func:`decode_documents`, ids passing no second worker.
+
+    The cases of both hold: a null text has no ids and decodes to the empty text. Existing columns of the two names
+    are replaced, all others stay, whatever their names.
+    """
     tune(docs.sparkSession)
-    coded = docs.withColumn("_coded", round_trip(path, form)(F.col(text_col)))
-    return coded.withColumns({ids_col: F.col("_coded.ids"), out_col: F.col("_coded.decoded")}).drop("_coded")
+    both = unused_name("coded", docs)
+    coded = docs.withColumn(both, round_trip(path, form)(F.col(text_col)))
+    return coded.withColumns({ids_col: F.col(both)["ids"], out_col: F.col(both)["decoded"]}).drop(both)
