@@ -23,8 +23,6 @@ from .common import BoundedCache, claim, fold, hash_share, texts_of, tune
 
 #: Documents for each language that the model is fitted on: smallest hashes of the document id.
 MAX_TRAIN_DOCS = 2_000
-#: N-grams that the model keeps for each language, the most frequent first.
-MAX_GRAMS = 50_000
 #: Up to so many languages have their sizes broadcast; beyond, the join shuffles.
 MAX_LANGUAGES = 10_000
 
@@ -35,8 +33,17 @@ _ORDERS = (1, 2, 3)
 _SMOOTH = 0.5
 _FLOOR = -6.0
 _CACHED = 300_000
-_word_scores: dict[str, tuple[BoundedCache, np.ndarray]] = {}
-_WORD = re.compile(r"[^\W\d_]+")
+#: Word scores that a worker keeps take at most so many bytes.
+_CACHED_BYTES = 64 << 20
+
+
+def _letter_runs() -> re.Pattern:
+    r"""Runs of letters. ``[^\W\d_]`` alone also takes characters that stand for numbers, like fractions and circled digits."""
+    no_letter = [c for c in map(chr, range(0x80, 0x110000)) if c.isnumeric() and not c.isalpha()]
+    return re.compile(rf"[^\W\d_{''.join(no_letter)}]+")
+
+
+_WORD = _letter_runs()
 
 # First code point and script of each block that letters are told apart by.
 SCRIPTS = [
@@ -114,11 +121,17 @@ def gram_keys(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    """Log-probabilities of n-grams (by sorted key) and languages, and the scripts that a language is written in."""
+    """Log-probabilities of n-grams in languages, and the scripts that a language is written in.
+
+    The table is sparse: gram ``i`` (by sorted key) has the entries ``first[i]`` to ``first[i + 1]`` of ``language``
+    and ``gain``, each the log-probability over that of a gram that the language has not shown.
+    """
 
     languages: list[str]
     keys: np.ndarray
-    table: np.ndarray
+    first: np.ndarray
+    language: np.ndarray
+    gain: np.ndarray
     unseen: np.ndarray
     scripts: dict[str, np.ndarray]
     #: Names the model's word scores in a worker, which outlive the task that this object belongs to.
@@ -127,14 +140,16 @@ class Model:
     def posteriors(self, words: list[str]) -> np.ndarray:
         """Log posterior of each language for each word, floored; languages outside the script's candidates get the floor."""
         keys, owner = gram_keys(words)
-        total = np.zeros((len(words), len(self.languages)))
+        many, langs = len(words), len(self.languages)
+        total = np.bincount(owner, minlength=many)[:, None] * self.unseen[None, :]
         if len(self.keys):
             spot = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
             known = self.keys[spot] == keys
-            spot, of = spot[known], owner[known]
-            missed = np.bincount(owner[~known], minlength=len(words))
-            for j in range(len(self.languages)):
-                total[:, j] = np.bincount(of, weights=self.table[spot, j], minlength=len(words)) + missed * self.unseen[j]
+            spot, owner = spot[known], owner[known]
+            sizes = self.first[spot + 1] - self.first[spot]
+            entry = np.repeat(self.first[spot] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+            cell = np.repeat(owner, sizes) * langs + self.language[entry]
+            total = total + np.bincount(cell, weights=self.gain[entry], minlength=many * langs).reshape(many, langs)
         for i, word in enumerate(words):
             allowed = self.scripts.get(script(word[0]))
             if allowed is not None and not allowed.all():
@@ -144,24 +159,42 @@ class Model:
 
     def scores(self, texts: list[list[str]]) -> Iterator[np.ndarray]:
         """For each list of words a row of log posteriors for each word; distinct words are scored once and kept."""
-        claim("langid", _word_scores.clear)
-        if self.key not in _word_scores:
-            _word_scores.clear()
-            _word_scores[self.key] = BoundedCache(_CACHED), np.zeros((_CACHED, len(self.languages)), np.float32)
-        index, kept = _word_scores[self.key]
-        new = set().union(*texts).difference(index)
-        if len(index) + len(new) > index.limit:
-            index.clear()
+        claim("langid", _kept.clear)
+        if self.key not in _kept:
+            _kept.clear()
+            _kept[self.key] = WordScores(len(self.languages))
+        kept = _kept[self.key]
+        new = set().union(*texts).difference(kept.index)
+        if len(kept.index) + len(new) > kept.index.limit:
+            kept.index.clear()
             new = set().union(*texts)
-        if len(new) > index.limit:
+        if len(new) > kept.index.limit:
             yield from map(self.posteriors, texts)
             return
         if new:
-            first, new = len(index), list(new)
-            kept[first : first + len(new)] = self.posteriors(new)
-            index.update(zip(new, range(first, first + len(new))))
+            kept.add(list(new), self.posteriors(list(new)))
         for words in texts:
-            yield kept[np.fromiter(map(index.__getitem__, words), np.int64, len(words))].astype(np.float64)
+            yield kept.table[np.fromiter(map(kept.index.__getitem__, words), np.int64, len(words))].astype(np.float64)
+
+
+class WordScores:
+    """Scores of words in rows that grow with the words, up to a bound in bytes."""
+
+    def __init__(self, languages: int) -> None:
+        self.index = BoundedCache(max(1, min(_CACHED, _CACHED_BYTES // (4 * max(1, languages)))))
+        self.table = np.zeros((min(1024, self.index.limit), languages), np.float32)
+
+    def add(self, words: list[str], scores: np.ndarray) -> None:
+        first, last = len(self.index), len(self.index) + len(words)
+        if last > len(self.table):
+            grown = np.zeros((min(self.index.limit, max(last, 2 * len(self.table))), self.table.shape[1]), np.float32)
+            grown[:first] = self.table[:first]
+            self.table = grown
+        self.table[first:last] = scores
+        self.index.update(zip(words, range(first, last)))
+
+
+_kept: dict[str, WordScores] = {}
 
 
 def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
@@ -212,26 +245,26 @@ def label(model: Model, words: list[str], scores: np.ndarray, penalty: float = P
     return model.languages[best], float(np.clip(by[best] / letters.sum() * sure, 0, 1)), [(a, b, model.languages[path[a]]) for a, b in zip(cuts, cuts[1:])]
 
 
-def train(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = MAX_TRAIN_DOCS, max_grams: int = MAX_GRAMS
-) -> Model:
+def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = MAX_TRAIN_DOCS) -> Model:
     """Fit on at most ``max_docs`` documents for each language outside the held-out fold.
 
-    The sample is chosen from ids and languages alone (a column-pruned scan, ranked before it is shuffled),
-    its n-grams are counted by Spark, and at most ``max_grams`` for each language reach the driver. Rows
-    with a null id, a null language or no letter teach nothing; without any row every text is ``und``.
+    The sample is chosen from distinct ids and languages alone (a column-pruned scan, ranked before it is
+    shuffled); of rows that share id and language one is taken. Its n-grams are counted by Spark, and all that it
+    holds reach the driver: their number is bounded by the sample's. Rows with a null id, a null language or no
+    letter teach nothing; without any row every text is ``und``.
     """
     tune(docs.sparkSession)
     known = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang")).filter(F.col("id").isNotNull() & F.col("lang").isNotNull() & (fold(F.col("id")) != 2))
-    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
+    sizes = known.groupBy("lang").agg(F.approx_count_distinct("id").alias("ids"))
     # Thinned by hash to about four times the bound first, so that ranking does not grow with the input.
     if sizes.limit(MAX_LANGUAGES + 1).count() <= MAX_LANGUAGES:
         sizes = F.broadcast(sizes)
-    thinned = known.withColumn("hash", hash_share("id")).join(sizes, "lang").filter(F.col("hash") <= (4 * max_docs + 1000) / F.col("rows"))
-    ids = thinned.selectExpr("id", "lang", "row_number() over (partition by lang order by hash, id) as place").filter(F.col("place") <= max_docs)
+    thinned = known.withColumn("hash", hash_share("id")).join(sizes, "lang").filter(F.col("hash") <= (4 * max_docs + 1000) / F.col("ids"))
+    ids = thinned.select("id", "lang", "hash").distinct().selectExpr("id", "lang", "row_number() over (partition by lang order by hash, id) as place").filter(F.col("place") <= max_docs)
     # At most max_docs ids for each language: a proven bound for the broadcast.
-    chosen = F.broadcast(ids.select("id", "lang").distinct())
+    chosen = F.broadcast(ids.select("id", "lang"))
     sample = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).join(chosen, ["id", "lang"])
+    sample = sample.groupBy("id", "lang").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("gram", T.StringType()), T.StructField("n", T.LongType())])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,13 +280,8 @@ def train(
                     found["#" + script(word[0])] += n * len(word)
                 yield pa.RecordBatch.from_pydict({"lang": [lang] * len(found), "gram": list(found), "n": list(found.values())}, schema=pa.schema([("lang", pa.string()), ("gram", pa.string()), ("n", pa.int64())]))
 
-    counts = sample.select("lang", "text").mapInArrow(emit, schema).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    kept = (
-        counts.selectExpr("*", "row_number() over (partition by lang order by case when gram like '#%' and length(gram) > 3 then 0 else 1 end, n desc, gram) as place")
-        .filter(F.col("place") <= max_grams)
-        .select("lang", "gram", "n")
-        .toPandas()
-    )
+    kept = sample.select("lang", "text").mapInArrow(emit, schema).groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    kept = kept.sort_values(["gram", "lang"], kind="stable")
     languages = sorted(kept["lang"].unique().tolist())
     is_script = kept["gram"].str.startswith("#") & (kept["gram"].str.len() > 3)
     scripts: dict[str, np.ndarray] = {}
@@ -264,21 +292,24 @@ def train(
         if allowed.any():
             scripts[name[1:]] = allowed
     found = kept[~is_script]
-    names = sorted(found["gram"].unique().tolist())
+    names = found["gram"].unique().tolist()
     keys = np.array([sum(ord(c) << 21 * k for k, c in enumerate(reversed(g))) for g in names], dtype=np.int64)
-    rows = {g: i for i, g in enumerate(names)}
-    column = {x: i for i, x in enumerate(languages)}
-    table = np.zeros((len(names), len(languages)))
-    np.add.at(table, (found["gram"].map(rows).to_numpy(np.int64), found["lang"].map(column).to_numpy(np.int64)), found["n"].to_numpy(float))
-    orders = np.array([len(g) for g in names], dtype=np.int64)
-    whole = np.array([[table[orders == n, j].sum() for j in range(len(languages))] for n in _ORDERS])
-    kinds = np.array([(orders == n).sum() + 1 for n in _ORDERS])
+    order = np.argsort(keys, kind="stable")
+    place = np.empty(len(names), np.int64)
+    place[order] = np.arange(len(names))
+    row = place[found["gram"].map({g: i for i, g in enumerate(names)}).to_numpy(np.int64)]
+    column = found["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy(np.int64)
+    n, orders = found["n"].to_numpy(float), found["gram"].str.len().to_numpy(np.int64) - 1
+    # Add-half smoothing over the n-grams of each order that any language shows, and one more.
+    whole = np.zeros((len(_ORDERS), len(languages)))
+    np.add.at(whole, (orders, column), n)
+    kinds = np.array([sum(len(g) == k for g in names) + 1 for k in _ORDERS])
     base = np.log(whole + _SMOOTH * kinds[:, None])
-    if len(names):
-        table = np.log(table + _SMOOTH) - base[orders - 1]
     unseen = (np.log(_SMOOTH) - base).mean(axis=0) if languages else np.zeros(0)
-    order = np.argsort(keys)
-    return Model(languages, keys[order], table[order], unseen, scripts)
+    gain = np.log(n + _SMOOTH) - base[orders, column] - unseen[column]
+    by_row = np.lexsort((column, row))
+    first = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(names)))]).astype(np.int64)
+    return Model(languages, keys[order], first, column[by_row], gain[by_row], unseen, scripts)
 
 
 _RESULT = T.StructType(
@@ -309,8 +340,9 @@ def identify_languages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     The language is the one whose spans hold most letters (ties: the first in alphabetical order); the score
     is their share of all letters times the mean posterior of their words. A null text, or one without a
-    letter, is ``und`` with score 0 and no spans. Every row is labelled by its whole text alone; repeated
-    rows alike; an empty table gives no rows.
+    letter, is ``und`` with score 0 and no spans; characters that stand for numbers are no letters. Every row is
+    labelled by its whole text alone, however long; repeated rows alike; an empty table gives no rows; an existing
+    column ``<out_col>`` is replaced, others stay.
     """
     identify = labeller(train(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, **options), penalty)
     return docs.withColumn(out_col, identify(F.col(text_col)))
