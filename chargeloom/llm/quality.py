@@ -5,8 +5,8 @@ The risk is the non-negative unbiased one: with class prior p, loss l, positives
 the network has begun to memorise the positives, and the step undoes that part instead. With the logistic
 loss, ``sigmoid(f)`` estimates the probability that a text is a positive.
 
-Features are shares and ratios of the whole text (characters by class, words, lines, repeats), so a text
-costs one pass and a model is a few kilobytes.
+Features are shares and ratios of the whole text (characters by class, words, lines, repeats) and hashed shares
+of its words and of its runs of three bytes, so a text costs one pass and a model is some ten kilobytes.
 """
 
 from __future__ import annotations
@@ -20,7 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold, smallest_hashes, tune, utf8_parts
+from .common import fold, hash_share, row_groups, tune, utf8_parts
+from .decontaminate import split_words
 
 #: Bounds of the samples that the model is fitted on: smallest hashes of the document id.
 MAX_POSITIVES = 10_000
@@ -35,12 +36,16 @@ _RATE = 0.01
 _DECAY = 1e-4
 
 _SPACE, _MARKS = [9, 10, 11, 12, 13, 32], [ord(c) for c in "#$%&*+<=>@\\^_`{|}~"]
-_FEATURES = 24
+_SHARES, _BITS = 24, 7
+_FEATURES = _SHARES + 2 * (1 << _BITS)
+_SLICE = 1 << 20
+#: Hashed shares are many and noisy: each is scaled down by so much beside the others.
+_SOFTER = 3.0
 
 
 def features(raw: bytes) -> list[float]:
     """Length-free shares of a UTF-8 text, plus its log lengths; zeros for a text without words."""
-    out = [0.0] * _FEATURES
+    out = [0.0] * _SHARES
     words = raw.split()
     if not words:
         return out
@@ -82,11 +87,31 @@ def features(raw: bytes) -> list[float]:
     return out
 
 
+def hashed_shares(hashes: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """For each row the roots of the shares of its hashes by their highest bits."""
+    cells = (row << _BITS) + (hashes >> np.uint64(64 - _BITS)).astype(np.int64)
+    counts = np.bincount(cells, minlength=rows << _BITS).reshape(rows, -1).astype(np.float64)
+    return np.sqrt(counts / np.maximum(1, counts.sum(axis=1, keepdims=True)))
+
+
 def feature_rows(column: pa.Array) -> np.ndarray:
+    """Features of each text of a column; nulls count as empty."""
     raw, marks = utf8_parts(column)
+    out = np.zeros((len(marks) - 1, _FEATURES))
     data = memoryview(raw)
-    rows = [features(bytes(data[a:b])) for a, b in zip(marks[:-1].tolist(), marks[1:].tolist())]
-    return np.array(rows, dtype=np.float64).reshape(-1, _FEATURES)
+    for i, (a, b) in enumerate(zip(marks[:-1].tolist(), marks[1:].tolist())):
+        out[i, :_SHARES] = features(bytes(data[a:b]))
+    for first, last in row_groups(marks, _SLICE):
+        own, rows = marks[first : last + 1], last - first
+        words = split_words(raw, own)
+        out[first:last, _SHARES : _SHARES + (1 << _BITS)] = hashed_shares(words.hashes, words.row, rows)
+        text = raw[own[0] : own[-1]].astype(np.uint64)
+        if len(text) > 2:
+            runs = (text[:-2] | text[1:-1] << np.uint64(8) | text[2:] << np.uint64(16)) * np.uint64(0x9E3779B97F4A7C15)
+            of = np.repeat(np.arange(rows), np.diff(own))
+            inside = of[:-2] == of[2:]
+            out[first:last, _SHARES + (1 << _BITS) :] = hashed_shares(runs[inside], of[:-2][inside], rows)
+    return out
 
 
 @dataclass
@@ -111,11 +136,35 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def risk(weights: list[np.ndarray], positives: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[float, float, list[np.ndarray]]:
+    """The two parts of the risk on a batch, and the gradient of what a step lowers.
+
+    The parts are ``prior * E_P[l(f)]`` and ``E_U[l(-f)] - prior * E_P[l(-f)]`` with the logistic loss. A step lowers
+    their sum; where the second part is negative, it raises that part instead.
+    """
+    w, b, v, c = weights
+    x = np.concatenate([positives, unlabelled])
+    hidden = np.tanh(x @ w + b)
+    f = hidden @ v + c[0]
+    fp, fu = f[: len(positives)], f[len(positives) :]
+    positive = prior * np.logaddexp(0, -fp).mean()
+    negative = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
+    # l(f) = log(1 + exp(-f)); its slope is -sigmoid(-f).
+    slope = np.concatenate([-prior * _sigmoid(fp) / len(fp), _sigmoid(fu) / len(fu)])
+    if negative >= 0:
+        slope[: len(fp)] -= prior * _sigmoid(-fp) / len(fp)
+    else:
+        slope = -slope
+    back = slope[:, None] * v[None, :] * (1 - hidden**2)
+    return positive, negative, [x.T @ back, back.sum(axis=0), hidden.T @ slope, np.array([slope.sum()])]
+
+
 def fit(positives: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int = 42) -> Model:
     """Minimise the non-negative risk by Adam over batches of both samples."""
     both = np.concatenate([positives, unlabelled])
     mean, scale = both.mean(axis=0), both.std(axis=0)
     scale[scale < 1e-9] = 1
+    scale[_SHARES:] *= _SOFTER
     rng = np.random.default_rng(seed)
     weights = [rng.normal(0, 1 / np.sqrt(_FEATURES), (_FEATURES, _HIDDEN)), np.zeros(_HIDDEN), rng.normal(0, 1 / np.sqrt(_HIDDEN), _HIDDEN), np.zeros(1)]
     model = Model(mean, scale, weights, prior)
@@ -125,27 +174,11 @@ def fit(positives: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int =
     batches = max(1, -(-len(zu) // _BATCH))
     for epoch in range(_EPOCHS):
         order_u, order_p = rng.permutation(len(zu)), rng.permutation(len(zp))
+        rate = _RATE * (1 - epoch / _EPOCHS)
         for k in range(batches):
-            xu = zu[order_u[k::batches]]
             xp = zp[order_p[k::batches]] if len(zp) >= batches else zp
-            x = np.concatenate([xp, xu])
-            w, b, v, c = weights
-            hidden = np.tanh(x @ w + b)
-            f = hidden @ v + c[0]
-            fp, fu = f[: len(xp)], f[len(xp) :]
-            # Logistic loss: l(f) = log(1 + exp(-f)); its slope is -sigmoid(-f).
-            negative = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
-            slope = np.zeros(len(x))
-            if negative >= 0:
-                slope[: len(xp)] = prior * (-_sigmoid(-fp) - _sigmoid(fp)) / len(xp)
-                slope[len(xp) :] = _sigmoid(fu) / len(xu)
-            else:
-                slope[: len(xp)] = prior * _sigmoid(fp) / len(xp)
-                slope[len(xp) :] = -_sigmoid(fu) / len(xu)
-            back = slope[:, None] * v[None, :] * (1 - hidden**2)
-            grads = [x.T @ back, back.sum(axis=0), hidden.T @ slope, np.array([slope.sum()])]
+            _, _, grads = risk(weights, xp, zu[order_u[k::batches]], prior)
             step += 1
-            rate = _RATE * (1 - epoch / _EPOCHS)
             for i, g in enumerate(grads):
                 g = g + _DECAY * weights[i]
                 first[i] = 0.9 * first[i] + 0.1 * g
@@ -189,50 +222,48 @@ def train(
 ) -> Model:
     """Fit on rows outside the held-out fold: positives are labels of 1, unlabelled any documents.
 
-    The prior is the share of positives among all labelled ids where labels of 0 are known too, else
-    :func:`estimate_prior`. Samples are the rows with the smallest hash of the id, so
-    they do not depend on partitioning; their bounds are the ``max_*`` parameters, and only their features
-    reach the driver. A document with several labels counts with the smallest; null ids and null labels
-    are left out. Without any positive or any document the model scores every text alike, at the prior.
+    The prior is :func:`estimate_prior`'s unless it is given. Samples are the distinct ids with the smallest hashes,
+    so they do not depend on partitioning, with one row for each id (by a hash of its text); their bounds are the
+    ``max_*`` parameters, and only their features reach the driver. A document with several labels counts with the
+    smallest; null ids and null labels are left out. Without any positive or any document the model scores every
+    text alike, at the prior.
     """
     tune(docs.sparkSession)
-    marked = (
-        labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
-        .filter(F.col("id").isNotNull() & F.col("label").isNotNull() & (fold(F.col("id")) != 2))
-        .groupBy("id")
-        .agg(F.min("label").alias("label"))
-    )
-    if prior is None:
-        counts = marked.groupBy("label").count().collect()
-        known = {r.label: r["count"] for r in counts}
-        if known.get(0) and known.get(1):
-            prior = known[1] / (known[0] + known[1])
+    marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
+    marked = marked.filter(F.col("id").isNotNull() & F.col("label").isNotNull() & (fold(F.col("id")) != 2)).groupBy("id").agg(F.min("label").alias("label"))
     ids = docs.select(F.col(id_col).alias("id")).filter(F.col("id").isNotNull() & (fold(F.col("id")) != 2))
-    positives = smallest_hashes(marked.filter("label = 1"), max_positives, 0).select("id", F.lit(1).alias("part"))
-    unlabelled = smallest_hashes(ids, max_unlabelled, 1).distinct().select("id", F.lit(2).alias("part"))
+    positives = _smallest(marked.filter("label = 1").select("id"), max_positives, 0).select("id", F.lit(1).alias("part"))
+    unlabelled = _smallest(ids, max_unlabelled, 1).select("id", F.lit(2).alias("part"))
     chosen = positives.union(unlabelled).groupBy("id").agg(F.sum("part").alias("part"))
     # At most max_positives + max_unlabelled ids: a proven bound for the broadcast.
-    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("part", T.LongType()), T.StructField("x", T.ArrayType(T.DoubleType()))])
+    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("id", "part", F.xxhash64("text").alias("hash"), "text")
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("part", T.LongType()), T.StructField("hash", T.LongType()), T.StructField("x", T.BinaryType())])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = feature_rows(batch.column(2))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(x), pa.list_(pa.float64()))], names=schema.names)
+            x = feature_rows(batch.column(3)).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([row.tobytes() for row in x], pa.binary())], names=schema.names)
 
-    rows = sample.select("id", "part", "text").mapInArrow(emit, schema).toPandas()
-    x = np.array(rows["x"].tolist(), dtype=np.float64).reshape(-1, _FEATURES)
+    # One row an id, chosen while rows are gathered: an id that many rows share sends one.
+    rows = sample.mapInArrow(emit, schema).groupBy("id").agg(F.max("part").alias("part"), F.min_by("x", F.struct("hash", "x")).alias("x")).toPandas()
+    x = np.frombuffer(b"".join(rows["x"]), np.float32).reshape(-1, _FEATURES).astype(np.float64)
     # The same order whatever the partitions, so that the same model is learned.
-    order = np.lexsort((*x.T, rows["id"].to_numpy()))
+    order = np.argsort(rows["id"].astype(str).to_numpy(), kind="stable")
     x, part = x[order], rows["part"].to_numpy(np.int64)[order]
     p, u = x[part % 2 == 1], x[part >= 2]
     if not len(p) or not len(u):
         flat = 0.5 if prior is None else prior
         level = float(np.log(np.clip(flat, 1e-6, 1 - 1e-6) / np.clip(1 - flat, 1e-6, 1)))
         return Model(np.zeros(_FEATURES), np.ones(_FEATURES), [np.zeros((_FEATURES, 1)), np.zeros(1), np.zeros(1), np.array([level])], flat)
-    if prior is None:
-        prior = estimate_prior(p, u)
-    return fit(p, u, prior)
+    return fit(p, u, estimate_prior(p, u) if prior is None else prior)
+
+
+def _smallest(ids: DataFrame, most: int, seed: int) -> DataFrame:
+    """At most ``most`` distinct ids: those with the smallest hashes, thinned by hash before they are ranked."""
+    known = ids.agg(F.approx_count_distinct("id")).first()[0]
+    share = min(1.0, (4 * most + 1000) / max(1, known))
+    hashed = hash_share("id", F.lit(seed))
+    return ids.filter(hashed <= share).distinct().orderBy(hashed, "id").limit(most)
 
 
 def scorer(model: Model):
@@ -253,9 +284,9 @@ def held_out(id_col: Column) -> Column:
 def score_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, **options) -> DataFrame:
     """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 where the score reaches the threshold).
 
-    Every row is scored on its whole text, by the text alone. Null and empty texts get the score of a text
-    without words; repeated rows are scored alike; an empty table gives no rows. Columns of ``docs`` named
-    ``score`` or ``predicted`` are replaced.
+    Every row is scored on its whole text, however long, by the text alone. Null and empty texts get the score of a
+    text without words; repeated rows are scored alike; an empty table gives no rows. Columns of ``docs`` named
+    ``score`` or ``predicted`` are replaced, others stay.
     """
     score = scorer(train(docs, labels, id_col=id_col, text_col=text_col, **options))
     return docs.withColumn("score", score(F.col(text_col))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
