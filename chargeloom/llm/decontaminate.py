@@ -1,10 +1,10 @@
 """Benchmark decontamination by winnowed k-gram fingerprints.
 
-A benchmark window is ``WINDOW`` consecutive words of an item. The k-grams of a window form one
-winnowing window, so the smallest k-gram hash of a span of ``WINDOW`` words is chosen alike in the
-benchmark and in a document: every shared span of that length has a shared fingerprint. A document's
-window whose fingerprint the benchmark has is extended to its full length and joined with the
-benchmark's windows on fingerprint, window hash and the words themselves, so hits are exact.
+A benchmark window is ``WINDOW`` consecutive words of an item. Its k-grams form one winnowing window, of which the
+smallest hash (the last of equal ones) is kept, once for all windows that share it: every span of ``WINDOW`` words
+that a document and an item share has a fingerprint in common, at the same place in it. Fingerprints of documents
+that the benchmark has are extended to the windows around them, and these are joined with the benchmark's on
+fingerprint, window hash and the words themselves, so hits are exact.
 """
 
 from __future__ import annotations
@@ -14,17 +14,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import row_groups, tune, utf8_parts
+from .common import checkpointed, row_groups, tune, utf8_parts
 
 WINDOW = 10
 K = 5
 
-#: Up to so many benchmark fingerprints are sent to the workers as a filter; beyond, none is sent.
-MAX_FILTER = 2_000_000
+#: The benchmark's fingerprints and windows are sent to the workers as bitmaps of about so many bits for each, and of
+#: at most 2^MAX_FILTER_BITS (16 MB).
+FILTER_BITS_EACH = 32
+MAX_FILTER_BITS = 27
 #: Up to so many bytes of benchmark windows are broadcast to the join; beyond, it shuffles.
 MAX_BROADCAST = 48 << 20
 
@@ -127,13 +130,20 @@ def window_starts(words: Words, n: int) -> np.ndarray:
     return np.flatnonzero(words.row[:many] == words.row[n - 1 :])
 
 
-def winnow(words: Words, starts: np.ndarray) -> np.ndarray:
-    """For the windows of WINDOW words at ``starts``: the smallest hash of their k-grams."""
+def winnow(words: Words, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Fingerprints of the windows of WINDOW words at ``starts``, thinned: ``(hashes, positions, of)``.
+
+    ``hashes`` and ``positions`` have each chosen k-gram once, however many windows choose it; ``of`` says for each
+    window which one it chose.
+    """
     grams = gram_hashes(words, K)
-    least = np.full(len(starts), np.iinfo(np.uint64).max, dtype=np.uint64)
+    least, at = np.full(len(starts), np.iinfo(np.uint64).max, dtype=np.uint64), np.zeros(len(starts), np.int64)
     for j in range(WINDOW - K + 1):
-        np.minimum(least, grams[starts + j], out=least)
-    return least
+        own = grams[starts + j]
+        last = own <= least
+        least[last], at[last] = own[last], (starts + j)[last]
+    positions, of = np.unique(at, return_inverse=True)
+    return grams[positions], positions, of
 
 
 _WINDOW_FIELDS = [
@@ -160,7 +170,8 @@ def _benchmark_windows(benchmark: DataFrame, item_col: str, text_col: str) -> Da
                 words = split_words(raw, marks[first : last + 1])
                 counts = np.bincount(words.row, minlength=last - first)
                 long = window_starts(words, WINDOW)
-                found = [(long, WINDOW, winnow(words, long), gram_hashes(words, WINDOW)[long] if len(long) else long.view(np.uint64))]
+                prints, _, of = winnow(words, long)
+                found = [(long, WINDOW, prints[of], gram_hashes(words, WINDOW)[long] if len(long) else long.view(np.uint64))]
                 for n in np.unique(counts[(counts > 0) & (counts < WINDOW)]):
                     starts = window_starts(words, int(n))
                     starts = starts[counts[words.row[starts]] == n]
@@ -182,22 +193,33 @@ def _benchmark_windows(benchmark: DataFrame, item_col: str, text_col: str) -> Da
     return rows.mapInArrow(emit, schema).groupBy("n", "fingerprint", "window", "words").agg(F.sort_array(F.collect_set("item")).alias("items"))
 
 
-class _Filter:
-    """Sorted fingerprints behind a bitmap on 22 of their bits."""
+class _Bits:
+    """A bitmap on the highest bits of hashes: what it does not have is in no benchmark."""
 
-    def __init__(self, prints: np.ndarray) -> None:
-        self.prints = np.unique(prints)
-        self.bits = np.zeros(1 << 22, dtype=bool)
-        self.bits[self.prints >> np.uint64(42)] = True
+    def __init__(self, hashes: DataFrame, many: int) -> None:
+        """From ``hashes(hash)``, set together by Spark: at most one row for each 64 bits of the map reaches the driver."""
+        self.width = min(MAX_FILTER_BITS, max(16, (FILTER_BITS_EACH * max(1, many)).bit_length()))
+        slot = F.shiftrightunsigned("hash", 64 - self.width)
+        bit = F.expr("shiftleft(1L, cast(slot & 63 as int))")
+        rows = hashes.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toPandas()
+        self.words = np.zeros(1 << self.width - 6, np.uint64)
+        self.words[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
 
     def of(self, hashes: np.ndarray) -> np.ndarray:
-        out = self.bits[hashes >> np.uint64(42)]
-        at = np.flatnonzero(out)
-        if len(at):
-            spot = np.searchsorted(self.prints, hashes[at])
-            spot[spot == len(self.prints)] = 0
-            out[at] = self.prints[spot] == hashes[at]
-        return out
+        slots = hashes >> np.uint64(64 - self.width)
+        return (self.words[slots >> np.uint64(6)] >> (slots & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+_SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+
+
+def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranges in order of their start, joined where they touch or overlap."""
+    if not len(start):
+        return start, end
+    reach = np.maximum.accumulate(end)
+    new = np.concatenate([[True], start[1:] > reach[:-1]])
+    return start[new], reach[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(start) - 1]])]
 
 
 def decontaminate(
@@ -208,7 +230,6 @@ def decontaminate(
     text_col: str = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
-    max_filter: int = MAX_FILTER,
     max_broadcast: int = MAX_BROADCAST,
 ) -> DataFrame:
     """Which words of each document lie in an occurrence of a benchmark window.
@@ -218,95 +239,103 @@ def decontaminate(
     as sorted strings, of items with an occurring window). Words are lower-cased (A-Z only) runs of
     digits, letters and non-ASCII characters.
 
-    Defined cases: a null or empty text has no words and no hits; an item without words has no window; an
-    item of fewer than ``WINDOW`` words is one window; equal documents or items are counted each by
-    itself, also when they share an id; a null item id is left out of ``items`` though its words count as
-    hit; an empty benchmark hits nothing; other columns of the inputs are not read.
+    Defined cases: a null or empty text has no words and no hits; a very long text is read in one piece; an item
+    without words has no window; an item of fewer than ``WINDOW`` words is one window; equal documents or items are
+    counted each by itself, also when they share an id; a null item id is left out of ``items`` though its words
+    count as hit; an empty benchmark hits nothing; an empty table gives no rows; other columns are not read.
 
-    One scan of ``docs``. The filter on fingerprints is sent to workers only up to ``max_filter`` of them
-    and the benchmark's windows are broadcast only up to ``max_broadcast`` bytes; beyond those sizes all
-    windows of the documents go to a shuffled join, spread by window hash.
+    One scan of ``docs``. Windows whose fingerprint and hash two bitmaps of bounded size know go to the join, and
+    no others; the benchmark's windows are broadcast up to ``max_broadcast`` bytes, beyond, the join shuffles.
+    Rows are told apart by id and a digest of the text, so that it does not matter in which order they come.
     """
     tune(docs.sparkSession)
     windows = _benchmark_windows(benchmark, item_col, item_text_col)
-    size = windows.agg(
-        F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.length("words") + 40 + 24 * F.size("items")), F.lit(0)).alias("bytes")
-    ).first()
-    lengths: list[int] | None = None
-    filters: dict[int, _Filter] | None = None
-    if size.rows <= max_filter:
-        got = windows.select("n", "fingerprint").distinct().toPandas()
-        filters = {int(n): _Filter(g["fingerprint"].to_numpy(np.int64).view(np.uint64)) for n, g in got.groupby("n")}
-        lengths = sorted(filters)
-    else:
-        lengths = sorted(r.n for r in windows.select("n").distinct().collect())
+    # Windows of the same items share the list of them.
+    windows = checkpointed(windows.withColumn("set", F.sha2(F.encode(F.to_json("items"), "UTF-8"), 256)))
+    size = windows.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.length("words") + 120), F.lit(0)).alias("bytes")).first()
+    sets = checkpointed(windows.groupBy("set").agg(F.first("items").alias("items")))
+    listed = sets.agg(F.coalesce(F.sum(80 + 24 * F.size("items")), F.lit(0)).alias("bytes")).first().bytes
+    known = _Bits(windows.select(F.col("fingerprint").alias("hash")), size.rows)
+    exact = _Bits(windows.select(F.col("window").alias("hash")), size.rows)
+    lengths = sorted(r.n for r in windows.select("n").distinct().collect())
 
     id_type = docs.schema[id_col].dataType
-    schema = T.StructType([T.StructField("uid", T.LongType()), T.StructField("id", id_type), T.StructField("n_words", T.LongType()), T.StructField("start", T.LongType()), *_WINDOW_FIELDS])
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    schema = T.StructType([T.StructField("id", id_type), T.StructField("digest", T.BinaryType()), T.StructField("n_words", T.LongType()), T.StructField("start", T.LongType()), *_WINDOW_FIELDS])
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, marks = utf8_parts(batch.column(2))
+            raw, marks = utf8_parts(batch.column(1))
+            data = memoryview(raw)
             for first, last in row_groups(marks, _SLICE):
-                words = split_words(raw, marks[first : last + 1])
+                own = marks[first : last + 1]
+                words = split_words(raw, own)
                 many = last - first
-                uid, ids = batch.column(0).slice(first, many), batch.column(1).slice(first, many)
+                digests = [xxhash.xxh3_128_digest(data[a:b]) for a, b in zip(own[:-1].tolist(), own[1:].tolist())]
+                ids, keys = batch.column(0).slice(first, many), pa.array(digests, pa.binary())
                 n_words = np.bincount(words.row, minlength=many)
                 # The row of a document itself: it matches no window (n = -1) and its key spreads it.
-                none = pa.nulls(many, pa.int64())
-                yield pa.RecordBatch.from_arrays([uid, ids, pa.array(n_words, pa.int64()), none, pa.array(np.full(many, -1, np.int32)), uid, uid, pa.array([""] * many, pa.string())], names=schema.names)
+                spread = pa.array(np.array([int.from_bytes(d[:8], "little", signed=True) for d in digests], np.int64))
+                yield pa.RecordBatch.from_arrays([ids, keys, pa.array(n_words, pa.int64()), pa.nulls(many, pa.int64()), pa.array(np.full(many, -1, np.int32)), spread, spread, pa.array([""] * many, pa.string())], names=schema.names)
                 first_word = np.concatenate([[0], np.cumsum(n_words)])
                 for n in lengths:
                     starts = window_starts(words, n)
                     if not len(starts):
                         continue
-                    hashes = gram_hashes(words, n)[starts] if n < WINDOW else None
-                    prints = hashes if n < WINDOW else winnow(words, starts)
-                    if filters is not None:
-                        kept = filters[n].of(prints)
-                        starts, prints = starts[kept], prints[kept]
-                        hashes = hashes[kept] if hashes is not None else None
-                        if not len(starts):
-                            continue
-                    if hashes is None:
-                        hashes = gram_hashes(words, n)[starts]
+                    whole = gram_hashes(words, n)
+                    if n < WINDOW:
+                        starts = starts[known.of(whole[starts])]
+                        prints = whole[starts]
+                    else:
+                        # Each chosen fingerprint is looked up once, and those known are extended to their windows.
+                        chosen, _, of = winnow(words, starts)
+                        kept = known.of(chosen)[of]
+                        starts, prints = starts[kept], chosen[of[kept]]
+                    real = exact.of(whole[starts])
+                    starts, prints = starts[real], prints[real]
                     for a in range(0, len(starts), 20_000):
                         s = starts[a : a + 20_000]
                         row = pa.array(words.row[s])
                         yield pa.RecordBatch.from_arrays(
                             [
-                                uid.take(row),
                                 ids.take(row),
+                                keys.take(row),
                                 pa.nulls(len(s), pa.int64()),
                                 pa.array(s - first_word[words.row[s]], pa.int64()),
                                 pa.array(np.full(len(s), n, np.int32)),
                                 _signed(prints[a : a + 20_000]),
-                                _signed(hashes[a : a + 20_000]),
+                                _signed(whole[s]),
                                 pa.array([words.text(int(x), n) for x in s], pa.string()),
                             ],
                             names=schema.names,
                         )
 
     found = rows.mapInArrow(emit, schema)
-    right = windows.withColumnsRenamed({"words": "item_words"})
+    right = windows.select("n", "fingerprint", "window", F.col("words").alias("item_words"), "set")
     if size.bytes <= max_broadcast:
         right = F.broadcast(right)
     joined = found.join(right, on=[found.n == right.n, found.fingerprint == right.fingerprint, found.window == right.window, found.words == right.item_words], how="left")
-    hit = F.when(F.col("items").isNotNull(), F.struct(F.col("start"), (F.col("start") + found.n).alias("end")))
-    grouped = joined.select("uid", "id", "n_words", hit.alias("hit"), "items").groupBy("uid").agg(
-        F.first("id", ignorenulls=True).alias(id_col),
-        F.max("n_words").alias("n_words"),
-        F.array_sort(F.collect_set("hit")).alias("hits"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
+    hit = F.when(F.col("set").isNotNull(), F.struct(F.col("start"), (F.col("start") + found.n).alias("end")))
+    grouped = joined.groupBy("id", "digest").agg(
+        F.count("n_words").cast("int").alias("copies"), F.max("n_words").alias("n_words"), F.array_sort(F.collect_set(hit)).alias("hits"), F.collect_set("set").alias("sets")
     )
-    covered = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["end"] - 1)))))
-    starts = F.filter("covered", lambda p, i: (i == 0) | (F.get("covered", i - 1) != p - 1))
-    ends = F.filter("covered", lambda p, i: (i == F.size("covered") - 1) | (F.get("covered", i + 1) != p + 1))
-    return grouped.withColumn("covered", covered).select(
-        id_col,
-        "n_words",
-        F.size("covered").cast("long").alias("n_hit"),
-        F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("start"), (b + 1).alias("end"))).alias("spans"),
-        "items",
+    spread = grouped.withColumn("set", F.explode_outer("sets"))
+    shown = spread.join(F.broadcast(sets) if listed <= max_broadcast else sets, "set", "left").groupBy("id", "digest").agg(
+        F.first("copies").alias("copies"), F.first("n_words").alias("n_words"), F.first("hits").alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
     )
+    each = shown.withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).select("id", "n_words", "hits", "items")
+    out = T.StructType([T.StructField(id_col, id_type), T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("items", T.ArrayType(T.StringType()))])
+
+    def join_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hits = batch.column(2)
+            flat = hits.flatten()
+            first, last = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2))
+            ends = np.cumsum(hits.value_lengths().to_numpy(zero_copy_only=False))
+            spans = [merged(first[b - n : b], last[b - n : b]) for b, n in zip(ends.tolist(), hits.value_lengths().to_pylist())]
+            offsets = np.concatenate([[0], np.cumsum([len(a) for a, _ in spans])]).astype(np.int32)
+            joined = pa.StructArray.from_arrays([pa.array(np.concatenate([x[i] for x in spans] or [first])) for i in range(2)], fields=list(_SPAN))
+            n_hit = pa.array([int((b - a).sum()) for a, b in spans], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), n_hit, pa.ListArray.from_arrays(pa.array(offsets), joined), batch.column(3)], names=out.names)
+
+    return each.mapInArrow(join_ranges, out)
