@@ -37,13 +37,11 @@ _CACHED = 300_000
 _CACHED_BYTES = 64 << 20
 
 
-def _letter_runs() -> re.Pattern:
-    r"""Runs of letters. ``[^\W\d_]`` alone also takes characters that stand for numbers, like fractions and circled digits."""
-    no_letter = [c for c in map(chr, range(0x80, 0x110000)) if c.isnumeric() and not c.isalpha()]
-    return re.compile(rf"[^\W\d_{''.join(no_letter)}]+")
-
-
-_WORD = _letter_runs()
+_WORD = re.compile(r"[^\W\d_]+")
+# What that takes beside letters: characters that stand for numbers, like fractions and circled digits.
+_NUMBERS = re.compile("[" + "".join(c for c in map(chr, range(0x80, 0x110000)) if c.isnumeric() and not c.isalpha()) + "]+")
+#: Words that are scored at a time, which bounds the memory of their n-grams.
+_AT_ONCE = 4096
 
 # First code point and script of each block that letters are told apart by.
 SCRIPTS = [
@@ -139,6 +137,8 @@ class Model:
 
     def posteriors(self, words: list[str]) -> np.ndarray:
         """Log posterior of each language for each word, floored; languages outside the script's candidates get the floor."""
+        if len(words) > _AT_ONCE:
+            return np.concatenate([self.posteriors(words[i : i + _AT_ONCE]) for i in range(0, len(words), _AT_ONCE)])
         keys, owner = gram_keys(words)
         many, langs = len(words), len(self.languages)
         total = np.bincount(owner, minlength=many)[:, None] * self.unseen[None, :]
@@ -228,7 +228,7 @@ def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
 
 def words_of(text: str) -> list[str]:
     """The lower-cased runs of letters of a text."""
-    return _WORD.findall(text.lower())
+    return _WORD.findall((text if text.isascii() else _NUMBERS.sub(" ", text)).lower())
 
 
 def label(model: Model, words: list[str], scores: np.ndarray, penalty: float = PENALTY) -> tuple[str, float, list[tuple[int, int, str]]]:

@@ -36,7 +36,7 @@ _RATE = 0.01
 _DECAY = 1e-4
 
 _SPACE, _MARKS = [9, 10, 11, 12, 13, 32], [ord(c) for c in "#$%&*+<=>@\\^_`{|}~"]
-_SHARES, _BITS = 24, 7
+_SHARES, _BITS = 24, 6
 _FEATURES = _SHARES + 2 * (1 << _BITS)
 _SLICE = 1 << 20
 #: Hashed shares are many and noisy: each is scaled down by so much beside the others.
@@ -161,15 +161,17 @@ def risk(weights: list[np.ndarray], positives: np.ndarray, unlabelled: np.ndarra
 
 def fit(positives: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int = 42) -> Model:
     """Minimise the non-negative risk by Adam over batches of both samples."""
-    both = np.concatenate([positives, unlabelled])
-    mean, scale = both.mean(axis=0), both.std(axis=0)
-    scale[scale < 1e-9] = 1
+    # Mean and deviation of both samples together, without a copy of them.
+    many = len(positives) + len(unlabelled)
+    mean = (positives.sum(axis=0, dtype=np.float64) + unlabelled.sum(axis=0, dtype=np.float64)) / many
+    scale = np.sqrt(sum((((x - mean.astype(x.dtype)) ** 2).sum(axis=0, dtype=np.float64) for x in (positives, unlabelled))) / many)
+    scale[scale < 1e-6] = 1
     scale[_SHARES:] *= _SOFTER
     rng = np.random.default_rng(seed)
     weights = [rng.normal(0, 1 / np.sqrt(_FEATURES), (_FEATURES, _HIDDEN)), np.zeros(_HIDDEN), rng.normal(0, 1 / np.sqrt(_HIDDEN), _HIDDEN), np.zeros(1)]
     model = Model(mean, scale, weights, prior)
     first, second = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
-    zp, zu = (np.clip((x - mean) / scale, -8, 8) for x in (positives, unlabelled))
+    zp, zu = (np.clip((x - mean.astype(x.dtype)) / scale.astype(x.dtype), -8, 8) for x in (positives, unlabelled))
     step = 0
     batches = max(1, -(-len(zu) // _BATCH))
     for epoch in range(_EPOCHS):
@@ -246,11 +248,12 @@ def train(
 
     # One row an id, chosen while rows are gathered: an id that many rows share sends one.
     rows = sample.mapInArrow(emit, schema).groupBy("id").agg(F.max("part").alias("part"), F.min_by("x", F.struct("hash", "x")).alias("x")).toPandas()
-    x = np.frombuffer(b"".join(rows["x"]), np.float32).reshape(-1, _FEATURES).astype(np.float64)
+    x = np.frombuffer(b"".join(rows["x"]), np.float32).reshape(-1, _FEATURES)
     # The same order whatever the partitions, so that the same model is learned.
     order = np.argsort(rows["id"].astype(str).to_numpy(), kind="stable")
-    x, part = x[order], rows["part"].to_numpy(np.int64)[order]
-    p, u = x[part % 2 == 1], x[part >= 2]
+    part = rows["part"].to_numpy(np.int64)[order]
+    del rows
+    p, u = x[order[part % 2 == 1]], x[order[part >= 2]]
     if not len(p) or not len(u):
         flat = 0.5 if prior is None else prior
         level = float(np.log(np.clip(flat, 1e-6, 1 - 1e-6) / np.clip(1 - flat, 1e-6, 1)))

@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import delete_folder
 from . import bpe, chat, decontaminate, html_text, langid, quality, simhash, tokenfile, topk, unigram
-from .common import tables
+from .common import checkpointed, fresh_folder, tables
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,9 +55,11 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = tables(sf_dir)(spark, "documents").select("doc_id", "text")
-    folder = tokenfile.fresh_folder(spark)
+    folder = fresh_folder(spark, "tokens")
     tokenfile.write_tokens(docs, folder, public_tokenizers.path("byte_bpe_50k.json"))
-    return tokenfile.read_tokens(spark, folder, with_ids=False).withColumnRenamed("crc32", "ids_crc32")
+    found = checkpointed(tokenfile.read_tokens(spark, folder, with_ids=False).withColumnRenamed("crc32", "ids_crc32"))
+    delete_folder(spark, folder)
+    return found
 
 
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,4 +105,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat": chat.ORACLE_SQL}
+    return {"op2_topk": topk.ORACLE_SQL, "op4_chat": chat.ORACLE_SQL}

@@ -168,6 +168,15 @@ def group_labels(values: np.ndarray, group: np.ndarray, radius: int) -> np.ndarr
     return labels
 
 
+def _dealt(rows: DataFrame, columns: list[str], block: int) -> DataFrame:
+    """Blocks of ``rows(key, fp, ...)`` as one row of arrays of ``columns``; a key with more than ``block`` rows is
+    dealt over pairs of sub-blocks, so that every two of its rows meet in one."""
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", F.ceil(F.col("n") / block).cast("int").alias("parts"))
+    spread = rows.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    grouped = spread.groupBy("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("rows"))
+    return grouped.filter(F.size("rows") > 1).select(*(F.col(f"rows.{c}").alias(c) for c in columns))
+
+
 def links(prints: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
     """Edges ``(u, v)`` of ids that span, in each block, what lies within ``radius`` bits.
 
@@ -178,18 +187,7 @@ def links(prints: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFr
     bounds = [64 * i // bands for i in range(bands + 1)]
     band = [F.shiftrightunsigned("fp", bounds[i]).bitwiseAND(F.lit((1 << bounds[i + 1] - bounds[i]) - 1)) for i in range(bands)]
     keys = F.array(*(F.struct(F.lit(n).alias("table"), band[i].alias("a"), band[j].alias("b")) for n, (i, j) in enumerate(combinations(range(bands), 2))))
-    rows = prints.select("fp", "id", F.explode(keys).alias("key"))
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", F.ceil(F.col("n") / block).cast("int").alias("parts"))
-    own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    dealt = (
-        rows.join(sizes, "key")
-        .withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .groupBy("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-        .agg(F.array_sort(F.collect_list(F.struct("id", "fp"))).alias("rows"))
-        .filter(F.size("rows") > 1)
-        .select(F.transform("rows", lambda r: r["id"]).alias("ids"), F.transform("rows", lambda r: r["fp"]).alias("fps"))
-    )
+    dealt = _dealt(prints.select("fp", "id", F.explode(keys).alias("key")), ["id", "fp"], block)
     schema = T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,6 +204,38 @@ def links(prints: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFr
     return dealt.mapInArrow(emit, schema)
 
 
+def pairs_within(values: np.ndarray, labels: np.ndarray, radius: int, rows: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of one block, smaller first, whose values differ in at most ``radius`` bits and whose labels differ."""
+    many = len(values)
+    planes = bit_planes(values)[:, None, :]
+    every = np.uint64(0) - (values[None, :] >> np.arange(64, dtype=np.uint64)[:, None] & np.uint64(1))
+    for at in range(0, many, rows):
+        packed = within(planes[:, :, at // 64 :], every[:, at : at + rows, None], radius)
+        if packed is None:
+            continue
+        a, b = np.nonzero(_flags(packed, many - at // 64 * 64))
+        a, b = a + at, b + at // 64 * 64
+        new = (a < b) & (labels[a] != labels[b])
+        yield a[new], b[new]
+
+
+def block_pairs(rows: DataFrame, radius: int, block: int = BLOCK) -> DataFrame:
+    """Pairs ``(u, v)`` of ids, u < v, that share a key, differ in at most ``radius`` bits and have different labels.
+
+    ``rows(key, fp, id, label)``; ids of one label are known to belong together and are not paired.
+    """
+    schema = T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())])
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                ids, values, labels = (batch.column(i)[row].values.to_numpy(zero_copy_only=False) for i in range(3))
+                for a, b in pairs_within(values.view(np.uint64), labels, radius):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], names=schema.names)
+
+    return _dealt(rows, ["id", "fp", "label"], block).mapInArrow(emit, schema)
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
     """``<id_col>`` (long), ``fp`` (signed long) and ``component_id`` for each row of ``docs``.
 
@@ -215,8 +245,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     key that many fingerprints share is dealt over pairs of sub-blocks of ``block``. Nothing is capped.
 
     Defined cases: a text without words (null, empty, white space) has fingerprint zero and is linked like
-    any other; repeated rows each get a row; rows without an id keep their fingerprint, link nothing and
-    get a null component; an empty table gives no rows; other columns are not read.
+    any other; a very long text is hashed whole; repeated rows each get a row; rows without an id keep their
+    fingerprint, link nothing and get a null component; an empty table gives no rows; other columns are not read.
     """
     tune(docs.sparkSession)
     hashed = checkpointed(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle))

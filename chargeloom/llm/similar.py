@@ -1,10 +1,11 @@
-"""Near copies by five-word shingles: SimHash finds most, an exact set join finds all, each pair is confirmed.
-
-Two texts are near copies when the sets of their word shingles have a Jaccard similarity of ``SIMILARITY`` or
-more. At 0.8 fingerprints differ in about 10 of 64 bits, and no bound on bits is both sharp and free of loss,
-so fingerprints only propose pairs that are cheap to find. The rest comes from a prefix join: with the shingles
-of each text in one order, texts that are similar share one among the first n - ceil(0.8 n) + 1. The order puts
-what is frequent in a sample last; it decides how many pairs are looked at, not which are found.
+"""Near copies by five-word shingles: SimHash compared bit-sliced inside blocks, each pair confirmed on whole sets.
+
+Two texts are near copies when the sets of their word shingles have a Jaccard similarity of ``SIMILARITY`` or more.
+At 0.8 their fingerprints differ in about 10 of 64 bits, which no band of equal bits finds: blocks are made of
+texts that agree on the smallest of ``ROWS`` hashings of their shingles instead, in one of ``BANDS`` such draws. Two
+texts of similarity s meet in a block with probability 1 - (1 - s^ROWS)^BANDS, which is 0.997 at 0.8 and rises
+from there, and fingerprints of similar texts are within ``RADIUS`` bits with about the same one. No block and no
+candidate is capped.
 """
 
 from __future__ import annotations
@@ -19,21 +20,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, hash_share, tune, utf8_parts
+from .common import checkpointed, tune, utf8_parts
 from .components import components
-from .simhash import links, majority, shingle_hashes
+from .simhash import BLOCK, block_pairs, majority, shingle_hashes
 
 SHINGLE = 5
 SIMILARITY = Fraction(4, 5)
+BANDS, ROWS = 8, 3
+RADIUS = 18
 
-#: Texts whose shingles are counted to find frequent ones, and how many of those are broadcast at most.
-SAMPLE = 20_000
-MAX_FREQUENT = 100_000
-#: A shingle that so many prefixes hold first proposes its texts against the smallest of them alone.
-STAR = 32
 #: Up to so many ids are broadcast to fetch their texts; beyond, the join shuffles.
 MAX_BROADCAST_IDS = 500_000
 
+_SLICE = 1 << 14
+_rng = np.random.default_rng(17)
+_ODD = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
 
 def normal(raw: bytes) -> bytes:
     """The lower-cased words of a UTF-8 text, joined by single spaces."""
@@ -46,56 +49,32 @@ def _texts(column: pa.Array) -> Iterator[bytes]:
     return (normal(bytes(data[a:b])) for a, b in zip(marks[:-1].tolist(), marks[1:].tolist()))
 
 
-def prefix_length(many: int, similarity: Fraction = SIMILARITY) -> int:
-    """Of ``many`` shingles, how many a similar text cannot miss all of."""
-    return many - -(-many * similarity.numerator // similarity.denominator) + 1 if many else 0
-
-
-def _lists(parts: list[np.ndarray]) -> pa.Array:
-    offsets = np.concatenate([[0], np.cumsum([len(x) for x in parts], dtype=np.int64)]).astype(np.int32)
-    values = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """One key for each band: the smallest of the hashes under ROWS multiplications, folded together."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), _SLICE):
+        np.minimum(least, (_ODD[:, None] * hashes[None, at : at + _SLICE]).min(axis=1), out=least)
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for row in least.reshape(BANDS, ROWS).T:
+        keys = (keys ^ row) * _MIX
+        keys ^= keys >> np.uint64(29)
+    return keys
 
 
-def _frequent(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes that at least three texts of a sample hold, in order, and the number of those texts."""
-    share = min(1.0, SAMPLE / max(1, docs.count()))
-    schema = T.StructType([T.StructField("token", T.LongType())])
+def _hashed(docs: DataFrame, shingle: int) -> DataFrame:
+    """``id``, digest of the words, fingerprint and band keys (none without words) of each row of ``docs(id, text)``."""
+    schema = T.StructType.fromDDL("id long, digest binary, fp long, keys array<long>")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text in _texts(batch.column(0)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(text, shingle)).view(np.int64))], names=schema.names)
-
-    counted = docs.filter(hash_share("id", F.lit(3)) <= share).select("text").mapInArrow(emit, schema).groupBy("token").count().filter("count > 2")
-    rows = counted.orderBy(F.desc("count"), "token").limit(MAX_FREQUENT).collect()
-    tokens, counts = np.array([r[0] for r in rows], np.int64).view(np.uint64), np.array([r[1] for r in rows], np.int64)
-    order = np.argsort(tokens)
-    return tokens[order], counts[order]
-
-
-def _hashed(docs: DataFrame, shingle: int, similarity: Fraction) -> DataFrame:
-    """``id``, digest of the words, number of shingles ``n``, fingerprint and prefix of each row of ``docs(id, text)``."""
-    frequent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, shingle))
-    schema = T.StructType.fromDDL("id long, digest binary, n int, fp long, prefix array<long>")
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts = frequent.value
-        for batch in batches:
-            digests, sizes, prints, prefixes = [], [], [], []
+            digests, prints, keys = [], [], []
             for text in _texts(batch.column(1)):
                 hashes = shingle_hashes(text, shingle)
-                prints.append(majority(hashes))
-                found = np.unique(hashes)
-                weight = np.zeros(len(found), np.int64)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, found), len(known) - 1)
-                    weight = np.where(known[at] == found, counts[at], 0)
                 digests.append(xxhash.xxh3_128_digest(text))
-                sizes.append(len(found))
-                prefixes.append(found[np.lexsort((found, weight))[: prefix_length(len(found), similarity)]])
+                prints.append(majority(hashes))
+                keys.append(band_keys(hashes).view(np.int64) if len(hashes) else np.zeros(0, np.int64))
             fps = pa.array(np.array(prints, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), fps, _lists(prefixes)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), fps, pa.array(keys, pa.list_(pa.int64()))], names=schema.names)
 
     return docs.mapInArrow(emit, schema)
 
@@ -113,7 +92,7 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: Frac
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=schema.names)
 
     sets = checkpointed(docs.join(F.broadcast(ids) if few else ids, "id", "left_semi").select("id", "text").mapInArrow(emit, schema))
-    both = pairs.join(sets.toDF("u", "left"), "u").join(sets.toDF("v", "right"), "v").select("u", "v", "left", "right")
+    both = pairs.join(sets.toDF("v", "right"), "v").join(sets.toDF("u", "left"), "u").select("u", "v", "left", "right")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,41 +106,46 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: Frac
     return checkpointed(both.mapInArrow(confirm, "u long, v long"))
 
 
-def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: Fraction = SIMILARITY) -> DataFrame:
+def near_copies(
+    docs: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle: int = SHINGLE,
+    similarity: Fraction = SIMILARITY,
+    radius: int = RADIUS,
+    block: int = BLOCK,
+) -> DataFrame:
     """``<id_col>`` (long) and ``component`` of each row of ``docs`` that a chain of near copies joins with another.
 
     ``id_col`` must be unique and not null. A component is named by the smallest id in it. Words are what is left
     between white space after lower-casing; a text of fewer words than ``shingle`` is one shingle, and texts
     without words (null, empty, white space) are copies of each other alone. Sets are compared by the 64-bit hashes
-    of their shingles. Texts of equal words are reduced to one first. A shingle that ``STAR`` or more prefixes hold
-    is first tried against one text of its block, and only what stays apart is compared pair by pair: nothing is
-    capped, and no similar pair is left apart.
+    of their shingles, whatever a text's length. Texts of equal words are reduced to one first, so repeats and large
+    groups of copies cost a row each. An empty table gives no rows; other columns are not read.
+
+    A block is first compared with its smallest id alone, which settles a block of copies of one text; only texts
+    that this leaves in different components meet each other, bit-sliced, in sub-blocks of ``block``.
     """
     tune(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    hashed = checkpointed(_hashed(docs, shingle, similarity))
-    texts = checkpointed(hashed.groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix"), F.count(F.lit(1)).alias("rows")))
-
-    tokens = texts.select("id", "n", F.posexplode("prefix").alias("place", "token"))
-    blocks = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("many"), F.min("id").alias("head")).filter("many > 1")
-    shared = checkpointed(tokens.join(blocks, "token"))
-    prints = checkpointed(texts.filter("n > 0").groupBy("fp").agg(F.min("id").alias("id")))
-    first = shared.filter(F.col("many") >= STAR).select(F.col("head").alias("u"), F.col("id").alias("v"))
-    first = first.union(texts.filter("n > 0").join(prints.withColumnRenamed("id", "u"), "fp").select("u", F.col("id").alias("v")))
-    first = first.union(links(prints)).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u != v").distinct()
+    hashed = checkpointed(_hashed(docs, shingle))
+    texts = checkpointed(hashed.groupBy("digest").agg(F.min("id").alias("id"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("rows")))
+
+    marks = texts.select("id", "fp", F.explode("keys").alias("key"))
+    heads = marks.groupBy("key").agg(F.min(F.struct("id", "fp")).alias("head"), F.count(F.lit(1)).alias("many")).filter("many > 1").select("key", "head")
+    shared = checkpointed(marks.join(heads, "key"))
+    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("head.fp"))) <= radius
+    first = shared.filter((F.col("id") != F.col("head.id")) & near).select(F.col("head.id").alias("u"), F.col("id").alias("v")).distinct()
     roots = components(_confirmed(docs, first, shingle, similarity))
 
-    apart = shared.join(roots, shared["id"] == roots["node"], "left").select("token", "id", "n", "place", F.coalesce("root", "id").alias("root"))
-    a, b = apart.alias("a"), apart.alias("b")
-    up, down = similarity.numerator, similarity.denominator
-    # A pair is judged by its first common shingle: what can be common is that one and the shorter rest.
-    most = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"))
-    can = (F.least("a.n", "b.n") * down >= F.greatest("a.n", "b.n") * up) & (most * (up + down) >= (F.col("a.n") + F.col("b.n")) * up)
-    second = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.root") != F.col("b.root")) & can)
-    second = second.select(F.col("a.id").alias("u"), F.col("b.id").alias("v")).distinct()
-    linked = components(roots.toDF("u", "v").union(_confirmed(docs, second, shingle, similarity)))
+    labelled = shared.join(roots, shared["id"] == roots["node"], "left").select("key", "id", "fp", F.coalesce("root", "id").alias("label"))
+    open_ = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
+    second = block_pairs(labelled.join(open_, "key", "left_semi"), radius, block).distinct()
+    tried = second.join(first, ["u", "v"], "left_anti")
+    linked = components(roots.toDF("u", "v").union(_confirmed(docs, tried, shingle, similarity)))
 
     named = texts.join(linked, texts["id"] == linked["node"], "left").select("digest", "rows", F.coalesce("root", "id").alias("component"))
     several = named.groupBy("component").agg(F.sum("rows").alias("rows")).filter("rows > 1").select("component")
     named = checkpointed(named.join(several, "component").select("digest", "component"))
-    return checkpointed(hashed.join(named, "digest").select(F.col("id").alias(id_col), "component"))
+    return checkpointed(hashed.select("id", "digest").join(named, "digest").select(F.col("id").alias(id_col), "component"))

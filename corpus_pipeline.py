@@ -6,14 +6,16 @@ again as the next stage's documents. All but the last return the columns of the
 
 from __future__ import annotations
 
-import uuid
+import zlib
 
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chargeloom.llm import bpe, decontaminate, langid, quality, similar
-from chargeloom.llm.common import checkpointed, shared_dir, tables
+from chargeloom.llm.common import checkpointed, fresh_folder, tables, unused_name, written
+from chargeloom.sources.scratch import delete_folder
 
 #: A text whose best language holds less than this (share of letters x posterior) is rejected.
 MIN_LANGUAGE_SCORE = 0.3
@@ -24,10 +26,20 @@ TOKENIZER = "word_bpe_49k.json"
 
 
 def _keyed(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """``docs`` with a ``_row`` number of its own for each row, written to the shared folder so that it stays."""
-    path = f"{shared_dir(spark).rstrip('/')}/rows-{uuid.uuid4().hex}"
-    docs.withColumn("_row", F.monotonically_increasing_id()).write.parquet(path)
-    return spark.read.parquet(path)
+    """``docs`` with a ``_row`` number of its own for each row, the same whenever it is read.
+
+    Rows of Parquet files have their file and their place in it; any other table is written to the shared folder first.
+    """
+    files = docs.inputFiles()
+    numbers = {zlib.crc32(f.encode()) for f in files}
+    try:
+        place = F.shiftleft(F.crc32(F.encode("_metadata.file_path", "UTF-8")), 31) + F.col("_metadata.row_index")
+        keyed = docs.select("*", place.alias("_row"))
+    except AnalysisException:  # no Parquet table
+        keyed = None
+    if keyed is None or not files or len(numbers) < len(files):
+        return written(docs.withColumn("_row", F.monotonically_increasing_id()), fresh_folder(spark, "rows"))
+    return keyed
 
 
 def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
@@ -38,22 +50,32 @@ def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Documents that the quality classifier accepts, with their columns, whatever those are named.
+
+    Every row is judged by its own text: a null or empty text as a text without words, a very long one whole,
+    repeated rows alike. Rows without an id are judged like others; an empty table gives no rows.
+    """
     model = quality.train(docs, tables(sf_dir)(spark, "labels"))
     return docs.filter(quality.scorer(model)(F.col("text")) >= quality.THRESHOLD)
 
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that is known with some certainty; texts without a letter go."""
-    found = langid.labeller(langid.train(docs))(F.col("text"))
-    return docs.withColumn("_language", found).filter((F.col("_language.lang") != langid.UNDETERMINED) & (F.col("_language.score") >= MIN_LANGUAGE_SCORE)).drop("_language")
+    """Documents in a language that is known with some certainty, with their columns, whatever those are named.
+
+    A null or empty text, or one without a letter, has no language and goes. Every other row is judged by its whole
+    text, repeated rows alike, rows without an id like others; an empty table gives no rows.
+    """
+    name = unused_name("language", docs)
+    labelled = docs.withColumn(name, langid.labeller(langid.train(docs))(F.col("text")))
+    return labelled.filter((F.col(name)["lang"] != langid.UNDETERMINED) & (F.col(name)["score"] >= MIN_LANGUAGE_SCORE)).drop(name)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component of near copies (:mod:`chargeloom.llm.similar`): the smallest id, then the smallest text.
 
     Rows are told apart by a row key, so what has no id is dealt with like any other (it is kept only where
-    no copy has an id), and rows that share an id but are no near copies all stay.
+    no copy has an id), and rows that share an id but are no near copies all stay. Texts without words are
+    copies of each other; an empty table gives no rows; the columns stay as they are.
     """
     rows = _keyed(spark, docs)
     found = similar.near_copies(rows, id_col="_row")
@@ -67,7 +89,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Rows in which no window of a benchmark item occurs.
 
     Rows are told apart by a row key: a contaminated row goes also when it has no id, and a clean row stays
-    also when it shares its id with a contaminated one.
+    also when it shares its id with a contaminated one. A null or empty text holds no window; repeated rows go or
+    stay together; an empty table gives no rows; the columns stay as they are.
     """
     rows = _keyed(spark, docs)
     found = decontaminate.decontaminate(rows.select("_row", "text"), tables(sf_dir)(spark, "benchmark"), id_col="_row")
@@ -75,7 +98,11 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text, and the text that they decode to."""
+    """``doc_id``, ``n_tokens``, ``ids`` and ``decoded`` of each row: token ids and the text that they decode to.
+
+    A null or empty text has no ids and decodes to the empty text; a very long one is coded whole; repeated rows
+    each have a row, an empty table none.
+    """
     path = public_tokenizers.path(TOKENIZER)
     return bpe.round_trip_documents(docs.select("doc_id", "text"), path, form="text").select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
@@ -93,10 +120,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole documents table, each written to the shared folder and read again."""
-    docs = tables(sf_dir)(spark, "documents")
-    folder = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    for n, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{n}")
-        docs = spark.read.parquet(f"{folder}/{n}")
+    """All stages over the whole documents table, each written to the shared folder and read again.
+
+    A stage's table is deleted once the next one is written; the last stays, as the result is read from it.
+    """
+    docs, before = tables(sf_dir)(spark, "documents"), None
+    for _, stage in STAGES:
+        folder = fresh_folder(spark, "pipeline")
+        docs = written(stage(spark, docs, sf_dir), folder)
+        if before is not None:
+            delete_folder(spark, before)
+        before = folder
     return docs

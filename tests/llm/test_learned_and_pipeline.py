@@ -79,14 +79,81 @@ def test_prior_and_risk():
     assert abs(prior - 0.4) < 0.08
     model = quality.fit(positives, unlabelled, 0.4)
     assert (model.score(make(500, 1.0)) > 0.5).mean() > 0.95 and (model.score(make(500, -1.0)) > 0.5).mean() < 0.05
-    assert quality.features(b"") == [0.0] * quality._FEATURES and quality.features(b" \n") == [0.0] * quality._FEATURES
+    assert quality.features(b"") == [0.0] * quality._SHARES and quality.features(b" \n") == [0.0] * quality._SHARES
+
+
+def test_risk_and_gradient_by_plain_computation():
+    """Both parts of the risk against sums written out, and the gradient against differences, on either side of zero."""
+    rng = np.random.default_rng(2)
+    n = quality._FEATURES
+    weights = [rng.normal(0, 0.3, (n, 3)), rng.normal(0, 0.3, 3), rng.normal(0, 1, 3), rng.normal(0, 1, 1)]
+    p, u = rng.normal(0.5, 1, (7, n)), rng.normal(-0.5, 1, (9, n))
+    loss = lambda f: np.log1p(np.exp(-f))
+    margin = lambda ws, x: np.tanh(x @ ws[0] + ws[1]) @ ws[2] + ws[3][0]
+    for prior in (0.3, 0.99, 5.0):
+        parts = lambda ws: (prior * loss(margin(ws, p)).mean(), loss(-margin(ws, u)).mean() - prior * loss(-margin(ws, p)).mean())
+        positive, negative, grads = quality.risk(weights, p, u, prior)
+        assert (positive, negative) == pytest.approx(parts(weights))
+        aim = (lambda ws: sum(parts(ws))) if negative >= 0 else (lambda ws: -parts(ws)[1])
+        for i, g in enumerate(grads):
+            for at in [tuple(rng.integers(0, k) for k in g.shape) for _ in range(5)]:
+                moved = [[w.copy() for w in weights] for _ in range(2)]
+                moved[0][i][at] += 1e-6
+                moved[1][i][at] -= 1e-6
+                assert g[at] == pytest.approx((aim(moved[0]) - aim(moved[1])) / 2e-6, abs=1e-6)
+
+
+def test_one_repeated_id_does_not_fill_the_sample(spark, corpus):
+    folder, docs, labels = corpus
+    hot = spark.createDataFrame([(5, f"text {i}") for i in range(5000)], "doc_id long, text string")
+    table = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").union(hot)
+    seen = []
+    real, quality.fit = quality.fit, lambda p, u, prior: seen.append((len(p), len(u)))
+    try:
+        quality.train(table, spark.read.parquet(f"{folder}/labels.parquet"), prior=0.5, max_positives=50, max_unlabelled=100)
+    finally:
+        quality.fit = real
+    assert seen[0][0] <= 50 and 90 <= seen[0][1] <= 100
+
+
+def test_odd_columns_and_texts(spark, corpus):
+    """Clashing columns are replaced, others stay; very long and empty texts have a score."""
+    folder, _, _ = corpus
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    model, labels = quality.train(docs, spark.read.parquet(f"{folder}/labels.parquet")), spark.read.parquet(f"{folder}/labels.parquet")
+    odd = docs.limit(3).selectExpr("*", "1 as score", "'x' as predicted", "2 as language", "3 as _language", "4 as spans")
+    assert set(quality.score_quality(odd, labels).columns) == set(odd.columns)
+    found = langid.identify_languages(odd)
+    assert set(found.columns) == set(odd.columns) and {r.spans for r in found.collect()} == {4}
+    assert corpus_pipeline.keep_language(spark, odd, folder).columns == odd.columns
+    import pyarrow as pa
+
+    assert quality.feature_rows(pa.array(["", None, "the river " * 200_000, "a"])).shape == (4, quality._FEATURES)
+    assert np.isfinite(model.score(quality.feature_rows(pa.array(["", "x" * 3_000_000])))).all()
 
 
-def test_prior_counts_all_labels(spark):
-    docs = spark.createDataFrame([], "doc_id long, text string")
-    labels = spark.range(80_000).selectExpr("id as doc_id", "int(id % 3 = 0) as quality")
-    known = [int(i % 3 == 0) for i in range(80_000) if not held_out(i)]
-    assert quality.train(docs, labels).prior == sum(known) / len(known)
+def test_what_stands_for_a_number_is_no_letter(spark, corpus):
+    odd = ["½ ² Ⅷ ① 五 x", "½ ² Ⅷ ①", "٣ ४ 12 _", "ª"]
+    assert [langid.words_of(t) for t in odd] == [["五", "x"], [], [], ["ª"]]
+    rows = spark.createDataFrame([(i, t, None) for i, t in enumerate(odd)], "doc_id long, text string, lang string").union(spark.read.parquet(f"{corpus[0]}/documents.parquet").select("doc_id", "text", "lang"))
+    got = {r.text: r.language for r in langid.identify_languages(rows).collect() if r.text in odd}
+    assert [got[t].lang == "und" for t in odd] == [False, True, True, False] and got[odd[1]].score == 0
+
+
+def test_sparse_scores_are_the_plain_sums(spark, corpus):
+    model = langid.train(spark.read.parquet(f"{corpus[0]}/documents.parquet"))
+    table = {}
+    for i, key in enumerate(model.keys.tolist()):
+        for e in range(model.first[i], model.first[i + 1]):
+            table[key, int(model.language[e])] = model.gain[e]
+    for word in ("the", "häuser", "река", "qqq"):
+        sums = []
+        for j in range(len(model.languages)):
+            allowed = model.scripts.get(langid.script(word[0]))
+            keys = [sum(ord(c) << 21 * k for k, c in enumerate(reversed(g))) for g in langid.grams(word)]
+            sums.append(sum(model.unseen[j] + table.get((k, j), 0.0) for k in keys) if allowed is None or allowed[j] else -np.inf)
+        want = np.maximum(np.array(sums) - np.logaddexp.reduce(sums), -6.0)
+        assert model.posteriors([word])[0] == pytest.approx(want)
 
 
 def test_languages_on_held_out_rows(spark, corpus):
@@ -133,7 +200,7 @@ def test_word_scores_do_not_depend_on_the_cache(spark, corpus, monkeypatch):
     want = [model.posteriors(w).astype(np.float32) for w in words]
     for limit in (1, 13, 1000):
         monkeypatch.setattr(langid, "_CACHED", limit)
-        langid._word_scores.clear()
+        langid._kept.clear()
         for _ in range(2):
             assert all(np.allclose(a, b) for a, b in zip(model.scores(words), want))
 
@@ -206,10 +273,9 @@ def test_near_copies_against_brute_force(spark, monkeypatch):
                 want = {k: low if v == high else v for k, v in want.items()}
     want = {i: c for i, c in want.items() if list(want.values()).count(c) > 1}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
-    for star, most in ((3, 0), (32, 100_000)):
-        monkeypatch.setattr(similar, "STAR", star)
-        monkeypatch.setattr(similar, "MAX_FREQUENT", most)
-        assert {r.doc_id: r.component for r in similar.near_copies(docs).collect()} == want
+    for few, block in ((0, 3), (500_000, 2048)):
+        monkeypatch.setattr(similar, "MAX_BROADCAST_IDS", few)
+        assert {r.doc_id: r.component for r in similar.near_copies(docs, block=block).collect()} == want
 
 
 def test_stages_tell_rows_apart_without_ids(spark, tmp_path):

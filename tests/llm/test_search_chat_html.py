@@ -179,9 +179,71 @@ PAGES = {
     "<dl><dt>t<dd>d</dl>": "t\n  d",
     "": "",
     "<p>": "",
+    '<script src="x"/>code</script>v<style/>p{}</style>w': "vw",
+    "<style>@media print{.n{display:none}} @media screen{.s{display:none}}</style><p class=n>a<p class=s>b<p>c": "a\n\nc",
+    "<style>.n{display:none}.n.v{display:block} p{display:none!important} p#i{display:block}</style><div class=n>a</div><div class='v n'>b</div><p id=i>c</p>": "b",
+    "<style>/* .a{display:none} */ .b{visibility:hidden} @font-face{display:none}</style><i class=a>x</i> <i class=b>y</i>": "x",
+    "<p hidden>a<p hidden style='display:block'>b": "b",
+    "<ol><li value=5>a<li>b</ol><ol reversed><li>c<li>d</ol>": "5. a\n6. b\n\n2. c\n1. d",
+    "<select><option>a<option selected>b<option>c</select>": "b",
+    "<ruby>x<rp>(<rt>y<rp>)</ruby>": "xy",
+    "<svg><text>in</text><path d=''/></svg> <math><mi>z</mi></math>": "in z",
 }
 
 
+def simple(node):
+    """A slow renderer of well-formed trees of blocks and words, by the rules alone: (lines, gap before, gap after)."""
+    kind, children = node
+    lines, gap, joins, before = [], False, False, False
+    for child in children:
+        inner, ahead, behind = ([child], False, False) if isinstance(child, str) else simple(child)
+        if isinstance(child, str) and joins:
+            lines[-1] += " " + child
+            continue
+        gap = gap or ahead
+        if not lines:
+            before = gap
+        elif gap:
+            lines.append("")
+        lines += inner
+        gap, joins = behind, isinstance(child, str)
+    if kind == "blockquote":
+        lines = [("  " + x) if x else x for x in lines]
+    spaced = kind in ("p", "blockquote", "h2")
+    return lines, spaced or before, spaced or gap
+
+
+def test_against_a_slow_renderer():
+    rng = random.Random(9)
+
+    def tree(kind, depth):
+        inner = ["div", "section", "blockquote", "p", "h2"] if kind not in ("p", "h2") and depth < 4 else []
+        return kind, [f"w{rng.randrange(99)}" if not inner or rng.random() < 0.5 else tree(rng.choice(inner), depth + 1) for _ in range(rng.randrange(1, 5))]
+
+    def page(node):
+        return f"<{node[0]}>" + " ".join(c if isinstance(c, str) else page(c) for c in node[1]) + f"</{node[0]}>"
+
+    for _ in range(300):
+        made = tree("div", 0)
+        assert html_text.render(page(made)) == "\n".join(simple(made)[0]), page(made)
+
+
+def test_large_and_nested_pages_stay_linear():
+    import time
+
+    began = time.time()
+    wide = "<table><tr>" + "<td>x" * 100_000 + "</table>"
+    assert html_text.render(wide).count("x") == 100_000
+    assert time.time() - began < 4
+    deep = "<blockquote>x" * 70_000
+    text = html_text.render(deep)
+    assert text.count("x") == 70_000 and len(text) < 8_000_000
+    nested = "<table><tr><td>y" * 2000
+    assert html_text.render(nested).count("y") == 2000
+    columns = "<table>" + "<tr><td>" + "z" * 500 + "<td>a" + "<tr><td><td>b" * 1000
+    assert html_text.render(columns).count("b") == 1000
+
+
 @pytest.mark.parametrize("page", list(PAGES))
 def test_page_text(page):
     assert html_text.render(page) == PAGES[page]
