@@ -39,7 +39,8 @@ _CACHED_BYTES = 64 << 20
 
 _WORD = re.compile(r"[^\W\d_]+")
 # What that takes beside letters: characters that stand for numbers, like fractions and circled digits.
-_NUMBERS = re.compile("[" + "".join(c for c in map(chr, range(0x80, 0x110000)) if c.isnumeric() and not c.isalpha()) + "]+")
+_NUMBERS = {c: " " for c in map(chr, range(0x80, 0x110000)) if c.isnumeric() and not c.isalpha()}
+_BLANKED = str.maketrans(_NUMBERS)
 #: Words that are scored at a time, which bounds the memory of their n-grams.
 _AT_ONCE = 4096
 
@@ -228,7 +229,9 @@ def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
 
 def words_of(text: str) -> list[str]:
     """The lower-cased runs of letters of a text."""
-    return _WORD.findall((text if text.isascii() else _NUMBERS.sub(" ", text)).lower())
+    if not text.isascii() and not _NUMBERS.keys().isdisjoint(text):
+        text = text.translate(_BLANKED)
+    return _WORD.findall(text.lower())
 
 
 def label(model: Model, words: list[str], scores: np.ndarray, penalty: float = PENALTY) -> tuple[str, float, list[tuple[int, int, str]]]:
