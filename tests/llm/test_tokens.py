@@ -176,6 +176,34 @@ def test_unigram_is_the_librarys_where_its_floats_are_exact():
         assert counter.count([text])[0][0] == len(tokens), text
 
 
+def test_unigram_counts_are_the_librarys_on_the_given_file():
+    import sentencepiece
+
+    library, counter = sentencepiece.SentencePieceProcessor(model_proto=unigram.as_unigram(PIECE)), unigram.load(PIECE)
+    rng = random.Random(6)
+    parts = ["the ", " ", "  ", "\n", "日本", "é", "😀", "ing", "12", "\t", "Ж", "   x", "\x00", "zzzz", "▁"]
+    odd = ["".join(rng.choice(parts) for _ in range(rng.randrange(0, 300))) for _ in range(400)]
+    odd += ["the quick brown fox " * 60_000, "x" * 50_000, *(t or "" for t in texts(12, 200))]
+    assert [n for n, _ in counter.count(odd)] == [len(library.encode(t)) for t in odd]
+
+
+def test_code_points_of_unsettled_blocks_are_cut_as_the_library_cuts():
+    library, own = Tokenizer.from_file(WORD), bpe.load(WORD)
+    for c in map(chr, [*range(0x20, 0xD800, 7), *range(0xE000, 0x20000, 7)]):
+        text = f"a{c}b {c}1 {c}{c}"
+        assert np.frombuffer(own.encode(text), np.int32).tolist() == library.encode(text, add_special_tokens=False).ids, hex(ord(c))
+
+
+def test_rows_of_one_id_are_dealt_over_shards(spark, tmp_path):
+    """An id with most rows fills several shards, and the order by id holds."""
+    bounds = np.array([5, 7, 7, 7, 9], np.int64)
+    rng = np.random.default_rng(1)
+    ids, ties = rng.integers(0, 12, 4000), rng.integers(0, 1 << 32, 4000)
+    shards = tokenfile._shards(bounds, ids, ties)
+    order = np.lexsort((ties, ids))
+    assert (np.diff(shards[order]) >= 0).all() and len(set(shards[ids == 7].tolist())) == 4 and set(shards[ids == 3].tolist()) == {0}
+
+
 def test_one_operator_keeps_things_in_a_worker(monkeypatch):
     from chargeloom.llm import common
 
