@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BoundedCache, claim, fold, hash_share, texts_of, tune
+from .common import BoundedCache, claim, fold, hash_share, row_groups, texts_of, tune
 
 #: Documents for each language that the model is fitted on: smallest hashes of the document id.
 MAX_TRAIN_DOCS = 2_000
@@ -43,6 +43,8 @@ _NUMBERS = {c: " " for c in map(chr, range(0x80, 0x110000)) if c.isnumeric() and
 _BLANKED = str.maketrans(_NUMBERS)
 #: Words that are scored at a time, which bounds the memory of their n-grams.
 _AT_ONCE = 4096
+#: Characters of texts whose words are held at a time; a longer text stands alone.
+_CHARS = 1 << 20
 
 # First code point and script of each block that letters are told apart by.
 SCRIPTS = [
@@ -331,8 +333,10 @@ def labeller(model: Model, penalty: float = PENALTY):
     @F.arrow_udf(_RESULT)
     def identify(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
-            texts = list(map(words_of, texts_of(column)))
-            found = [label(model, words, scores, penalty) for words, scores in zip(texts, model.scores(texts))]
+            texts, found = texts_of(column), []
+            for a, b in row_groups(np.cumsum([0, *map(len, texts)]), _CHARS):
+                words = list(map(words_of, texts[a:b]))
+                found += [label(model, w, s, penalty) for w, s in zip(words, model.scores(words))]
             yield pa.array([{"lang": x, "score": s, "spans": [{"start": a, "end": b, "lang": y} for a, b, y in spans]} for x, s, spans in found], _ARROW)
 
     return identify
