@@ -14,7 +14,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +27,8 @@ RADIUS = 2
 
 #: Fingerprints that one block compares; a key with more is dealt over pairs of sub-blocks.
 BLOCK = 2048
+#: A block with more candidate pairs a row than this lists none of them; its texts are compared where the block is.
+PAIRS_A_ROW = 2
 
 _COUNT_ROWS = 1 << 16
 _SMALL = 32
@@ -168,13 +170,18 @@ def group_labels(values: np.ndarray, group: np.ndarray, radius: int) -> np.ndarr
     return labels
 
 
-def _dealt(rows: DataFrame, columns: list[str], block: int) -> DataFrame:
-    """Blocks of ``rows(key, fp, ...)`` as one row of arrays of ``columns``; a key with more than ``block`` rows is
-    dealt over pairs of sub-blocks, so that every two of its rows meet in one."""
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", F.ceil(F.col("n") / block).cast("int").alias("parts"))
-    spread = rows.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+def dealt(rows: DataFrame, columns: list[str], block: int, by: str = "fp", weight: Column | None = None, most: int = 0) -> DataFrame:
+    """Blocks of ``rows(key, ...)`` as one row of ``key`` and arrays of ``columns``; a key with more than ``block`` rows, or
+    whose rows have a ``weight`` of over ``most``, is dealt by ``by`` over pairs of sub-blocks, so that every two of its
+    rows meet in one."""
+    parts = F.ceil(F.col("n") / block)
+    total = F.sum(weight) if weight is not None else F.lit(0)
+    if weight is not None:
+        parts = F.greatest(parts, F.ceil(F.col("total") / most))
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), total.alias("total")).filter("n > 1").select("key", parts.cast("int").alias("parts"))
+    spread = rows.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64(by), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     grouped = spread.groupBy("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("rows"))
-    return grouped.filter(F.size("rows") > 1).select(*(F.col(f"rows.{c}").alias(c) for c in columns))
+    return grouped.filter(F.size("rows") > 1).select("key", *(F.col(f"rows.{c}").alias(c) for c in columns))
 
 
 def links(prints: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
@@ -187,7 +194,7 @@ def links(prints: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFr
     bounds = [64 * i // bands for i in range(bands + 1)]
     band = [F.shiftrightunsigned("fp", bounds[i]).bitwiseAND(F.lit((1 << bounds[i + 1] - bounds[i]) - 1)) for i in range(bands)]
     keys = F.array(*(F.struct(F.lit(n).alias("table"), band[i].alias("a"), band[j].alias("b")) for n, (i, j) in enumerate(combinations(range(bands), 2))))
-    dealt = _dealt(prints.select("fp", "id", F.explode(keys).alias("key")), ["id", "fp"], block)
+    blocks = dealt(prints.select("fp", "id", F.explode(keys).alias("key")), ["id", "fp"], block).select("id", "fp")
     schema = T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +208,7 @@ def links(prints: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFr
             tied = np.flatnonzero(labels != np.arange(len(labels)))
             yield pa.RecordBatch.from_arrays([pa.array(ids[tied]), pa.array(ids[labels[tied]])], names=schema.names)
 
-    return dealt.mapInArrow(emit, schema)
+    return blocks.mapInArrow(emit, schema)
 
 
 def pairs_within(values: np.ndarray, labels: np.ndarray, radius: int, rows: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -219,21 +226,38 @@ def pairs_within(values: np.ndarray, labels: np.ndarray, radius: int, rows: int
         yield a[new], b[new]
 
 
-def block_pairs(rows: DataFrame, radius: int, block: int = BLOCK) -> DataFrame:
+def block_pairs(rows: DataFrame, radius: int, block: int = BLOCK, most: int = PAIRS_A_ROW) -> DataFrame:
     """Pairs ``(u, v)`` of ids, u < v, that share a key, differ in at most ``radius`` bits and have different labels.
 
-    ``rows(key, fp, id, label)``; ids of one label are known to belong together and are not paired.
+    ``rows(key, fp, id, label)``, with a long key; ids of one label are known to belong together and are not paired.
+    A block in which more than ``most`` pairs a row are found gives none, but a row with its key as ``crowded``.
     """
-    schema = T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())])
+    schema = T.StructType.fromDDL("u long, v long, crowded long")
+    arrow = pa.schema([(name, pa.int64()) for name in schema.names])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            us, vs, crowded = [], [], []
             for row in range(batch.num_rows):
-                ids, values, labels = (batch.column(i)[row].values.to_numpy(zero_copy_only=False) for i in range(3))
+                ids, values, labels = (batch.column(i)[row].values.to_numpy(zero_copy_only=False) for i in (1, 2, 3))
+                found, left = [], most * len(ids)
                 for a, b in pairs_within(values.view(np.uint64), labels, radius):
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], names=schema.names)
-
-    return _dealt(rows, ["id", "fp", "label"], block).mapInArrow(emit, schema)
+                    left -= len(a)
+                    if left < 0:
+                        crowded.append(batch.column(0)[row].as_py())
+                        break
+                    found.append((ids[a], ids[b]))
+                else:
+                    us += [a for a, _ in found]
+                    vs += [b for _, b in found]
+            u, v = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (us, vs))
+            if len(u):
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.nulls(len(u), pa.int64())], schema=arrow)
+            if crowded:
+                none = pa.nulls(len(crowded), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, pa.array(crowded, pa.int64())], schema=arrow)
+
+    return dealt(rows, ["id", "fp", "label"], block).mapInArrow(emit, schema)
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:

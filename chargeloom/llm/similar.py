@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from .common import checkpointed, tune, utf8_parts
 from .components import components
-from .simhash import BLOCK, block_pairs, majority, shingle_hashes
+from .simhash import BLOCK, PAIRS_A_ROW, block_pairs, dealt, majority, pairs_within, shingle_hashes
 
 SHINGLE = 5
 SIMILARITY = Fraction(4, 5)
@@ -31,6 +31,8 @@ RADIUS = 18
 
 #: Up to so many ids are broadcast to fetch their texts; beyond, the join shuffles.
 MAX_BROADCAST_IDS = 500_000
+#: A sub-block of a crowded block holds about so many bytes of shingle hashes.
+BLOCK_BYTES = 1 << 20
 
 _SLICE = 1 << 14
 _rng = np.random.default_rng(17)
@@ -79,10 +81,9 @@ def _hashed(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.mapInArrow(emit, schema)
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: Fraction) -> DataFrame:
-    """The pairs ``(u, v)`` of ids whose texts in ``docs(id, text)`` are similar, by their whole sets of shingles."""
-    pairs = checkpointed(pairs)
-    ids = checkpointed(pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct())
+def _sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+    """``id`` and the sorted distinct shingle hashes (as bytes) of the rows of ``docs(id, text)`` that ``ids(id)`` names."""
+    ids = checkpointed(ids.distinct())
     few = ids.count() <= MAX_BROADCAST_IDS
     schema = T.StructType.fromDDL("id long, hashes binary")
 
@@ -91,7 +92,13 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: Frac
             sets = [np.unique(shingle_hashes(text, shingle)).tobytes() for text in _texts(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=schema.names)
 
-    sets = checkpointed(docs.join(F.broadcast(ids) if few else ids, "id", "left_semi").select("id", "text").mapInArrow(emit, schema))
+    return checkpointed(docs.join(F.broadcast(ids) if few else ids, "id", "left_semi").select("id", "text").mapInArrow(emit, schema))
+
+
+def _confirmed(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: Fraction) -> DataFrame:
+    """The pairs ``(u, v)`` of ids whose texts in ``docs(id, text)`` are similar, by their whole sets of shingles."""
+    pairs = checkpointed(pairs)
+    sets = _sets(docs, pairs.select(F.col("u").alias("id")).union(pairs.select("v")), shingle)
     both = pairs.join(sets.toDF("v", "right"), "v").join(sets.toDF("u", "left"), "u").select("u", "v", "left", "right")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,6 +113,57 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: Frac
     return checkpointed(both.mapInArrow(confirm, "u long, v long"))
 
 
+def spanning_pairs(values: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], radius: int, similarity: Fraction) -> list[tuple[int, int]]:
+    """Positions of similar texts of one block, fewer than its texts, that join what any of its similar pairs join.
+
+    ``labels`` name what is joined already; a candidate of the bit-sliced comparison whose labels have met by then
+    is not looked at.
+    """
+    labels = np.unique(labels, return_inverse=True)[1]
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    marks = np.concatenate([[0], np.cumsum(sizes)])
+    spots = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    own, out = np.zeros(spots.max() + 1, bool), []
+    for left, right in pairs_within(values, labels, radius):
+        cuts = np.flatnonzero(np.diff(left, prepend=-1, append=-1))
+        for at, end in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            one, others = int(left[at]), right[at:end]
+            others = others[labels[others] != labels[one]]
+            if not len(others):
+                continue
+            mine = spots[marks[one] : marks[one + 1]]
+            own[mine] = True
+            # The others are after this one, so sums are made from its end on.
+            shared = np.add.reduceat(own[spots[marks[one + 1] :]], marks[one + 1 : -1] - marks[one + 1], dtype=np.int64)[others - one - 1]
+            own[mine] = False
+            others = others[shared * similarity.denominator >= similarity.numerator * (sizes[one] + sizes[others] - shared)]
+            met, first = np.unique(labels[others], return_index=True)
+            out += [(one, int(x)) for x in others[first]]
+            labels[np.isin(labels, met)] = labels[one]
+    return out
+
+
+def _confirmed_in_blocks(docs: DataFrame, rows: DataFrame, shingle: int, similarity: Fraction, radius: int, block: int, block_bytes: int) -> DataFrame:
+    """Pairs ``(u, v)`` that join the near copies of each key of ``rows(key, id, fp, label)``: fewer than it has rows.
+
+    The whole sets of the texts go where the blocks are, in sub-blocks of about ``block_bytes`` bytes, so a group of texts of
+    which many are nearly similar is compared without a row for each two of them.
+    """
+    rows = checkpointed(rows)
+    full = rows.join(_sets(docs, rows.select("id"), shingle), "id")
+    blocks = dealt(full, ["id", "fp", "label", "hashes"], block, by="id", weight=F.length("hashes"), most=block_bytes)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                ids, values, labels = (batch.column(i)[row].values.to_numpy(zero_copy_only=False) for i in (1, 2, 3))
+                sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(4)[row].values]
+                found = spanning_pairs(values.view(np.uint64), labels, sets, radius, similarity)
+                yield pa.RecordBatch.from_arrays([pa.array([int(ids[a]) for a, _ in found], pa.int64()), pa.array([int(ids[b]) for _, b in found], pa.int64())], names=["u", "v"])
+
+    return checkpointed(blocks.mapInArrow(emit, "u long, v long"))
+
+
 def near_copies(
     docs: DataFrame,
     *,
@@ -115,6 +173,8 @@ def near_copies(
     similarity: Fraction = SIMILARITY,
     radius: int = RADIUS,
     block: int = BLOCK,
+    block_bytes: int = BLOCK_BYTES,
+    pairs_a_row: int = PAIRS_A_ROW,
 ) -> DataFrame:
     """``<id_col>`` (long) and ``component`` of each row of ``docs`` that a chain of near copies joins with another.
 
@@ -125,7 +185,9 @@ def near_copies(
     groups of copies cost a row each. An empty table gives no rows; other columns are not read.
 
     A block is first compared with its smallest id alone, which settles a block of copies of one text; only texts
-    that this leaves in different components meet each other, bit-sliced, in sub-blocks of ``block``.
+    that this leaves in different components meet each other, bit-sliced, in sub-blocks of ``block``. Where that finds
+    more than ``pairs_a_row`` candidates a row, they are confirmed inside the block and only joining pairs leave it:
+    the plan differs, the result does not.
     """
     tune(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -141,9 +203,14 @@ def near_copies(
 
     labelled = shared.join(roots, shared["id"] == roots["node"], "left").select("key", "id", "fp", F.coalesce("root", "id").alias("label"))
     open_ = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
-    second = block_pairs(labelled.join(open_, "key", "left_semi"), radius, block).distinct()
-    tried = second.join(first, ["u", "v"], "left_anti")
-    linked = components(roots.toDF("u", "v").union(_confirmed(docs, tried, shingle, similarity)))
+    opened = checkpointed(labelled.join(open_, "key", "left_semi"))
+    second = checkpointed(block_pairs(opened, radius, block, pairs_a_row))
+    tried = second.filter("crowded is null").select("u", "v").distinct().join(first, ["u", "v"], "left_anti")
+    links = roots.toDF("u", "v").union(_confirmed(docs, tried, shingle, similarity))
+    crowded = checkpointed(second.filter("crowded is not null").select(F.col("crowded").alias("key")).distinct())
+    if crowded.count():
+        links = links.union(_confirmed_in_blocks(docs, opened.join(crowded, "key", "left_semi"), shingle, similarity, radius, block, block_bytes))
+    linked = components(links)
 
     named = texts.join(linked, texts["id"] == linked["node"], "left").select("digest", "rows", F.coalesce("root", "id").alias("component"))
     several = named.groupBy("component").agg(F.sum("rows").alias("rows")).filter("rows > 1").select("component")

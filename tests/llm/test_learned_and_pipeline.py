@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from chargeloom.llm import langid, quality, similar
+from chargeloom.llm import langid, quality, simhash, similar
 from chargeloom.llm.queries import op8_quality, op9_langid
 
 WORDS = {
@@ -273,9 +273,37 @@ def test_near_copies_against_brute_force(spark, monkeypatch):
                 want = {k: low if v == high else v for k, v in want.items()}
     want = {i: c for i, c in want.items() if list(want.values()).count(c) > 1}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
-    for few, block in ((0, 3), (500_000, 2048)):
+    # With no pair a row every block is confirmed in place, also in sub-blocks of a few texts.
+    for few, block, options in ((0, 3, {}), (500_000, 2048, {}), (500_000, 2048, {"pairs_a_row": 0}), (0, 3, {"pairs_a_row": 0, "block_bytes": 2000})):
         monkeypatch.setattr(similar, "MAX_BROADCAST_IDS", few)
-        assert {r.doc_id: r.component for r in similar.near_copies(docs, block=block).collect()} == want
+        assert {r.doc_id: r.component for r in similar.near_copies(docs, block=block, **options).collect()} == want
+
+
+def test_crowded_blocks_list_few_pairs(spark):
+    rng = random.Random(9)
+    rows = [(7, rng.choice([0, 1, 3]), i, i) for i in range(90)] + [(8, 0, 100, 100), (8, 1, 101, 101)]
+    found = simhash.block_pairs(spark.createDataFrame(rows, "key long, fp long, id long, label long"), 3).collect()
+    assert sorted(tuple(r) for r in found if r.crowded is None) == [(100, 101, None)]
+    assert {tuple(r) for r in found if r.crowded is not None} == {(None, None, 7)}
+
+
+def test_spanning_pairs_join_all_similar_texts():
+    rng = np.random.default_rng(4)
+    base = [np.arange(60, dtype=np.uint64), np.arange(1000, 1060, dtype=np.uint64)]
+    sets = [np.unique(np.concatenate([rng.permutation(base[i > 9 and i % 2])[: 60 - int(k)], rng.integers(100, 140, int(k), dtype=np.uint64)])) for i, k in enumerate(rng.integers(0, 16, 80))]
+    near = [[5 * len(np.intersect1d(x, y)) >= 4 * len(np.union1d(x, y)) for y in sets] for x in sets]
+    labels = np.where(np.arange(80) < 10, 0, np.arange(80))
+
+    def joined(pairs):
+        named = labels.copy()
+        for a, b in pairs:
+            named[named == max(named[a], named[b])] = min(named[a], named[b])
+        return named.tolist()
+
+    found = similar.spanning_pairs(np.zeros(80, np.uint64), labels, sets, 18, similar.SIMILARITY)
+    assert all(near[a][b] for a, b in found) and len(found) < 80
+    assert joined(found) == joined([(a, b) for a in range(80) for b in range(80) if near[a][b]])
+    assert 2 < len(set(joined(found))) < 60
 
 
 def test_stages_tell_rows_apart_without_ids(spark, tmp_path):
