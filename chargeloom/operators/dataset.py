@@ -43,10 +43,14 @@ def chronological_split(table: DataFrame, cfg: PrepConfig) -> DataFrame:
 
 
 def impute(table: DataFrame, features: list[str]) -> DataFrame:
-    """Features filled forward, then backward, inside a station's split. The target is never filled."""
+    """Features filled forward, then backward, inside a station's split. The target is never filled.
+
+    After the forward fill only the leading rows of a split are still null, and they all take the same value: the
+    first one that the split has. So it is looked up once over the whole split, and the work grows with the rows.
+    """
     order = Window.partitionBy(STATION, "split").orderBy(TIME)
-    before, after = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
-    filled = {c: F.coalesce(F.last(c, ignorenulls=True).over(before), F.first(c, ignorenulls=True).over(after)) for c in features}
+    before, whole = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    filled = {c: F.coalesce(F.last(c, ignorenulls=True).over(before), F.first(c, ignorenulls=True).over(whole)) for c in features}
     return table.withColumns(filled)
 
 
