@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import delete_folder
-from . import bpe, chat, decontaminate, html_text, langid, quality, simhash, tokenfile, topk, unigram
+from . import bpe, chat, codebooks, decontaminate, html_text, langid, quality, simhash, tokenfile, topk, unigram, urls, whitening
 from .common import checkpointed, fresh_folder, tables
 
 
@@ -89,6 +89,29 @@ def op10_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("tokens.n_tokens").alias("n_tokens"), F.col("tokens.score").alias("score"))
 
 
+def op11_codebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = tables(sf_dir)(spark, "embeddings").select("vec_id", "embedding", "label")
+    coded, known = codebooks.compress(vectors)
+    digests = {length: known.digest(length) for length in known.books}
+    length = F.col("length")
+    digest = F.coalesce(*(F.when(length == k, F.lit(v)) for k, v in digests.items()), F.lit(None).cast("string"))
+    code = F.array_join(F.transform("code", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "")
+    found = codebooks.with_label_error(coded)
+    return found.select("vec_id", code.alias("code"), "error", "label_error", digest.alias("codebooks_sha256"))
+
+
+def op12_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = tables(sf_dir)(spark, "pages").select("page_id", "url")
+    found = urls.judge(pages, urls.train(urls.labelled_urls(spark)), urls.RULES)
+    return found.select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(tables(sf_dir)(spark, "embeddings").select("vec_id", "embedding"))
+    rows = found.select("vec_id", "n", "deviation", "explained", "identity_error", F.posexplode("whitened").alias("place", "whitened"))
+    return rows.select("vec_id", (F.col("place") + 1).alias("component"), "n", "deviation", "whitened", F.col("explained")[F.col("place")].alias("explained"), "identity_error")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
@@ -101,8 +124,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": op8_quality,
         "op9_langid": op9_langid,
         "op10_unigram": op10_unigram,
+        "op11_codebooks": op11_codebooks,
+        "op12_urls": op12_urls,
+        "op13_whitening": op13_whitening,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk": topk.ORACLE_SQL, "op4_chat": chat.ORACLE_SQL}
+    return {"op2_topk": topk.ORACLE_SQL, "op4_chat": chat.ORACLE_SQL, "op11_codebooks": codebooks.oracle_sql()}
