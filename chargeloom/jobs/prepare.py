@@ -24,12 +24,16 @@ def _features(table: DataFrame, cfg: PrepConfig) -> list[str]:
 
 
 def build_hourly(spark: SparkSession, raw_folder: str, out_folder: str, cfg: PrepConfig | None = None) -> dict:
-    """Raw station files to the hourly table, the quality report and the rejected stations."""
+    """Raw station files to the hourly table, the quality report and the rejected stations.
+
+    The raw rows are read once: their hours are kept with what the report needs, and both are finished from there.
+    """
     cfg = cfg or PrepConfig()
     raw, headers, rejected = read_station_files(spark, raw_folder)
-    tables.write_hourly(hourly.hourly_table(raw, cfg.max_span_hours, cfg.frequency), f"{out_folder}/hourly")
+    profiled = materialized(hourly.profile_hours(raw, cfg.frequency))
+    tables.write_hourly(hourly.fill_hours(hourly.hours_of(profiled), cfg.max_span_hours, cfg.frequency), f"{out_folder}/hourly")
     table = contracts.require_rows(read_hourly(spark, f"{out_folder}/hourly", cfg), "station has hourly rows")
-    tables.write_report(hourly.quality_report(raw, headers, cfg.frequency), f"{out_folder}/quality")
+    tables.write_report(hourly.station_report(profiled, headers, cfg.frequency), f"{out_folder}/quality")
     tables.write_report(rejected, f"{out_folder}/rejected")
     discovered = headers.count() + rejected.count()
     counters = hourly.run_counters(table, discovered).first().asDict()

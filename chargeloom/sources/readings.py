@@ -5,7 +5,6 @@ from __future__ import annotations
 import csv
 import re
 from collections.abc import Iterator
-from functools import reduce
 from urllib.parse import quote, unquote
 
 import pyarrow as pa
@@ -16,7 +15,9 @@ from pyspark.sql import types as T
 
 from ..config import STATION, TIME, VALUE_COLUMNS, PrepConfig
 from ..functions.columns import number, parse_time
-from ..operators.hourly import column_report
+from .scratch import materialized
+
+EXPECTED = (TIME, *VALUE_COLUMNS)
 
 #: A header is looked for in so many bytes at the start of a file.
 HEAD_BYTES = 1 << 16
@@ -27,21 +28,19 @@ STATION_FOLDER = "station_folder"
 #: Where a cloud store has several scheme names, the one that Arrow knows.
 _SCHEMES = {"s3a": "s3", "s3n": "s3"}
 
-
-def _station(suffix: str) -> Column:
-    """The station of a row: its file's name without the suffix. Spark's name of the file has escapes in it."""
-    name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
-    return F.regexp_replace(name, re.escape(suffix) + "$", "")
+#: Headers of up to so many files are broadcast to the lines; beyond, the join shuffles.
+MAX_BROADCAST_FILES = 200_000
 
 
-def station_of(path: str, suffix: str) -> str:
-    """The same of a path as Hadoop writes it (without escapes)."""
-    return path.rsplit("/", 1)[-1].removesuffix(suffix)
+def station_name(file: Column, suffix: str) -> Column:
+    """The station of a file: its name without the suffix. Spark's names of files have escapes in them."""
+    name = F.url_decode(F.replace(F.substring_index(file, "/", -1), F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(name, re.escape(suffix) + "$", "")
 
 
-def _plain(path: str) -> str:
-    """A path whose characters all stand for themselves in Spark's readers, which expand patterns."""
-    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
+def _same(file: Column) -> Column:
+    """A file's name with one slash after the scheme: a listing and a scan write it with different numbers of them."""
+    return F.regexp_replace(file, r"^([^:/]+):/+", "$1:/")
 
 
 def _head(path: str) -> bytes:
@@ -61,38 +60,52 @@ def parse_header(head: bytes) -> tuple[str, ...]:
     return tuple(c.strip() for c in next(csv.reader(lines[:1]), ()))
 
 
-def file_headers(spark: SparkSession, folder: str, glob: str = "*.csv") -> dict[str, tuple[str, ...]]:
-    """Header of each CSV file of a folder, by path; an error if there is none.
+def file_headers(spark: SparkSession, folder: str, suffix: str = ".csv") -> DataFrame:
+    """``file``, ``station_id`` and ``header`` (an array of names) of each CSV file of a folder; an error if there is none.
 
-    Files are listed by Spark without reading them, and tasks read the first bytes of each. One short row a file
-    reaches the driver, which has every path anyway: Spark binds one schema to many CSV files by position, so
-    files are handed to it in groups of one header.
+    Tasks read the first bytes of each file, and the table of headers is kept in the shared folder. The driver has the
+    files' names alone, which Spark's listing holds there for any scan (a scan itself has no row of an empty file).
     """
-    listed = [(unquote(p),) for p in spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder).inputFiles()]
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").load(folder).inputFiles()
     if not listed:
         raise FileNotFoundError(f"no station files in {folder}")
-    files = spark.createDataFrame(listed, "path string").repartition(min(len(listed), spark.sparkContext.defaultParallelism))
+    files = spark.createDataFrame([(p,) for p in listed], "file string")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            headers = [list(parse_header(_head(p))) for p in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(headers, pa.list_(pa.string()))], names=["path", "header"])
+            headers = [list(parse_header(_head(unquote(p)))) for p in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(headers, pa.list_(pa.string()))], names=["file", "header"])
 
-    return {r.path: tuple(r.header) for r in files.mapInArrow(emit, "path string, header array<string>").collect()}
+    dealt = files.repartition(spark.sparkContext.defaultParallelism)
+    return materialized(dealt.mapInArrow(emit, "file string, header array<string>").select(_same(F.col("file")).alias("file"), station_name(F.col("file"), suffix).alias(STATION), "header"))
 
 
-def _groups(headers: dict[str, tuple[str, ...]]) -> dict[tuple[str, ...], list[str]]:
-    out: dict[tuple[str, ...], list[str]] = {}
-    for path, header in sorted(headers.items()):
-        out.setdefault(header, []).append(path)
-    return out
+def read_by_name(spark: SparkSession, folder: str, headers: DataFrame, suffix: str = ".csv") -> DataFrame:
+    """The lines of the CSV files of a folder as ``station_id`` and the expected columns, all text, by any number of headers.
 
-
-def _read(spark: SparkSession, paths: list[str], header: tuple[str, ...]) -> DataFrame:
-    """Files of one header as text; of columns that share a name the first one counts."""
-    names = [c if header.index(c) == i else f"_repeat_{i}" for i, c in enumerate(header)]
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
-    return spark.read.csv([_plain(p) for p in paths], header=True, schema=schema, enforceSchema=True)
+    One scan reads all files under as many unnamed columns as the longest header has; where a file has an expected
+    column comes from its row of ``headers``. Files that are not in ``headers`` are left out. Of columns that
+    share a name the first one counts; a column that a file does not have is null.
+    """
+    files, width = headers.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("header")), F.lit(0))).first()
+    schema = T.StructType([T.StructField(f"_{i}", T.StringType()) for i in range(max(1, width))])
+    # With the schema enforced the first line of each file is skipped and not compared.
+    lines = spark.read.csv(folder, schema=schema, header=True, enforceSchema=True, pathGlobFilter=f"*{suffix}")
+    lines = lines.select(_same(F.col("_metadata.file_path")).alias("file"), F.array(*schema.names).alias("_fields"))
+    places = headers.select("file", STATION, *(F.array_position("header", c).cast("int").alias(f"_{c}") for c in EXPECTED))
+    placed = lines.join(F.broadcast(places) if files <= MAX_BROADCAST_FILES else places, "file")
+    return placed.select(STATION, *(F.get("_fields", F.col(f"_{c}") - 1).alias(c) for c in EXPECTED))
+
+
+def header_report(headers: DataFrame) -> DataFrame:
+    """``station_id`` and, of its header, the expected columns that are there and missing, and the unexpected ones."""
+    expected = F.array(*map(F.lit, EXPECTED))
+    return headers.select(
+        STATION,
+        F.filter(expected, lambda c: F.array_contains("header", c)).alias("available_columns"),
+        F.filter(expected, lambda c: ~F.array_contains("header", c)).alias("missing_columns"),
+        F.filter("header", lambda c: ~F.array_contains(expected, c) & (c != STATION)).alias("unexpected_columns"),
+    )
 
 
 def read_station_files(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -102,24 +115,13 @@ def read_station_files(spark: SparkSession, folder: str) -> tuple[DataFrame, Dat
     ``headers`` has one row for each station: expected columns there and missing, and unexpected ones.
     ``rejected`` has the stations whose file has no time column; the others are read all the same.
     """
-    expected = (TIME, *VALUE_COLUMNS)
-    parts, reports, rejected = [], [], []
-    for header, paths in _groups(file_headers(spark, folder)).items():
-        stations = [station_of(p, ".csv") for p in paths]
-        if TIME not in header:
-            rejected += [(s, f"no {TIME} column") for s in stations]
-            continue
-        parts.append(_read(spark, paths, header).select(_station(".csv").alias(STATION), *(F.col(c) for c in expected if c in header)))
-        report = column_report(list(header))
-        reports += [(s, *report.values()) for s in stations]
-    if not parts:
+    headers = file_headers(spark, folder)
+    timed = F.array_contains("header", TIME)
+    usable = headers.filter(timed)
+    if usable.isEmpty():
         raise RuntimeError(f"no station file of {folder} has a {TIME} column")
-    arrays = "available_columns array<string>, missing_columns array<string>, unexpected_columns array<string>"
-    return (
-        reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts),
-        spark.createDataFrame(reports, f"{STATION} string, {arrays}"),
-        spark.createDataFrame(rejected, f"{STATION} string, reason string"),
-    )
+    rejected = headers.filter(~timed).select(STATION, F.lit(f"no {TIME} column").alias("reason"))
+    return read_by_name(spark, folder, usable), header_report(usable), rejected
 
 
 def _typed(table: DataFrame, station: Column) -> DataFrame:
@@ -144,10 +146,13 @@ def read_hourly(spark: SparkSession, folder: str, cfg: PrepConfig) -> DataFrame:
 def read_hourly_csv(spark: SparkSession, folder: str, cfg: PrepConfig) -> DataFrame:
     """Hourly CSV files named ``<station>_hourly.csv``; files without time or target are left out.
 
-    Numbers and times are read by the rules for raw readings, so what is no number is missing.
+    Numbers and times are read by the rules for raw readings, so what is no number is missing. Measurements that no
+    file has are no columns.
     """
-    usable = {p: h for p, h in file_headers(spark, folder, "*_hourly.csv").items() if {TIME, cfg.target} <= set(h)}
-    if not usable:
+    headers = file_headers(spark, folder, "_hourly.csv")
+    usable = headers.filter(F.array_contains("header", TIME) & F.array_contains("header", cfg.target))
+    known = usable.agg(*(F.coalesce(F.bool_or(F.array_contains("header", c)), F.lit(False)).alias(c) for c in VALUE_COLUMNS)).first()
+    if not known[cfg.target]:
         raise RuntimeError(f"no usable hourly file in {folder}")
-    parts = [_typed(_read(spark, paths, header), _station("_hourly.csv")) for header, paths in _groups(usable).items()]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    rows = read_by_name(spark, folder, usable, "_hourly.csv")
+    return _typed(rows.drop(*(c for c in VALUE_COLUMNS if not known[c])), F.col(STATION))

@@ -162,3 +162,46 @@ def test_short_predictions_and_scaler_files(spark, tmp_path):
     assert tables.read_scaler(spark, f"{tmp_path}/scaler").collect() == scaler.collect()
     assert layouts.first_k(rows, ["t"], 1).count() == 1
     assert layouts.merge_clients(rows, "val").count() == 0
+
+
+def scans(plan: str) -> int:
+    """File scans in the text of a plan."""
+    return len({line.strip(" +-:*()0123456789") for line in plan.splitlines() if "FileScan" in line})
+
+
+def test_many_headers_are_one_scan(spark, tmp_path):
+    """A hundred headers over a thousand files: one scan, no union, columns by name."""
+    from chargeloom.sources.readings import file_headers, read_by_name
+
+    folder = tmp_path / "many"
+    folder.mkdir()
+    for n in range(1000):
+        k = n % 100
+        names = [f"x{i}" for i in range(k % 10)] + (HEADER if k % 2 else HEADER[::-1])[: 11 - k // 10 % 3] + [f"y{k}"]
+        write(folder / f"{n:04}.csv", names, [[f"{n}/{c}" for c in names]] * 2)
+    headers = file_headers(spark, str(folder))
+    assert headers.count() == 1000 and headers.select("header").distinct().count() == 100
+    rows = read_by_name(spark, str(folder), headers)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert scans(plan) == 1 and "Union" not in plan
+    got = rows.collect()
+    assert len(got) == 2000
+    for r in got:
+        n, k = int(r.station_id), int(r.station_id) % 100
+        there = (HEADER if k % 2 else HEADER[::-1])[: 11 - k // 10 % 3]
+        assert all(r[c] == (f"{n}/{c}" if c in there else None) for c in HEADER), r
+
+
+def test_raw_files_are_scanned_once(spark, raw_folder, tmp_path):
+    """The report alone, and the table and the report together, read the raw lines once."""
+    from chargeloom.operators import hourly
+    from chargeloom.sources.scratch import materialized
+
+    raw, headers, _ = read_station_files(spark, raw_folder)
+    plan = hourly.quality_report(raw, headers)._jdf.queryExecution().executedPlan().toString()
+    assert sum("FileScan csv" in line for line in plan.splitlines()) == 1
+    kept = materialized(hourly.profile_hours(raw))
+    both = hourly.fill_hours(hourly.hours_of(kept)).unionByName(hourly.station_report(kept, headers).select("station_id"), allowMissingColumns=True)
+    assert "FileScan csv" not in both._jdf.queryExecution().executedPlan().toString()
+    want = {tuple(r) for r in hourly.hourly_table(raw).collect()}
+    assert {tuple(r) for r in hourly.fill_hours(hourly.hours_of(kept)).collect()} == want
