@@ -17,6 +17,10 @@ SUMMED_COLUMNS = ("duration", "volume")
 OCCUPANCY_COLUMNS = ("occupancy_rate", "fast_occupancy_rate", "slow_occupancy_rate")
 CALENDAR_COLUMNS = ("hour", "day_of_week", "is_weekend", "hour_sin", "hour_cos", "dow_sin", "dow_cos")
 
+#: How times are written: the plain form, and further ones that are tried in this order where it does not fit.
+TIME_FORMAT = "yyyy-M-d H:m:s"
+TIME_FORMATS = (TIME_FORMAT, "yyyy-M-d'T'H:m:s", "yyyy-M-d[ ]['T']H:m:s.SSSSSS", "yyyy/M/d H:m:s", "yyyy-M-d H:m", "yyyy/M/d H:m", "yyyy-M-d", "yyyy/M/d")
+
 SPLITS = ("train", "val", "test")
 SCALERS = ("standard", "minmax")
 
@@ -36,6 +40,8 @@ class PrepConfig:
     iid_clients: int | None = None
     #: Width of a row of the rolled-up table; slots are counted from 1970-01-01 00:00.
     frequency: str = "1 hour"
+    #: Patterns of times in text, tried in order.
+    time_formats: tuple[str, ...] = TIME_FORMATS
     #: A gap between two readings of a station longer than this many hours fails the job; None checks nothing.
     max_span_hours: int | None = None
 

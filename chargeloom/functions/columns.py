@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..config import TIME_FORMAT
+
 #: Text that counts as a number: decimal with optional exponent, or an infinity.
 NUMBER = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity))\s*$"
-TIME_FORMAT = "yyyy-M-d H:m:s"
 
 
 def parse_number(text: Column) -> Column:
@@ -23,9 +25,9 @@ def number(column: Column, of: T.DataType) -> Column:
     return parse_number(column) if isinstance(of, T.StringType) else F.nullif(column.cast("double"), F.lit(math.nan))
 
 
-def parse_time(text: Column) -> Column:
-    """Text ``YYYY-MM-DD HH:MM:SS`` to a time without zone, null where it is none."""
-    return F.try_to_timestamp(text.cast("string"), F.lit(TIME_FORMAT)).cast("timestamp_ntz")
+def parse_time(text: Column, formats: Sequence[str] = (TIME_FORMAT,)) -> Column:
+    """Text to a time without zone by the first of ``formats`` that it has, null where it has none."""
+    return F.coalesce(*(F.try_to_timestamp(text.cast("string"), F.lit(f)) for f in formats)).cast("timestamp_ntz")
 
 
 def finite(value: Column) -> Column:

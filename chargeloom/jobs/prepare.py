@@ -30,10 +30,12 @@ def build_hourly(spark: SparkSession, raw_folder: str, out_folder: str, cfg: Pre
     """
     cfg = cfg or PrepConfig()
     raw, headers, rejected = read_station_files(spark, raw_folder)
-    profiled = materialized(hourly.profile_hours(raw, cfg.frequency))
+    profiled = materialized(hourly.profile_hours(raw, cfg.frequency, cfg.time_formats))
     tables.write_hourly(hourly.fill_hours(hourly.hours_of(profiled), cfg.max_span_hours, cfg.frequency), f"{out_folder}/hourly")
     table = contracts.require_rows(read_hourly(spark, f"{out_folder}/hourly", cfg), "station has hourly rows")
-    tables.write_report(hourly.station_report(profiled, headers, cfg.frequency), f"{out_folder}/quality")
+    report = materialized(hourly.station_report(profiled, headers, cfg.frequency))
+    tables.write_report(report, f"{out_folder}/quality")
+    tables.write_report(hourly.skipped_stations(report), f"{out_folder}/skipped")
     tables.write_report(rejected, f"{out_folder}/rejected")
     discovered = headers.count() + rejected.count()
     counters = hourly.run_counters(table, discovered).first().asDict()
@@ -63,6 +65,7 @@ def build_datasets(spark: SparkSession, hourly_folder: str, out_folder: str, cfg
     if bad:
         raise ValueError(f"windows that are not finite: {[(r[STATION], r['split']) for r in bad]}")
     stations = stats.filter("train_windows > 0").select(STATION)
+    tables.write_stations(stations, f"{out_folder}/stations")
     clients = cfg.iid_clients or stations.count()
     keys = made.select("split", STATION, "t")
     tables.write_assignment(layouts.iid_assignment(keys, clients, cfg.seed), f"{out_folder}/windows")
@@ -71,16 +74,19 @@ def build_datasets(spark: SparkSession, hourly_folder: str, out_folder: str, cfg
     if export:
         copies = [tables.read_windows(spark, f"{out_folder}/windows", scenario) for scenario in export]
         tables.write_windows(dataset.align_columns(copies), f"{out_folder}/export")
-    outputs = {name: f"{out_folder}/{name}" for name in ("windows", "scaler", "split_stats", "client_counts")}
+    outputs = {name: f"{out_folder}/{name}" for name in ("windows", "scaler", "split_stats", "client_counts", "stations")}
     tables.write_record(results.experiment_metadata(keys, stations, features, clients, cfg, _now(), outputs), f"{out_folder}/metadata")
     return tables.read_metadata(spark, f"{out_folder}/metadata")
 
 
 def check_universe(clean: DataFrame, predictions: DataFrame, features: list[str], cfg: PrepConfig, metadata: dict) -> None:
-    """An error where features, stations or samples are not those of a dataset's ``metadata``."""
+    """An error where features, stations or samples are not those of a dataset's ``metadata``.
+
+    Stations are compared by digest; only where it differs are names read from the dataset's table, and some told.
+    """
     contracts.check_features(features, metadata["features"])
-    expected = clean.sparkSession.createDataFrame([(s,) for s in metadata["station_ids"]], f"{STATION} string")
-    contracts.check_stations(dataset.valid_stations(clean, cfg), expected)
+    expected = clean.sparkSession.read.parquet(metadata["outputs"]["stations"])
+    contracts.check_stations(dataset.valid_stations(clean, cfg), expected, metadata["station_digest"])
     one = predictions.filter(F.col("method_name") == scoring.LAST_VALUE)
     counts = results.sample_counts(one).first().samples.asDict()
     if counts != metadata["samples"]:
@@ -110,13 +116,52 @@ def score_baselines(spark: SparkSession, hourly_folder: str, out_folder: str, cf
     tables.write_communication_rounds(spark, f"{out_folder}/communication_rounds")
     stations, when = dataset.valid_stations(clean, cfg), _now()
     for method in (scoring.LAST_VALUE, scoring.SEASONAL):
-        payload = results.results_payload(
-            metrics.filter(F.col("method_name") == method), stations, cfg, run_name=run_name, stage="baseline", scenario=layouts.CENTRALIZED, method=method, generated_at=when, hourly_folder=hourly_folder
-        )
-        tables.write_record(payload, f"{out_folder}/results/{method}")
+        run = results.Run(run_name, "baseline", layouts.CENTRALIZED, method, when)
+        tables.write_record(results.results_record(run, metrics.filter(F.col("method_name") == method), stations, cfg, {"hourly_folder": hourly_folder}), f"{out_folder}/results/{method}")
     return metrics
 
 
+def score_predictions(
+    spark: SparkSession,
+    predictions: DataFrame,
+    out_folder: str,
+    run: results.Run,
+    cfg: PrepConfig | None = None,
+    *,
+    training: results.Training = results.Training(),
+    rounds: DataFrame | None = None,
+    model_bytes: int = 0,
+    folders: dict[str, str] | None = None,
+    required: tuple[str, ...] = ("train", "val"),
+) -> DataFrame:
+    """A model's ``predictions(t, station_id, split, y_true, y_pred)`` to metrics by split, the short file of its test predictions, and its results row.
+
+    Splits other than the ``required`` ones may be absent: their metrics are not numbers and count no sample, and the
+    file of predictions may have its header alone. Predictions must be finite. ``training`` says how the model was
+    trained, ``rounds`` (of :func:`chargeloom.operators.federated.communication_rounds`) what a federated run sent.
+    """
+    cfg = cfg or PrepConfig()
+    named = scoring.with_errors(predictions.withColumn("method_name", F.lit(run.method)))
+    metrics = materialized(scoring.regression_metrics(named, ["method_name", "split"], list(SPLITS)))
+    absent = [r.split for r in metrics.filter("sample_count = 0").select("split").collect()]
+    if metrics.isEmpty() or set(absent) & set(required):
+        raise RuntimeError(f"no prediction in {sorted(absent) or 'any split'}")
+    tables.write_predictions(named.filter(F.col("split") == "test"), f"{out_folder}/predictions", short=True)
+    tables.write_table(metrics, f"{out_folder}/metrics")
+    tables.write_communication_rounds(spark, f"{out_folder}/communication_rounds", rounds)
+    stations = predictions.select(STATION).distinct()
+    tables.write_record(results.results_record(run, metrics, stations, cfg, folders, training, rounds, model_bytes), f"{out_folder}/results/{run.method}")
+    return metrics
+
+
+def report_history(spark: SparkSession, history: DataFrame, patience: int, out_folder: str) -> DataFrame:
+    """Training histories ``(run, epoch, ..., val_rmse)`` to the epochs up to where each run stops, and their summary, which is returned."""
+    done, summary = scoring.training_summary(history, patience)
+    tables.write_table(done.orderBy("run", "epoch"), f"{out_folder}/history")
+    tables.write_table(summary.orderBy("run"), f"{out_folder}/summary")
+    return summary
+
+
 def load_clients(spark: SparkSession, dataset_folder: str, out_folder: str, scenario: str, official: dict | None = contracts.OFFICIAL_TASK) -> tuple[DataFrame, DataFrame]:
     """``(windows, summary)`` of the clients of a layout that a federated run can use; the summary is written too.
 
@@ -145,10 +190,36 @@ def load_clients(spark: SparkSession, dataset_folder: str, out_folder: str, scen
     return windows, summary
 
 
-def report_rounds(spark: SparkSession, states: DataFrame, sizes: DataFrame, evaluation: DataFrame, model_bytes: int, out_folder: str) -> DataFrame:
-    """Client states and sizes to averaged parameters, round metrics and traffic; returns the best round."""
+def report_rounds(
+    spark: SparkSession,
+    states: DataFrame,
+    sizes: DataFrame,
+    evaluation: DataFrame,
+    model_bytes: int,
+    out_folder: str,
+    predictions: DataFrame | None = None,
+    run: results.Run | None = None,
+    cfg: PrepConfig | None = None,
+    required: tuple[str, ...] = ("train", "val"),
+) -> DataFrame:
+    """Client states and sizes to averaged parameters, round metrics and traffic; returns the best round.
+
+    The best round and the run's total traffic are written too. With the ``predictions`` of the best model and the
+    ``run`` that they are of, they are scored, and the results row has the rounds, the best one and the traffic.
+    """
     federated.average_parameters(states, sizes).write.mode("overwrite").parquet(f"{out_folder}/parameters")
-    rounds = federated.round_metrics(sizes, evaluation, model_bytes)
-    tables.write_table(rounds, f"{out_folder}/round_metrics")
-    tables.write_communication_rounds(spark, f"{out_folder}/communication_rounds", federated.communication_rounds(sizes, model_bytes))
-    return scoring.best_epoch(rounds.withColumn("run", F.lit("federated")), step="round")
+    metrics = materialized(federated.round_metrics(sizes, evaluation, model_bytes))
+    sent = materialized(federated.communication_rounds(sizes, model_bytes))
+    tables.write_table(metrics, f"{out_folder}/round_metrics")
+    tables.write_communication_rounds(spark, f"{out_folder}/communication_rounds", sent)
+    best = materialized(scoring.best_epoch(metrics.withColumn("run", F.lit("federated" if run is None else run.name)), step="round"))
+    tables.write_table(best, f"{out_folder}/best_round")
+    seen = sent.agg(F.count(F.lit(1)).alias("rounds"), F.max("client_count").alias("clients")).first()
+    tables.write_metadata(spark, {"rounds": seen.rounds, "clients": seen.clients or 0} | federated.run_traffic(seen.rounds, seen.clients or 0, model_bytes), f"{out_folder}/traffic")
+    if predictions is not None and run is not None:
+        # Every client trains one model, whose averaged parameters are counted in one round.
+        first = states.agg(F.min("round")).first()[0]
+        size = states.filter(F.col("round") == F.lit(first)).select("name", "idx").distinct().count() if first is not None else 0
+        training = results.Training(steps=seen.rounds, best_step=best.first().best_round, parameters=size)
+        score_predictions(spark, predictions, f"{out_folder}/scores", run, cfg, training=training, rounds=sent, model_bytes=model_bytes, required=required)
+    return best

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import STATION, SUMMED_COLUMNS, TIME, VALUE_COLUMNS
+from ..config import STATION, SUMMED_COLUMNS, TIME, TIME_FORMAT, VALUE_COLUMNS
 from ..functions.columns import parse_number, parse_time
 
 HOUR = "1 hour"
@@ -24,7 +26,7 @@ def slot_start(time: Column, frequency: str = HOUR) -> Column:
     return F.timestamp_add("MINUTE", (slot * minutes).cast("int"), epoch)
 
 
-def parse_readings(raw: DataFrame) -> DataFrame:
+def parse_readings(raw: DataFrame, formats: Sequence[str] = (TIME_FORMAT,)) -> DataFrame:
     """Readings as text to ``station_id, time, <values>``, null where a text is no time or no number.
 
     Columns are matched by name: expected ones that are absent are null, others are not read. ``time`` is the
@@ -33,12 +35,12 @@ def parse_readings(raw: DataFrame) -> DataFrame:
     if TIME not in raw.columns:
         raise ValueError(f"readings without a {TIME} column")
     values = [(parse_number(F.col(c)) if c in raw.columns else F.lit(None).cast("double")).alias(c) for c in VALUE_COLUMNS]
-    return raw.select(STATION, parse_time(F.col(TIME)).alias(TIME), *values)
+    return raw.select(STATION, parse_time(F.col(TIME), formats).alias(TIME), *values)
 
 
-def clean_readings(raw: DataFrame) -> DataFrame:
+def clean_readings(raw: DataFrame, formats: Sequence[str] = (TIME_FORMAT,)) -> DataFrame:
     """:func:`parse_readings` without the rows that have no valid time."""
-    return parse_readings(raw).filter(F.col(TIME).isNotNull())
+    return parse_readings(raw, formats).filter(F.col(TIME).isNotNull())
 
 
 def _rule(column: str) -> Column:
@@ -75,7 +77,7 @@ def rollup_hours(collapsed: DataFrame) -> DataFrame:
     return collapsed.groupBy(STATION, "hour").agg(*map(_rule, VALUE_COLUMNS)).withColumnRenamed("hour", TIME)
 
 
-def profile_hours(raw: DataFrame, frequency: str = HOUR) -> DataFrame:
+def profile_hours(raw: DataFrame, frequency: str = HOUR, formats: Sequence[str] = (TIME_FORMAT,)) -> DataFrame:
     """Raw readings to their hours with what the hourly table and the quality report need: one scan, one exchange.
 
     A row is an hour of a station with its rolled-up values and a profile that adds up: ``rows`` (raw), ``times``
@@ -83,7 +85,7 @@ def profile_hours(raw: DataFrame, frequency: str = HOUR) -> DataFrame:
     is null; they are dealt by the task that read them, so that a station's many wrong times are not one group.
     :func:`hours_of` and :func:`station_report` finish it, any number of times.
     """
-    keyed = parse_readings(raw).withColumns({"hour": slot_start(F.col(TIME), frequency), "_deal": F.when(F.col(TIME).isNull(), F.spark_partition_id() % _TIMELESS_KEYS)})
+    keyed = parse_readings(raw, formats).withColumns({"hour": slot_start(F.col(TIME), frequency), "_deal": F.when(F.col(TIME).isNull(), F.spark_partition_id() % _TIMELESS_KEYS)})
     missing = [F.sum(F.col(c).isNull().cast("long")).alias(f"missing_{c}") for c in VALUE_COLUMNS]
     times = keyed.repartition(STATION, "hour", "_deal").groupBy(STATION, "hour", "_deal", TIME).agg(*map(_rule, VALUE_COLUMNS), F.count(F.lit(1)).alias("rows"), F.sum(_empty().cast("long")).alias("all_missing"), *missing)
     counts = ["rows", "all_missing", *(f"missing_{c}" for c in VALUE_COLUMNS)]
@@ -165,6 +167,12 @@ def quality_report(raw: DataFrame, headers: DataFrame | None = None, frequency:
     return station_report(profile_hours(raw, frequency), headers, frequency)
 
 
+def skipped_stations(report: DataFrame) -> DataFrame:
+    """Stations of a :func:`station_report` that yield no hour, and why: all their readings went, or none was there."""
+    reason = F.when(F.col("rows_before_cleaning") == 0, "no readings").otherwise("no valid time")
+    return report.filter("rows_after_hourly_aggregation = 0").select(STATION, "rows_before_cleaning", reason.alias("reason"))
+
+
 def run_counters(hourly: DataFrame, discovered: int) -> DataFrame:
     """One row: stations found, stations with hours, hourly rows in all."""
     return hourly.agg(F.lit(discovered).cast("long").alias("stations_discovered"), F.countDistinct(STATION).alias("stations_processed"), F.count(F.lit(1)).alias("hourly_rows"))

@@ -96,6 +96,18 @@ def early_stop(history: DataFrame, patience: int, run: str = "run", step: str =
     return waited.groupBy(run).agg(F.coalesce(stops, F.max(step)).cast("bigint").alias("stopped_at"), stops.isNotNull().alias("stopped_early"))
 
 
+def training_summary(history: DataFrame, patience: int, run: str = "run", step: str = "epoch", value: str = "val_rmse") -> tuple[DataFrame, DataFrame]:
+    """``(history, summary)`` of runs that stop early: the steps up to where each stops, and one row a run.
+
+    The summary has the first best step among them and its value, the steps done, and whether it stopped early. A run
+    without any finite value fails the job.
+    """
+    stops = early_stop(history, patience, run, step, value)
+    done = history.join(stops, run).filter(F.col(step) <= F.col("stopped_at")).drop("stopped_at", "stopped_early")
+    steps = done.groupBy(run).agg(F.count(F.lit(1)).alias("steps"))
+    return done, best_epoch(done, run, step, value).join(stops, run).join(steps, run)
+
+
 def short_predictions(predictions: DataFrame) -> DataFrame:
     """``t, station_id, y_true, y_pred, method``."""
     return predictions.select("t", STATION, "y_true", "y_pred", F.col("method_name").alias("method"))

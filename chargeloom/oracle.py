@@ -139,6 +139,12 @@ def _metrics(keys: str) -> str:
     {_num("avg(pow(y_pred - y_true, 2))", name="mse")}, count(*) AS sample_count FROM naive GROUP BY {keys}"""
 
 
+def _digest(name: str) -> str:
+    """The digest of a set of names that an aggregate sees once each."""
+    bits = lambda at: f"CAST('0x' || substr(md5({name}), {at}, 15) AS BIGINT)"
+    return f"concat_ws('-', CAST(count({name}) AS VARCHAR), format('{{:X}}', bit_xor({bits(1)})), CAST(sum({bits(16)}) AS VARCHAR))"
+
+
 def _missing(table: str, name: str) -> str:
     parts = " UNION ALL ".join(f"SELECT station_id, '{c}' AS c, count(*) AS n FROM {table} WHERE {c} IS NULL GROUP BY station_id" for c in VALUE_COLUMNS)
     return f"{name} AS (SELECT station_id, string_agg(c || '=' || n, ',' ORDER BY c) AS counts FROM ({parts}) GROUP BY station_id)"
@@ -202,10 +208,10 @@ def oracle_sql() -> dict[str, str]:
         "station_metrics": _with(*complete, _TARGETS, _NAIVE, query=_metrics("method_name, split, station_id")),
         "sample_universe_check": _with(
             *complete, _TARGETS,
-            query=f"""SELECT split, a.n AS actual_samples, e.n AS expected_samples, a.s AS actual_stations, e.s AS expected_stations
-            FROM (SELECT split, count(*) AS n, count(DISTINCT station_id) AS s FROM samples GROUP BY split) a
-            FULL JOIN (SELECT split, CAST(sum(w) AS BIGINT) AS n, count(*) FILTER (WHERE w > 0) AS s FROM (SELECT station_id, split, greatest(count(*) - {W + H - 1}, 0) AS w FROM split_rows GROUP BY ALL) GROUP BY split) e USING (split)
-            WHERE a.n IS DISTINCT FROM e.n OR a.s IS DISTINCT FROM e.s""",
+            query=f"""SELECT split, a.n AS actual_samples, e.n AS expected_samples, a.s AS actual_stations, e.s AS expected_stations, a.d AS actual_digest, e.d AS expected_digest
+            FROM (SELECT split, CAST(sum(n) AS BIGINT) AS n, count(*) AS s, {_digest("station_id")} AS d FROM (SELECT split, station_id, count(*) AS n FROM samples GROUP BY ALL) GROUP BY split) a
+            FULL JOIN (SELECT split, CAST(sum(w) AS BIGINT) AS n, count(*) FILTER (WHERE w > 0) AS s, {_digest("CASE WHEN w > 0 THEN station_id END")} AS d FROM (SELECT station_id, split, greatest(count(*) - {W + H - 1}, 0) AS w FROM split_rows GROUP BY ALL) GROUP BY split) e USING (split)
+            WHERE a.n IS DISTINCT FROM e.n OR a.s IS DISTINCT FROM e.s OR a.d IS DISTINCT FROM e.d""",
         ),
         "centralized_counts": _with(*complete, _TARGETS, query="SELECT 'all' AS client_id, s.split, coalesce(n, 0) AS samples FROM (VALUES ('train'), ('val'), ('test')) s(split) LEFT JOIN (SELECT split, count(*) AS n FROM samples GROUP BY split) USING (split)"),
         "non_iid_clients": _with(*complete, _TARGETS, query=f"SELECT 'client_' || station_id AS client_id, 'non_iid_station' AS scenario, station_id, split, {_text('t')} FROM samples"),
@@ -272,7 +278,7 @@ def oracle_sql() -> dict[str, str]:
         "experiment_metadata": _with(
             *complete, _TARGETS,
             query=f"""SELECT CAST({W} AS BIGINT) AS window_size, CAST({H} AS BIGINT) AS horizon, '{CFG.target}' AS target_column, CAST({CFG.seed} AS BIGINT) AS seed, '{CFG.scaler}' AS scaler, CAST({IID_CLIENTS} AS BIGINT) AS iid_clients,
-            CAST({len(FEATURES)} AS BIGINT) AS feature_count, '{",".join(FEATURES)}' AS features, (SELECT count(*) FROM valid) AS stations, (SELECT string_agg(station_id, ',' ORDER BY station_id) FROM valid) AS station_ids,
+            CAST({len(FEATURES)} AS BIGINT) AS feature_count, '{",".join(FEATURES)}' AS features, (SELECT count(*) FROM valid) AS stations, (SELECT {_digest("station_id")} FROM valid) AS station_digest,
             """
             + ", ".join(f"(SELECT count(*) FROM samples WHERE split = '{s}') AS {s}_samples" for s in SPLITS)
             + ", " + ", ".join(f"CAST({v} AS DOUBLE) AS {s}_ratio" for s, v in CFG.ratios.items()),
@@ -284,4 +290,39 @@ def oracle_sql() -> dict[str, str]:
             FROM (SELECT DISTINCT method_name FROM naive) CROSS JOIN (VALUES ('train'), ('val'), ('test')) s(split) LEFT JOIN ({_metrics("method_name, split")}) USING (method_name, split)""",
         ),
     }
+    blend = "blend AS (SELECT t, station_id, split, y_true, avg(y_pred) AS y_pred, 'blend' AS method_name FROM naive GROUP BY t, station_id, split, y_true)"
+    scores = _metrics("method_name, split").replace("FROM naive", "FROM blend")
+    scores = f"SELECT split, rmse, mae, CASE WHEN isnan(r2) THEN NULL ELSE r2 END AS r2, mse, coalesce(sample_count, 0) AS sample_count FROM (VALUES ('train'), ('val'), ('test')) s(split) LEFT JOIN ({scores}) USING (split)"
+    stops = f"""stops AS (SELECT run, CAST(coalesce(min(epoch) FILTER (WHERE waited >= {PATIENCE}), max(epoch)) AS BIGINT) AS stopped_at, count(*) FILTER (WHERE waited >= {PATIENCE}) > 0 AS stopped_early FROM (
+        SELECT *, i - coalesce(max(CASE WHEN before IS NULL OR val_rmse < before THEN i END) OVER (PARTITION BY run ORDER BY epoch ROWS UNBOUNDED PRECEDING), 0) AS waited FROM (
+            SELECT *, row_number() OVER (PARTITION BY run ORDER BY epoch) AS i, min(val_rmse) OVER (PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM history)) GROUP BY run),
+    done AS (SELECT h.*, stopped_at, stopped_early FROM history h JOIN stops USING (run) WHERE epoch <= stopped_at)"""
+    out |= {
+        "scored_predictions": _with(
+            *complete, _TARGETS, _NAIVE, blend,
+            query=f"SELECT 'blend' AS method, split, rmse, mae, r2, mse, sample_count, (SELECT count(*) FROM blend WHERE split = 'test') AS test_rows, CAST(9 AS BIGINT) AS steps, CAST(4 AS BIGINT) AS best_step, true AS stopped_early, CAST(77 AS BIGINT) AS parameters, CAST(0 AS BIGINT) AS bytes FROM ({scores})",
+        ),
+        "federated_results": _with(
+            *complete, _TARGETS, _NAIVE, blend, _ROUNDS, "evaluation AS (SELECT round, round(sqrt(avg(pow(CAST(volume AS DOUBLE), 2))), 1) AS val_rmse FROM rounds GROUP BY round)",
+            "sent AS (SELECT round, count(*) AS n FROM sizes GROUP BY round)",
+            query=f"""SELECT split, rmse, sample_count, (SELECT count(*) FROM sent) AS rounds, (SELECT max(n) FROM sent) AS clients, (SELECT CAST(sum(n) AS BIGINT) FROM sent) AS messages_up, (SELECT CAST(sum(n) AS BIGINT) * {MODEL_BYTES} FROM sent) AS bytes_up,
+            (SELECT CAST(sum(n) AS BIGINT) * {2 * MODEL_BYTES} FROM sent) AS bytes, {_num(f"(SELECT sum(n) * {2 * MODEL_BYTES} / CAST(1048576 AS DOUBLE) FROM sent)", name="megabytes")},
+            (SELECT CAST(round AS BIGINT) FROM evaluation ORDER BY val_rmse, round LIMIT 1) AS best_step, CAST({len(FEATURES)} AS BIGINT) AS parameters, {_num("(SELECT min(val_rmse) FROM evaluation)", name="best_round_rmse")} FROM ({scores})""",
+        ),
+        "run_history": _with(
+            *complete, _HISTORY, stops,
+            query=f"SELECT run, CAST(epoch AS BIGINT) AS epoch, {_num('val_rmse')}, CAST(first_value(epoch) OVER best AS BIGINT) AS best_epoch, {_num('min(val_rmse) OVER (PARTITION BY run)', name='best_val_rmse')}, stopped_at, stopped_early, count(*) OVER (PARTITION BY run) AS steps FROM done WINDOW best AS (PARTITION BY run ORDER BY val_rmse, epoch)",
+        ),
+        "time_formats": out["clean_readings"],
+        "scaler_files": out["scaler_standard"],
+        "prediction_files": _with(*complete, _TARGETS, _NAIVE, query=f"SELECT form, {_text('t')}, station_id, {_num('y_true', 5)}, {_num('y_pred', 5)}, method_name AS method FROM naive CROSS JOIN (VALUES ('long'), ('short')) f(form) WHERE split = 'test'"),
+        "metric_files": out["baseline_metrics"],
+        "round_files": out["communication_rounds"],
+        "skipped_stations": _with(query="SELECT station_id, count(*) AS rows_before_cleaning, 'no valid time' AS reason FROM readings GROUP BY station_id HAVING CAST(station_id AS BIGINT) % 7 = 0 OR count(*) FILTER (WHERE time <> 'not-a-time') = 0", station="user_id"),
+        "task_violations": _with(
+            *complete,
+            query="SELECT * FROM (SELECT 'window_size' AS setting, '24' AS found, '12' AS supported UNION ALL SELECT 'stations', CAST(count(*) AS VARCHAR), '3' FROM valid) WHERE found <> supported",
+        ),
+        "first_rows": _with(*complete, _TARGETS, _NAIVE, query=f"SELECT {_text('t')}, station_id, method_name, {_num('y_true', 5)}, {_num('y_pred', 5)} FROM naive ORDER BY naive.t, station_id, method_name LIMIT 500"),
+    }
     return out

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import CALENDAR_COLUMNS, OCCUPANCY_COLUMNS, SPLITS, STATION, TIME, VALUE_COLUMNS, PrepConfig, feature_columns
+from .jobs import prepare
 from .operators import contracts, dataset, federated, hourly, layouts, results, scoring
 from .sources import tables
 from .sources.events import readings_from_events
@@ -203,8 +204,9 @@ def sample_universe_check(spark, sf_dir):
     table = materialized(_hourly(spark, sf_dir))
     clean = materialized(dataset.clean_splits(table, CFG))
     stats = dataset.split_stats(table, clean, CFG)
+    some = F.col("k.n") > 0
     kinds = F.explode(F.array(*(F.struct(F.lit(s).alias("split"), dataset.window_count(F.col(f"{s}_rows_raw"), CFG).alias("n")) for s in SPLITS)))
-    expected = stats.select(STATION, kinds.alias("k")).groupBy("k.split").agg(F.sum("k.n").alias("samples"), F.count(F.when(F.col("k.n") > 0, 1)).alias("stations"))
+    expected = stats.select(STATION, kinds.alias("k")).groupBy("k.split").agg(F.sum("k.n").alias("samples"), F.count(F.when(some, 1)).alias("stations"), results.digest(F.when(some, F.col(STATION))).alias("digest"))
     return contracts.sample_universe(_keys(clean), expected)
 
 
@@ -387,30 +389,133 @@ def experiment_metadata(spark, sf_dir):
     tables.write_record(results.experiment_metadata(_keys(clean), stations, FEATURES, IID_CLIENTS, CFG, "", {"windows": "w"}), folder)
     read = tables.read_record(spark, folder)
     return read.select(
-        "window_size", "horizon", "target_column", "seed", "scaler", "iid_clients", "feature_count", "stations", F.array_join("features", ",").alias("features"), F.array_join("station_ids", ",").alias("station_ids"),
+        "window_size", "horizon", "target_column", "seed", "scaler", "iid_clients", "feature_count", "stations", F.array_join("features", ",").alias("features"), "station_digest",
         *(F.col(f"samples.{s}").alias(f"{s}_samples") for s in SPLITS), *(F.col(f"split_ratios.{s}").alias(f"{s}_ratio") for s in SPLITS),
     )
 
 
+def _run(method: str, stage: str = "baseline") -> results.Run:
+    return results.Run("r", stage, layouts.CENTRALIZED, method, "")
+
+
+def _by_split(records: DataFrame) -> DataFrame:
+    """Results rows by split, each with the row's ``training`` and ``traffic``."""
+    split = F.explode(F.array(*(F.struct(F.lit(s).alias("split"), F.col(f"metrics.{s}").alias("m"), F.col(f"data.samples.{s}").alias("n")) for s in SPLITS))).alias("s")
+    return records.select(F.col("run.method").alias("method_name"), "training", "traffic", split).select("method_name", "training", "traffic", "s.split", "s.m.*", F.col("s.n").alias("split_count"))
+
+
 def results_payload(spark, sf_dir):
     """The results rows of both naive methods, written as JSON and read back, by split."""
     folder, clean = _folder(spark, "results"), materialized(dataset.keep_valid(_clean(spark, sf_dir), CFG))
     metrics = materialized(scoring.regression_metrics(scoring.naive_predictions(clean, CFG), ["method_name", "split"], list(SPLITS)))
     for method in (scoring.LAST_VALUE, scoring.SEASONAL):
-        own = metrics.filter(F.col("method_name") == method)
-        row = results.results_payload(own, dataset.valid_stations(clean, CFG), CFG, run_name="r", stage="baseline", scenario=layouts.CENTRALIZED, method=method, generated_at="")
+        row = results.results_record(_run(method), metrics.filter(F.col("method_name") == method), dataset.valid_stations(clean, CFG), CFG)
         tables.write_record(row, f"{folder}/method={method}")
-    split = F.explode(F.array(*(F.struct(F.lit(s).alias("split"), F.col(f"metrics.{s}").alias("m"), F.col(f"data.split_counts.{s}").alias("n")) for s in SPLITS))).alias("s")
-    rows = tables.read_record(spark, folder).select(F.col("run.method").alias("method_name"), "training.best_val_rmse", "communication.logical_client_count", "communication.payload_bytes_total", split)
-    rows = rows.select("method_name", "best_val_rmse", "logical_client_count", "payload_bytes_total", "s.split", "s.m.*", F.col("s.n").alias("split_count"))
+    rows = _by_split(tables.read_record(spark, folder)).select("*", "training.best_val_rmse", F.col("traffic.clients").alias("logical_client_count"), F.col("traffic.bytes").alias("payload_bytes_total"))
     return rows.select("method_name", "split", *map(_num, ("rmse", "mae", "r2", "best_val_rmse")), "sample_count", "split_count", "logical_client_count", "payload_bytes_total")
 
 
+def _blend(spark, sf_dir) -> DataFrame:
+    """Predictions as a trained model's: the mean of both naive forecasts of each sample."""
+    rows = scoring.naive_predictions(dataset.keep_valid(_clean(spark, sf_dir), CFG), CFG)
+    return rows.groupBy("t", STATION, "split", "y_true").agg(F.avg("y_pred").alias("y_pred"))
+
+
+def scored_predictions(spark, sf_dir):
+    """A prediction table scored by the job: metrics by split and what the results row says of the training."""
+    folder, rows = _folder(spark, "scored"), materialized(_blend(spark, sf_dir))
+    prepare.score_predictions(spark, rows, folder, _run("blend", "model"), CFG, training=results.Training(9, 4, True, 77), required=("train",))
+    short = spark.read.csv(f"{folder}/predictions", header=True).agg(F.count(F.lit(1)).alias("test_rows"), F.max("method").alias("method"))
+    found = _by_split(tables.read_record(spark, f"{folder}/results/blend"))
+    return found.join(short).select("method", "split", *map(_num, ("rmse", "mae", "r2", "mse")), "sample_count", "test_rows", "training.steps", "training.best_step", "training.stopped_early", "training.parameters", "traffic.bytes")
+
+
+def federated_results(spark, sf_dir):
+    """A federated run's record: rounds, traffic, best round and the scores of its predictions."""
+    folder, rounds = _folder(spark, "federated"), materialized(_rounds(spark, sf_dir))
+    value = F.round(F.sqrt(F.avg(F.pow(F.col(CFG.target).cast("double"), F.lit(2.0)))), 1).alias("val_rmse")
+    best = prepare.report_rounds(spark, _states(rounds), _sizes(rounds), rounds.groupBy("round").agg(value), MODEL_BYTES, folder, _blend(spark, sf_dir), _run("fedavg", "federated"), CFG, ("train",))
+    found = _by_split(tables.read_record(spark, f"{folder}/scores/results/fedavg"))
+    kept = ("rounds", "clients", "messages_up", "bytes_up", "bytes", "megabytes")
+    rows = found.join(best.select("best_val_rmse")).select("split", "rmse", "sample_count", *(f"traffic.{c}" for c in kept), "training.best_step", "training.parameters", F.col("best_val_rmse").alias("best_round_rmse"))
+    return rows.select("split", _num("rmse"), "sample_count", *kept[:-1], _num("megabytes"), "best_step", "parameters", _num("best_round_rmse"))
+
+
+def run_history(spark, sf_dir):
+    """Histories up to where they stop, written and read back, with their best and last steps."""
+    folder = _folder(spark, "history")
+    prepare.report_history(spark, _history(spark, sf_dir), PATIENCE, folder)
+    done = spark.read.csv(f"{folder}/history", header=True, schema="run string, epoch bigint, val_rmse double")
+    summary = spark.read.csv(f"{folder}/summary", header=True, schema="run string, best_epoch bigint, best_val_rmse double, stopped_at bigint, stopped_early boolean, steps bigint")
+    return done.join(summary, "run").select("run", "epoch", _num("val_rmse"), "best_epoch", _num("best_val_rmse"), "stopped_at", "stopped_early", "steps")
+
+
+def time_formats(spark, sf_dir):
+    """Times in four forms by their hour: plain, with a T, with slashes, with a fraction."""
+    raw, form = readings(spark, sf_dir), F.substring(TIME, 12, 2).try_cast("int") % 4
+    odd = F.when(form == 1, F.replace(F.col(TIME), F.lit(" "), F.lit("T"))).when(form == 2, F.replace(F.col(TIME), F.lit("-"), F.lit("/"))).when(form == 3, F.concat(TIME, F.lit(".25")))
+    return hourly.clean_readings(raw.withColumn(TIME, F.coalesce(odd, F.col(TIME))), CFG.time_formats).select(STATION, _text(TIME), *map(_num, VALUE_COLUMNS))
+
+
+def scaler_files(spark, sf_dir):
+    """The scaler written and read back."""
+    folder = _folder(spark, "scaler")
+    tables.write_scaler(dataset.fit_scaler(_clean(spark, sf_dir), FEATURES, CFG), folder)
+    return tables.read_scaler(spark, folder).select("feature", _num("center"), _num("scale"))
+
+
+def prediction_files(spark, sf_dir):
+    """Test predictions written in both forms and read back."""
+    folder, rows = _folder(spark, "predictions"), materialized(scoring.naive_predictions(dataset.keep_valid(_clean(spark, sf_dir), CFG), CFG).filter("split = 'test'"))
+    tables.write_predictions(rows, f"{folder}/long")
+    tables.write_predictions(rows, f"{folder}/short", short=True)
+    long, short = (spark.read.csv(f"{folder}/{f}", header=True) for f in ("long", "short"))
+    both = long.drop("error", "abs_error").withColumnRenamed("method_name", "method").withColumn("form", F.lit("long")).unionByName(short.withColumn("form", F.lit("short")))
+    return both.select("form", "t", STATION, *(_num(c, 5) for c in ("y_true", "y_pred")), "method")
+
+
+def metric_files(spark, sf_dir):
+    """Metrics written as one table and read back."""
+    folder = _folder(spark, "metrics")
+    rows = scoring.naive_predictions(dataset.keep_valid(_clean(spark, sf_dir), CFG), CFG)
+    tables.write_table(scoring.regression_metrics(rows, ["method_name", "split"]), folder)
+    return spark.read.csv(folder, header=True).select("method_name", "split", *map(_num, ("rmse", "mae", "r2", "mse")), F.col("sample_count").cast("long").alias("sample_count"))
+
+
+def round_files(spark, sf_dir):
+    """Traffic of a run, and of one without any, written and read back."""
+    folder, schema = _folder(spark, "rounds"), federated.COMMUNICATION_SCHEMA
+    tables.write_communication_rounds(spark, f"{folder}/run", federated.communication_rounds(client_sizes(spark, sf_dir), MODEL_BYTES))
+    tables.write_communication_rounds(spark, f"{folder}/none")
+    return spark.read.csv([f"{folder}/run", f"{folder}/none"], header=True, schema=schema)
+
+
+def skipped_stations(spark, sf_dir):
+    """Stations of which no time is valid: those whose number 7 divides have theirs spoilt."""
+    raw = readings(spark, sf_dir, "user_id")
+    spoilt = raw.withColumn(TIME, F.when(F.col(STATION).cast("long") % 7 == 0, "never").otherwise(F.col(TIME)))
+    return hourly.skipped_stations(hourly.quality_report(spoilt))
+
+
+def task_violations(spark, sf_dir):
+    """Settings of a dataset's metadata that another task does not support."""
+    folder, clean = _folder(spark, "task"), materialized(_clean(spark, sf_dir))
+    tables.write_record(results.experiment_metadata(_keys(clean), dataset.valid_stations(clean, CFG), FEATURES, IID_CLIENTS, CFG, "", {"windows": "w"}), folder)
+    return contracts.task_violations(tables.read_record(spark, folder), contracts.OFFICIAL_TASK | {"window_size": 12, "stations": 3})
+
+
+def first_rows(spark, sf_dir):
+    """The first predictions by time, station and method."""
+    rows = scoring.naive_predictions(dataset.keep_valid(_clean(spark, sf_dir), CFG), CFG)
+    return layouts.first_k(rows, ["t", STATION, "method_name"], 500).select(_text("t"), STATION, "method_name", *(_num(c, 5) for c in ("y_true", "y_pred")))
+
+
 NAMES = (
     "clean_readings duplicate_collapse hourly_rollup hourly_rollup_users quality_report run_counters occupancy_features calendar_features chronological_split split_stats imputed_split imputed_split_users valid_stations "
     "scaler_standard scaler_standard_users scaler_minmax scaled_features scaled_features_users sliding_windows_long window_violations non_finite_windows sample_explained naive_predictions baseline_metrics baseline_metrics_users "
     "station_metrics sample_universe_check centralized_counts non_iid_clients iid_clients iid_clients_users client_counts layout_counts client_summary usable_clients client_job fedavg_parameters client_loss_means round_traffic "
-    "communication_rounds best_round early_stop align_columns station_files hourly_files hourly_csv_files window_files experiment_metadata results_payload"
+    "communication_rounds best_round early_stop align_columns station_files hourly_files hourly_csv_files window_files experiment_metadata results_payload "
+    "scored_predictions federated_results run_history time_formats scaler_files prediction_files metric_files round_files skipped_stations task_violations first_rows"
 ).split()
 
 

@@ -124,10 +124,10 @@ def read_station_files(spark: SparkSession, folder: str) -> tuple[DataFrame, Dat
     return read_by_name(spark, folder, usable), header_report(usable), rejected
 
 
-def _typed(table: DataFrame, station: Column) -> DataFrame:
+def _typed(table: DataFrame, station: Column, cfg: PrepConfig) -> DataFrame:
     """Station, time and the measurements that a table has, in their types; text is parsed as raw readings are."""
     types = {f.name: f.dataType for f in table.schema.fields}
-    time = parse_time(F.col(TIME)) if isinstance(types[TIME], T.StringType) else F.col(TIME).cast("timestamp_ntz")
+    time = parse_time(F.col(TIME), cfg.time_formats) if isinstance(types[TIME], T.StringType) else F.col(TIME).cast("timestamp_ntz")
     values = [number(F.col(c), types[c]).alias(c) for c in VALUE_COLUMNS if c in types]
     return table.select(station.cast("string").alias(STATION), time.alias(TIME), *values).filter(F.col(TIME).isNotNull())
 
@@ -140,7 +140,7 @@ def read_hourly(spark: SparkSession, folder: str, cfg: PrepConfig) -> DataFrame:
     table = spark.read.parquet(folder)
     if not {TIME, cfg.target} <= set(table.columns):
         raise RuntimeError(f"{folder} has no {TIME} or no {cfg.target} column")
-    return _typed(table, F.col(STATION))
+    return _typed(table, F.col(STATION), cfg)
 
 
 def read_hourly_csv(spark: SparkSession, folder: str, cfg: PrepConfig) -> DataFrame:
@@ -155,4 +155,4 @@ def read_hourly_csv(spark: SparkSession, folder: str, cfg: PrepConfig) -> DataFr
     if not known[cfg.target]:
         raise RuntimeError(f"no usable hourly file in {folder}")
     rows = read_by_name(spark, folder, usable, "_hourly.csv")
-    return _typed(rows.drop(*(c for c in VALUE_COLUMNS if not known[c])), F.col(STATION))
+    return _typed(rows.drop(*(c for c in VALUE_COLUMNS if not known[c])), F.col(STATION), cfg)

@@ -125,6 +125,11 @@ def write_table(table: DataFrame, folder: str) -> None:
     table.coalesce(1).write.mode("overwrite").csv(folder, header=True)
 
 
+def write_stations(stations: DataFrame, folder: str) -> None:
+    """The names of a dataset's stations, one row each."""
+    stations.select(STATION).write.mode("overwrite").parquet(folder)
+
+
 def write_communication_rounds(spark: SparkSession, folder: str, rounds: DataFrame | None = None) -> None:
     """Traffic of each round; a run without traffic gets the header alone."""
     write_table(spark.createDataFrame([], COMMUNICATION_SCHEMA) if rounds is None else rounds, folder)

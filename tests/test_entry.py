@@ -46,7 +46,7 @@ def test_entry(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the given tables")
-@pytest.mark.parametrize("name", ["hourly_rollup", "quality_report", "split_stats", "scaler_standard", "iid_clients", "iid_clients_users", "baseline_metrics", "fedavg_parameters", "station_files", "hourly_files", "hourly_csv_files", "window_files", "experiment_metadata", "results_payload"])
+@pytest.mark.parametrize("name", ["hourly_rollup", "quality_report", "split_stats", "scaler_standard", "iid_clients", "iid_clients_users", "baseline_metrics", "fedavg_parameters", "station_files", "hourly_files", "hourly_csv_files", "window_files", "experiment_metadata", "results_payload", "sample_universe_check", "scored_predictions", "federated_results", "run_history", "time_formats", "scaler_files", "prediction_files", "round_files", "skipped_stations", "task_violations", "first_rows"])
 def test_against_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:

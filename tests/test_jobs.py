@@ -74,7 +74,7 @@ def test_all_jobs(spark, raw_folder, tmp_path):
     assert {k: v for k, v in again.items() if k != "generated_at_utc"} == {k: v for k, v in metadata.items() if k != "generated_at_utc"}
     assert tables.read_windows(spark, f"{out}/sets/windows", layouts.CENTRALIZED).count() == sum(n.values())
     assert spark.read.parquet(f"{out}/sets/export").groupBy("scenario").count().count() == 2 and spark.read.parquet(f"{out}/sets/export").count() == 2 * sum(n.values())
-    assert metadata["station_ids"] == ["101", "102", "103"] and metadata["split_ratios"] == {"train": 0.7, "val": 0.05, "test": 0.25}
+    assert {r[0] for r in spark.read.parquet(metadata["outputs"]["stations"]).collect()} == {"101", "102", "103"} and "station_ids" not in metadata and metadata["split_ratios"] == {"train": 0.7, "val": 0.05, "test": 0.25}
     counts = spark.read.csv(f"{out}/sets/client_counts", header=True)
     assert counts.count() == 3 * (1 + 4 + 3) and counts.agg({"samples": "sum"}).first()[0] == 3 * sum(n.values())
     own = {"window_size": 6, "horizon": 1, "target_column": "volume", "feature_count": 19}
@@ -84,11 +84,11 @@ def test_all_jobs(spark, raw_folder, tmp_path):
     with pytest.raises(ValueError, match="window_size"):
         prepare.load_clients(spark, f"{out}/sets", f"{out}/clients", layouts.IID)
     paid = tables.read_record(spark, f"{out}/naive/results/naive_last_value").first()
-    assert paid.run.method == "naive_last_value" and paid.data.split_counts.asDict() == n and paid.training.best_val_rmse == paid.metrics.val.rmse
+    assert paid.run.method == "naive_last_value" and paid.data.samples.asDict() == n and paid.training.best_val_rmse == paid.metrics.val.rmse
     clean = dataset.keep_valid(dataset.clean_splits(read_hourly(spark, f"{out}/hours/hourly", cfg), cfg), cfg)
     forecasts = scoring.naive_predictions(clean, cfg)
     prepare.check_universe(clean, forecasts, metadata["features"], cfg, metadata)
-    for wrong in ({"features": metadata["features"][1:]}, {"station_ids": ["101", "102"]}, {"samples": n | {"val": 1}}):
+    for wrong in ({"features": metadata["features"][1:]}, {"station_digest": "3-other"}, {"samples": n | {"val": 1}}):
         with pytest.raises(ValueError, match="differ|not those"):
             prepare.check_universe(clean, forecasts, metadata["features"], cfg, metadata | wrong)
 

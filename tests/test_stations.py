@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from chargeloom.config import VALUE_COLUMNS, PrepConfig, feature_columns
 from chargeloom.functions.columns import calendar, parse_number, parse_time, safe_divide
-from chargeloom.operators import contracts, dataset, federated, hourly, layouts, scoring
+from chargeloom.operators import contracts, dataset, federated, hourly, layouts, results, scoring
 
 DAY = dt.datetime(2024, 1, 1)
 
@@ -244,8 +244,15 @@ def test_contracts(spark):
     with pytest.raises(ValueError):
         contracts.check_features(features, features[:-1])
     samples = spark.createDataFrame([("train", "s")], "split string, station_id string")
-    expected = spark.createDataFrame([("train", 1, 1), ("val", 2, 1)], "split string, samples long, stations long")
+    digest = results.universe(samples).first().station_digest
+    expected = spark.createDataFrame([("train", 1, 1, digest), ("val", 2, 1, digest)], "split string, samples long, stations long, digest string")
     assert [r.split for r in contracts.sample_universe(samples, expected).collect()] == ["val"]
+    # As many stations, but others.
+    other = samples.withColumn("station_id", F.lit("t"))
+    assert [r.split for r in contracts.sample_universe(other, expected.filter("split = 'train'")).collect()] == ["train"]
+    contracts.check_stations(samples, other, digest)
+    with pytest.raises(ValueError, match="'t'.*'s'"):
+        contracts.check_stations(other, samples, digest)
     with pytest.raises(RuntimeError):
         contracts.require_rows(samples.limit(0), "rows")
     with pytest.raises(ValueError):
