@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import SPLITS, STATION, PrepConfig, feature_columns
 from ..functions.columns import calendar, occupancy
-from ..operators import contracts, dataset, federated, hourly, layouts, results, scoring
+from ..operators import chunks, contracts, dataset, federated, hourly, layouts, results, scoring
 from ..sources import tables
 from ..sources.readings import read_hourly, read_station_files
 from ..sources.scratch import materialized
@@ -46,20 +46,21 @@ def build_hourly(spark: SparkSession, raw_folder: str, out_folder: str, cfg: Pre
 def build_datasets(spark: SparkSession, hourly_folder: str, out_folder: str, cfg: PrepConfig | None = None, export: tuple[str, ...] = ()) -> dict:
     """The hourly table to scaled windows for three layouts, the scaler, split statistics, client counts and metadata.
 
-    The complete rows of all splits are made once and kept, and what follows reads them; windows are written once,
+    The complete rows of all splits are made once and kept, long stations in chunks, and what follows reads them; windows are written once,
     and the balanced clients are a table of their keys. ``export`` names layouts to copy into a folder for each
     client too. A second run replaces the first.
     """
     cfg = cfg or PrepConfig()
     table = read_hourly(spark, hourly_folder, cfg)
     features = _features(table, cfg)
-    clean = materialized(dataset.clean_splits(table, cfg))
+    clean = chunks.complete_rows(table, cfg)
     stats = materialized(dataset.split_stats(table, clean, cfg))
     tables.write_report(stats, f"{out_folder}/split_stats")
     valid = dataset.keep_valid(clean, cfg)
     tables.write_scaler(dataset.fit_scaler(valid, features, cfg), f"{out_folder}/scaler")
     known = dataset.require_scaler(tables.read_scaler(spark, f"{out_folder}/scaler"))
-    tables.write_samples(dataset.sliding_windows(dataset.apply_scaler(valid, known, features), features, cfg), f"{out_folder}/windows")
+    scaled = chunks.overlapping(dataset.apply_scaler(valid, known, features), cfg)
+    tables.write_samples(dataset.sliding_windows(scaled, features, cfg, (*dataset.SERIES, "block")), f"{out_folder}/windows")
     made = tables.read_samples(spark, f"{out_folder}/windows")
     bad = dataset.non_finite_windows(made).limit(5).collect()
     if bad:
@@ -103,8 +104,8 @@ def score_baselines(spark: SparkSession, hourly_folder: str, out_folder: str, cf
     if metadata is not None:
         contracts.check_task(metadata)
     table = read_hourly(spark, hourly_folder, cfg)
-    clean = materialized(dataset.keep_valid(dataset.clean_splits(table, cfg), cfg))
-    predictions = scoring.naive_predictions(clean, cfg)
+    clean = dataset.keep_valid(chunks.complete_rows(table, cfg), cfg)
+    predictions = scoring.naive_predictions(chunks.overlapping(clean, cfg), cfg, (*dataset.SERIES, "block"))
     if metadata is not None:
         check_universe(clean, predictions, _features(table, cfg), cfg, metadata)
     metrics = materialized(scoring.regression_metrics(predictions, ["method_name", "split"], list(SPLITS)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,10 +10,14 @@ from pyspark.sql import functions as F
 
 from ..config import SPLITS, STATION, TIME, PrepConfig, feature_columns
 from ..functions.columns import calendar, finite, occupancy
+from ..sources.scratch import materialized
+
+#: What windows are made within.
+SERIES = (STATION, "split")
 
 _EPSILON = 2.220446049250313e-16
-#: Rows whose mean the sums of the scaler are taken around.
-_SHIFT_ROWS = 256
+#: Rows of a station whose moments the scaler takes together.
+MOMENT_ROWS = 1 << 16
 
 
 def align_columns(tables: list[DataFrame]) -> DataFrame:
@@ -33,13 +38,17 @@ def split_ends(n: Column, cfg: PrepConfig) -> tuple[Column, Column]:
     return F.when(n <= 2, short).otherwise(train).cast("long"), F.when(n <= 2, short).otherwise(train + val).cast("long")
 
 
+def split_of(row_idx: Column, n: Column, cfg: PrepConfig) -> Column:
+    """The split of a row at ``row_idx`` (from 0) of a station's n rows."""
+    train_end, val_end = split_ends(n, cfg)
+    return F.when(row_idx < train_end, "train").when(row_idx < val_end, "val").otherwise("test")
+
+
 def chronological_split(table: DataFrame, cfg: PrepConfig) -> DataFrame:
     """``table`` with ``row_idx`` (from 0, by time in its station) and ``split``."""
     station = Window.partitionBy(STATION)
     rows = table.withColumn("row_idx", (F.row_number().over(station.orderBy(TIME)) - 1).cast("long")).withColumn("_n", F.count(F.lit(1)).over(station))
-    train_end, val_end = split_ends(F.col("_n"), cfg)
-    split = F.when(F.col("row_idx") < train_end, "train").when(F.col("row_idx") < val_end, "val").otherwise("test")
-    return rows.withColumn("split", split).drop("_n")
+    return rows.withColumn("split", split_of(F.col("row_idx"), F.col("_n"), cfg)).drop("_n")
 
 
 def impute(table: DataFrame, features: list[str]) -> DataFrame:
@@ -95,6 +104,8 @@ def valid_stations(clean: DataFrame, cfg: PrepConfig) -> DataFrame:
 
 def keep_valid(clean: DataFrame, cfg: PrepConfig) -> DataFrame:
     """Complete rows of the valid stations, in all splits."""
+    if "train_rows" in clean.columns:
+        return clean.filter(F.col("train_rows") >= cfg.span)
     # The number of train rows is counted over the partitioning that the rows have already.
     train = F.count(F.when(F.col("split") == "train", 1)).over(Window.partitionBy(STATION))
     return clean.withColumn("_train", train).filter(F.col("_train") >= cfg.span).drop("_train")
@@ -113,38 +124,49 @@ def multiplicity(cfg: PrepConfig, position: Column, n: Column) -> Column:
     return F.greatest(last - first + 1, F.lit(0)).cast("long")
 
 
+def _train_moments(weighted: DataFrame, features: list[str]) -> DataFrame:
+    """Weight, means and squares around them of blocks of a station's train rows, from one pass over the rows.
+
+    A block is a piece of one station that is in one place already. Its mean comes first, and squares are of what
+    is left over it, so large values cost no precision.
+    """
+    block = Window.partitionBy(STATION, "_block")
+    rows = weighted.withColumns({"_block": F.floor((F.col("rn") - 1) / MOMENT_ROWS), **{c: F.col(c).cast("double") for c in features}})
+    rows = rows.withColumn("_weight", F.sum("m").over(block).cast("double"))
+    rows = rows.withColumns({f"_mean_{c}": F.sum(F.col("m") * F.col(c)).over(block) / F.col("_weight") for c in features})
+    left = lambda c: F.col(c) - F.col(f"_mean_{c}")
+    return rows.groupBy(STATION, "_block").agg(F.first("_weight").alias("_weight"), *(F.first(f"_mean_{c}").alias(f"_mean_{c}") for c in features), *(F.sum(F.col("m") * left(c) * left(c)).alias(f"_squares_{c}") for c in features))
+
+
 def fit_scaler(clean: DataFrame, features: list[str], cfg: PrepConfig) -> DataFrame:
     """``feature, center, scale`` over the rows of all train windows, a row counted once for each window.
 
-    Windows are not made: rows carry the number of windows that hold them. One aggregate gives means and
-    squares together; both are taken around the mean of some rows, so that large values do not cost precision.
-    ``clean`` is read twice, the first time up to those rows: keep it materialised where it is costly.
-    Constant features get scale 1; without any train window there is no row.
+    Windows are not made: rows carry the number of windows that hold them. The rows are read once, for the moments of
+    blocks of them; those of all are the blocks' squares and the weighted squares of their means around the mean
+    of all, from two looks at one row a block. Constant features get scale 1; without any train window there is no row.
     """
-    train = with_position(clean.filter(F.col("split") == "train"))
-    weighted = train.withColumn("m", multiplicity(cfg, F.col("rn") - 1, F.col("n"))).filter("m > 0")
-    x = {c: F.col(c).cast("double") for c in features}
+    train = clean.filter(F.col("split") == "train")
+    placed = train if {"rn", "n"} <= set(clean.columns) else with_position(train)
+    weighted = placed.withColumn("m", multiplicity(cfg, F.col("rn") - 1, F.col("n"))).filter("m > 0")
 
     def rows(sums: DataFrame, center, scale) -> DataFrame:
         pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), center(c).alias("center"), scale(c).alias("scale")) for c in features)))
         return sums.select(pairs.alias("p")).select("p.*").filter("center is not null")
 
     if cfg.scaler == "minmax":
+        x = {c: F.col(c).cast("double") for c in features}
         ends = weighted.agg(*(F.min(v).alias(f"low_{c}") for c, v in x.items()), *(F.max(v).alias(f"high_{c}") for c, v in x.items()))
         span = lambda c: F.col(f"high_{c}") - F.col(f"low_{c}")
         return rows(ends, lambda c: F.col(f"low_{c}"), lambda c: F.when(span(c) < 10 * _EPSILON, F.lit(1.0)).otherwise(span(c)))
-    near = clean.select(*features).limit(_SHIFT_ROWS).agg(*(F.avg(F.nanvl(v, F.lit(0.0))).alias(c) for c, v in x.items())).first()
-    shift = {c: F.lit(near[c] or 0.0) for c in features}
-    total = F.sum("m").cast("double")
-    sums = weighted.agg(
-        total.alias("_weight"),
-        *((F.sum(F.col("m") * (v - shift[c])) / total).alias(f"_first_{c}") for c, v in x.items()),
-        *((F.sum(F.col("m") * (v - shift[c]) * (v - shift[c])) / total).alias(f"_second_{c}") for c, v in x.items()),
-    )
-    mean = lambda c: shift[c] + F.col(f"_first_{c}")
+    blocks = materialized(_train_moments(weighted, features))
+    weight = F.sum("_weight")
+    means = blocks.agg(*((F.sum(F.col("_weight") * F.col(f"_mean_{c}")) / weight).alias(c) for c in features)).first()
+    mean = lambda c: F.lit(means[c]).cast("double")
+    step = lambda c: F.col(f"_mean_{c}") - mean(c)
+    sums = blocks.agg(weight.alias("_weight"), *((F.sum(F.col(f"_squares_{c}") + F.col("_weight") * step(c) * step(c)) / weight).alias(f"_spread_{c}") for c in features))
 
     def scale(c: str) -> Column:
-        spread = F.greatest(F.col(f"_second_{c}") - F.col(f"_first_{c}") * F.col(f"_first_{c}"), F.lit(0.0))
+        spread = F.col(f"_spread_{c}")
         least = F.col("_weight") * _EPSILON * spread + F.pow(F.col("_weight") * _EPSILON * mean(c), F.lit(2.0))
         return F.when(spread <= least, F.lit(1.0)).otherwise(F.sqrt(spread))
 
@@ -165,12 +187,13 @@ def apply_scaler(clean: DataFrame, scaler: DataFrame | dict[str, tuple[float, fl
     return clean.withColumns({c: ((F.col(c).cast("double") - F.lit(known[c][0])) / F.lit(known[c][1])).cast("float") for c in features})
 
 
-def sliding_windows(clean: DataFrame, features: list[str], cfg: PrepConfig) -> DataFrame:
+def sliding_windows(clean: DataFrame, features: list[str], cfg: PrepConfig, series: Sequence[str] = SERIES) -> DataFrame:
     """One row for each sample: ``X`` (window rows of features), ``y``, ``t`` and its station and split.
 
-    Windows count rows of the cleaned split, not hours, and end ``horizon`` rows before their target.
+    Windows count rows of the cleaned split, not hours, and end ``horizon`` rows before their target. ``series`` names
+    the columns whose groups they are made in: station and split, or those and the block of :func:`chunks.overlapping`.
     """
-    group = Window.partitionBy(STATION, "split").orderBy(TIME)
+    group = Window.partitionBy(*series).orderBy(TIME)
     rows = clean.withColumn("_rn", F.row_number().over(group))
     history = F.collect_list(F.array(*(F.col(c).cast("float") for c in features))).over(group.rowsBetween(-(cfg.span - 1), -cfg.horizon))
     made = rows.withColumn("X", history).filter(F.col("_rn") >= cfg.span)

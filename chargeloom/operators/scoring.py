@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,12 +15,13 @@ LAST_VALUE, SEASONAL = "naive_last_value", "naive_seasonal_24h"
 PREDICTION_COLUMNS = ("t", STATION, "y_true", "y_pred", "error", "abs_error", "method_name")
 
 
-def naive_predictions(clean: DataFrame, cfg: PrepConfig) -> DataFrame:
+def naive_predictions(clean: DataFrame, cfg: PrepConfig, series: Sequence[str] = (STATION, "split")) -> DataFrame:
     """Both naive forecasts of every sample: the last value before the target's horizon, and the window's first.
 
-    Values pass through 32-bit floats and are scored as doubles. Both methods come from one pass.
+    Values pass through 32-bit floats and are scored as doubles. Both methods come from one pass. ``series`` is as for
+    :func:`chargeloom.operators.dataset.sliding_windows`.
     """
-    group = Window.partitionBy(STATION, "split").orderBy(TIME)
+    group = Window.partitionBy(*series).orderBy(TIME)
     y = F.col(cfg.target).cast("float").cast("double")
     rows = clean.select(STATION, "split", F.col(TIME).alias("t"), y.alias("y_true"), F.row_number().over(group).alias("_rn"), F.lag(y, cfg.horizon).over(group).alias("_last"), F.lag(y, cfg.span - 1).over(group).alias("_first"))
     methods = F.explode(F.array(F.struct(F.lit(LAST_VALUE).alias("method_name"), F.col("_last").alias("y_pred")), F.struct(F.lit(SEASONAL).alias("method_name"), F.col("_first").alias("y_pred"))))

@@ -314,6 +314,10 @@ def oracle_sql() -> dict[str, str]:
             query=f"SELECT run, CAST(epoch AS BIGINT) AS epoch, {_num('val_rmse')}, CAST(first_value(epoch) OVER best AS BIGINT) AS best_epoch, {_num('min(val_rmse) OVER (PARTITION BY run)', name='best_val_rmse')}, stopped_at, stopped_early, count(*) OVER (PARTITION BY run) AS steps FROM done WINDOW best AS (PARTITION BY run ORDER BY val_rmse, epoch)",
         ),
         "time_formats": out["clean_readings"],
+        "imputed_split_chunks": out["imputed_split_users"],
+        "sliding_windows_chunks": out["sliding_windows_long"],
+        "baseline_metrics_chunks": out["baseline_metrics_users"],
+        "scaler_chunks": out["scaler_standard_users"],
         "scaler_files": out["scaler_standard"],
         "prediction_files": _with(*complete, _TARGETS, _NAIVE, query=f"SELECT form, {_text('t')}, station_id, {_num('y_true', 5)}, {_num('y_pred', 5)}, method_name AS method FROM naive CROSS JOIN (VALUES ('long'), ('short')) f(form) WHERE split = 'test'"),
         "metric_files": out["baseline_metrics"],

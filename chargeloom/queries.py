@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .config import CALENDAR_COLUMNS, OCCUPANCY_COLUMNS, SPLITS, STATION, TIME, VALUE_COLUMNS, PrepConfig, feature_columns
 from .jobs import prepare
-from .operators import contracts, dataset, federated, hourly, layouts, results, scoring
+from .operators import chunks, contracts, dataset, federated, hourly, layouts, results, scoring
 from .sources import tables
 from .sources.events import readings_from_events
 from .sources.readings import read_hourly, read_hourly_csv, read_station_files
@@ -123,6 +123,37 @@ def imputed_split_users(spark, sf_dir):
     return _imputed(spark, sf_dir, "user_id")
 
 
+#: Rows of a chunk in the queries on chunks: far fewer than a station has, so that each has many.
+CHUNK = 90
+
+
+def imputed_split_chunks(spark, sf_dir):
+    """The rows of ``imputed_split_users``, by chunks."""
+    return chunks.clean_splits(_hourly(spark, sf_dir, "user_id"), CFG, CHUNK).select(STATION, "split", _text(TIME), *(_num(c, 5) for c in [CFG.target, *FEATURES]))
+
+
+def _blocks(spark, sf_dir, station="event_type"):
+    rows = dataset.keep_valid(chunks.clean_splits(_hourly(spark, sf_dir, station), CFG, CHUNK), CFG)
+    return chunks.overlapping(rows, CFG, CHUNK)
+
+
+def sliding_windows_chunks(spark, sf_dir):
+    """The rows of ``sliding_windows_long``, by overlapping blocks."""
+    return _long_windows(dataset.sliding_windows(_blocks(spark, sf_dir), FEATURES, CFG, (*dataset.SERIES, "block")))
+
+
+def baseline_metrics_chunks(spark, sf_dir):
+    """The rows of ``baseline_metrics_users``, by overlapping blocks."""
+    rows = scoring.naive_predictions(_blocks(spark, sf_dir, "user_id"), CFG, (*dataset.SERIES, "block"))
+    return scoring.regression_metrics(rows, ["method_name", "split"]).select("method_name", "split", *map(_num, ("rmse", "mae", "r2", "mse")), "sample_count")
+
+
+def scaler_chunks(spark, sf_dir):
+    """The rows of ``scaler_standard_users``, by chunks."""
+    rows = chunks.clean_splits(_hourly(spark, sf_dir, "user_id"), CFG, CHUNK)
+    return dataset.fit_scaler(rows, FEATURES, CFG).select("feature", _num("center"), _num("scale"))
+
+
 def valid_stations(spark, sf_dir):
     return dataset.valid_stations(_clean(spark, sf_dir), CFG)
 
@@ -158,7 +189,11 @@ def scaled_features_users(spark, sf_dir):
 
 
 def sliding_windows_long(spark, sf_dir):
-    long = _windows(spark, sf_dir).select(STATION, "split", _text("t"), _num("y", 5), F.posexplode("X").alias("step", "row"))
+    return _long_windows(_windows(spark, sf_dir))
+
+
+def _long_windows(windows: DataFrame) -> DataFrame:
+    long = windows.select(STATION, "split", _text("t"), _num("y", 5), F.posexplode("X").alias("step", "row"))
     return long.select(STATION, "split", "t", "y", F.col("step").cast("bigint").alias("step"), *((F.round(F.col("row")[i].cast("double"), 5) + F.lit(0.0)).alias(c) for i, c in enumerate(FEATURES)))
 
 
@@ -515,7 +550,8 @@ NAMES = (
     "scaler_standard scaler_standard_users scaler_minmax scaled_features scaled_features_users sliding_windows_long window_violations non_finite_windows sample_explained naive_predictions baseline_metrics baseline_metrics_users "
     "station_metrics sample_universe_check centralized_counts non_iid_clients iid_clients iid_clients_users client_counts layout_counts client_summary usable_clients client_job fedavg_parameters client_loss_means round_traffic "
     "communication_rounds best_round early_stop align_columns station_files hourly_files hourly_csv_files window_files experiment_metadata results_payload "
-    "scored_predictions federated_results run_history time_formats scaler_files prediction_files metric_files round_files skipped_stations task_violations first_rows"
+    "scored_predictions federated_results run_history time_formats scaler_files prediction_files metric_files round_files skipped_stations task_violations first_rows "
+    "imputed_split_chunks sliding_windows_chunks baseline_metrics_chunks scaler_chunks"
 ).split()
 
 
