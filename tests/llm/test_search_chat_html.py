@@ -274,3 +274,132 @@ def test_op7_query(spark, tmp_path):
     spark.createDataFrame(rows).write.parquet(f"{tmp_path}/pages.parquet")
     got = {r.page_id: (r.n_chars, r.text) for r in op7_html(spark, str(tmp_path)).collect()}
     assert got == {i: (len(t), t) for i, t in enumerate(PAGES.values())} | {len(PAGES): (None, None)}
+
+
+def test_spans_that_are_no_numbers():
+    cells = "<table><tr><td colspan='{0}' rowspan='{0}'>a<td>b<tr><td>cc<td>d</table>"
+    for odd in ("²", "x", "", "-3", "0", "٣", "1.9"):
+        assert html_text.render(cells.format(odd)) == "a   b\ncc  d"
+    assert html_text.render("<table><tr><td>a<td rowspan=' +2px'>b<td>c<tr><td>d<td>e</table>") == "a  b  c\nd     e"
+    assert html_text.render("<select size='²'><option>a<option>b</select><ol start='²'><li value='" + "9" * 5000 + "'>x</ol>") == "a\n\n1. x"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        lambda n: '<a "' * n,
+        lambda n: "<a " * n,
+        lambda n: "<a" * n,
+        lambda n: "<a \"'<b '\"" * (n // 3) + ">",
+        lambda n: "<table>" + "<td colspan=1000 rowspan=65534>x" * (n // 40) + "<tr><td>y" * (n // 5),
+        lambda n: "<table>" + "".join(f"<td rowspan={i}>x" for i in range(n // 10, 0, -1)) + "<tr><td>y" * (n // 5),
+        lambda n: "<table>" + "<td>x" * (n // 3) + "<tr><td>y" * (n // 5),
+    ],
+    ids=["quotes", "tags", "names", "mixed", "spans", "uneven", "wide"],
+)
+def test_time_grows_with_the_page(page):
+    """Ten times the page, not a hundred times the work: unclosed tags and spans are not gone through again and again."""
+    import time
+
+    def seconds(n):
+        text = page(n)
+        began = time.perf_counter()
+        html_text.render(text)
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert seconds(250_000) < 30 * max(seconds(25_000), 0.02)
+
+
+def test_a_tag_without_an_end_is_text():
+    assert html_text.render("x <a href='y' z") == "x <a href='y' z"
+    assert html_text.render("<p title=\"a>b\">c</p><b 'd>e</b>f' g>h") == "c\n\nh"
+    assert html_text.render("1<a \"2<b>3</b>") == '1<a "23'
+    assert html_text.render("a<!-- b > c --d") == "a" and html_text.render("a<!x>b<?y>c") == "abc"
+
+
+def test_every_column_is_aligned():
+    wide = "<table><tr><td>" + "x" * 300 + "<td>A2<td>A3<tr><td>short<td>B2<td>B3</table>"
+    first, second = html_text.render(wide).split("\n")
+    assert (first.index("A2"), first.index("A3")) == (second.index("B2"), second.index("B3")) == (302, 306)
+    assert html_text.render(wide, max_aligned=256).split("\n")[1] == "short  B2  B3"
+    deep = "<ul><li>x" * 100
+    assert html_text.render(deep).split("\n")[-1] == " " * 198 + "- x"
+    assert html_text.render(deep, max_indent=10).split("\n")[-1] == " " * 10 + "- x"
+    nested = "<table><tr><td>a<td>b" * 3
+    assert html_text.render(nested, max_tables=1) != html_text.render(nested)
+    # Where padding would outgrow the page, cells stand two spaces apart, and none is lost.
+    far = "<table><tr>" + "<td rowspan=65534>x" * 3000 + "<td>end" + "<tr><td>y" * 3000 + "</table>"
+    found = html_text.render(far)
+    assert found.count("y") == 3000 and len(found) < 8 * len(far)
+
+
+def plain_text(node):
+    """A second renderer, for trees of (tag, children): blocks, lists, tables of single-line cells, hidden elements."""
+    blocks = []  # lines, and whether an empty line keeps them apart
+
+    def walk(node, indent, mark):
+        tag, children = node
+        if tag == "hidden":
+            return
+        if tag == "p":
+            blocks.append(([" " * indent + (mark or "") + " ".join(children)], not mark))
+        elif tag == "ul":
+            for i, child in enumerate(children):
+                blocks.append(([" " * indent + "- " + child], i == 0 and indent == 0))
+            blocks.append(([], True))
+        elif tag == "table":
+            widths = [max(len(row[c]) for row in children if c < len(row)) for c in range(max(map(len, children)))]
+            blocks.append((["  ".join(cell.ljust(w) for cell, w in zip(row, widths)).rstrip() for row in children], True))
+            blocks.append(([], True))
+        else:
+            for child in children:
+                walk(child, indent, mark)
+
+    walk(node, 0, None)
+    out, gap = [], False
+    for lines, spaced in blocks:
+        gap = gap or spaced
+        if lines:
+            out += ([""] if out and gap else []) + lines
+            gap = spaced and len(lines) == 1 and not lines[0].startswith("- ")
+    return "\n".join(out)
+
+
+def as_html(node):
+    tag, children = node
+    if tag == "p":
+        return "<p>" + " ".join(children)
+    if tag == "ul":
+        return "<ul>" + "".join(f"<li>{c}" for c in children) + "</ul>"
+    if tag == "table":
+        return "<table>" + "".join("<tr>" + "".join(f"<td>{c}" for c in row) for row in children) + "</table>"
+    inner = "".join(map(as_html, children))
+    return f"<section style='display: none'>{inner}</section>" if tag == "hidden" else f"<section>{inner}</section>"
+
+
+def test_trees_with_lists_tables_and_hidden_parts():
+    import random
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randrange(1, 9)))
+
+    def tree(depth):
+        kind = rng.choice(["p", "ul", "table", "section", "section", "hidden"] if depth else ["p", "ul", "table"])
+        if kind == "p":
+            return kind, [word() for _ in range(rng.randrange(1, 5))]
+        if kind == "ul":
+            return kind, [word() for _ in range(rng.randrange(1, 4))]
+        if kind == "table":
+            return kind, [[word() for _ in range(rng.randrange(1, 5))] for _ in range(rng.randrange(1, 4))]
+        return kind, [tree(depth - 1) for _ in range(rng.randrange(1, 4))]
+
+    for _ in range(500):
+        node = ("section", [tree(3) for _ in range(3)])
+        assert html_text.render(as_html(node)) == plain_text(node), as_html(node)
+
+
+def test_pages_that_clash_and_none(spark):
+    rows = spark.createDataFrame([(1, "<p>a", "old"), (2, None, "old"), (1, "<p>a", "old")], "page_id long, html string, text string")
+    assert sorted((r.page_id, r.text) for r in html_text.extract_text(rows).collect() if r.text) == [(1, "a"), (1, "a")]
+    assert html_text.extract_text(rows).columns == rows.columns and html_text.extract_text(rows.limit(0)).collect() == []
