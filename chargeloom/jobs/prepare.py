@@ -203,12 +203,13 @@ def report_rounds(
     cfg: PrepConfig | None = None,
     required: tuple[str, ...] = ("train", "val"),
 ) -> DataFrame:
-    """Client states and sizes to averaged parameters, round metrics and traffic; returns the best round.
+    """Client states (scalars, or chunks with ``values``) and sizes to averaged parameters, round metrics and traffic; returns the best round.
 
     The best round and the run's total traffic are written too. With the ``predictions`` of the best model and the
     ``run`` that they are of, they are scored, and the results row has the rounds, the best one and the traffic.
     """
-    federated.average_parameters(states, sizes).write.mode("overwrite").parquet(f"{out_folder}/parameters")
+    chunked = "values" in states.columns
+    (federated.average_chunks if chunked else federated.average_parameters)(states, sizes).write.mode("overwrite").parquet(f"{out_folder}/parameters")
     metrics = materialized(federated.round_metrics(sizes, evaluation, model_bytes))
     sent = materialized(federated.communication_rounds(sizes, model_bytes))
     tables.write_table(metrics, f"{out_folder}/round_metrics")
@@ -220,7 +221,9 @@ def report_rounds(
     if predictions is not None and run is not None:
         # Every client trains one model, whose averaged parameters are counted in one round.
         first = states.agg(F.min("round")).first()[0]
-        size = states.filter(F.col("round") == F.lit(first)).select("name", "idx").distinct().count() if first is not None else 0
+        place, length = ("chunk", F.size("values")) if chunked else ("idx", F.lit(1))
+        one = states.filter(F.col("round") == F.lit(first)).groupBy("name", place).agg(F.max(length).alias("size"))
+        size = one.agg(F.sum("size")).first()[0] or 0
         training = results.Training(steps=seen.rounds, best_step=best.first().best_round, parameters=size)
         score_predictions(spark, predictions, f"{out_folder}/scores", run, cfg, training=training, rounds=sent, model_bytes=model_bytes, required=required)
     return best

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import SPLITS, STATION
+from ..sources.scratch import materialized
 
 CENTRALIZED, STATION_CLIENTS, IID = "centralized", "non_iid_station", "iid"
 CLIENT = "client_"
@@ -36,17 +37,21 @@ def _chunk(position: Column, n: Column, clients: int) -> Column:
 def global_positions(rows: DataFrame, split: str, group: str, order: list[str]) -> DataFrame:
     """``rows`` with ``position`` (from 0, by group and order within each split) and ``split_rows``.
 
-    A row's position is its group's offset and its place in the group, so that no task holds a whole split:
-    only the table of group sizes (one row a station, or a digest prefix) is put in one order, by one task a
-    split: that holds to some tens of millions of stations.
+    A row's position is its group's offset and its place in the group. Offsets are a prefix sum in two levels: group
+    sizes (one row a station, or a digest prefix) lie in ranges, each range adds up its own, and what comes before a
+    range is a sum over one row a range. So no task holds a split, or all its groups.
     """
     inside = Window.partitionBy(split, group).orderBy(*order)
     placed = rows.withColumn("_place", F.row_number().over(inside) - 1)
     sizes = rows.groupBy(split, group).agg(F.count(F.lit(1)).alias("_size"))
-    before = Window.partitionBy(split).orderBy(group)
-    offsets = sizes.select(
-        split, group, (F.sum("_size").over(before.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_size")).alias("_offset"), F.sum("_size").over(Window.partitionBy(split)).alias("split_rows")
-    )
+    ranged = materialized(sizes.repartitionByRange(split, group).withColumn("_range", F.spark_partition_id()))
+    before = Window.partitionBy(split).orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
+    totals = ranged.groupBy(split, "_range").agg(F.sum("_size").alias("_total"))
+    # A row for each range and split: no more than there are partitions.
+    starts = totals.select(split, "_range", (F.sum("_total").over(before) - F.col("_total")).alias("_start"), F.sum("_total").over(Window.partitionBy(split)).alias("split_rows"))
+    own = Window.partitionBy(split, "_range").orderBy(group).rowsBetween(Window.unboundedPreceding, 0)
+    local = ranged.withColumn("_local", F.sum("_size").over(own) - F.col("_size"))
+    offsets = local.join(F.broadcast(starts), [split, "_range"]).select(split, group, (F.col("_start") + F.col("_local")).alias("_offset"), "split_rows")
     return placed.join(offsets, [split, group]).withColumn("position", F.col("_offset") + F.col("_place")).drop("_place", "_offset")
 
 

@@ -318,6 +318,7 @@ def oracle_sql() -> dict[str, str]:
         "sliding_windows_chunks": out["sliding_windows_long"],
         "baseline_metrics_chunks": out["baseline_metrics_users"],
         "scaler_chunks": out["scaler_standard_users"],
+        "fedavg_chunks": out["fedavg_parameters"],
         "scaler_files": out["scaler_standard"],
         "prediction_files": _with(*complete, _TARGETS, _NAIVE, query=f"SELECT form, {_text('t')}, station_id, {_num('y_true', 5)}, {_num('y_pred', 5)}, method_name AS method FROM naive CROSS JOIN (VALUES ('long'), ('short')) f(form) WHERE split = 'test'"),
         "metric_files": out["baseline_metrics"],

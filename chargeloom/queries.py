@@ -311,6 +311,18 @@ def fedavg_parameters(spark, sf_dir):
     return federated.average_parameters(_states(rounds), _sizes(rounds), ["is_weekend"]).select("round", "name", "idx", _num("value"))
 
 
+def fedavg_chunks(spark, sf_dir):
+    """The rows of ``fedavg_parameters``, from states in chunks of four: one vector of all features but the whole one."""
+    rounds, kept = materialized(_rounds(spark, sf_dir)), "is_weekend"
+    floats = [c for c in FEATURES if c != kept]
+    place = F.array_position(F.array(*map(F.lit, floats)), F.col("name"))
+    vector = _states(rounds).select("round", "client_id", F.when(place > 0, "floats").otherwise(kept).alias("name"), F.when(place > 0, place - 1).otherwise(F.lit(0)).alias("idx"), "value")
+    found = federated.average_chunks(federated.chunk_parameters(vector, 4), _sizes(rounds), [kept])
+    each = found.select("round", "name", "chunk", F.posexplode("values").alias("place", "value"))
+    name = F.when(F.col("name") == kept, kept).otherwise(F.get(F.array(*map(F.lit, floats)), (F.col("chunk") * 4 + F.col("place")).cast("int")))
+    return each.select("round", name.alias("name"), F.lit(0).cast("bigint").alias("idx"), _num("value"))
+
+
 def client_loss_means(spark, sf_dir):
     return federated.loss_means(client_sizes(spark, sf_dir)).select("round", "client_count", _num("train_loss_mean"), _num("train_loss_weighted"))
 
@@ -551,7 +563,7 @@ NAMES = (
     "station_metrics sample_universe_check centralized_counts non_iid_clients iid_clients iid_clients_users client_counts layout_counts client_summary usable_clients client_job fedavg_parameters client_loss_means round_traffic "
     "communication_rounds best_round early_stop align_columns station_files hourly_files hourly_csv_files window_files experiment_metadata results_payload "
     "scored_predictions federated_results run_history time_formats scaler_files prediction_files metric_files round_files skipped_stations task_violations first_rows "
-    "imputed_split_chunks sliding_windows_chunks baseline_metrics_chunks scaler_chunks"
+    "imputed_split_chunks sliding_windows_chunks baseline_metrics_chunks scaler_chunks fedavg_chunks"
 ).split()
 
 

@@ -235,6 +235,31 @@ def test_federated(spark):
     assert {r.value for r in federated.average_parameters(same, sizes).collect()} == {2.5}
 
 
+def test_parameters_in_chunks(spark):
+    """Chunks give what scalars give, in fewer rows; the clients of a chunk are added up in groups."""
+    rows = [(r, f"c{c}", name, i, float((7 * r + 3 * c + i) % 11)) for r in (1, 2) for c in range(10) for name, size in (("w", 10), ("b", 3), ("k", 1)) for i in range(size)]
+    states = spark.createDataFrame(rows, "round int, client_id string, name string, idx long, value double")
+    sizes = spark.createDataFrame([(r, f"c{c}", c + 1, 0.0) for r in (1, 2) for c in range(10)], "round int, client_id string, n long, loss double")
+    chunked = federated.chunk_parameters(states, 4)
+    assert chunked.count() == 2 * 10 * (3 + 1 + 1)
+    want = {(r.round, r.name, r.idx): pytest.approx(r.value) for r in federated.average_parameters(states, sizes, ["k"]).collect()}
+    found = federated.average_chunks(chunked, sizes, ["k"]).collect()
+    assert {(r.round, r.name, 4 * r.chunk + i): v for r in found for i, v in enumerate(r["values"])} == want
+    with pytest.raises(Exception, match="length"):
+        federated.average_chunks(chunked.withColumn("values", F.when(F.col("client_id") == "c3", F.array(F.lit(1.0), F.lit(2.0))).otherwise(F.col("values"))), sizes).collect()
+    with pytest.raises(Exception, match="size"):
+        federated.average_chunks(chunked, sizes.filter("client_id <> 'c1'")).collect()
+
+
+def test_positions_have_no_task_for_a_split(spark):
+    """Offsets by ranges of groups: windows over rows and groups go by group or range, and the rest is one row a range."""
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 == 0, "train").otherwise("val").alias("split"), F.format_string("%05d", F.col("id") % 700).alias("g"), "id")
+    got = layouts.global_positions(rows, "split", "g", ["id"]).collect()
+    for split in ("train", "val"):
+        own = sorted((r.g, r.id, r.position, r.split_rows) for r in got if r.split == split)
+        assert [x[2] for x in own] == list(range(len(own))) and {x[3] for x in own} == {len(own)}
+
+
 def test_contracts(spark):
     features = feature_columns([*VALUE_COLUMNS, "occupancy_rate", "fast_occupancy_rate", "slow_occupancy_rate", "hour", "day_of_week", "is_weekend", "hour_sin", "hour_cos", "dow_sin", "dow_cos"])
     assert len(features) == 19
