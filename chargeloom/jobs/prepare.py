@@ -43,11 +43,12 @@ def build_hourly(spark: SparkSession, raw_folder: str, out_folder: str, cfg: Pre
     return counters
 
 
-def build_datasets(spark: SparkSession, hourly_folder: str, out_folder: str, cfg: PrepConfig | None = None, export: tuple[str, ...] = ()) -> dict:
+def build_datasets(spark: SparkSession, hourly_folder: str, out_folder: str, cfg: PrepConfig | None = None, export: tuple[str, ...] = (), by_client: bool = True) -> dict:
     """The hourly table to scaled windows for three layouts, the scaler, split statistics, client counts and metadata.
 
     The complete rows of all splits are made once and kept, long stations in chunks, and what follows reads them; windows are written once,
-    and the balanced clients are a table of their keys. ``export`` names layouts to copy into a folder for each
+    and, unless ``by_client`` says no, once more in order of the balanced clients, so that a client can be read without
+    the others. ``export`` names layouts to copy into a folder for each
     client too. A second run replaces the first.
     """
     cfg = cfg or PrepConfig()
@@ -70,6 +71,8 @@ def build_datasets(spark: SparkSession, hourly_folder: str, out_folder: str, cfg
     clients = cfg.iid_clients or stations.count()
     keys = made.select("split", STATION, "t")
     tables.write_assignment(layouts.iid_assignment(keys, clients, cfg.seed), f"{out_folder}/windows")
+    if by_client:
+        tables.write_client_windows(spark, f"{out_folder}/windows")
     assigned = spark.read.parquet(f"{out_folder}/windows/assignment")
     tables.write_table(layouts.layout_counts(keys, assigned, layouts.roster(spark, clients)), f"{out_folder}/client_counts")
     if export:

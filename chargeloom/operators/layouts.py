@@ -10,6 +10,8 @@ from ..sources.scratch import materialized
 
 CENTRALIZED, STATION_CLIENTS, IID = "centralized", "non_iid_station", "iid"
 CLIENT = "client_"
+#: Folders that the windows of balanced clients are dealt to.
+BUCKETS = 256
 
 
 def centralized(windows: DataFrame) -> DataFrame:
@@ -26,6 +28,11 @@ def client_name(number: Column) -> Column:
     return F.format_string(f"{CLIENT}%03d", number)
 
 
+def client_bucket(client_id: Column) -> Column:
+    """The folder that holds a balanced client's windows: its number modulo ``BUCKETS``."""
+    return F.substring(client_id, len(CLIENT) + 1, 20).cast("bigint") % BUCKETS
+
+
 def _chunk(position: Column, n: Column, clients: int) -> Column:
     """The chunk of a 0-based position when n samples go to so many chunks in order, the first n mod k one larger."""
     base, rest = F.floor(n / clients).cast("long"), n % clients

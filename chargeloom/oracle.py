@@ -318,6 +318,11 @@ def oracle_sql() -> dict[str, str]:
         "sliding_windows_chunks": out["sliding_windows_long"],
         "baseline_metrics_chunks": out["baseline_metrics_users"],
         "scaler_chunks": out["scaler_standard_users"],
+        "client_windows": _with(
+            *complete, _TARGETS, _WINDOWS, _iid(300),
+            query=f"""SELECT client_id, w.split, w.station_id, {_text("w.t").replace("AS w.", "AS ")}, {_num("w.y", 5, "y")}, {_num(f"w.{FEATURES[0]}", 5, "first")}
+            FROM windows w JOIN assigned a ON a.split = w.split AND a.station_id = w.station_id AND a.t = w.t WHERE step = 0 AND client_id IN ('client_000', 'client_007', 'client_256', 'client_299')""",
+        ),
         "fedavg_chunks": out["fedavg_parameters"],
         "scaler_files": out["scaler_standard"],
         "prediction_files": _with(*complete, _TARGETS, _NAIVE, query=f"SELECT form, {_text('t')}, station_id, {_num('y_true', 5)}, {_num('y_pred', 5)}, method_name AS method FROM naive CROSS JOIN (VALUES ('long'), ('short')) f(form) WHERE split = 'test'"),

@@ -416,6 +416,16 @@ def window_files(spark, sf_dir):
     return read.select("scenario", "client_id", "split", STATION, _text("t"), _num("y", 5), _num("first", 5), _num("last", 5))
 
 
+def client_windows(spark, sf_dir):
+    """The windows of some balanced clients, each read by itself from the copy in order of clients."""
+    folder = _folder(spark, "clients")
+    tables.write_samples(_windows(spark, sf_dir), folder)
+    tables.write_assignment(layouts.iid_assignment(tables.read_samples(spark, folder).select("split", STATION, "t"), 300, CFG.seed), folder)
+    tables.write_client_windows(spark, folder)
+    read = dataset.align_columns([tables.read_windows(spark, folder, layouts.IID, f"client_{n:03}") for n in (0, 7, 256, 299)])
+    return read.select("client_id", "split", STATION, _text("t"), _num("y", 5), (F.round(F.col("X")[0][0].cast("double"), 5) + F.lit(0.0)).alias("first"))
+
+
 def client_job(spark, sf_dir):
     """The clients of one station each that a federated run can use, from a dataset's rows."""
     summary = layouts.client_summary(_station_samples(spark, sf_dir))
@@ -563,7 +573,7 @@ NAMES = (
     "station_metrics sample_universe_check centralized_counts non_iid_clients iid_clients iid_clients_users client_counts layout_counts client_summary usable_clients client_job fedavg_parameters client_loss_means round_traffic "
     "communication_rounds best_round early_stop align_columns station_files hourly_files hourly_csv_files window_files experiment_metadata results_payload "
     "scored_predictions federated_results run_history time_formats scaler_files prediction_files metric_files round_files skipped_stations task_violations first_rows "
-    "imputed_split_chunks sliding_windows_chunks baseline_metrics_chunks scaler_chunks fedavg_chunks"
+    "imputed_split_chunks sliding_windows_chunks baseline_metrics_chunks scaler_chunks fedavg_chunks client_windows"
 ).split()
 
 

@@ -33,7 +33,18 @@ def materialized(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _store(spark: SparkSession, folder: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def folder_exists(spark: SparkSession, folder: str) -> bool:
+    """Whether a folder of any file system that Spark can reach is there."""
+    store, path = _store(spark, folder)
+    return store.exists(path)
+
+
 def delete_folder(spark: SparkSession, folder: str) -> None:
     """Delete a folder of any file system that Spark can reach."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    store, path = _store(spark, folder)
+    store.delete(path, True)

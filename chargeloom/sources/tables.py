@@ -12,10 +12,14 @@ from ..operators import layouts
 from ..operators.federated import COMMUNICATION_SCHEMA
 from ..operators.scoring import canonical, format_time, short_predictions
 from .readings import STATION_FOLDER
+from .scratch import delete_folder, folder_exists
 
 #: Windows are about 2 kB each, so that a file stays near 1 GB.
 WINDOWS_PER_FILE = 500_000
 
+#: The folders of the copy by balanced clients.
+CLIENT_FOLDER = "client_folder"
+
 WINDOW_COLUMNS = ("scenario", "client_id", "split", STATION, "t", "X", "y")
 
 
@@ -77,10 +81,35 @@ def read_samples(spark: SparkSession, folder: str) -> DataFrame:
 
 def write_assignment(assigned: DataFrame, folder: str) -> None:
     """Which balanced client each sample belongs to, in order of clients: keys only, no window."""
+    delete_folder(assigned.sparkSession, f"{folder}/clients")  # a copy by earlier clients
     rows = assigned.repartitionByRange("client_id", "split", STATION).sortWithinPartitions("client_id", "split", STATION, "t")
     rows.write.mode("overwrite").parquet(f"{folder}/assignment")
 
 
+def write_client_windows(spark: SparkSession, folder: str) -> None:
+    """A copy of the samples in order of the balanced clients of :func:`write_assignment`, for readers of one client at a time.
+
+    A client's samples are a random choice of all, so in the one copy they lie in every file. Here a client lies in one
+    of a fixed number of folders, and there in few row groups next to each other: a reader's filter leaves all other
+    files out. Ranges of rows are written, so a task's share does not depend on how clients and folders are filled.
+    """
+    assigned = spark.read.parquet(f"{folder}/assignment").drop("position")
+    rows = read_samples(spark, folder).join(assigned, ["split", STATION, "t"]).withColumn(CLIENT_FOLDER, layouts.client_bucket(F.col("client_id")))
+    order = [CLIENT_FOLDER, "client_id", "split", STATION, "t"]
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt.write.mode("overwrite").option("maxRecordsPerFile", WINDOWS_PER_FILE).partitionBy(CLIENT_FOLDER).parquet(f"{folder}/clients")
+
+
+def _client_windows(spark: SparkSession, folder: str, client_id: str | None) -> DataFrame:
+    """Windows with their balanced client: from the copy in order of clients where there is one, else by a join of keys."""
+    if folder_exists(spark, f"{folder}/clients"):
+        rows = spark.read.parquet(f"{folder}/clients")
+        if client_id is not None:
+            rows = rows.filter(F.col(CLIENT_FOLDER) == layouts.client_bucket(F.lit(client_id)))
+        return rows.drop(CLIENT_FOLDER)
+    return read_samples(spark, folder).join(_of(spark.read.parquet(f"{folder}/assignment"), client_id, None).drop("position"), ["split", STATION, "t"])
+
+
 def read_windows(spark: SparkSession, folder: str, scenario: str, client_id: str | None = None, split: str | None = None) -> DataFrame:
     """Windows of a layout, or of one client or split of it, from the one copy; an error if there are none."""
     made = read_samples(spark, folder)
@@ -90,8 +119,7 @@ def read_windows(spark: SparkSession, folder: str, scenario: str, client_id: str
         own = made if client_id is None else made.filter(F.col(STATION) == client_id.removeprefix(layouts.CLIENT))
         rows = layouts.station_clients(own)
     elif scenario == layouts.IID:
-        rows = made.join(_of(spark.read.parquet(f"{folder}/assignment"), client_id, split).drop("position"), ["split", STATION, "t"])
-        rows = rows.withColumn("scenario", F.lit(layouts.IID))
+        rows = _client_windows(spark, folder, client_id).withColumn("scenario", F.lit(layouts.IID))
     else:
         raise ValueError(f"no layout {scenario!r}")
     rows = _of(rows, client_id, split).select(*WINDOW_COLUMNS)

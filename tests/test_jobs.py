@@ -58,6 +58,9 @@ def test_all_jobs(spark, raw_folder, tmp_path):
     for scenario in (layouts.CENTRALIZED, layouts.STATION_CLIENTS, layouts.IID):
         assert tables.read_windows(spark, f"{out}/sets/windows", scenario, split="train").count() == n["train"]
     one = tables.read_windows(spark, f"{out}/sets/windows", layouts.IID, "client_000")
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(client_folder" in plan and "Join" not in plan
+    assert len(one.inputFiles()) > len(one.select("_metadata.file_path").distinct().collect()) == 1
     assert one.filter("split = 'train'").count() in (n["train"] // 4, n["train"] // 4 + 1)
     assert len(one.first().X) == 6 and len(one.first().X[0]) == 19
     with pytest.raises(RuntimeError):
