@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable
 
@@ -14,7 +15,7 @@ from .operators import chunks, contracts, dataset, federated, hourly, layouts, r
 from .sources import tables
 from .sources.events import readings_from_events
 from .sources.readings import read_hourly, read_hourly_csv, read_station_files
-from .sources.scratch import materialized, shared_folder
+from .sources.scratch import delete_folder, materialized, shared_folder
 
 CFG = PrepConfig()
 FEATURES = feature_columns([*VALUE_COLUMNS, *OCCUPANCY_COLUMNS, *CALENDAR_COLUMNS], CFG.target)
@@ -371,9 +372,30 @@ def _file_readings(spark, sf_dir) -> DataFrame:
     return raw.withColumns({STATION: name, "volume": odd})
 
 
+#: Folders that the query now running has made.
+_made: list[str] = []
+
+
 def _folder(spark, name: str) -> str:
-    """A folder of a query's own below the shared one; its files outlive the query, whose result is read from them."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A folder of a query's own below the shared one, deleted when its result is kept."""
+    _made.append(f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def _tidy(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query; if its result is read from folders that it made, the result is computed at once and they are deleted."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        _made.clear()
+        found = query(spark, sf_dir)
+        if _made:
+            found = materialized(found)
+            for folder in _made:
+                delete_folder(spark, folder)
+        return found
+
+    return run
 
 
 def station_files(spark, sf_dir):
@@ -578,4 +600,4 @@ NAMES = (
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: globals()[name] for name in NAMES}
+    return {name: _tidy(globals()[name]) for name in NAMES}
