@@ -36,12 +36,12 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _powers: dict[str, np.ndarray] = {}
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[ord("A") : ord("Z") + 1] += 32
-_IN_WORD = np.zeros(256, dtype=bool)
-_IN_WORD[ord("0") : ord("9") + 1] = True
-_IN_WORD[ord("a") : ord("z") + 1] = True
-_IN_WORD[0x80:] = True
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[ord("A") : ord("Z") + 1] += 32
+WORD_BYTES = np.zeros(256, dtype=bool)
+WORD_BYTES[ord("0") : ord("9") + 1] = True
+WORD_BYTES[ord("a") : ord("z") + 1] = True
+WORD_BYTES[0x80:] = True
 
 
 def _power(base: np.uint64, name: str, n: int) -> np.ndarray:
@@ -77,7 +77,7 @@ class Words:
         return b" ".join(raw[a:b].tobytes() for a, b in zip(self.start[first : first + n], self.end[first : first + n])).decode("utf-8", "replace")
 
 
-def _hash_words(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def hash_ranges(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word's bytes, from prefix sums over slices of bounded size."""
     out = np.empty(len(start), dtype=np.uint64)
     at = 0
@@ -96,9 +96,9 @@ def _hash_words(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
 def split_words(raw: np.ndarray, marks: np.ndarray) -> Words:
     """The words of the rows of ``raw`` that ``marks`` delimits."""
     low, high = int(marks[0]), int(marks[-1])
-    raw = _LOWER[raw[low:high]]
+    raw = LOWER[raw[low:high]]
     marks = marks - low
-    inside = _IN_WORD[raw]
+    inside = WORD_BYTES[raw]
     cut = np.zeros(len(raw) + 1, dtype=bool)
     cut[marks] = True
     before = np.zeros(len(raw), dtype=bool)
@@ -108,7 +108,7 @@ def split_words(raw: np.ndarray, marks: np.ndarray) -> Words:
     after[:-1] = inside[1:]
     end = np.flatnonzero(inside & (~after | cut[1:])) + 1
     row = np.searchsorted(marks, start, side="right") - 1
-    return Words(raw, start, end, _hash_words(raw, start, end), row)
+    return Words(raw, start, end, hash_ranges(raw, start, end), row)
 
 
 def gram_hashes(words: Words, n: int) -> np.ndarray:

@@ -16,12 +16,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import fold, hash_share, row_groups, tune, utf8_parts
-from .decontaminate import split_words
+from .decontaminate import LOWER, WORD_BYTES, hash_ranges, split_words
 
 #: Bounds of the samples that the model is fitted on: smallest hashes of the document id.
 MAX_POSITIVES = 10_000
@@ -38,28 +39,80 @@ _DECAY = 1e-4
 _SPACE, _MARKS = [9, 10, 11, 12, 13, 32], [ord(c) for c in "#$%&*+<=>@\\^_`{|}~"]
 _SHARES, _BITS = 24, 6
 _FEATURES = _SHARES + 2 * (1 << _BITS)
-_SLICE = 1 << 20
+_SLICE, _LONG = 1 << 20, 1 << 16
+_WHITE, _SENTENCE = np.zeros(256, bool), np.zeros(256, bool)
+_WHITE[_SPACE], _SENTENCE[list(b".!?")] = True, True
 #: Hashed shares are many and noisy: each is scaled down by so much beside the others.
 _SOFTER = 3.0
 
 
-def features(raw: bytes) -> list[float]:
-    """Length-free shares of a UTF-8 text, plus its log lengths; zeros for a text without words."""
+def _hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each byte range; long ones are hashed by themselves, so that none needs several times its size."""
+    out = np.empty(len(start), np.uint64)
+    long = end - start > _LONG
+    out[~long] = hash_ranges(raw, start[~long], end[~long])
+    for i in np.flatnonzero(long):
+        out[i] = xxhash.xxh64_intdigest(memoryview(raw)[start[i] : end[i]])
+    return out
+
+
+def _cuts(inside: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Consecutive slices of about ``most`` bytes that cut no run of ``inside``."""
+    first, size = 0, len(inside)
+    while first < size:
+        last = first + most
+        while last < size and inside[last - 1] and inside[last]:
+            gap = np.flatnonzero(~inside[last : last + most])
+            last = last + int(gap[0]) if len(gap) else last + most
+        yield first, min(last, size)
+        first = last
+
+
+def _edges(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of true begin and end."""
+    steps = np.flatnonzero(np.diff(inside.view(np.int8), prepend=0, append=0))
+    return steps[::2], steps[1::2]
+
+
+def features(raw: np.ndarray | bytes) -> list[float]:
+    """Length-free shares of the bytes of a UTF-8 text, plus its log lengths; zeros for a text without words.
+
+    Words, pairs of words and lines are compared by 64-bit hashes, made slice by slice: a text costs some three
+    times its size, whatever its words are.
+    """
     out = [0.0] * _SHARES
-    words = raw.split()
-    if not words:
+    raw = np.frombuffer(raw, np.uint8) if isinstance(raw, bytes) else raw
+    inside = ~_WHITE[raw]
+    hashes, many, squares, short, tall = [], 0, 0, 0, 0
+    seen = np.zeros(256, np.int64)
+    for first, last in _cuts(inside, _SLICE):
+        seen += np.bincount(raw[first:last], minlength=256)
+        start, end = _edges(inside[first:last])
+        lengths = end - start
+        hashes.append(_hashes(raw[first:last], start, end))
+        many += len(lengths)
+        squares += int((lengths**2).sum())
+        short += int((lengths <= 2).sum())
+        tall += int((lengths >= 15).sum())
+    if not many:
         return out
-    seen = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
-    many, size = len(words), len(raw)
+    h = np.concatenate(hashes)
+    del hashes
+    size = len(raw)
     lower, upper, other = int(seen[97:123].sum()), int(seen[65:91].sum()), int(seen[128:].sum())
     letters = max(1, lower + upper + other)
     spaces = int(seen[_SPACE].sum())
     black = max(1, size - spaces)
-    distinct = len(set(words))
-    lengths = np.fromiter(map(len, words), np.int64, many)
-    lines = [x for x in raw.split(b"\n") if x.strip()]
-    pairs = list(zip(words, words[1:]))
-    again = sum(a == b for a, b in pairs)
+    again = int((h[1:] == h[:-1]).sum())
+    pairs = _distinct(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + (h[1:] ^ (h[1:] >> np.uint64(31))))
+    distinct = _distinct(h)
+    # Lines end at a newline; those without a word do not count.
+    end = np.append(np.flatnonzero(raw == 10), size)
+    start = np.append(0, end[:-1] + 1)
+    filled = np.logical_or.reduceat(np.append(inside, False), start) & (end > start)
+    start, end = start[filled], end[filled]
+    lines, ends = len(start), raw[end - 1]
+    mean = int(inside.sum()) / many
     out[0] = np.log1p(many)
     out[1] = np.log1p(size / many)
     out[2] = upper / letters
@@ -75,42 +128,70 @@ def features(raw: bytes) -> list[float]:
     out[12] = distinct / many
     out[13] = (distinct / many) * np.log1p(many)
     out[14] = again / many
-    out[15] = len(set(pairs)) / max(1, len(pairs))
-    out[16] = len(set(lines)) / max(1, len(lines))
-    out[17] = np.log1p(len(lines)) - np.log1p(many)
-    out[18] = float(lengths.std()) / 10
-    out[19] = float((lengths <= 2).mean())
-    out[20] = float((lengths >= 15).mean())
-    out[21] = sum(x[-1] in b".!?" for x in lines) / max(1, len(lines))
+    out[15] = pairs / max(1, many - 1)
+    out[16] = _distinct(_hashes(raw, start, end)) / max(1, lines)
+    out[17] = np.log1p(lines) - np.log1p(many)
+    out[18] = float(np.sqrt(max(0.0, squares / many - mean**2))) / 10
+    out[19] = short / many
+    out[20] = tall / many
+    out[21] = int(_SENTENCE[ends].sum()) / max(1, lines)
     out[22] = (int(seen[:9].sum()) + int(seen[14:32].sum()) + int(seen[127])) / size
     out[23] = spaces / size
     return out
 
 
-def hashed_shares(hashes: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
-    """For each row the roots of the shares of its hashes by their highest bits."""
+def _distinct(hashes: np.ndarray) -> int:
+    """How many values differ; the array is sorted in place."""
+    hashes.sort()
+    return int((hashes[1:] != hashes[:-1]).sum()) + (len(hashes) > 0)
+
+
+def hashed_counts(hashes: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """For each row how many of its hashes have each value of their highest bits."""
     cells = (row << _BITS) + (hashes >> np.uint64(64 - _BITS)).astype(np.int64)
-    counts = np.bincount(cells, minlength=rows << _BITS).reshape(rows, -1).astype(np.float64)
-    return np.sqrt(counts / np.maximum(1, counts.sum(axis=1, keepdims=True)))
+    return np.bincount(cells, minlength=rows << _BITS).reshape(rows, -1).astype(np.float64)
+
+
+def _counts(raw: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """Hashed counts of the words and of the runs of three bytes of each row."""
+    rows = len(marks) - 1
+    words = split_words(raw, marks)
+    text = raw[marks[0] : marks[-1]].astype(np.uint64)
+    runs = np.zeros((rows, 1 << _BITS))
+    if len(text) > 2:
+        grams = (text[:-2] | text[1:-1] << np.uint64(8) | text[2:] << np.uint64(16)) * np.uint64(0x9E3779B97F4A7C15)
+        of = np.repeat(np.arange(rows), np.diff(marks))
+        whole = of[:-2] == of[2:]
+        runs = hashed_counts(grams[whole], of[:-2][whole], rows)
+    return np.concatenate([hashed_counts(words.hashes, words.row, rows), runs], axis=1)
+
+
+def _long_counts(raw: np.ndarray) -> np.ndarray:
+    """:func:`_counts` of one long text, slice by slice: slices cut no word, and runs of bytes over a cut are added."""
+    total = np.zeros((1, 2 << _BITS))
+    for first, last in _cuts(WORD_BYTES[LOWER[raw]], _SLICE):
+        total += _counts(raw, np.array([first, last], np.int64))
+        if last < len(raw):
+            over = raw[max(0, last - 2) : last + 2]
+            bridge = _counts(over, np.array([0, len(over)], np.int64))[:, 1 << _BITS :]
+            # Runs that lie on one side of the cut are counted with their slice.
+            total[:, 1 << _BITS :] += bridge
+    return total
 
 
 def feature_rows(column: pa.Array) -> np.ndarray:
     """Features of each text of a column; nulls count as empty."""
     raw, marks = utf8_parts(column)
     out = np.zeros((len(marks) - 1, _FEATURES))
-    data = memoryview(raw)
     for i, (a, b) in enumerate(zip(marks[:-1].tolist(), marks[1:].tolist())):
-        out[i, :_SHARES] = features(bytes(data[a:b]))
+        out[i, :_SHARES] = features(raw[a:b])
     for first, last in row_groups(marks, _SLICE):
-        own, rows = marks[first : last + 1], last - first
-        words = split_words(raw, own)
-        out[first:last, _SHARES : _SHARES + (1 << _BITS)] = hashed_shares(words.hashes, words.row, rows)
-        text = raw[own[0] : own[-1]].astype(np.uint64)
-        if len(text) > 2:
-            runs = (text[:-2] | text[1:-1] << np.uint64(8) | text[2:] << np.uint64(16)) * np.uint64(0x9E3779B97F4A7C15)
-            of = np.repeat(np.arange(rows), np.diff(own))
-            inside = of[:-2] == of[2:]
-            out[first:last, _SHARES + (1 << _BITS) :] = hashed_shares(runs[inside], of[:-2][inside], rows)
+        own = marks[first : last + 1]
+        found = _counts(raw, own) if last - first > 1 or own[-1] - own[0] <= 2 * _SLICE else _long_counts(raw[own[0] : own[-1]])
+        for part in (slice(0, 1 << _BITS), slice(1 << _BITS, None)):
+            counts = found[:, part]
+            found[:, part] = np.sqrt(counts / np.maximum(1, counts.sum(axis=1, keepdims=True)))
+        out[first:last, _SHARES:] = found
     return out
 
 

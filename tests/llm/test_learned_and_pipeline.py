@@ -318,3 +318,18 @@ def test_stages_tell_rows_apart_without_ids(spark, tmp_path):
     docs = spark.createDataFrame([(7, text[0]), (7, text[1]), (None, text[1]), (None, text[2]), (9, text[3]), (9, text[3])], "doc_id long, text string").repartition(3)
     got = sorted((str(r.doc_id), r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).collect())
     assert got == sorted([("7", text[0]), ("7", text[1]), ("None", text[2]), ("9", text[3])])
+
+
+def test_features_of_long_texts_are_those_of_any(monkeypatch):
+    """Slices change no feature, and a text of 60 MB takes few times its size."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    words = ["".join(rng.choice(list("abcXYZ.é 1"), rng.integers(1, 9))) for _ in range(3000)]
+    texts = [" ".join(words), "\n".join(words[:500]), "x" * 9000, "", " \n ", "A b. C\n\nA b. C"]
+    whole = quality.feature_rows(pa.array(texts))
+    monkeypatch.setattr(quality, "_SLICE", 700)
+    assert np.abs(quality.feature_rows(pa.array(texts)) - whole).max() < 1e-12
+    plain = texts[0].encode().split()
+    assert whole[0][12] == pytest.approx(len(set(plain)) / len(plain)) and whole[0][15] == pytest.approx(len(set(zip(plain, plain[1:]))) / (len(plain) - 1))
+    assert whole[0][14] == pytest.approx(sum(a == b for a, b in zip(plain, plain[1:])) / len(plain)) and whole[0][18] == pytest.approx(np.std([len(w) for w in plain]) / 10)
