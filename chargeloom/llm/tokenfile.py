@@ -20,6 +20,7 @@ import json
 import re
 import zlib
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -49,6 +50,7 @@ SHARD_DOCS = 20_000
 MAX_SHARDS = 4096
 
 _LEVEL = 3
+_GOLDEN = 0.6180339887498949
 #: Longer texts without a space are left to the tokenizers library whole.
 _LONG_RUN = re.compile(r"\S{2000}|\s{2000}").search
 
@@ -165,10 +167,21 @@ def _shard_bounds(docs: DataFrame, id_col: str) -> list[int]:
     return sorted(cuts or [])
 
 
-def _shards(bounds: np.ndarray, ids: np.ndarray, ties: np.ndarray) -> np.ndarray:
-    """The shard of each row, ascending in (id, tie): rows of an id that fills several shards are dealt by the tie."""
+def _shards(bounds: np.ndarray, ids: np.ndarray, ties: np.ndarray, seen: Counter | None = None) -> np.ndarray:
+    """The shard of each row, ascending in id: rows of an id that fills several shards are dealt over them.
+
+    They are dealt by the tie and, where a task meets an (id, tie) again, by how often: so equal rows, which are
+    alike to every reader, are dealt too, and a task that runs again deals the same rows to the same shards, in
+    whatever order it reads them. ``seen`` counts for the task.
+    """
     first, last = np.searchsorted(bounds, ids, side="left"), np.searchsorted(bounds, ids, side="right")
-    return (first + (ties.astype(np.float64) / 2.0**32 * (last - first + (last > first))).astype(np.int64)).astype(np.int32)
+    seen = Counter() if seen is None else seen
+    several = np.flatnonzero(last > first)
+    share = np.zeros(len(ids))
+    for i, key in zip(several.tolist(), zip(ids[several].tolist(), ties[several].tolist())):
+        share[i] = (key[1] / 2.0**32 + seen[key] * _GOLDEN) % 1.0
+        seen[key] += 1
+    return (first + (share * (last - first + (last > first))).astype(np.int64)).astype(np.int32)
 
 
 def write_tokens(
@@ -183,11 +196,11 @@ def write_tokens(
 ) -> None:
     """Encode ``docs`` and write a token store to ``folder``, documents in ascending order of id.
 
-    Null ids come first, and rows with the same id in the order of their ids' checksum and frames; a null or empty
+    Null ids come first, and rows with the same id in some order (that of their ids' checksum within a shard); a null or empty
     text is its end id alone, a very long one is one frame like others. Repeated rows are each written; other
     columns are not read. Documents are encoded and compressed where they are read, and only frames are shuffled:
     by shard, cut at quantiles of the ids, and sorted within it; an id that many rows share is spread over several
-    shards. An empty table makes a store without blocks.
+    shards, equal rows too. An empty table makes a store without blocks.
     """
     spark = docs.sparkSession
     tune(spark)
@@ -200,12 +213,12 @@ def write_tokens(
     frames_schema = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("id", T.LongType()), T.StructField("tie", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("frame", T.BinaryType())])
 
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = _compressor(dictionary)
+        press, seen = _compressor(dictionary), Counter()
         for batch in batches:
             packed = _packed(load(path), texts_of(batch.column(1)), end_id)
             ids = batch.column(0)
             ties = np.array([zlib.crc32(x) for x in packed], np.int64)
-            shards = _shards(bounds, ids.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), ties)
+            shards = _shards(bounds, ids.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), ties, seen)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(shards, pa.int32()), ids, pa.array(ties), pa.array([len(x) // width for x in packed], pa.int32()), pa.array([press.compress(x) for x in packed], pa.binary())],
                 names=frames_schema.names,
