@@ -46,10 +46,23 @@ def as_unigram(path: str) -> bytes:
     return model.SerializeToString()
 
 
+def _plain(serialised: bytes) -> bool:
+    """Whether a model leaves texts as they are but for the space in front; an error if its rules are not those of this module."""
+    model = proto.ModelProto()
+    model.ParseFromString(serialised)
+    if any(p.type == p.USER_DEFINED for p in model.pieces):
+        raise ValueError("pieces defined by a user are matched before all others, which is not done here")
+    if model.trainer_spec.treat_whitespace_as_suffix or not model.normalizer_spec.escape_whitespaces:
+        raise ValueError("spaces that do not begin pieces are not supported")
+    spec = model.normalizer_spec
+    return spec.add_dummy_prefix and not spec.remove_extra_whitespaces and not spec.precompiled_charsmap
+
+
 class Counter:
     """Best score and piece count of texts under the pieces and scores of :func:`as_unigram`.
 
-    The rules are those of the library's unigram model: a text gets a space in front and spaces become ``SPACE``;
+    The rules are those of the library's unigram model: texts go through the file's normalizer (by the library, if it does
+    more than that) and get a space in front, and spaces become ``SPACE``;
     among equal scores at a position the path whose last piece begins first is kept; a character that is not a
     piece itself may stand as unknown at the lowest score less ``UNKNOWN_PENALTY``, and counts its bytes where the
     file has byte pieces, else one. Sums of sixteenths are exact, in the library too, however long the text.
@@ -59,7 +72,9 @@ class Counter:
     """
 
     def __init__(self, path: str) -> None:
-        model = sentencepiece.SentencePieceProcessor(model_proto=as_unigram(path))
+        serialised = as_unigram(path)
+        model = sentencepiece.SentencePieceProcessor(model_proto=serialised)
+        self.normalizer = None if _plain(serialised) else model
         pieces = {}
         self.bytes = False
         for i in range(model.get_piece_size()):
@@ -114,6 +129,13 @@ class Counter:
 
     def stretches(self, text: str) -> list[str]:
         """The stretches of a text; line ends stand alone where no piece has one. A written ``SPACE`` is a space."""
+        front = SPACE
+        if self.normalizer is not None:
+            text = self.normalizer.normalize(text)
+            front = SPACE if text.startswith(SPACE) else ""
+            text = text[len(front) :]
+            if not (front or text):
+                return []
         text = text.replace(SPACE, " ")
         out: list[str] = []
         for n, line in enumerate(text.split("\n") if self.lines else [text]):
@@ -121,7 +143,7 @@ class Counter:
                 out.append("\n")
             units = line.split(" ")
             if n == 0:
-                units[0] = SPACE + units[0]
+                units[0] = front + units[0]
             units[1:] = [SPACE + u for u in units[1:]]
             if SPACE in units:
                 held = ""
@@ -163,11 +185,6 @@ def _counter(path: str) -> Counter:
     return Counter(path)
 
 
-def single(value: float) -> float:
-    """A number as a 32-bit float holds it."""
-    return unpack_float(pack_float(value))[0]
-
-
 def load(path: str) -> Counter:
     """The counter of a file, once for each worker."""
     claim("unigram", _counter.cache_clear)

@@ -215,3 +215,58 @@ def test_one_operator_keeps_things_in_a_worker(monkeypatch):
     common.claim("b", lambda: dropped.append("b"))
     common.claim("a", lambda: dropped.append("a2"))
     assert dropped == ["a", "b"]
+
+
+def test_equal_rows_fill_several_shards():
+    """A thousand equal rows over equal bounds are dealt, and the order in which a task reads its rows is all one."""
+    from collections import Counter
+
+    bounds, ids = np.array([5, 5, 5, 9], np.int64), np.array([5] * 1000 + [1, 7, 9])
+    ties = np.array([123] * 1000 + [5, 6, 7])
+    dealt = tokenfile._shards(bounds, ids, ties, Counter())
+    counts = np.bincount(dealt[:1000])
+    assert len(counts) == 4 and counts.min() > 200 and dealt[1000] == 0 and dealt[1001] == 3 and dealt[1002] in (3, 4)
+    order = np.random.default_rng(1).permutation(len(ids))
+    again = tokenfile._shards(bounds, ids[order], ties[order], Counter())
+    assert sorted(zip(ids, ties, dealt)) == sorted(zip(ids[order], ties[order], again))
+
+
+def test_counts_under_a_normalizer(tmp_path):
+    """Files that drop extra spaces or add none in front are counted as the library counts; others are refused."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as proto
+
+    def model(**spec):
+        m = proto.ModelProto()
+        m.trainer_spec.model_type = m.trainer_spec.UNIGRAM
+        for piece, score, kind in [("<unk>", 0.0, 2), ("▁", -2.0, 1), ("a", -3.0, 1), ("b", -3.5, 1), ("▁a", -2.5, 1), ("ab", -4.0, 1), ("▁ab", -5.0, 1), ("▁▁", -6.0, 1)]:
+            m.pieces.add(piece=piece, score=score, type=kind)
+        for k, v in spec.items():
+            setattr(m.normalizer_spec, k, v)
+        path = str(tmp_path / "m.model")
+        with open(path, "wb") as f:
+            f.write(m.SerializeToString())
+        return path
+
+    texts = ["", " ", "  ", "a", " a", "  a  b ", "ab ab", "a▁b", "　a", "ba  \n ab", "xab", "ab  ab   "]
+    for dummy in (True, False):
+        for remove in (True, False):
+            path = model(add_dummy_prefix=dummy, remove_extra_whitespaces=remove)
+            library = sentencepiece.SentencePieceProcessor(model_file=path)
+            assert [n for n, _ in unigram.Counter(path).count(texts)] == [len(library.encode(t)) for t in texts], (dummy, remove)
+    m = proto.ModelProto()
+    with open(model(), "rb") as f:
+        m.ParseFromString(f.read())
+    m.pieces.add(piece="zz", score=0.0, type=4)
+    with open(tmp_path / "u.model", "wb") as f:
+        f.write(m.SerializeToString())
+    with pytest.raises(ValueError, match="defined by a user"):
+        unigram.Counter(str(tmp_path / "u.model"))
+
+
+def test_clashing_columns(spark):
+    rows = spark.createDataFrame([(1, "ab", "x")], "doc_id long, text string, tokens string")
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    found = unigram.count_tokens(rows, path).first()
+    assert found.tokens.n_tokens > 0 and found.text == "ab"
+    assert unigram.count_tokens(rows.limit(0), path).collect() == []
