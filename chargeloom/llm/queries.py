@@ -108,7 +108,8 @@ def op12_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = whitening.whiten(tables(sf_dir)(spark, "embeddings").select("vec_id", "embedding"))
-    rows = found.select("vec_id", "n", "deviation", "explained", "identity_error", F.posexplode("whitened").alias("place", "whitened"))
+    # The outer form keeps Spark from asking for the arrays' size first, which would project every vector twice.
+    rows = found.select("vec_id", "n", "deviation", "explained", "identity_error", F.posexplode_outer("whitened").alias("place", "whitened")).filter("place is not null")
     return rows.select("vec_id", (F.col("place") + 1).alias("component"), "n", "deviation", "whitened", F.col("explained")[F.col("place")].alias("explained"), "identity_error")
 
 
