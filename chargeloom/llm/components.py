@@ -10,20 +10,32 @@ from .common import checkpointed
 #: Rounds double the reach of a label, so this is far beyond any graph that fits on a cluster.
 MAX_ROUNDS = 60
 
+#: The edges of one node are joined in so many parts.
+HUB_PARTS = 256
+
+
+def _with_least(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``edges(u, v)`` with ``m``, the smallest ``v`` of their ``u``, and the table ``(u, m)`` alone.
+
+    A component of near copies has a hub, a node that most of its edges start at. Edges are joined by node and part
+    of its neighbours, and only the parts, at most ``HUB_PARTS`` rows a node, are joined by node.
+    """
+    parts = edges.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(HUB_PARTS)))
+    own = parts.groupBy("u", "part").agg(F.min("v").alias("m"))
+    least = own.groupBy("u").agg(F.min("m").alias("m"))
+    return parts.join(own.drop("m").join(least, "u"), ["u", "part"]).drop("part"), least
+
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Link every larger neighbour of a node to the smallest node of its neighbourhood."""
-    both = edges.union(edges.select("v", "u")).toDF("u", "v")
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+    both, _ = _with_least(edges.union(edges.select("v", "u")).toDF("u", "v"))
+    return both.filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).filter("u != v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Link every smaller neighbour of a node, and the node, to the smallest of them."""
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
+    down, least = _with_least(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+    return down.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -31,7 +43,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     The root of a component is its smallest node. Alternates large-star and small-star rounds (a
     logarithmic number for any shape, also chains) until every edge points at a root. Each round is joins
-    and aggregations on narrow rows; the edges are checkpointed in the shared folder, so a lost executor
+    and aggregations on narrow rows, the edges of a hub in parts; they are checkpointed in the shared folder, so a lost executor
     costs one round. Edges may repeat, point either way, and join a node to itself; no edges give no rows.
     """
     edges = checkpointed(edges.select("u", "v").filter("u != v").distinct())

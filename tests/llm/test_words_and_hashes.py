@@ -201,3 +201,16 @@ def test_components_of_chains_and_stars(spark):
     got = {r.node: r.root for r in components.components(edges).collect()}
     assert got == {i: 0 for i in range(1, 61)} | {i: 100 for i in range(101, 130)}
     assert components.components(edges.limit(0)).count() == 0
+
+
+def test_a_hub_of_most_edges_is_joined_in_parts(spark):
+    """A star whose middle is not its smallest node, a chain and a loop: roots as by union-find."""
+    star = spark.range(1, 5001).selectExpr("if(id % 2 = 0, id, 2500L) as u", "if(id % 2 = 0, 2500L, id) as v")
+    chain = spark.range(10_000, 10_400).selectExpr("id as u", "id + 1 as v")
+    loop = spark.createDataFrame([(20_000, 20_000), (20_001, 20_000), (20_000, 20_001)], "u long, v long")
+    got = {r.node: r.root for r in components.components(star.union(chain).union(loop)).collect()}
+    want = dict.fromkeys(range(2, 5001), 1) | dict.fromkeys(range(10_001, 10_401), 10_000) | {20_001: 20_000}
+    assert got == want
+    joined, least = components._with_least(star)
+    middle = joined.filter("u = 2500").select("m").distinct().collect()
+    assert [r.m for r in middle] == [1] and joined.count() == 5000 and least.count() == least.select("u").distinct().count()
