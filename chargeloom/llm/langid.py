@@ -23,6 +23,8 @@ from .common import BoundedCache, claim, fold, hash_share, row_groups, texts_of,
 
 #: Documents for each language that the model is fitted on: smallest hashes of the document id.
 MAX_TRAIN_DOCS = 2_000
+#: Documents of all languages together: beyond 100 languages each has fewer than MAX_TRAIN_DOCS, and one at least.
+MAX_SAMPLE = 200_000
 #: Up to so many languages have their sizes broadcast; beyond, the join shuffles.
 MAX_LANGUAGES = 10_000
 
@@ -251,7 +253,7 @@ def label(model: Model, words: list[str], scores: np.ndarray, penalty: float = P
 
 
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = MAX_TRAIN_DOCS) -> Model:
-    """Fit on at most ``max_docs`` documents for each language outside the held-out fold.
+    """Fit on at most ``max_docs`` documents for each language outside the held-out fold, ``MAX_SAMPLE`` in all.
 
     The sample is chosen from distinct ids and languages alone (a column-pruned scan, ranked before it is
     shuffled); of rows that share id and language one is taken. Its n-grams are counted by Spark, and all that it
@@ -261,13 +263,14 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     tune(docs.sparkSession)
     known = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang")).filter(F.col("id").isNotNull() & F.col("lang").isNotNull() & (fold(F.col("id")) != 2))
     sizes = known.groupBy("lang").agg(F.approx_count_distinct("id").alias("ids"))
+    many = sizes.count()
+    each = max(1, min(max_docs, MAX_SAMPLE // max(1, many)))
+    # Both tables are sent to all tasks only where their rows are counted: a row a language, and at most MAX_SAMPLE ids.
+    sent = F.broadcast if many <= MAX_LANGUAGES else (lambda rows: rows)
     # Thinned by hash to about four times the bound first, so that ranking does not grow with the input.
-    if sizes.limit(MAX_LANGUAGES + 1).count() <= MAX_LANGUAGES:
-        sizes = F.broadcast(sizes)
-    thinned = known.withColumn("hash", hash_share("id")).join(sizes, "lang").filter(F.col("hash") <= (4 * max_docs + 1000) / F.col("ids"))
-    ids = thinned.select("id", "lang", "hash").distinct().selectExpr("id", "lang", "row_number() over (partition by lang order by hash, id) as place").filter(F.col("place") <= max_docs)
-    # At most max_docs ids for each language: a proven bound for the broadcast.
-    chosen = F.broadcast(ids.select("id", "lang"))
+    thinned = known.withColumn("hash", hash_share("id")).join(sent(sizes), "lang").filter(F.col("hash") <= (4 * each + 1000) / F.col("ids"))
+    ids = thinned.select("id", "lang", "hash").distinct().selectExpr("id", "lang", "row_number() over (partition by lang order by hash, id) as place").filter(F.col("place") <= each)
+    chosen = sent(ids.select("id", "lang"))
     sample = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).join(chosen, ["id", "lang"])
     sample = sample.groupBy("id", "lang").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("gram", T.StringType()), T.StructField("n", T.LongType())])
@@ -291,8 +294,9 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     is_script = kept["gram"].str.startswith("#") & (kept["gram"].str.len() > 3)
     scripts: dict[str, np.ndarray] = {}
     by_script = kept[is_script]
+    totals = by_script.groupby("lang")["n"].sum()
     for name, part in by_script.groupby("gram"):
-        share = {r.lang: r.n / by_script.loc[by_script["lang"] == r.lang, "n"].sum() for r in part.itertuples()}
+        share = {r.lang: r.n / totals[r.lang] for r in part.itertuples()}
         allowed = np.array([share.get(x, 0) >= 0.01 for x in languages])
         if allowed.any():
             scripts[name[1:]] = allowed

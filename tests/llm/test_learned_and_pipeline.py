@@ -333,3 +333,17 @@ def test_features_of_long_texts_are_those_of_any(monkeypatch):
     plain = texts[0].encode().split()
     assert whole[0][12] == pytest.approx(len(set(plain)) / len(plain)) and whole[0][15] == pytest.approx(len(set(zip(plain, plain[1:]))) / (len(plain) - 1))
     assert whole[0][14] == pytest.approx(sum(a == b for a, b in zip(plain, plain[1:])) / len(plain)) and whole[0][18] == pytest.approx(np.std([len(w) for w in plain]) / 10)
+
+
+def test_the_labelled_sample_is_bounded_over_all_languages(spark, monkeypatch):
+    """Many languages share the bound, with joins that shuffle; what each one shows is learned all the same."""
+    rows = spark.range(6000).selectExpr("id as doc_id", "concat('l', lpad(id % 600, 3, '0')) as lang", "repeat(concat(translate(lpad(id % 600, 3, '0'), '0123456789', 'abcdefghij'), ' '), 5) as text")
+    whole = langid.train(rows, max_docs=50)
+    monkeypatch.setattr(langid, "MAX_SAMPLE", 1200)
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 100)
+    model = langid.train(rows, max_docs=50)
+    assert model.languages == whole.languages and len(model.languages) == 600
+    # Two documents a language, five words each: every language's one word was seen ten times.
+    assert len(model.keys) == len(whole.keys)
+    got = rows.filter("doc_id < 600").select("lang", langid.labeller(model)("text").alias("found")).collect()
+    assert len(got) == 600 and all(r.found.lang == r.lang for r in got)
