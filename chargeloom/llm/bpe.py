@@ -222,39 +222,48 @@ class Tokenizer:
         raw = surface.encode() if surface in self.special else bytes(self.bytes_of[c] for c in body)
         return raw + b" " * end
 
-    def _word(self, word: str) -> list[int]:
+    def _streamed(self, raw: bytes) -> array:
+        """Tokens of a long word: its bytes become symbols as the transducer takes them."""
+        stream, out = Transducer(self.merges, self.ahead), array("i")
+        out.extend(stream.feed(map(self.inner.__getitem__, memoryview(raw)[:-1])))
+        out.extend(stream.feed([self.last[raw[-1]]]))
+        out.extend(stream.finish())
+        return out
+
+    def _word(self, word: str) -> list[int] | array:
         """Tokens of one word: at once where it is short, else streamed."""
         found = self.cached_words.get(word)
         if found is None:
             raw = word.encode("utf-8", "surrogatepass")
-            symbols = [self.inner[b] for b in raw]
-            symbols[-1] = self.last[raw[-1]]
-            if len(symbols) <= self.ahead + self.merges.longest:
-                found = self.merges.apply(symbols)
-            else:
-                stream = Transducer(self.merges, self.ahead)
-                return [*stream.feed(symbols), *stream.finish()]
+            if len(raw) > self.ahead + self.merges.longest:
+                return self._streamed(raw)
+            found = self.merges.apply([*map(self.inner.__getitem__, raw[:-1]), self.last[raw[-1]]])
             self.cached_words.room()
             self.cached_words[word] = found
         return found
 
-    def _plain(self, text: str) -> list[int]:
+    def _plain(self, text: str) -> array:
         """Tokens of a text without special tokens."""
+        out = array("i")
         if not text.isascii():
             if UNSETTLED(text):
                 cut = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
-                return [t for word, _ in cut for t in self._word(bytes(map(self.bytes_of.__getitem__, word)).decode())]
+                for word, _ in cut:
+                    out.extend(self._word(bytes(map(self.bytes_of.__getitem__, word)).decode()))
+                return out
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return [t for word in self.words(text.lower()) for t in self._word(word)]
+        for word in self.words(text.lower()):
+            out.extend(self._word(word))
+        return out
 
     def _unit(self, unit: str) -> bytes:
         if self.split_special is None or "<" not in unit:
             ids = self._plain(unit)
         else:
-            ids = []
+            ids = array("i")
             for part in self.split_special.split(unit):
-                ids += [self.special[part]] if part in self.special else self._plain(part)
-        return array("i", ids).tobytes()
+                ids.extend([self.special[part]] if part in self.special else self._plain(part))
+        return ids.tobytes()
 
     def encode(self, text: str) -> bytes:
         """Token ids of a text as 32-bit integers.
