@@ -29,7 +29,7 @@ import pyarrow as pa
 import tiktoken
 import zstandard
 from public_tokenizers import PATTERN
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
@@ -47,7 +47,8 @@ DICTIONARY_BYTES = 64 << 10
 #: A block holds about so many compressed bytes, a shard about so many documents.
 BLOCK_BYTES = 1 << 20
 SHARD_DOCS = 20_000
-MAX_SHARDS = 4096
+#: Cuts that one sketch of the ids gives; two levels of them make up to 16 million shards.
+CUTS_A_LEVEL = 4096
 
 _LEVEL = 3
 _GOLDEN = 0.6180339887498949
@@ -150,21 +151,42 @@ def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=_LEVEL, dict_data=shared)
 
 
-def _shard_bounds(docs: DataFrame, id_col: str) -> list[int]:
-    """Ids that split the documents into shards of about SHARD_DOCS (at most MAX_SHARDS), from the id column alone.
+def _shard_bounds(docs: DataFrame, id_col: str, shard_docs: int = SHARD_DOCS, most_cuts: int = CUTS_A_LEVEL) -> list[int]:
+    """Ids that split the documents into shards of about ``shard_docs``, from the id column alone.
 
-    An id that many rows share stands in the list as often as it fills a shard.
+    An id that many rows share stands in the list as often as it fills a shard. One sketch gives at most ``most_cuts``
+    cuts; where more are needed, each range between two of them is cut again, by a sketch of its own.
     """
     ids = docs.select(F.col(id_col).cast("long").alias("id"))
     many = ids.count()
-    shards = max(1, -(-many // SHARD_DOCS))
+    shards = max(1, -(-many // shard_docs))
     # Never fewer shards than cores, so that small inputs are spread too.
-    shards = min(MAX_SHARDS, max(shards, min(ids.sparkSession.sparkContext.defaultParallelism, -(-many // 1000))))
+    shards = max(shards, min(ids.sparkSession.sparkContext.defaultParallelism, -(-many // 1000)))
     if shards == 1:
         return []
     known = ids.select(F.coalesce("id", F.lit(np.iinfo(np.int64).min)).alias("id"))
-    cuts = known.select(F.percentile_approx("id", F.array(*[F.lit(i / shards) for i in range(1, shards)]), 10 * shards).alias("cuts")).first().cuts
-    return sorted(cuts or [])
+    first = min(shards, most_cuts)
+    cuts = sorted(known.select(_quantiles(first).alias("cuts")).first().cuts or [])
+    if first == shards:
+        return cuts
+    inner = min(most_cuts, -(-shards // first))
+    edges = np.unique(np.array(cuts, np.int64))
+
+    @F.arrow_udf(T.IntegerType())
+    def span(column: pa.Array) -> pa.Array:
+        values = column.to_numpy(zero_copy_only=False)
+        return pa.array(np.searchsorted(edges, values, side="left") + np.searchsorted(edges, values, side="right"), pa.int32())
+
+    # Odd spans are one id, which stands as often as it fills a shard; even ones lie between two.
+    spans = known.groupBy(span("id").alias("span")).agg(_quantiles(inner).alias("cuts"), F.first("id").alias("id"), F.count(F.lit(1)).alias("rows"))
+    own = F.array_repeat("id", (1 + F.col("rows") / shard_docs).cast("int"))
+    within = spans.select(F.explode(F.when(F.col("span") % 2 == 1, own).otherwise(F.col("cuts"))).alias("cut"))
+    return sorted(r.cut for r in within.toLocalIterator())
+
+
+def _quantiles(parts: int) -> Column:
+    """The ids that cut a column ``id`` into ``parts`` of about equal rows."""
+    return F.percentile_approx("id", F.array(*[F.lit(i / parts) for i in range(1, parts)]), 10 * parts)
 
 
 def _shards(bounds: np.ndarray, ids: np.ndarray, ties: np.ndarray, seen: Counter | None = None) -> np.ndarray:

@@ -270,3 +270,34 @@ def test_clashing_columns(spark):
     found = unigram.count_tokens(rows, path).first()
     assert found.tokens.n_tokens > 0 and found.text == "ab"
     assert unigram.count_tokens(rows.limit(0), path).collect() == []
+
+
+def test_a_long_word_is_streamed_in_little_memory():
+    """A long word has the library's ids, and takes little more than its bytes and its ids."""
+    import tracemalloc
+
+    library, own = Tokenizer.from_file(WORD), bpe.load(WORD)
+    rng = random.Random(4)
+    word = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=1 << 17))
+    short = word[: 1 << 15]
+    assert np.frombuffer(own.encode(short), np.int32).tolist() == library.encode(short, add_special_tokens=False).ids
+    tracemalloc.start()
+    ids = own.encode(word)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(ids) > 1 << 17 and peak < 2 << 20
+    assert own.decode(np.frombuffer(ids, np.int32).tolist(), "text").strip() == word
+
+
+def test_cuts_in_two_levels(spark):
+    """More shards than one sketch cuts, a third of the rows under one id: shards stay near their size, in order."""
+    rows = spark.range(6000).selectExpr("if(id % 3 = 0, 777, cast(pmod(xxhash64(id), 3000) as long)) as doc_id").unionByName(spark.range(40).selectExpr("cast(null as long) as doc_id"))
+    bounds = np.array(tokenfile._shard_bounds(rows, "doc_id", shard_docs=50, most_cuts=16), np.int64)
+    assert (np.diff(bounds) >= 0).all() and 100 <= len(bounds) <= 160
+    ids = np.array([r.doc_id if r.doc_id is not None else np.iinfo(np.int64).min for r in rows.collect()], np.int64)
+    ties = np.random.default_rng(3).integers(0, 1 << 32, len(ids))
+    shards = tokenfile._shards(bounds, ids, ties)
+    order = np.lexsort((ties, ids))
+    assert (np.diff(shards[order]) >= 0).all() and np.bincount(shards).max() <= 200
+    assert len(set(shards[ids == 777].tolist())) >= 30
+    assert tokenfile._shard_bounds(rows.limit(0), "doc_id") == []
