@@ -278,7 +278,7 @@ def oracle_sql() -> dict[str, str]:
         "experiment_metadata": _with(
             *complete, _TARGETS,
             query=f"""SELECT CAST({W} AS BIGINT) AS window_size, CAST({H} AS BIGINT) AS horizon, '{CFG.target}' AS target_column, CAST({CFG.seed} AS BIGINT) AS seed, '{CFG.scaler}' AS scaler, CAST({IID_CLIENTS} AS BIGINT) AS iid_clients,
-            CAST({len(FEATURES)} AS BIGINT) AS feature_count, '{",".join(FEATURES)}' AS features, (SELECT count(*) FROM valid) AS stations, (SELECT {_digest("station_id")} FROM valid) AS station_digest,
+            CAST({len(FEATURES)} AS BIGINT) AS feature_count, '{",".join(FEATURES)}' AS features, (SELECT count(*) FROM valid) AS stations, (SELECT string_agg(station_id, ',' ORDER BY station_id) FROM valid) AS station_ids, (SELECT {_digest("station_id")} FROM valid) AS station_digest,
             """
             + ", ".join(f"(SELECT count(*) FROM samples WHERE split = '{s}') AS {s}_samples" for s in SPLITS)
             + ", " + ", ".join(f"CAST({v} AS DOUBLE) AS {s}_ratio" for s, v in CFG.ratios.items()),

@@ -462,13 +462,15 @@ def layout_counts(spark, sf_dir):
 
 
 def experiment_metadata(spark, sf_dir):
-    """The metadata row of a dataset, written as JSON and read back."""
+    """The metadata row of a dataset and its table of stations, both written and read back; the stations are listed in order."""
     folder, clean = _folder(spark, "metadata"), materialized(_clean(spark, sf_dir))
-    stations = dataset.valid_stations(clean, CFG)
-    tables.write_record(results.experiment_metadata(_keys(clean), stations, FEATURES, IID_CLIENTS, CFG, "", {"windows": "w"}), folder)
-    read = tables.read_record(spark, folder)
+    stations, outputs = materialized(dataset.valid_stations(clean, CFG)), {"windows": "w", "stations": f"{folder}/stations"}
+    tables.write_stations(stations, outputs["stations"])
+    tables.write_record(results.experiment_metadata(_keys(clean), stations, FEATURES, IID_CLIENTS, CFG, "", outputs), f"{folder}/record")
+    names = spark.read.parquet(outputs["stations"]).agg(F.array_join(F.array_sort(F.collect_list(STATION)), ",").alias("station_ids"))
+    read = tables.read_record(spark, f"{folder}/record").join(names)  # one row each
     return read.select(
-        "window_size", "horizon", "target_column", "seed", "scaler", "iid_clients", "feature_count", "stations", F.array_join("features", ",").alias("features"), "station_digest",
+        "window_size", "horizon", "target_column", "seed", "scaler", "iid_clients", "feature_count", "stations", F.array_join("features", ",").alias("features"), "station_ids", "station_digest",
         *(F.col(f"samples.{s}").alias(f"{s}_samples") for s in SPLITS), *(F.col(f"split_ratios.{s}").alias(f"{s}_ratio") for s in SPLITS),
     )
 

@@ -55,3 +55,10 @@ def test_against_sql(spark, name):
     got = queries.queries()[name](spark, DATA).select(*want.columns).collect()
     plain = lambda row: repr([None if isinstance(v, float) and v != v else v for v in row])
     assert sorted(map(plain, got)) == sorted(map(plain, want.fetchall()))
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the given tables")
+def test_metadata_names_every_station(spark):
+    row = queries.queries()["experiment_metadata"](spark, DATA).first()
+    valid = duckdb.sql(oracle.oracle_sql()["valid_stations"].replace("FROM events", f"FROM '{DATA}/events.parquet'")).fetchall()
+    assert row.station_ids.split(",") == sorted(v[0] for v in valid) and row.stations == len(valid) > 1
