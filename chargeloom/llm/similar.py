@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.scratch import release
 from .common import checkpointed, tune, utf8_parts
 from .components import components
 from .simhash import BLOCK, PAIRS_A_ROW, block_pairs, dealt, majority, pairs_within, shingle_hashes
@@ -200,17 +201,20 @@ def near_copies(
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("head.fp"))) <= radius
     first = shared.filter((F.col("id") != F.col("head.id")) & near).select(F.col("head.id").alias("u"), F.col("id").alias("v")).distinct()
     roots = components(_confirmed(docs, first, shingle, similarity))
+    release(docs.sparkSession)
 
     labelled = shared.join(roots, shared["id"] == roots["node"], "left").select("key", "id", "fp", F.coalesce("root", "id").alias("label"))
     open_ = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
     opened = checkpointed(labelled.join(open_, "key", "left_semi"))
     second = checkpointed(block_pairs(opened, radius, block, pairs_a_row))
+    release(docs.sparkSession)
     tried = second.filter("crowded is null").select("u", "v").distinct().join(first, ["u", "v"], "left_anti")
     links = roots.toDF("u", "v").union(_confirmed(docs, tried, shingle, similarity))
     crowded = checkpointed(second.filter("crowded is not null").select(F.col("crowded").alias("key")).distinct())
     if crowded.count():
         links = links.union(_confirmed_in_blocks(docs, opened.join(crowded, "key", "left_semi"), shingle, similarity, radius, block, block_bytes))
     linked = components(links)
+    release(docs.sparkSession)
 
     named = texts.join(linked, texts["id"] == linked["node"], "left").select("digest", "rows", F.coalesce("root", "id").alias("component"))
     several = named.groupBy("component").agg(F.sum("rows").alias("rows")).filter("rows > 1").select("component")

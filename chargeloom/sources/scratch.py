@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 
@@ -33,6 +34,15 @@ def materialized(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the files of finished shuffles, and checkpoints where it may, that nothing refers to any more.
+
+    It does so when the driver's JVM happens to collect its garbage; a job of many short steps would pile them up until then.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _store(spark: SparkSession, folder: str):
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path

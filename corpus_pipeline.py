@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from chargeloom.llm import bpe, decontaminate, langid, quality, similar
 from chargeloom.llm.common import checkpointed, fresh_folder, tables, unused_name, written
-from chargeloom.sources.scratch import delete_folder
+from chargeloom.sources.scratch import delete_folder, release
 
 #: A text whose best language holds less than this (share of letters x posterior) is rejected.
 MIN_LANGUAGE_SCORE = 0.3
@@ -45,6 +45,7 @@ def _keyed(spark: SparkSession, docs: DataFrame) -> DataFrame:
 def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
     """``rows`` but those whose ``_row`` is in ``gone(gone)``."""
     gone = checkpointed(gone.distinct())
+    release(rows.sparkSession)
     few = gone.count() <= MAX_BROADCAST_IDS
     return rows.join(F.broadcast(gone) if few else gone, rows["_row"] == gone["gone"], "left_anti")
 

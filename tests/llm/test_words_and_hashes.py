@@ -214,3 +214,18 @@ def test_a_hub_of_most_edges_is_joined_in_parts(spark):
     joined, least = components._with_least(star)
     middle = joined.filter("u = 2500").select("m").distinct().collect()
     assert [r.m for r in middle] == [1] and joined.count() == 5000 and least.count() == least.select("u").distinct().count()
+
+
+def test_components_shuffle_little(spark, monkeypatch):
+    """A star is settled after one round, and what a round shuffled is gone after it."""
+    made, freed = [], []
+    real, release = components.checkpointed, components.release
+    monkeypatch.setattr(components, "checkpointed", lambda df: made.append(df) or real(df))
+    monkeypatch.setattr(components, "release", lambda s: freed.append(s) or release(s))
+    star = spark.range(1, 500).selectExpr("id as u", "if(id = 250, 1L, 250L) as v")
+    assert {r.root for r in components.components(star).collect()} == {1}
+    assert (len(made), len(freed)) == (2, 1)
+    edges = spark.range(10).selectExpr("id + 1 as u", "id as v")
+    plan = components._small_star(components._large_star(edges))._jdf.queryExecution().executedPlan().toString()
+    # Written out, before equal ones are shared; 21 when nodes and parts were joined three times.
+    assert sum("Exchange hashpartitioning" in line for line in plan.splitlines()) <= 15
