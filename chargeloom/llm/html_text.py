@@ -58,12 +58,15 @@ _PART = re.compile(r"[.#][\w-]+")
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 
 
-#: Spaces that lay a page out: as many as this, or four times its own length. Then indents and alignment are cut.
-LEAST_SPACES = 1 << 16
-#: The indent that is left when a page has used up its spaces.
-SHORT_INDENT = 32
-#: Tables nest as deep as this many characters hold the page, at least eight; those inside are plain blocks.
-NESTED_CHARACTERS = 1 << 24
+# Fixed limits of the layout, the same for every page; a caller's own take their place. No text is left out for them.
+#: A wider indent is written as ``SHORT_INDENT`` spaces.
+WIDEST_INDENT, SHORT_INDENT = 256, 32
+#: A cell that would stand further than this behind the one before it, or the line's begin, is not aligned.
+WIDEST_GAP = 1024
+#: Tables nest as deep as this; those inside are plain blocks.
+NESTED_TABLES = 64
+#: Spans of earlier rows are passed over in blocks of so many, if all of a block hold.
+SPAN_BLOCK = 128
 
 
 class Node:
@@ -361,22 +364,21 @@ def _chosen(select: Node) -> set[int]:
 
 
 class Spaces:
-    """The spaces that a page may still be laid out with, and the limits that a caller sets."""
+    """The spaces that a line is laid out with: by its own indent and gaps, never by the rest of the page."""
 
-    def __init__(self, page: str, max_indent: int | None = None, max_aligned: int | None = None) -> None:
-        self.left = self.steps = max(LEAST_SPACES, 4 * len(page))
+    def __init__(self, max_indent: int | None = None, max_aligned: int | None = None) -> None:
         self.max_indent, self.max_aligned = max_indent, max_aligned
 
-    def take(self, many: int) -> bool:
-        """Whether so many spaces are left; they are taken then."""
-        if many > self.left:
-            return False
-        self.left -= many
-        return True
-
     def indent(self, width: int) -> str:
-        width = width if self.max_indent is None else min(width, self.max_indent)
-        return " " * (width if self.take(width) else min(width, SHORT_INDENT))
+        if self.max_indent is not None:
+            return " " * min(width, self.max_indent)
+        return " " * (width if width <= WIDEST_INDENT else SHORT_INDENT)
+
+    def gap(self, start: int, size: int) -> int:
+        """The spaces before a cell at ``start`` in a line of ``size`` characters."""
+        if self.max_aligned is None and start - size > WIDEST_GAP:
+            return 2 if size else 0
+        return start - size
 
 
 class Writer:
@@ -470,26 +472,51 @@ class Grid:
         self.taken: list[tuple[int, int, int]] = []
         self.ahead: list[tuple[int, int, int]] = []
         self.passed = self.waited = 0
+        #: By block of ``taken``: the first and last row at which any of it ends, and the column after it where its spans touch.
+        self.blocks: dict[int, tuple[int, int, int | None]] = {}
         self.column = 0
         self.captions: list[str] = []
 
     def row(self) -> None:
         self.rows.append({})
         self.column = self.passed = 0
+        before = self.taken
         self.taken, self.ahead = _joined(self.taken, self.ahead), []
         self.waited += 1
         if self.waited >= len(self.taken):  # spans that ended are passed over until then
             self.taken, self.waited = [s for s in self.taken if s[2] >= len(self.rows)], 0
+        if self.taken is not before:
+            self.blocks = {}
 
-    def cell(self, lines: list[str], across: int, down: int, spaces: Spaces) -> None:
+    def _block(self, at: int) -> tuple[int, int, int | None]:
+        found = self.blocks.get(at)
+        if found is None:
+            spans = self.taken[at : at + SPAN_BLOCK]
+            reach: int | None = spans[0][1]
+            for first, end, _ in spans:
+                if first > reach:
+                    reach = None
+                    break
+                reach = max(reach, end)
+            found = self.blocks[at] = min(s[2] for s in spans), max(s[2] for s in spans), reach
+        return found
+
+    def cell(self, lines: list[str], across: int, down: int) -> None:
         if not self.rows:
             self.row()
-        while self.passed < len(self.taken) and self.taken[self.passed][0] <= self.column and spaces.steps > 0:
+        while self.passed < len(self.taken) and self.taken[self.passed][0] <= self.column:
+            # The last span may still grow, so its block is not kept.
+            if self.passed % SPAN_BLOCK == 0 and self.passed + SPAN_BLOCK < len(self.taken):
+                soonest, latest, reach = self._block(self.passed)
+                if latest < len(self.rows) or (soonest >= len(self.rows) and reach is not None):
+                    if latest >= len(self.rows):
+                        self.column = max(self.column, reach)
+                    self.passed += SPAN_BLOCK
+                    continue
             first, end, last = self.taken[self.passed]
             if last >= len(self.rows):
                 self.column = max(self.column, end)
             self.passed += 1
-            spaces.steps -= 1
         self.rows[-1][self.column] = (lines, across)
         if down > 1:
             # Where it overlaps a span from above, both hold.
@@ -497,7 +524,7 @@ class Grid:
         self.column += across
 
     def lines(self, spaces: Spaces) -> list[str]:
-        """The table's lines: each column as wide as its widest cell of its own, if the page has the spaces for it."""
+        """The table's lines: each column as wide as its widest cell of its own."""
         widths: dict[int, int] = {}
         for row in self.rows:
             for c, (lines, across) in row.items():
@@ -509,11 +536,10 @@ class Grid:
             at += widths[c] + 2
             if spaces.max_aligned is not None and at > spaces.max_aligned:
                 break
-        out, needed = list(self.captions), 0
-        placed: list[list[tuple[int, str]]] = []
+        out = list(self.captions)
         for row in self.rows:
             if len(row) == 1 and 0 in row:
-                placed += ([(0, text)] if text else [] for text in row[0][0])
+                out += row[0][0]
                 continue
             columns = sorted(row)
             for i in range(max((len(lines) for lines, _ in row.values()), default=0)):
@@ -522,13 +548,9 @@ class Grid:
                     text = row[c][0][i] if i < len(row[c][0]) else ""
                     if text:
                         start = max(starts.get(c, 0), size + 2 if size else 0)
-                        line.append((start - size, text))
-                        needed += start - size
+                        line.append(" " * spaces.gap(start, size) + text)
                         size = start + len(text)
-                placed.append(line)
-        aligned = spaces.take(needed)
-        for line in placed:
-            out.append("".join(" " * gap + text for gap, text in line) if aligned else "  ".join(text for _, text in line))
+                out.append("".join(line))
         return [line.rstrip() for line in out]
 
 
@@ -559,8 +581,8 @@ def render(page: str, max_indent: int | None = None, max_aligned: int | None = N
     """All visible text of a page, laid out."""
     tree = parse(page)
     styles = Styles(tree.styles)
-    spaces = Spaces(page, max_indent, max_aligned)
-    depth = max(8, NESTED_CHARACTERS // max(1, len(page))) if max_tables is None else max_tables
+    spaces = Spaces(max_indent, max_aligned)
+    depth = NESTED_TABLES if max_tables is None else max_tables
     writers, grids, counters = [Writer(spaces)], [], []
     plain, shown_options = 0, set()
     preformatted = 0
@@ -579,7 +601,7 @@ def render(page: str, max_indent: int | None = None, max_aligned: int | None = N
         if item is None:  # the node ends
             if tag in ("td", "th") and grids and not plain:
                 lines = writers.pop().text().split("\n")
-                grids[-1].cell(lines, _number(node.attrs.get("colspan"), 1000), _number(node.attrs.get("rowspan"), 65534), spaces)
+                grids[-1].cell(lines, _number(node.attrs.get("colspan"), 1000), _number(node.attrs.get("rowspan"), 65534))
                 continue
             if tag == "caption" and grids and not plain:
                 grids[-1].captions += writers.pop().text().split("\n")
@@ -677,11 +699,10 @@ def extract_text(pages: DataFrame, *, html_col: str = "html", out_col: str = "te
 
     Paragraphs, headings, lists and tables stand between empty lines, other blocks on lines of their own; list items
     have their mark and indent; preformatted text keeps its spaces; table cells are padded to their column, also
-    across and down spans, and every column is aligned. Work and output stay in proportion to the page: it is laid out
-    with at most four spaces for each of its characters (or 65,536); a table that needs more than are left has its
-    cells two spaces apart, where more than four times its length in spans would be looked past they no longer shift cells, and further lines are indented by 32 at most. Tables nest to a depth that the page's
-    length sets (eight at least, 16 in a megabyte); those inside are plain blocks. ``max_indent``, ``max_aligned``
-    and ``max_tables`` set such limits outright. No text is left out for any of that. A span that is no number is 1.
+    across and down spans, and every column is aligned. How a part is laid out depends on that part alone, not on the
+    page's length: an indent of over 256 columns is written as 32, a cell over 1,024 columns behind the one before it stands
+    two spaces after it, and tables in more than 64 others are plain blocks. ``max_indent``, ``max_aligned``
+    and ``max_tables`` set such limits outright, as high as a caller wants. No text is left out for any of that. A span that is no number is 1.
 
     A null page gives null, an empty page or one without visible text the empty text, a very long or deep one all of
     its text. Each row stands alone, so repeated rows give equal texts; an empty table gives no rows; a column

@@ -403,3 +403,35 @@ def test_pages_that_clash_and_none(spark):
     rows = spark.createDataFrame([(1, "<p>a", "old"), (2, None, "old"), (1, "<p>a", "old")], "page_id long, html string, text string")
     assert sorted((r.page_id, r.text) for r in html_text.extract_text(rows).collect() if r.text) == [(1, "a"), (1, "a")]
     assert html_text.extract_text(rows).columns == rows.columns and html_text.extract_text(rows.limit(0)).collect() == []
+
+
+def test_layout_does_not_depend_on_the_length_of_the_page():
+    """Parts of a page are laid out alike, alone and behind or before a long text or other wide parts."""
+    wide = "<table><tr><td>" + "z" * 500 + "<td>a" + "<tr><td><td>b" * 1000 + "</table>"
+    tables = "<table><tr><td>a<td>b" * 20 + "</table>" * 20
+    deep = "<ul><li>x" * 120 + "</ul>" * 120
+    spans = "<table><tr>" + "".join(f"<td rowspan={i}>x" for i in range(400, 0, -1)) + "<tr><td>y" * 450 + "</table>"
+    alone = [html_text.render(part) for part in (wide, tables, deep, spans)]
+    assert alone[0].split("\n")[1:] == [" " * 502 + "b"] * 1000
+    for long in ("", "<p>" + "w " * 1_500_000):
+        assert html_text.render("".join(f"<div>{part}</div>" for part in (wide, tables, deep, spans)) + long) == "\n\n".join([*alone, *(["w " * 1_499_999 + "w"] if long else [])])
+
+
+def test_cells_pass_over_every_span():
+    """Where a cell goes is the first column that no span from above holds, however many there are."""
+    rng = random.Random(8)
+    for many in (5, 700):
+        grid, taken, want = html_text.Grid(), {}, []
+        for r in range(40):
+            grid.row(), want.append([])
+            column = 0
+            for _ in range(many if r % 9 == 0 else rng.randrange(4)):
+                across, down = rng.choice([1, 1, 2]), rng.choice([1, 1, 3, 30])
+                while taken.get(column, 0) > r:
+                    column += 1
+                want[-1].append(column)
+                grid.cell(["x"], across, down)
+                own = range(column, column + across)
+                taken |= {c: max(taken.get(c, 0), r + down) for c in own} if down > 1 else {}
+                column += across
+        assert [list(row) for row in grid.rows] == want
