@@ -30,6 +30,9 @@ FILTER_BITS_EACH = 32
 MAX_FILTER_BITS = 27
 #: Up to so many bytes of benchmark windows are broadcast to the join; beyond, it shuffles.
 MAX_BROADCAST = 48 << 20
+#: The benchmark's windows are kept in one file for so many bytes of its texts, not in one for each shuffle partition:
+#: where Hadoop's native library is missing, an executor starts programs to set the mode of each file that it writes.
+PART_BYTES = 1 << 18
 
 _SLICE = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -250,10 +253,12 @@ def decontaminate(
     """
     tune(docs.sparkSession)
     windows = _benchmark_windows(benchmark, item_col, item_text_col)
+    texts = benchmark.agg(F.coalesce(F.sum(F.octet_length(item_text_col)), F.lit(0)).alias("bytes")).first().bytes
     # Windows of the same items share the list of them.
-    windows = checkpointed(windows.withColumn("set", F.sha2(F.encode(F.to_json("items"), "UTF-8"), 256)))
+    windows = windows.withColumn("set", F.sha2(F.encode(F.to_json("items"), "UTF-8"), 256))
+    windows = checkpointed(windows.coalesce(max(1, -(-texts // PART_BYTES))))
     size = windows.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.length("words") + 120), F.lit(0)).alias("bytes")).first()
-    sets = checkpointed(windows.groupBy("set").agg(F.first("items").alias("items")))
+    sets = windows.groupBy("set").agg(F.first("items").alias("items"))
     listed = sets.agg(F.coalesce(F.sum(80 + 24 * F.size("items")), F.lit(0)).alias("bytes")).first().bytes
     known = _Bits(windows.select(F.col("fingerprint").alias("hash")), size.rows)
     exact = _Bits(windows.select(F.col("window").alias("hash")), size.rows)

@@ -75,6 +75,28 @@ def test_repeated_rows_and_full_bitmaps(spark, monkeypatch):
     assert sorted(((r.doc_id, r.n_words, r.n_hit, ",".join(r["items"])) for r in found), key=repr) == brute_hits(docs, items)
 
 
+def test_a_small_benchmark_is_kept_in_few_files(spark, monkeypatch):
+    """Files that are kept follow the benchmark's size, not the number of shuffle partitions; results are the same."""
+    docs, items = sample(9)
+    size, kept, plain = sum(len((t or "").encode()) for _, t in items), [], decontaminate.checkpointed
+    monkeypatch.setattr(decontaminate, "checkpointed", lambda df: kept.append(plain(df)) or kept[-1])
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        for part, files in ((None, 1), (-(-size // 3), 3), (1, 40)):
+            kept.clear()
+            if part:
+                monkeypatch.setattr(decontaminate, "PART_BYTES", part)
+            found = decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+            assert sum(df.rdd.getNumPartitions() for df in kept) == files
+            assert sorted(((r.doc_id, r.n_words, r.n_hit, ",".join(r["items"])) for r in found), key=repr) == brute_hits(docs, items)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_fingerprints_are_thinned():
     """Each window's fingerprint is its smallest k-gram, the last of equal ones, and is listed once."""
     rng = random.Random(4)
